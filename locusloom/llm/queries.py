@@ -1,0 +1,32 @@
+"""Registered queries of the training-data operators, with production parameters."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from locusloom.llm import chat, decontam
+from locusloom.llm.common import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_windows(turns.unionByName(chat.control_conversation(spark))))
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "op5_decontamination": op5_decontamination,
+        "op10_chat_format": op10_chat_format,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
