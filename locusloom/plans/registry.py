@@ -1,0 +1,11 @@
+"""Registered queries over the driver's tables, and their SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
