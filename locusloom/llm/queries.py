@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusloom.llm import chat, decontam
+from locusloom.llm import chat, decontam, embdup, neardup, warc
 from locusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(table(spark, sf_dir, "pages"), min_dedup_bytes=0)
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.format_windows(turns.unionByName(chat.control_conversation(spark))))
@@ -23,7 +35,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_warc": op3_warc,
         "op5_decontamination": op5_decontamination,
+        "op7_embedding_near_dedup": op7_embedding_near_dedup,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_chat_format": op10_chat_format,
     }
 
