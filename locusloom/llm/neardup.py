@@ -2,15 +2,18 @@
 
 A document's set holds its distinct shingles of ``width`` words; documents are linked if the
 Jaccard similarity of their sets is at least ``percent``/100. Equal sets are one class, known by a
-128-bit fingerprint. Each class has ``SAMPLES`` MinHash samples; ``ROWS`` of them make a band, and
-classes that share a band are candidates (a pair at 0.8 shares none with probability 3e-7).
-The samples are also folded into a parity bitmap, the odd sketch: the population count of two
-sketches' XOR tells how many samples differ, and pairs that differ in far more than the threshold
-allows (by 6.5 standard deviations) are dropped. What is left is confirmed on the whole sets.
-
-A bucket's classes are first compared with one centre. What the centre already joins needs no
-further links among itself, so only pairs of different components are compared afterwards, in blocks
-inside tasks. So no group is expanded into its pairs, and no link between components is missed.
+128-bit fingerprint. Each class has ``ROWS`` times ``BANDS`` MinHash values; ``ROWS`` of them make a
+band, and classes that share a band are candidates (a pair at 0.8 shares none with probability 3e-7).
+The bottom-k MinHash sample of ``SAMPLES`` shingles is folded into a parity bitmap, the odd sketch.
+The population count of two sketches' XOR is at most the number of sampled shingles that differ; pairs
+that differ in more than the threshold allows (for sets that their samples hold whole: at all; else by
+six standard deviations) are dropped. What is left is confirmed on the whole sets.
+
+A bucket's classes are first compared with one centre. What the centre joins needs no further
+links among itself, so only pairs of different components are compared afterwards: those of small
+buckets by a join, those of large ones in blocks inside tasks, where a class names the closest few
+of each other component first and, if these don't join it, more of them in a next round, until none is
+left. So no group is expanded into its pairs, and no link between components is missed.
 
 Defined results: a null text or one without words has no shingles and no links, and is its own
 component; a text with fewer words than ``width`` has one shingle; a component's name is the least
@@ -21,7 +24,6 @@ further columns are ignored by :func:`near_duplicates` and kept by :func:`dedupl
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,47 +36,46 @@ from locusloom.llm.common import cut
 from locusloom.llm.components import connected_components
 from locusloom.llm.textcols import mix, shingle_sets
 
-ROWS, BANDS, SKETCH_LONGS = 3, 21, 4
-SAMPLES = ROWS * BANDS
-#: Members of a bucket that are compared with as many others in one task.
-BLOCK = 512
-_MULTIPLY = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
-_ADD = mix(np.arange(1001, SAMPLES + 1001, dtype=np.uint64))
+ROWS, BANDS = 3, 21
+SAMPLES, SKETCH_LONGS = 512, 16
+#: Buckets up to this size are joined with themselves; the members of larger ones meet in blocks.
+SMALL, BLOCK = 16, 512
+FIRST_CLOSEST = 4
+_MULTIPLY = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
+_ADD = mix(np.arange(1001, ROWS * BANDS + 1001, dtype=np.uint64))
 
 
 def _min_hashes(shingles: np.ndarray) -> np.ndarray:
-    best = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
+    best = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 2048):
         part = shingles[i : i + 2048]
         np.minimum(best, (_MULTIPLY[:, None] * part[None, :] + _ADD[:, None]).min(axis=1), out=best)
     return mix(best + _ADD)
 
 
-def _odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmaps, as SKETCH_LONGS words, of rows of samples."""
-    bit = (samples >> np.uint64(11)) % np.uint64(64 * SKETCH_LONGS)
-    out = np.zeros((len(samples), SKETCH_LONGS), np.uint64)
-    rows = np.arange(len(samples))
-    for k in range(samples.shape[1]):
-        out[rows, bit[:, k] // 64] ^= np.uint64(1) << (bit[:, k] % np.uint64(64))
-    return out
+def _odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parity bitmap of the least hashes of a sorted set."""
+    bit = mix(shingles[:SAMPLES]) % np.uint64(64 * SKETCH_LONGS)
+    odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def _features(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            sizes, prints, samples = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64), np.zeros((n, SAMPLES), np.uint64)
+            sizes, prints, samples = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64), np.zeros((n, ROWS * BANDS), np.uint64)
+            sketches = np.zeros((n, SKETCH_LONGS), np.uint64)
             for i, s in enumerate(shingle_sets(batch.column("text"), width)):
                 sizes[i] = len(s)
                 if len(s):
                     prints[i] = np.bitwise_xor.reduce(mix(s + np.uint64(len(s)))), np.add.reduce(mix(~s))
-                    samples[i] = _min_hashes(s)
+                    samples[i], sketches[i] = _min_hashes(s), _odd_sketch(s)
             banded = samples.reshape(n, BANDS, ROWS)
             keys = mix(banded[:, :, 0] + mix(banded[:, :, 1] + mix(banded[:, :, 2])))
             fixed = lambda a, k: pa.ListArray.from_arrays(np.arange(0, k * n + 1, k, dtype=np.int32), a.reshape(-1).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("tk"), pa.array(sizes), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), fixed(keys, BANDS), fixed(_odd_sketches(samples), SKETCH_LONGS)],
+                [batch.column("doc_id").cast(pa.int64()), batch.column("tk"), pa.array(sizes), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), fixed(keys, BANDS), fixed(sketches, SKETCH_LONGS)],
                 names=["doc_id", "tk", "n_shingles", "f1", "f2", "bands", "sketch"],
             )
 
@@ -96,18 +97,25 @@ def _sets(width: int):
     return run
 
 
-def sketch_limit(percent: int) -> int:
-    """The XOR population count above which a pair is surely below the threshold."""
-    t, bits = percent / 100, 64 * SKETCH_LONGS
-    differ = SAMPLES * (1 - t) + 6.5 * math.sqrt(SAMPLES * t * (1 - t))
-    expected = bits / 2 * (1 - (1 - 2 / bits) ** (2 * min(differ, SAMPLES)))
-    return math.ceil(expected + 4 * math.sqrt(expected * (1 - expected / bits)))
+def _sketch_limit(a, b, percent: int, sqrt, whole):
+    """The most that the sketches of sets of a >= b shingles may differ in, if they are similar enough.
+
+    Sets within ``SAMPLES`` are sampled whole, so the bound is exact: the XOR counts no more than
+    the sets' difference. Works on columns and on arrays.
+    """
+    t = percent / 100
+    share = t * (a + b) / ((1 + t) * a)  # of the larger set, in both at the least
+    mean = SAMPLES + whole(b <= SAMPLES, b, SAMPLES) - 2 * SAMPLES * share
+    sampled = mean + 12 * sqrt(SAMPLES * share * (1 - share)) + 4
+    return whole(a <= SAMPLES, (100 - percent) * (a + b) / (100.0 + percent) + 1e-6, sampled)
 
 
 def _passes(percent: int):
     """Whether sizes and sketches of two classes (n, sketch; n2, sketch2) allow a link."""
     popcount = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch2", F.lit(i)))) for i in range(SKETCH_LONGS)), F.lit(0))
-    return (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (popcount <= sketch_limit(percent))
+    small, large = F.least("n", "n2"), F.greatest("n", "n2")
+    limit = _sketch_limit(large, small, percent, lambda c: F.sqrt(F.greatest(c, F.lit(0.0))), lambda c, x, y: F.when(c, x).otherwise(y))
+    return (small * 100 >= large * percent) & (popcount <= limit)
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -123,44 +131,64 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
     return both.where(F.col("_both") * 100 >= percent * (F.size("_sa") + F.size("_sb") - F.col("_both"))).select("a", "b")
 
 
-def _cross_pairs(percent: int):
-    """In a block pair of a bucket: pairs of different components that may be linked."""
-    limit = sketch_limit(percent)
+def _cross_pairs(percent: int, closest: int):
+    """In a block pair of a bucket: for each class the closest of each other component.
+
+    ``more`` tells that a class has further candidates in the component.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group.side == 0], group[group.side == 1]
-        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        if not len(left) or not len(right):
-            return none
-        stack = lambda d, c: np.array(d[c].tolist(), np.int64)
-        s2, n2, c2, id2, k2 = stack(right, "sketch").view(np.uint64), right.n.to_numpy(), right.component.to_numpy(), right.cid.to_numpy(), stack(right, "bands")
-        k1, band = stack(left, "bands"), int(group.band.iloc[0])
         out = []
-        for i, (s, n, c, cid) in enumerate(zip(stack(left, "sketch").view(np.uint64), left.n, left.component, left.cid, strict=True)):
-            ok = (c2 != c) & (np.minimum(n2, n) * 100 >= np.maximum(n2, n) * percent)
-            ok &= np.bitwise_count(s2 ^ s).sum(axis=1) <= limit
-            j = np.flatnonzero(ok)
-            j = j[~(k2[j, :band] == k1[i, :band]).any(axis=1)]  # told in the first band that the two share
-            out += [(min(cid, x), max(cid, x)) for x in id2[j]]
-        return pd.DataFrame(out, columns=["a", "b"]).drop_duplicates() if out else none
+        if len(left) and len(right):
+            stack = lambda d, c: np.array(d[c].tolist(), np.int64)
+            s2, n2, c2, id2, k2 = stack(right, "sketch").view(np.uint64), right.n.to_numpy(), right.component.to_numpy(), right.cid.to_numpy(), stack(right, "bands")
+            k1, band = stack(left, "bands"), int(group.band.iloc[0])
+            for i, (s, n, c, cid) in enumerate(zip(stack(left, "sketch").view(np.uint64), left.n, left.component, left.cid, strict=True)):
+                small, large = np.minimum(n2, n), np.maximum(n2, n)
+                j = np.flatnonzero((c2 != c) & (small * 100 >= large * percent))
+                apart = np.bitwise_count(s2[j] ^ s).sum(axis=1)
+                near = apart <= _sketch_limit(large[j], small[j], percent, lambda x: np.sqrt(np.maximum(x, 0)), np.where)
+                j, apart = j[near], apart[near]
+                new = ~(k2[j, :band] == k1[i, :band]).any(axis=1)  # else told in the first band that the two share
+                j, apart = j[new], apart[new]
+                by = np.lexsort((apart, c2[j]))
+                told: dict[int, int] = {}
+                for x in j[by]:
+                    told[c2[x]] = k = told.get(c2[x], 0) + 1
+                    if k <= closest:
+                        out.append((min(cid, id2[x]), max(cid, id2[x]), False))
+                    elif k == closest + 1:
+                        out[-1] = (*out[-1][:2], True)
+        return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
 
     return run
 
 
-def _across(classes: DataFrame, buckets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components that share a bucket."""
+def _across(classes: DataFrame, buckets: DataFrame, parts: DataFrame, percent: int, closest: int) -> DataFrame:
+    """Candidate pairs (a, b, more) of different components that share a bucket.
+
+    Small buckets are told with the first round only, as they are told in full.
+    """
     held = buckets.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    open_ = held.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
-    open_ = open_.select("band", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    held = held.join(open_, ["band", "key"]).join(classes.select("cid", "n", "sketch", "bands"), "cid")
-    held = held.withColumn("_mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    # A member of block x meets blocks x..blocks-1 on the left and 0..x on the right.
+    open_ = held.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("band", "key", "m")
+    held = cut(held.join(open_, ["band", "key"]))
+    known = classes.select("cid", "n", "sketch")
+    pairs = None
+    if closest == FIRST_CLOSEST:
+        few = held.where(F.col("m") <= SMALL).select("band", "key", "cid", "component")
+        pairs = few.join(few.toDF("band", "key", "cid2", "component2"), ["band", "key"]).where("cid < cid2 and component <> component2").select("cid", "cid2").distinct()
+        pairs = pairs.join(known.toDF("cid2", "n2", "sketch2"), "cid2").join(known, "cid").where(_passes(percent)).select(F.col("cid").alias("a"), F.col("cid2").alias("b"), F.lit(False).alias("more"))
+    many = held.where(F.col("m") > SMALL).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).join(classes.select("cid", "n", "sketch", "bands"), "cid")
+    many = many.withColumn("_mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    # A member of block x is in the left side of x, x.. and in the right side of all x', x.
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cells = F.transform(every, lambda y: F.when(F.col("_mine") <= y, F.struct(F.col("_mine").alias("i"), y.alias("j"), F.lit(0).alias("side"))))
-    cells2 = F.transform(every, lambda x: F.when(x <= F.col("_mine"), F.struct(x.alias("i"), F.col("_mine").alias("j"), F.lit(1).alias("side"))))
-    dealt = held.select("band", "key", "cid", "component", "n", "sketch", "bands", F.explode(F.array_compact(F.concat(cells, cells2))).alias("_c"))
+    left = F.transform(every, lambda y: F.when(F.col("_mine") <= y, F.struct(F.col("_mine").alias("i"), y.alias("j"), F.lit(0).alias("side"))))
+    right = F.transform(every, lambda x: F.when(x <= F.col("_mine"), F.struct(x.alias("i"), F.col("_mine").alias("j"), F.lit(1).alias("side"))))
+    dealt = many.select("band", "key", "cid", "component", "n", "sketch", "bands", F.explode(F.array_compact(F.concat(left, right))).alias("_c"))
     dealt = dealt.select("band", "key", "cid", "component", "n", "sketch", "bands", "_c.i", "_c.j", "_c.side")
-    return dealt.groupBy("band", "key", "i", "j").applyInPandas(_cross_pairs(percent), "a long, b long").distinct()
+    told = dealt.groupBy("band", "key", "i", "j").applyInPandas(_cross_pairs(percent, closest), "a long, b long, more boolean")
+    return (told if pairs is None else told.unionByName(pairs)).groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -182,10 +210,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     links = cut(_confirmed(cut(stars), classes, docs, width, percent))
     parts = connected_components(links)
-    more = cut(_across(classes, buckets.drop("centre"), parts, percent))
-    if not more.isEmpty():
-        links = links.unionByName(_confirmed(more, classes, docs, width, percent))
+    closest = FIRST_CLOSEST
+    while True:
+        told = cut(_across(classes, buckets.drop("centre"), parts, percent, closest))
+        if told.isEmpty():
+            break
+        links = links.unionByName(cut(_confirmed(told.select("a", "b"), classes, docs, width, percent)))
         parts = connected_components(links)
+        if told.where("more").isEmpty():
+            break
+        closest *= 8
     named = classes.select("cid", "f1", "f2", "least_id").join(parts.withColumnRenamed("node", "cid"), "cid")
     names = named.groupBy("component").agg(F.min("least_id").alias("_name"))
     alone = classes.join(parts, F.col("cid") == F.col("node"), "left_anti").select("f1", "f2", F.col("least_id").alias("_name"))
