@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusloom.llm import chat, decontam, embdup, neardup, warc
+from locusloom.llm import chat, decontam, embdup, mixing, neardup, sharding, toxicity, warc
 from locusloom.llm.common import table
 
+#: Target weights of the registered mixture; names without a weight have 1.
+MIX_WEIGHTS = {"domain": {"domain0": 4.0, "domain1": 2.0}, "lang": {"de": 4.0, "es": 8.0}}
+SHARD_BYTES = 64 << 20
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), MIX_WEIGHTS, fraction=1.0, max_epochs=3.0, seed=7)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -24,6 +36,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), target=SHARD_BYTES)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -35,9 +51,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_warc": op3_warc,
+        "op4_mixing": op4_mixing,
         "op5_decontamination": op5_decontamination,
         "op7_embedding_near_dedup": op7_embedding_near_dedup,
+        "op8_sharding": op8_sharding,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_chat_format": op10_chat_format,
     }

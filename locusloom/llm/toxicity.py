@@ -38,9 +38,10 @@ REPORTS = frozenset("said says wrote writes called quote quoted dit écrit cite
 ADDRESS = frozenset("you your u tu toi vous du dich ihr sie usted ustedes vos eres".split())
 WINDOW = 6
 PREFIXES = range(3, 10)
-KINDS = 6
+KINDS = 9
 MIN_G2 = 26.0
-MIN_PRECISION = 0.8
+#: Least share of toxic documents among those with a whole word, or with a beginning.
+MIN_PRECISION, MIN_START_PRECISION = 0.8, 0.35
 MAX_TERMS = 5000
 CACHE = 500_000
 
@@ -106,7 +107,7 @@ class Matcher:
         for piece, places in self.pieces.items():
             by_length.setdefault(len(piece), set()).update(places)
         self.places = [(n, sorted(at)) for n, at in sorted(by_length.items())]
-        self.cache: dict[str, tuple[float, bool] | None] = {}
+        self.cache: dict[str, tuple[float, bool | None] | None] = {}
 
     @staticmethod
     def allowed(term: str) -> int:
@@ -131,13 +132,13 @@ class Matcher:
                     stack.append((child, new))
         return best
 
-    def _look_up(self, word: str) -> tuple[float, bool] | None:
-        """(weight, misspelled) or None."""
+    def _look_up(self, word: str) -> tuple[float, bool | None] | None:
+        """(weight, whether misspelled; None for a beginning) or None."""
         if (w := self.words.get(word)) is not None:
             return w, False
         for n in self.lengths:
             if n < len(word) and (w := self.starts.get(word[:n])) is not None:
-                return w, False
+                return w, None
         plain = word.translate(LEET)
         if plain != word and (w := self.words.get(plain)) is not None:
             return w, True
@@ -147,7 +148,7 @@ class Matcher:
                     return None if (w := self._near(plain)) is None else (w, True)
         return None
 
-    def find(self, word: str) -> tuple[float, bool] | None:
+    def find(self, word: str) -> tuple[float, bool | None] | None:
         try:
             return self.cache[word]
         except KeyError:
@@ -157,7 +158,11 @@ class Matcher:
             return found
 
     def kinds(self, text: str | None) -> list[float]:
-        """Of plain, misspelled, quoted and addressed hits the weights' sums; the greatest; their density."""
+        """Of plain, misspelled, quoted and addressed hits the weights' sums, the greatest and their density.
+
+        Then the number and density of beginnings, and the length of a text that has any: clean
+        texts hold some beginnings by chance, toxic ones many for their length.
+        """
         out = [0.0] * KINDS
         if not text:
             return out
@@ -170,6 +175,9 @@ class Matcher:
             if (hit := self.find(w)) is None:
                 continue
             weight, misspelled = hit
+            if misspelled is None:
+                out[6] += 1
+                continue
             around = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
             before = text[spans[max(0, i - WINDOW)][0] : spans[i][0]]
             after = text[spans[i][1] : spans[min(len(words) - 1, i + WINDOW)][1]]
@@ -178,6 +186,8 @@ class Matcher:
             out[3] += weight * any(x in ADDRESS for x in around) * (not quoted)
             out[4] = max(out[4], weight * (0.5 if quoted else 1))
         out[5] = 100 * sum(out[:3]) / max(len(words), 1)
+        out[7] = 100 * out[6] / max(len(words), 1)
+        out[8] = len(words) * (out[6] > 0)
         return [math.log1p(max(x, 0.0)) for x in out]
 
 
@@ -200,7 +210,7 @@ def _scored(lexicon: dict[str, float], weights: list[float] | None):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
-    """Weights, the bias first, by damped Newton steps; weights of hits are not negative."""
+    """Weights, the bias first, by damped Newton steps; none but the length's is negative."""
     x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
     w = np.zeros(x.shape[1])
     w[0] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
@@ -210,7 +220,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (p - y) + pull * w)
         w = w - 0.5 * step
-        w[1:] = np.maximum(w[1:], 0)
+        w[1:-1] = np.maximum(w[1:-1], 0)
         if np.abs(step).max() < 1e-6:
             break
     return w.tolist()
@@ -232,7 +242,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[d
     a, b, m = F.col("a").cast("double"), F.col("b").cast("double"), float(toxic + clean)
     counts = rows.select("text", "toxic").mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     g2 = 2 * (a * F.log(a / ((a + b) * (toxic / m))) + F.when(b > 0, b * F.log(b / ((a + b) * (clean / m)))).otherwise(0.0))
-    chosen = counts.where((F.col("a") > 2) & (a / (a + b) > MIN_PRECISION)).withColumn("g2", g2).where(F.col("g2") >= MIN_G2)
+    least = F.when(F.startswith("term", F.lit("=")), MIN_PRECISION).otherwise(MIN_START_PRECISION)
+    chosen = counts.where((F.col("a") > 2) & (a / (a + b) > least)).withColumn("g2", g2).where(F.col("g2") >= MIN_G2)
     top = chosen.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).select("term", "a", "b").collect()
     lexicon = choose_terms([tuple(r) for r in top], toxic, clean)
     sample = rows.select("toxic", "text").mapInArrow(_scored(lexicon, None), "toxic int, kinds array<double>").collect()  # fit_rows at most
