@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusloom.llm import chat, decontam, embdup, mixing, neardup, sharding, toxicity, warc
+from locusloom.llm import chat, decontam, embdup, htmltext, mixing, neardup, sharding, toxicity, warc
 from locusloom.llm.common import table
 
 #: Target weights of the registered mixture; names without a weight have 1.
@@ -32,6 +32,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(table(spark, sf_dir, "pages"), min_dedup_bytes=0)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op3_warc": op3_warc,
         "op4_mixing": op4_mixing,
         "op5_decontamination": op5_decontamination,
+        "op6_html_text": op6_html_text,
         "op7_embedding_near_dedup": op7_embedding_near_dedup,
         "op8_sharding": op8_sharding,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,

@@ -43,22 +43,24 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, and where each row's begin among them (rows + 1 offsets).
+def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes, each word's start and end in them, and where each row's words begin (rows + 1 offsets).
 
-    Words are runs of bytes other than blanks (x20, x09-x0D), after A-Z is lower-cased.
+    Words are runs of bytes other than blanks (x20, x09-x0D).
     """
     data, offsets = string_bytes(column)
-    n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = ~_SPACE[data]
-    edge = np.zeros(n + 1, bool)
+    edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1]
     after = np.concatenate([inside[1:], [False]]) & ~edge[1:]
-    starts = np.flatnonzero(inside & ~before)
-    ends = np.flatnonzero(inside & ~after) + 1
+    starts = np.flatnonzero(inside & ~before[: len(data)])
+    ends = np.flatnonzero(inside & ~after[: len(data)]) + 1
+    return data, starts, ends, np.searchsorted(starts, offsets)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans in order, after A-Z is lower-cased."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -70,7 +72,13 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         s = starts[i:j] - a
         out[i:j] = (sums[ends[i:j] - a] - sums[s]) * inverse[s]
         i = j
-    return mix(out), np.searchsorted(starts, offsets)
+    return mix(out)
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each row's begin among them (rows + 1 offsets)."""
+    data, starts, ends, at = word_spans(column)
+    return span_hashes(data, starts, ends), at
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
