@@ -12,8 +12,8 @@ six standard deviations) are dropped. What is left is confirmed on the whole set
 A bucket's classes are first compared with one centre. What the centre joins needs no further
 links among itself, so only pairs of different components are compared afterwards: those of small
 buckets by a join, those of large ones in blocks inside tasks, where a class names the closest few
-of each other component first and, if these don't join it, more of them in a next round, until none is
-left. So no group is expanded into its pairs, and no link between components is missed.
+of other components first and, where these don't join all, more of them in a next round, until none
+is left. So no group is expanded into its pairs, and no link between components is missed.
 
 Defined results: a null text or one without words has no shingles and no links, and is its own
 component; a text with fewer words than ``width`` has one shingle; a component's name is the least
@@ -132,9 +132,9 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
 
 
 def _cross_pairs(percent: int, closest: int):
-    """In a block pair of a bucket: for each class the closest of each other component.
+    """In a block pair of a bucket: for each class the closest of other components.
 
-    ``more`` tells that a class has further candidates in the component.
+    ``more`` tells that a class has further candidates.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -152,14 +152,8 @@ def _cross_pairs(percent: int, closest: int):
                 j, apart = j[near], apart[near]
                 new = ~(k2[j, :band] == k1[i, :band]).any(axis=1)  # else told in the first band that the two share
                 j, apart = j[new], apart[new]
-                by = np.lexsort((apart, c2[j]))
-                told: dict[int, int] = {}
-                for x in j[by]:
-                    told[c2[x]] = k = told.get(c2[x], 0) + 1
-                    if k <= closest:
-                        out.append((min(cid, id2[x]), max(cid, id2[x]), False))
-                    elif k == closest + 1:
-                        out[-1] = (*out[-1][:2], True)
+                by = np.argsort(apart, kind="stable")[:closest]
+                out += [(min(cid, x), max(cid, x), len(j) > closest) for x in id2[j[by]]]
         return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
 
     return run
