@@ -42,7 +42,7 @@ KINDS = 9
 MIN_G2 = 26.0
 #: Least share of toxic documents among those with a whole word, or with a beginning.
 MIN_PRECISION, MIN_START_PRECISION = 0.8, 0.35
-MAX_TERMS = 5000
+MAX_TERMS = 500
 CACHE = 500_000
 
 
@@ -76,9 +76,9 @@ def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> di
         a, b = counts[t]
         word = t[0] == "="
         if word:
-            if any(t[1 : n + 1] in kept for n in PREFIXES):
+            if any(t[1 : n + 1] in kept and a < 0.5 * counts[t[1 : n + 1]][0] for n in PREFIXES):
                 continue
-        elif any(t[:n] in kept for n in range(min(PREFIXES), len(t))) or extended[t] >= 0.6 * a:
+        elif any(t[:n] in kept for n in range(min(PREFIXES), len(t))) or extended[t] >= 0.9 * a:
             continue
         kept[t] = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
     return kept
