@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusloom.llm import chat, decontam, embdup, htmltext, mixing, neardup, sharding, toxicity, warc
+from locusloom.llm import chat, decontam, embdup, htmltext, lm, mixing, neardup, sharding, toxicity, warc
 from locusloom.llm.common import table
 
 #: Target weights of the registered mixture; names without a weight have 1.
@@ -16,6 +16,10 @@ SHARD_BYTES = 64 << 20
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
@@ -55,6 +59,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_toxicity": op2_toxicity,
         "op3_warc": op3_warc,
         "op4_mixing": op4_mixing,
