@@ -1,0 +1,156 @@
+"""Variants from one genome build to another through chain blocks.
+
+Single-base variants stay in Catalyst: an interval join on bins, strand flips and allele choice as Columns. Longer ones
+are lifted by two anchors, and only their alleles pass through small Python helpers with a window of reference.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from locusloom.functions.alleles import strand_flip
+from locusloom.operators.indels import extend_alleles, find_reference, left_align
+from locusloom.operators.intervals import join_points
+from locusloom.sources.fasta import with_reference
+
+MAX_INDEL = 250
+
+
+def lift_points(rows: DataFrame, blocks: DataFrame, pos: str = "pos", prefix: str = "q", chrom: str = "chrom") -> DataFrame:
+    """Add {prefix}_chrom, {prefix}_pos (1-based), {prefix}_strand, {prefix}_chain, {prefix}_block; null if unmapped.
+
+    Of several blocks the last in file order counts. ``blocks`` are placed (see :mod:`locusloom.sources.chain`).
+    """
+    keyed = rows.withColumn("_k", F.monotonically_increasing_id())
+    hits = join_points(keyed.select("_k", F.col(chrom).alias("_c"), F.col(pos).alias("_p")), blocks, [("_c", "b_chrom")], F.col("_p") - 1, "b_start", "b_end")
+    off = F.col("_p") - 1 - F.col("b_start")
+    q = F.when(F.col("q_strand") == 0, F.col("b_q") + off + 1).otherwise(F.col("q_size") - F.col("b_q") - off)
+    found = hits.groupBy("_k").agg(F.max_by(F.struct(F.col("q_chrom"), q.alias("pos"), "q_strand", "chain_ind", "block_ind", "q_size"), F.struct("chain_ind", "block_ind")).alias("_x"))
+    names = {"q_chrom": "chrom", "pos": "pos", "q_strand": "strand", "chain_ind": "chain", "block_ind": "block", "q_size": "size"}
+    return keyed.join(found, "_k", "left").select(*rows.columns, *[F.col(f"_x.{a}").alias(f"{prefix}_{b}") for a, b in names.items()])
+
+
+def is_single(ref: Column, alt: Column) -> Column:
+    return ref.rlike("^[ACGTNacgtn]$") & alt.rlike("^[ACGTNacgtn]$")
+
+
+def lift_single(rows: DataFrame, blocks: DataFrame, fasta: DataFrame | None = None, write_src: bool = False) -> DataFrame:
+    """Lift single-base variants: q_chrom, q_pos, q_ref, q_alt, flip, swap and reject_reason.
+
+    swap is 0 if the destination has the ref allele, 1 if it has alt, -1 if neither (its base becomes ref and both
+    alleles alternatives, as ``A,B``).
+    """
+    lifted = lift_points(rows, blocks).withColumn("flip", F.coalesce(F.col("q_strand") == 1, F.lit(False)))
+    a, b = (F.when(F.col("flip"), strand_flip(F.col(c))).otherwise(F.col(c)) for c in ("ref", "alt"))
+    lifted = lifted.withColumn("_a", a).withColumn("_b", b)
+    if fasta is None:
+        lifted = lifted.withColumn("_dst", F.col("_a"))
+    else:
+        lifted = with_reference(lifted, fasta, F.col("q_pos"), F.lit(1), "_dst", contig="q_chrom")
+    swap = F.when(F.upper("_dst") == F.upper("_a"), 0).when(F.upper("_dst") == F.upper("_b"), 1).otherwise(-1)
+    out = lifted.withColumn("swap", F.when(F.col("q_pos").isNotNull(), swap))
+    out = out.withColumn("q_ref", F.when(F.col("swap") == 0, F.col("_a")).when(F.col("swap") == 1, F.col("_b")).otherwise(F.col("_dst")))
+    out = out.withColumn("q_alt", F.when(F.col("swap") == 0, F.col("_b")).when(F.col("swap") == 1, F.col("_a")).when(F.col("swap") == -1, F.concat_ws(",", "_a", "_b")))
+    out = out.withColumn("reject_reason", reject_reason(F.col("q_pos").isNull()))
+    if write_src:
+        out = out.withColumn("src_chrom", F.col("chrom")).withColumn("src_pos", F.col("pos")).withColumn("src_ref_alt", F.concat_ws(",", "ref", "alt"))
+    return out.drop("_a", "_b", "_dst")
+
+
+def reject_reason(unmapped: Column) -> Column:
+    return F.when(F.col("chrom").isNull(), "MissingContig").when(unmapped, "UnmappedAnchors")
+
+
+def lift_spans(rows: DataFrame, blocks: DataFrame, start: str = "pos", end: str = "end", max_inc: int = MAX_INDEL) -> DataFrame:
+    """Lift intervals by their first and last base: q_chrom, q_pos, q_end, q_strand, n_pad5, n_pad3, reject_reason.
+
+    Where one anchor isn't mapped, the nearest block of the other's chain pads it; both must come down on one chain,
+    contig and strand, in a span at most ``max_inc`` longer than the source's.
+    """
+    both = lift_points(lift_points(rows, blocks, start, "a"), blocks, end, "z")
+    span = F.col(end) - F.col(start)
+    mapped5, mapped3 = F.col("a_pos").isNotNull(), F.col("z_pos").isNotNull()
+    # The edges of the chain's blocks around a block: where its neighbours end and begin.
+    order = Window.partitionBy("chain_ind").orderBy("b_start", "block_ind")
+    near = blocks.select("chain_ind", "block_ind", F.lag("b_end").over(order).alias("prev_end"), F.lead("b_start").over(order).alias("next_start"))
+    for side, tag in (("z", "p"), ("a", "n")):
+        own = near.select(F.col("chain_ind").alias(f"_{tag}c"), F.col("block_ind").alias(f"_{tag}b"), (F.col("prev_end" if tag == "p" else "next_start") + 1).alias(f"_{tag}"))
+        both = both.join(own, (F.col(f"{side}_chain") == F.col(f"_{tag}c")) & (F.col(f"{side}_block") == F.col(f"_{tag}b")), "left").drop(f"_{tag}c", f"_{tag}b")
+    pad5 = F.when(~mapped5 & mapped3, F.when(F.col("_p").isNotNull() & (F.col(start) - F.col("_p")).between(1, max_inc), F.col(start) - F.col("_p")).otherwise(F.when(span <= max_inc, F.least(F.lit(max_inc), F.col(start) - 1))))
+    pad3 = F.when(mapped5 & ~mapped3, F.when(F.col("_n").isNotNull() & (F.col("_n") - F.col(end)).between(1, max_inc), F.col("_n") - F.col(end)).otherwise(F.when(span <= max_inc, F.lit(max_inc))))
+    both = both.withColumn("n_pad5", F.coalesce(pad5, F.lit(0)).cast("long")).withColumn("n_pad3", F.coalesce(pad3, F.lit(0)).cast("long"))
+    padded = lift_points(both.withColumn("_s", F.col(start) - F.col("n_pad5")).withColumn("_e", F.col(end) + F.col("n_pad3")), blocks, "_s", "p5")
+    padded = lift_points(padded, blocks, "_e", "p3")
+    good = F.when(mapped5, F.struct("a_chrom", "a_strand", "a_chain", "a_size", "a_pos")).otherwise(F.struct("z_chrom", "z_strand", "z_chain", "z_size", "z_pos"))
+    padded = padded.withColumn("_g", good).withColumn("_plus", F.when(F.col("_g.a_strand") == 1, -1).otherwise(1))
+
+    def other(tag: str, length: Column, sign: int) -> Column:
+        """The anchor opposite to the mapped one: lifted from the pad's end, else by arithmetic."""
+        apart = (F.col(f"{tag}_pos") - F.col("_g.a_pos")) * F.col("_plus") * sign
+        fits = (F.col(f"{tag}_chrom") == F.col("_g.a_chrom")) & (F.col(f"{tag}_strand") == F.col("_g.a_strand")) & apart.between(0, max_inc)
+        return F.greatest(F.least(F.when(fits, F.col(f"{tag}_pos")).otherwise(F.col("_g.a_pos") + sign * F.col("_plus") * length), F.col("_g.a_size")), F.lit(1))
+
+    first = F.when(mapped5, F.col("a_pos")).when(mapped3, other("p5", span + F.col("n_pad5"), -1))
+    last = F.when(mapped3, F.col("z_pos")).when(mapped5, other("p3", span + F.col("n_pad3"), 1))
+    padded = padded.withColumn("_first", first).withColumn("_last", last)
+    same = (F.col("a_chain") == F.col("z_chain")) & (F.col("a_chrom") == F.col("z_chrom")) & (F.col("a_strand") == F.col("z_strand"))
+    length = F.abs(F.col("_last") - F.col("_first"))
+    reason = (
+        F.when(~mapped5 & ~mapped3, "UnmappedAnchors").when(mapped5 & mapped3 & ~same, "MismatchAnchors").when(mapped5 & mapped3 & (length > span + max_inc), "ApartAnchors")
+        .when(~mapped5 & pad5.isNull(), "UnmappedAnchor5").when(~mapped3 & pad3.isNull(), "UnmappedAnchor3")
+    )
+    ok = F.col("reject_reason").isNull()
+    out = padded.withColumn("reject_reason", reason)
+    return out.select(
+        *rows.columns, F.when(ok, F.col("_g.a_chrom")).alias("q_chrom"), F.when(ok, F.least("_first", "_last")).alias("q_pos"), F.when(ok, F.greatest("_first", "_last")).alias("q_end"),
+        F.when(ok, F.col("_g.a_strand")).alias("q_strand"), "n_pad5", "n_pad3", "reject_reason",
+    )
+
+
+@F.pandas_udf("alleles array<string>, n_left int, n_right int")
+def extended(alleles: pd.Series, left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    """Alleles made unique at both ends by reference bases from the windows around."""
+    out = [extend_alleles(list(a), x or "", y or "") for a, x, y in zip(alleles, left, right, strict=True)]
+    return pd.DataFrame(out, columns=["alleles", "n_left", "n_right"])
+
+
+@F.pandas_udf("alleles array<string>, moved int")
+def aligned(alleles: pd.Series, left: pd.Series) -> pd.DataFrame:
+    """Alleles trimmed and left-aligned within the window before them."""
+    return pd.DataFrame([left_align(list(a), x or "") for a, x in zip(alleles, left, strict=True)], columns=["alleles", "moved"])
+
+
+@F.pandas_udf("int")
+def reference_index(alleles: pd.Series, target: pd.Series) -> pd.Series:
+    return pd.Series([find_reference(list(a), t) if t else None for a, t in zip(alleles, target, strict=True)], dtype="Int32")
+
+
+def lift_longer(rows: DataFrame, blocks: DataFrame, src: DataFrame, dst: DataFrame, window: int = 100, max_inc: int = MAX_INDEL, align: bool = True) -> DataFrame:
+    """Lift variants with longer alleles: q_chrom, q_pos, q_alleles, flip, swap, reject_reason.
+
+    Alleles are extended to be unique, lifted by their anchors, flipped, told which of them the destination has and
+    left-aligned there.
+    """
+    keyed = rows.withColumn("_ref_end", F.col("pos") + F.length("ref") - 1)
+    reach = F.least(F.lit(window), F.col("pos") - 1)
+    keyed = with_reference(with_reference(keyed, src, F.col("pos") - reach, reach, "_left"), src, F.col("_ref_end") + 1, F.lit(window), "_right")
+    keyed = keyed.withColumn("_x", extended(F.array("ref", "alt"), "_left", "_right"))
+    keyed = keyed.withColumn("_s", F.col("pos") - F.col("_x.n_left")).withColumn("_e", F.col("_ref_end") + F.col("_x.n_right"))
+    lifted = lift_spans(keyed.drop("_left", "_right"), blocks, "_s", "_e", max_inc).withColumn("flip", F.coalesce(F.col("q_strand") == 1, F.lit(False)))
+    lifted = lifted.withColumn("_al", F.transform("_x.alleles", lambda a: F.when(F.col("flip"), strand_flip(a)).otherwise(a)))
+    lifted = with_reference(lifted, dst, F.col("q_pos"), F.col("q_end") - F.col("q_pos") + 1, "_dst", contig="q_chrom")
+    lifted = lifted.withColumn("swap", F.when(F.col("_dst").isNotNull(), reference_index("_al", "_dst")))
+    moved = F.when(F.col("swap") == 1, F.reverse("_al")).when(F.col("swap") == -1, F.array_prepend("_al", F.col("_dst"))).otherwise(F.col("_al"))
+    lifted = lifted.withColumn("_al", moved)
+    if align:
+        reach = F.least(F.lit(window), F.col("q_pos") - 1)
+        lifted = with_reference(lifted, dst, F.col("q_pos") - reach, reach, "_left", contig="q_chrom").withColumn("_y", aligned("_al", "_left"))
+        lifted = lifted.withColumn("q_pos", F.col("q_pos") + F.col("_y.moved")).withColumn("_al", F.col("_y.alleles"))
+    return lifted.select(*rows.columns, "q_chrom", "q_pos", F.col("_al").alias("q_alleles"), "flip", "swap", "reject_reason")
+
+
+def counts(lifted: DataFrame) -> DataFrame:
+    """(total, swapped, ref_added, rejected)."""
+    return lifted.agg(F.count("*").alias("total"), F.count_if(F.col("swap") > 0).alias("swapped"), F.count_if(F.col("swap") == -1).alias("ref_added"), F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"))
