@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusloom.operators.ld import Block, _schema, blup, solve
@@ -18,6 +18,12 @@ def log_bayes_factor(sd: np.ndarray, e: np.ndarray, n: np.ndarray, s2: float) ->
     return -0.5 * (np.log1p(x) - n * e * e * x / (1 + x))
 
 
+def log_bayes_factor_of(sd: Column, e: Column, n: Column, s2: float) -> Column:
+    """The same as a Column."""
+    x = n * sd * sd * s2
+    return -0.5 * (F.log1p(x) - n * e * e * x / (1 + x))
+
+
 def joint_log_bayes_factor(sd: np.ndarray, e: np.ndarray, n: np.ndarray, s2: float, c: float, group: np.ndarray) -> np.ndarray:
     """The same for each group of rows (a node in several populations) whose effects correlate by c.
 

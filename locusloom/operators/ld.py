@@ -61,6 +61,16 @@ def node_statistics(nodes: DataFrame, alpha: float = -0.5) -> DataFrame:
     return nodes.withColumn("alpha_hat", signed / F.sqrt("n")).withColumn("sd", heterozygosity_sd(F.col("af"), alpha))
 
 
+def prior_covariance(nodes: DataFrame, beta_cov: float = 1e-7, cross_corr: float = 0.9, alpha: float = -0.5) -> DataFrame:
+    """(ld_block, ld_node, pop1, pop2, sigma): the prior covariance of the effects of nodes that have an association."""
+    rows = node_statistics(nodes, alpha).where(F.col("z").isNotNull())
+    held = rows.groupBy("ld_block", "ld_node").agg(F.sort_array(F.collect_list(F.struct("pop", "sd"))).alias("_p"))  # a struct for each population
+    one = held.select("ld_block", "ld_node", "_p", F.explode("_p").alias("_a"))
+    both = one.select("ld_block", "ld_node", "_a", F.explode("_p").alias("_b")).where("_a.pop <= _b.pop")
+    share = F.when(F.col("_a.pop") == F.col("_b.pop"), 1.0).otherwise(cross_corr)
+    return both.select("ld_block", "ld_node", F.col("_a.pop").alias("pop1"), F.col("_b.pop").alias("pop2"), (beta_cov * F.col("_a.sd") * F.col("_b.sd") * share).alias("sigma"))
+
+
 def summary(nodes: DataFrame, alpha: float = -0.5, average_ld_score: float = AVERAGE_LD_SCORE, correct: bool = False, expected_ratio: float = 0.6) -> DataFrame:
     """(pop, non_missing, missing, lambda_gc, sigmasq_inf, trace_inf, beta_cov) over all blocks.
 

@@ -32,6 +32,14 @@ def lift_points(rows: DataFrame, blocks: DataFrame, pos: str = "pos", prefix: st
     return keyed.join(found, "_k", "left").select(*rows.columns, *[F.col(f"_x.{a}").alias(f"{prefix}_{b}") for a, b in names.items()])
 
 
+def lift_ends(rows: DataFrame, blocks: DataFrame, start: str = "pos", end: str = "end") -> DataFrame:
+    """Lift a record's position and its end: q_chrom, q_pos, q_strand and q_end, null where contig, strand or order don't agree."""
+    both = lift_points(lift_points(rows, blocks, start), blocks, end, "z")
+    order = F.when(F.col("q_strand") == 1, F.col("q_pos") >= F.col("z_pos")).otherwise(F.col("z_pos") >= F.col("q_pos"))
+    same = (F.col("q_chrom") == F.col("z_chrom")) & (F.col("q_strand") == F.col("z_strand")) & order
+    return both.withColumn("q_end", F.when(same, F.col("z_pos"))).select(*rows.columns, "q_chrom", "q_pos", "q_strand", "q_end")
+
+
 def is_single(ref: Column, alt: Column) -> Column:
     return ref.rlike("^[ACGTNacgtn]$") & alt.rlike("^[ACGTNacgtn]$")
 

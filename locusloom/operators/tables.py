@@ -19,7 +19,7 @@ def split_alleles(rows: DataFrame, per_alt: Sequence[str] = ()) -> DataFrame:
 def join_alleles(rows: DataFrame, per_alt: Sequence[str] = (), key: Sequence[str] = ("chrom", "pos", "ref")) -> DataFrame:
     """A row for each place and ref, with its alternatives and their values as arrays in order of alt."""
     held = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("alt", *per_alt))).alias("_x"))
-    return held.select(*key, *[F.transform("_x", lambda x, c=c: x[c]).alias(c) for c in ("alt", *per_alt)])
+    return held.select(*key, *[F.col(f"_x.{c}").alias(c) for c in ("alt", *per_alt)])
 
 
 def wide(rows: DataFrame, studies: Sequence[str], fields: Sequence[str], key: Sequence[str] = ("chrom", "pos", "ref", "alt")) -> DataFrame:

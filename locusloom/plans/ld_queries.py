@@ -1,2 +1,136 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Linkage-disequilibrium models over blocks of twenty nodes derived from parts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from locusloom.operators import gibbs, ld, tables
+from locusloom.plans.views import view, with_views
+
+BETA_COV, CROSS, TOLERANCE = 0.01, 0.9, 1e-13
+
+
+def nodes(spark: SparkSession, d: str, pops: int = 1) -> DataFrame:
+    """Nodes of each population with the association of the study of its number."""
+    own = view(spark, d, "ld_nodes")
+    stats = view(spark, d, "study_stats").select("vid", F.col("study").alias("_study"), (F.col("es") / F.col("se")).alias("z"), F.col("ns").cast("double").alias("n"))
+    every = own.withColumn("pop", F.explode(F.sequence(F.lit(0), F.lit(pops - 1))))
+    joined = every.join(stats, (every["vid"] == stats["vid"]) & (F.col("pop") == F.col("_study")), "left").drop(stats["vid"]).drop("_study")
+    return joined.withColumn("pop", F.concat(F.lit("P"), F.col("pop").cast("string")))
+
+
+def edges(spark: SparkSession, d: str, pops: int = 1) -> DataFrame:
+    every = view(spark, d, "ld_edges").withColumn("pop", F.explode(F.sequence(F.lit(0), F.lit(pops - 1))))
+    return every.select("ld_block", F.concat(F.lit("P"), F.col("pop").cast("string")).alias("pop"), "i", "j", "w")
+
+
+def _ldgm(spark, d) -> DataFrame:
+    """Nodes with their later neighbours as arrays."""
+    later = view(spark, d, "ld_edges").groupBy("ld_block", F.col("i").alias("ld_node")).agg(F.array_sort(F.collect_list(F.struct("j", "w"))).alias("_e"))
+    held = view(spark, d, "ld_nodes").join(later, ["ld_block", "ld_node"], "left").withColumn("pop", F.lit("P0"))
+    none = F.coalesce("_e", F.array().cast("array<struct<j:bigint,w:double>>"))
+    return held.withColumn("ld_neighbors", F.transform(none, lambda x: x["j"])).withColumn("ld_weights", F.transform(none, lambda x: x["w"])).drop("_e")
+
+
+def ld_edges(spark, d):
+    return ld.symmetric(ld.edges_of(_ldgm(spark, d))).select("ld_block", "i", "j", "w")
+
+
+def export_ldgm(spark, d):
+    return tables.precision_edges(_ldgm(spark, d))
+
+
+def ld_checked(spark, d):
+    """Rows with a neighbour before them or without a frequency are told apart."""
+    rows = _ldgm(spark, d)
+    rows = rows.withColumn("af", F.when(F.col("vid") % 13 > 0, F.col("af"))).withColumn("ld_neighbors", F.when(F.col("vid") % 11 == 0, F.transform("ld_neighbors", lambda x: x - 2)).otherwise(F.col("ld_neighbors")))
+    good, bad = ld.checked(rows)
+    return good.select("vid", F.lit(True).alias("good")).unionByName(bad.select("vid", F.lit(False).alias("good")))
+
+
+def ld_nodes(spark, d):
+    out = ld.node_map(nodes(spark, d, 2).where("z is not null"))
+    return out.select("ld_block", "ld_node", F.array_join("pops", ",").alias("pops"))
+
+
+def _summary(correct: bool, *columns: str):
+    def run(spark, d):
+        out = ld.summary(nodes(spark, d, 4), correct=correct)
+        return out.select("pop", *[F.round(c, 9).alias(c) if c not in ("missing", "non_missing") else F.col(c) for c in columns])
+
+    return run
+
+
+def ld_block_median(spark, d):
+    rows = ld.node_statistics(nodes(spark, d)).where("z is not null")
+    return rows.groupBy("ld_block").agg(F.round(F.median("alpha_hat"), 9).alias("median_a"), F.round(F.median(F.col("alpha_hat") * F.col("alpha_hat")), 9).alias("median_a2"), F.round(F.avg("n"), 6).alias("mean_n"))
+
+
+def ld_sigma(spark, d):
+    out = ld.prior_covariance(nodes(spark, d, 2), BETA_COV, CROSS)
+    return out.select("ld_block", "ld_node", "pop1", "pop2", F.round("sigma", 10).alias("sigma"))
+
+
+def _effects(df: DataFrame) -> DataFrame:
+    return df.select("ld_block", "pop", "ld_node", F.round("es", 7).alias("es"))
+
+
+def blup_diag(spark, d):
+    return _effects(ld.blup(nodes(spark, d), edges(spark, d).where(F.lit(False)), beta_cov=BETA_COV, tolerance=TOLERANCE))
+
+
+def blup_pair(spark, d):
+    own = nodes(spark, d).where("ld_node < 2")
+    return _effects(ld.blup(own, edges(spark, d).where("i = 0"), beta_cov=BETA_COV, tolerance=TOLERANCE))
+
+
+def blup_full(spark, d):
+    return _effects(ld.blup(nodes(spark, d, 2), edges(spark, d, 2), beta_cov=BETA_COV, cross_corr=CROSS, tolerance=TOLERANCE))
+
+
+def pgs_burn_in(spark, d):
+    """With no more iterations than the burn-in: the same as blup_full."""
+    return _effects(gibbs.pgs(nodes(spark, d, 2), edges(spark, d, 2), beta_cov=BETA_COV, cross_corr=CROSS, tolerance=TOLERANCE, iterations=2, burn_in=2))
+
+
+def pgs_gibbs(spark, d):
+    return _effects(gibbs.pgs(nodes(spark, d), edges(spark, d), beta_cov=BETA_COV, iterations=10, burn_in=2, seed=7, max_alpha2=0.05, herit_per_marker=1e-3))
+
+
+def bayes_factor(spark, d):
+    rows = ld.node_statistics(nodes(spark, d)).where("z is not null and alpha_hat is not null")
+    return rows.select("ld_block", "ld_node", F.round(gibbs.log_bayes_factor_of(F.col("sd"), F.col("alpha_hat"), F.col("n"), 0.05), 8).alias("log_bf"))
+
+
+QUERIES = {
+    "ld_edges": ld_edges, "export_ldgm": export_ldgm, "ld_checked": ld_checked, "ld_nodes": ld_nodes, "ld_missing": _summary(False, "non_missing", "missing", "trace_inf"), "ld_block_median": ld_block_median,
+    "ld_lambda": _summary(False, "lambda_gc", "sigmasq_inf", "beta_cov"), "ld_lambda_corrected": _summary(True, "lambda_gc", "sigmasq_inf", "beta_cov"), "ld_sigma": ld_sigma,
+    "blup_diag": blup_diag, "blup_pair": blup_pair, "blup_full": blup_full, "pgs_burn_in": pgs_burn_in, "pgs_gibbs": pgs_gibbs, "bayes_factor": bayes_factor,
+}
+
+_NODES = lambda pops: f"k as (select l.*, p, es/se as z, case when es is not null then ns end as n, (case when aa = 1 then -1 else 1 end)*(es/se)/sqrt(ns) as a, pow(sqrt(2*af_*(1-af_)), 0.5) as sd from (select ld_block, ld_node, vid as lvid, aa, af as af_, ld_diagonal, unnest(range({pops})) as p from ld_nodes) l left join (select * from study_stats where ns > 0) s on s.vid = lvid and s.study = p)"
+_SUMMARY = f"""with {_NODES(4)}, b as (select p, ld_block, count(z) as have, count(*)-count(z) as lack, avg(n) as mean_n, median(a*a) as m, sum(a*a) as a2, sum(case when z is not null then sd*sd end) as tr from k group by all),
+u as (select p, sum(have) as have, sum(lack) as lack, median(mean_n)*median(m)/{0.45493642311957283031}::double as lam, median(mean_n) as mn, sum(a2) as a2, sum(tr) as tr from b group by p)"""
+_SIGMA = "greatest((lam-1)/(mn*72.6::double*(have/(have+lack))), 0)"
+_PAIR = f"""with {_NODES(1)}, m as (select ld_block, avg(n) as bn from k where ld_node < 2 group by ld_block),
+t as (select x.ld_block, x.ld_diagonal as da, y.ld_diagonal as db, w, x.a as aa_, y.a as ab, x.sd as sa, y.sd as sb, x.aa as ga, y.aa as gb, x.af_ as fa, y.af_ as fb, bn from k x join k y on x.ld_block = y.ld_block and x.ld_node = 0 and y.ld_node = 1 join (select * from ld_edges where i = 0) e on e.ld_block = x.ld_block join m on m.ld_block = x.ld_block),
+v as (select *, case when aa_ is null then 0 when ab is null then (da-w*w/db)*aa_ else da*aa_+w*ab end as ya, case when ab is null then 0 when aa_ is null then (db-w*w/da)*ab else db*ab+w*aa_ end as yb, case when aa_ is null then 0 else {BETA_COV}::double*sa*sa end as va, case when ab is null then 0 else {BETA_COV}::double*sb*sb end as vb from t),
+r as (select *, (va+da/bn)*(vb+db/bn)-(w/bn)*(w/bn) as det from v),
+f as (select ld_block, 'P0' as pop, 0::bigint as ld_node, va*((vb+db/bn)*ya-(w/bn)*yb)/det*(case when ga = 1 then -1 else 1 end)/sqrt(2*fa*(1-fa)) as es from r where aa_ is not null
+union all select ld_block, 'P0' as pop, 1::bigint as ld_node, vb*((va+da/bn)*yb-(w/bn)*ya)/det*(case when gb = 1 then -1 else 1 end)/sqrt(2*fb*(1-fb)) as es from r where ab is not null)"""
+
+ORACLES = {k: with_views(v) for k, v in {
+    "ld_edges": "select ld_block, i, j, w from ld_edges where (ld_block, i) in (select (ld_block, ld_node) from ld_nodes) union all select ld_block, j as i, i as j, w from ld_edges where (ld_block, i) in (select (ld_block, ld_node) from ld_nodes)",
+    "export_ldgm": "select ld_block, i, j, w from ld_edges union all select ld_block, ld_node as i, ld_node as j, ld_diagonal as w from ld_nodes",
+    "ld_checked": "select vid, vid % 13 > 0 and not (vid % 11 = 0 and ld_node < 19) as good from ld_nodes",
+    "ld_nodes": f"with {_NODES(2)} select ld_block, ld_node, string_agg('P'||p::varchar, ',' order by p) as pops from k where z is not null group by ld_block, ld_node",
+    "ld_missing": f"{_SUMMARY} select 'P'||p::varchar as pop, have::bigint as non_missing, lack::bigint as missing, round(tr, 9) as trace_inf from u",
+    "ld_block_median": f"with {_NODES(1)} select ld_block, round(median(a), 9) as median_a, round(median(a*a), 9) as median_a2, round(avg(n), 6) as mean_n from k where z is not null group by ld_block",
+    "ld_lambda": f"{_SUMMARY} select 'P'||p::varchar as pop, round(lam, 9) as lambda_gc, round({_SIGMA}, 9) as sigmasq_inf, round({_SIGMA}/(tr/have), 9) as beta_cov from u",
+    "ld_lambda_corrected": f"{_SUMMARY}, c as (select *, {_SIGMA}*least(pow((lam-1)/(a2/have*mn-1)/0.6::double, 2), 1) as sg from u) select 'P'||p::varchar as pop, round(lam, 9) as lambda_gc, round(sg, 9) as sigmasq_inf, round(sg/(tr/have), 9) as beta_cov from c",
+    "ld_sigma": f"with {_NODES(2)} select x.ld_block, x.ld_node, 'P'||x.p::varchar as pop1, 'P'||y.p::varchar as pop2, round({BETA_COV}::double*x.sd*y.sd*(case when x.p = y.p then 1 else {CROSS}::double end), 10) as sigma from k x join k y on x.ld_block = y.ld_block and x.ld_node = y.ld_node and x.p <= y.p and x.z is not null and y.z is not null",
+    "blup_diag": f"with {_NODES(1)}, m as (select ld_block, avg(n) as bn from k group by ld_block) select k.ld_block, 'P0' as pop, ld_node, round((case when aa = 1 then -1 else 1 end)*{BETA_COV}::double*sd*sd*ld_diagonal*a/({BETA_COV}::double*sd*sd+ld_diagonal/bn)/sqrt(2*af_*(1-af_)), 7) as es from k join m on k.ld_block = m.ld_block where z is not null",
+    "blup_pair": f"{_PAIR} select ld_block, pop, ld_node, round(es, 7) as es from f",
+    "bayes_factor": f"with {_NODES(1)} select ld_block, ld_node, round(-0.5::double*(ln(1+n*sd*sd*0.05::double)-n*a*a*(n*sd*sd*0.05::double)/(1+n*sd*sd*0.05::double)), 8) as log_bf from k where z is not null",
+}.items()}

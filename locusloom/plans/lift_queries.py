@@ -1,2 +1,206 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Liftover of variants derived from parts over chain blocks derived from parts, and the allele-swap rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from locusloom.functions import alleles, swap
+from locusloom.operators import liftover
+from locusloom.operators.indels import align
+from locusloom.plans.text_queries import sequence
+from locusloom.plans.views import view, with_views
+from locusloom.sources import chain
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Data lines of chains; every fifth gap is one base on both sides, so that its blocks are one."""
+    return view(spark, d, "chain_lines")
+
+
+def placed(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "chain_blocks")
+    gaps = chain.with_gaps(rows.select("chain_ind", "block_ind", "t_start", "q_start", "size"))
+    return rows.drop("t_start", "q_start", "size").join(gaps, ["chain_ind", "block_ind"]).select(
+        "chain_ind", "block_ind", F.col("t_chrom").alias("b_chrom"), F.col("t_start").alias("b_start"), (F.col("t_start") + F.col("size") - 1).alias("b_end"), F.col("q_start").alias("b_q"),
+        F.concat(F.lit("q"), "t_chrom").alias("q_chrom"), "q_size", F.col("q_strand").cast("int").alias("q_strand"), "t_start_gap", "t_end_gap", "q_start_gap", "q_end_gap",
+    )
+
+
+def chain_blocks(spark, d):
+    """Starts are running sums of sizes and gaps."""
+    out = chain.merge_blocks(lines(spark, d), max_gap=-1)
+    return out.select("chain_ind", F.col("block_ind").alias("line"), "t_start", "q_start", "size")
+
+
+def chain_merge(spark, d):
+    out = chain.merge_blocks(lines(spark, d), max_gap=1)
+    return out.select("chain_ind", F.col("block_ind").alias("line"), "t_start", "q_start", "size")
+
+
+def chain_neighbours(spark, d):
+    return placed(spark, d).select("chain_ind", "block_ind", "t_start_gap", "t_end_gap", "q_start_gap", "q_end_gap")
+
+
+def chain_dedup(spark, d):
+    rows = view(spark, d, "chain_blocks").select(F.col("block_ind").alias("chain_ind"), (F.col("block_ind") % 50).alias("id"))
+    return chain.first_chains(rows)
+
+
+def lift_point(spark, d):
+    return liftover.lift_points(view(spark, d, "variants"), placed(spark, d)).select("vid", "q_chrom", "q_pos", "q_strand", F.col("q_chain").alias("chain"), F.col("q_block").alias("block"))
+
+
+def lift_flip(spark, d):
+    out = liftover.lift_single(view(spark, d, "variants"), placed(spark, d))
+    return out.select("vid", "q_pos", "q_ref", "q_alt", "flip")
+
+
+def _lifted(spark, d) -> DataFrame:
+    return liftover.lift_single(view(spark, d, "variants"), placed(spark, d), sequence(spark, d, "q"), write_src=True)
+
+
+def lift_ref_snp(spark, d):
+    return _lifted(spark, d).select("vid", "q_pos", "q_ref", "q_alt", "swap", "src_chrom", "src_pos", "src_ref_alt")
+
+
+def lift_reject(spark, d):
+    rows = view(spark, d, "variants").withColumn("chrom", F.when(F.col("vid") % 9 > 0, F.col("chrom")))
+    return liftover.lift_single(rows, placed(spark, d)).where(F.col("reject_reason").isNotNull()).select("vid", "reject_reason")
+
+
+def lift_counts(spark, d):
+    return liftover.counts(_lifted(spark, d))
+
+
+def lift_end(spark, d):
+    """Ends are lifted too, and go where contig or strand don't agree or the order turns."""
+    rows = view(spark, d, "variants").withColumn("end", F.col("pos") + F.col("vid") % 3000)
+    return liftover.lift_ends(rows, placed(spark, d)).select("vid", "q_pos", "q_end")
+
+
+def lift_anchors(spark, d):
+    rows = view(spark, d, "variants").withColumn("end", F.col("pos") + F.col("vid") % 700)
+    return liftover.lift_spans(rows, placed(spark, d)).select("vid", "q_pos", "q_end", "n_pad5", "n_pad3", "reject_reason")
+
+
+def _longer(spark, d) -> DataFrame:
+    """Deletions and insertions in the sequence of repeats."""
+    at = F.col("pos") + F.col("vid")
+    base = lambda k: F.substring(F.lit("ACGT"), ((at + k - 1) % 4 + 1).cast("int"), F.lit(1))
+    v = view(spark, d, "variants")
+    two = F.concat(base(0), base(1))
+    return v.select("vid", "chrom", at.alias("pos"), F.when(F.col("vid") % 2 == 0, two).otherwise(base(0)).alias("ref"), F.when(F.col("vid") % 2 == 0, base(0)).otherwise(two).alias("alt"))
+
+
+def lift_longer(spark, d):
+    out = liftover.lift_longer(_longer(spark, d), placed(spark, d), sequence(spark, d), sequence(spark, d, "q"))
+    return out.select("vid", "q_chrom", "q_pos", F.array_join("q_alleles", ",").alias("q_alleles"), "flip", "swap", "reject_reason")
+
+
+def lift_extend(spark, d):
+    rows = _longer(spark, d).withColumn("_x", liftover.extended(F.array("ref", "alt"), F.lit("ACGTACGT"), F.lit("ACGTACGT")))
+    return rows.select("vid", F.array_join("_x.alleles", ",").alias("alleles"), "_x.n_left", "_x.n_right")
+
+
+def lift_left_align(spark, d):
+    rows = _longer(spark, d).withColumn("_x", liftover.aligned(F.array("ref", "alt"), F.lit("ACGTACGT")))
+    return rows.select("vid", F.array_join("_x.alleles", ",").alias("alleles"), "_x.moved")
+
+
+def lift_nw(spark, d):
+    score = F.udf(lambda a, b: align(a, b)[0], "int")
+    return view(spark, d, "variants").select("vid", score(F.concat("ref", F.lit("AC"), "alt"), F.concat("ref", "alt")).alias("score"))
+
+
+def _arrays(spark, d) -> DataFrame:
+    """Three alleles; s is -1, 0, 1 or 2."""
+    v = F.col("vid")
+    return view(spark, d, "variants").select(
+        "vid", (v % 4 - 1).cast("int").alias("s"), F.array(v % 11, v % 7).alias("AC"), F.lit(100).cast("long").alias("AN"), F.array(v % 5, v % 6).cast("array<double>").alias("ES"), F.array(v % 3 / 4.0, v % 2 / 8.0).alias("AF"),
+        F.array(v % 3 / 4.0, v % 2 / 2.0).alias("DS"), F.array(v % 2, v % 3).cast("array<int>").alias("GT"), F.array(v, v + 1, v + 2).alias("R"), F.array(*[v * 10 + i for i in range(6)]).alias("G"), F.array(v, v + 1).alias("A"),
+    )
+
+
+def _values(c, n: int):
+    """The elements as columns, so that nothing hangs on how numbers are printed."""
+    return [F.get(c, F.lit(i)).cast("double").alias(f"x{i}") for i in range(n)] + [F.size(c).alias("n")]
+
+
+def _swapped(rule, n: int):
+    def run(spark, d):
+        return _arrays(spark, d).withColumn("_y", rule()).select("vid", *_values(F.col("_y"), n))
+
+    return run
+
+
+def swap_tags(spark, d):
+    """All rules by tag."""
+    rows = _arrays(spark, d)
+    out = swap.with_swapped(rows, {"AC": "A", "AF": "A", "DS": "A", "ES": "A", "R": "R", "G": "G", "A": "A"}, F.col("s"), F.lit(3))
+    return out.select("vid", *[F.get(c, F.lit(0)).cast("double").alias(c.lower()) for c in ("AC", "AF", "DS", "ES", "R", "G", "A")])
+
+
+QUERIES = {
+    "chain_blocks": chain_blocks, "chain_merge": chain_merge, "chain_neighbours": chain_neighbours, "chain_dedup": chain_dedup, "lift_point": lift_point, "lift_flip": lift_flip, "lift_ref_snp": lift_ref_snp,
+    "lift_reject": lift_reject, "lift_counts": lift_counts, "lift_end": lift_end, "lift_anchors": lift_anchors, "lift_longer": lift_longer, "lift_extend": lift_extend, "lift_left_align": lift_left_align, "lift_nw": lift_nw,
+    "swap_ac": _swapped(lambda: swap.complement(F.col("AC"), F.col("s"), F.col("AN")), 3), "swap_af": _swapped(lambda: swap.complement(F.col("AF"), F.col("s"), F.lit(1.0)), 3),
+    "swap_ds": _swapped(lambda: swap.complement(F.col("DS"), F.col("s"), F.lit(2.0)), 3), "swap_es": _swapped(lambda: swap.effect(F.col("ES"), F.col("s")), 3),
+    "swap_r": _swapped(lambda: swap.per_allele(F.col("R"), F.col("s")), 4), "swap_g": _swapped(lambda: swap.per_genotype(F.col("G"), F.lit(3), F.col("s")), 10),
+    "swap_a": _swapped(lambda: swap.per_alt(F.col("A"), F.col("s")), 3), "swap_gt": _swapped(lambda: swap.allele_codes(F.col("GT"), F.col("s")), 2), "swap_tags": swap_tags,
+}
+
+
+def _list_sql(exchanged: str, prepended: str, same: str, n: int) -> str:
+    """Lists by s, as columns."""
+    cells = ", ".join(f"y[{i + 1}]::double as x{i}" for i in range(n))
+    return f"with t as (select vid, (vid % 4 - 1)::int as s, vid as v from variants), u as (select vid, case when s > 0 then {exchanged} when s = -1 then {prepended} else {same} end as y from t) select vid, {cells}, len(y) as n from u"
+
+
+def _complement_sql(a: str, b: str, total: str) -> str:
+    rest = f"({total}-{a}-{b})"
+    return _list_sql(f"[case when s = 1 then {rest} else {a} end, case when s = 2 then {rest} else {b} end]", f"[{rest}, {a}, {b}]", f"[{a}, {b}]", 3)
+
+
+_G = "[v*10, v*10+1, v*10+2, v*10+3, v*10+4, v*10+5]"
+_BLOCK = "select vid, 'q'||t_chrom as q_chrom, case when q_strand = 0 then q_start+pos-1-t_start+1 else q_size-q_start-(pos-1-t_start) end as q_pos, q_strand, chain_ind, block_ind from variants v join chain_blocks b on v.chrom = b.t_chrom and pos-1 between t_start and t_start+size-1"
+_FLIP = "translate({0}, 'ACGT', 'TGCA')"
+_SINGLE = f"with l as ({_BLOCK}), t as (select v.*, q_pos, q_strand, case when q_strand = 1 then {_FLIP.format('ref')} else ref end as a, case when q_strand = 1 then {_FLIP.format('alt')} else alt end as b from variants v left join l on v.vid = l.vid)"
+_LONGEST = "n as (select chrom, (max(pos+vid)/4.0+100)::int*4 as len from variants group by chrom)"
+_REF = f"""{_SINGLE}, {_LONGEST}, r as (select t.*, case when q_pos <= len then substring('ACGT', ((q_pos-1) % 4 + 1)::int, 1) end as base from t join n on t.chrom = n.chrom),
+w as (select *, case when q_pos is not null then case when base = a then 0 when base = b then 1 else -1 end end as swap from r)"""
+_AT = lambda p, tag: f"{tag} as (select s.vid, chain_ind as {tag}c, t_chrom as {tag}chrom, q_strand as {tag}s, q_size as {tag}size, t_start as {tag}t, case when q_strand = 0 then q_start+{p}-1-t_start+1 else q_size-q_start-({p}-1-t_start) end as {tag}q from sp s join chain_blocks b on s.chrom = b.t_chrom and {p}-1 between t_start and t_start+size-1)"
+# Blocks of a chain have the same strand and lie more than 250 bases apart in the destination, so the other anchor is always found by arithmetic.
+_ANCHORS = f"""with sp as (select vid, chrom, pos, pos+vid % 700 as e from variants), {_AT("pos", "a")}, {_AT("e", "z")},
+nb as (select chain_ind, t_start, lag(t_start+size) over (partition by chain_ind order by t_start) as pe, lead(t_start+1) over (partition by chain_ind order by t_start) as ns from chain_blocks),
+j as (select sp.vid as sp_vid, chrom, pos, e, ac, at, aq, "as", asize, zc, zt, zq, zs, zsize, p.pe, n.ns, e-pos as span from sp left join a on a.vid = sp.vid left join z on z.vid = sp.vid left join nb p on p.chain_ind = zc and p.t_start = zt left join nb n on n.chain_ind = ac and n.t_start = at),
+k as (select *, case when aq is null and zq is not null then case when pos-pe between 1 and 250 then pos-pe when span <= 250 then least(250, pos-1) end end as p5, case when zq is null and aq is not null then case when ns-e between 1 and 250 then ns-e when span <= 250 then 250 end end as p3 from j),
+f as (select *, case when coalesce(s1, 0) = 1 then -1 else 1 end as sg from (select *, coalesce("as", zs) as s1, coalesce(asize, zsize) as sz from k)),
+g as (select *, case when aq is not null then aq when zq is not null then greatest(least(zq-sg*(span+coalesce(p5, 0)), sz), 1) end as q1, case when zq is not null then zq when aq is not null then greatest(least(aq+sg*(span+coalesce(p3, 0)), sz), 1) end as q2 from f),
+h as (select *, case when aq is null and zq is null then 'UnmappedAnchors' when aq is not null and zq is not null and abs(q2-q1) > span+250 then 'ApartAnchors' when aq is null and p5 is null then 'UnmappedAnchor5' when zq is null and p3 is null then 'UnmappedAnchor3' end as reason from g)
+select sp_vid as vid, case when reason is null then least(q1, q2) end as q_pos, case when reason is null then greatest(q1, q2) end as q_end, coalesce(p5, 0) as n_pad5, coalesce(p3, 0) as n_pad3, reason as reject_reason from h"""
+
+ORACLES = {k: with_views(v) for k, v in {
+    "chain_blocks": "select chain_ind, line, coalesce(sum(size+dt) over w, 0)::bigint as t_start, coalesce(sum(size+dq) over w, 0)::bigint as q_start, size from chain_lines window w as (partition by chain_ind order by line rows between unbounded preceding and 1 preceding)",
+    "chain_merge": """with t as (select *, coalesce(sum(size+dt) over w, 0)::bigint as ts, coalesce(sum(size+dq) over w, 0)::bigint as qs, coalesce(lag(dt) over o = lag(dq) over o and lag(dt) over o <= 1, false) as joined from chain_lines window w as (partition by chain_ind order by line rows between unbounded preceding and 1 preceding), o as (partition by chain_ind order by line)),
+i as (select *, sum(case when joined then 0 else 1 end) over (partition by chain_ind order by line) as island from t)
+select chain_ind, min(line) as line, min(ts) as t_start, min(qs) as q_start, max(ts+size)-min(ts) as size from i group by chain_ind, island""",
+    "chain_neighbours": "select chain_ind, block_ind, " + ", ".join(f"coalesce({c}_start-lag({c}_start+size) over w, -1) as {c}_start_gap, coalesce(lead({c}_start) over w-{c}_start-size, -1) as {c}_end_gap" for c in "tq") + " from chain_blocks window w as (partition by chain_ind order by t_start)",
+    "chain_dedup": "select min(block_ind) as chain_ind, block_ind % 50 as id from chain_blocks where block_ind % 50 > 0 group by block_ind % 50 union all select block_ind as chain_ind, 0 as id from chain_blocks where block_ind % 50 = 0",
+    "lift_point": f"with l as ({_BLOCK}) select v.vid, q_chrom, q_pos, q_strand, chain_ind as chain, block_ind as block from variants v left join l on v.vid = l.vid",
+    "lift_flip": f"{_SINGLE} select vid, q_pos, case when q_pos is not null then a end as q_ref, case when q_pos is not null then b end as q_alt, coalesce(q_strand = 1, false) as flip from t",
+    "lift_ref_snp": f"{_REF} select vid, q_pos, case swap when 0 then a when 1 then b when -1 then base end as q_ref, case swap when 0 then b when 1 then a when -1 then a||','||b end as q_alt, swap, chrom as src_chrom, pos as src_pos, ref||','||alt as src_ref_alt from w",
+    "lift_reject": f"with l as ({_BLOCK}) select v.vid, case when v.vid % 9 = 0 then 'MissingContig' else 'UnmappedAnchors' end as reject_reason from variants v left join l on v.vid = l.vid where v.vid % 9 = 0 or l.vid is null",
+    "lift_counts": f"{_REF} select count(*) as total, count(*) filter (where swap > 0) as swapped, count(*) filter (where swap = -1) as ref_added, count(*) filter (where q_pos is null) as rejected from w",
+    "lift_end": f"with sp as (select vid, chrom, pos, pos+vid % 3000 as e from variants), {_AT('pos', 'a')}, {_AT('e', 'z')} select sp.vid, aq as q_pos, case when achrom = zchrom and \"as\" = zs and (case when \"as\" = 1 then aq >= zq else zq >= aq end) then zq end as q_end from sp left join a on a.vid = sp.vid left join z on z.vid = sp.vid",
+    "lift_anchors": _ANCHORS,
+    "swap_ac": _complement_sql("v%11", "v%7", "100"), "swap_af": _complement_sql("(v%3/4.0::double)", "(v%2/8.0::double)", "1"), "swap_ds": _complement_sql("(v%3/4.0::double)", "(v%2/2.0::double)", "2"),
+    "swap_es": _list_sql("[case when s = 1 then -(v%5) else v%5 end, case when s = 2 then -(v%6) else v%6 end]", "[null, v%5, v%6]", "[v%5, v%6]", 3),
+    "swap_r": _list_sql("[case when s = 1 then v+1 else v+2 end, case when s = 1 then v else v+1 end, case when s = 2 then v else v+2 end]", "[null, v, v+1, v+2]", "[v, v+1, v+2]", 4),
+    "swap_g": _list_sql(f"list_transform(case when s = 1 then [3, 2, 1, 5, 4, 6] else [6, 5, 3, 4, 2, 1] end, i -> {_G}[i])", "[null, null, v*10, null, v*10+1, v*10+2, null, v*10+3, v*10+4, v*10+5]", _G, 10),
+    "swap_a": _list_sql("[v, v+1]", "[null, v, v+1]", "[v, v+1]", 3),
+    "swap_gt": _list_sql("list_transform([v%2, v%3], g -> case when g = 0 then s when g = s then 0 else g end)", "[v%2+1, v%3+1]", "[v%2, v%3]", 2),
+    "swap_tags": """with t as (select vid, vid as v, (vid % 4 - 1)::int as s from variants) select vid, (case when s in (1, -1) then 100-v%11-v%7 else v%11 end)::double as ac, case when s in (1, -1) then 1-v%3/4.0::double-v%2/8.0::double else v%3/4.0::double end as af,
+case when s in (1, -1) then 2-v%3/4.0::double-v%2/2.0::double else v%3/4.0::double end as ds, (case s when -1 then null when 1 then -(v%5) else v%5 end)::double as es, (case s when -1 then null when 0 then v else v+s end)::double as r,
+(case s when -1 then null when 0 then v*10 when 1 then v*10+2 else v*10+5 end)::double as g, (case when s = -1 then null else v end)::double as a from t""",
+}.items()}

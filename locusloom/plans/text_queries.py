@@ -1,2 +1,215 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Summary text, filters, regions and exports over tables derived from line items and parts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from locusloom.functions import alleles
+from locusloom.operators import filters, intervals, manhattan, tables
+from locusloom.operators.munge import munge
+from locusloom.plans.views import view, with_views
+from locusloom.sources.fasta import chunked
+from locusloom.sources.text import PRESETS, synonyms
+
+CONTIGS = (*(f"chr{i}" for i in range(1, 23)), "chrX", "chrY", "chrM")
+#: One header for each meaning, by preset.
+HEADERS = {p: {code: name for name, code in reversed(codes.items())} for p, codes in PRESETS.items() if p != "GWAS-SSF"}
+
+
+def raw(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "raw_text")
+
+
+def _presets(rows: DataFrame) -> DataFrame:
+    parts = []
+    for preset, names in HEADERS.items():
+        cells = {"SNP": F.col("row_id"), "BP": (F.col("l_quantity") * 10).cast("int").cast("string"), "CHR": F.col("chr_raw"), "A1": F.col("a1_raw"), "A2": F.lit("t"), "P": F.col("p_raw"), "BETA": (F.col("l_discount") * 100).cast("int").cast("string"), "SE": F.lit(".5"), "N": F.lit("100")}
+        text = rows.select(*[c.alias(names[k]) for k, c in cells.items() if k in names])
+        parts.append(munge(text, synonyms(preset), CONTIGS).withColumn("preset", F.lit(preset)))
+    return tables.stack(*parts)
+
+
+def munge_presets(spark, d):
+    out = _presets(raw(spark, d)).groupBy("preset", "chrom")
+    return out.agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"), F.round(F.sum("es"), 4).alias("sum_es"), F.count("lp").alias("n_lp"), F.max("ns").alias("ns"), F.max("se").alias("se"), F.count("id").alias("n_id"))
+
+
+def munge_contig(spark, d):
+    rows = raw(spark, d)
+    return rows.select("row_id", alleles.resolve_contig(F.col("chr_raw"), CONTIGS).alias("chrom"), alleles.resolve_contig(F.concat(F.lit("chr"), F.col("chr_raw")), [c[3:] for c in CONTIGS[:22]]).alias("bare"))
+
+
+def munge_allele(spark, d):
+    word = F.when(F.col("a1_raw") == "5", F.lit("<DEL>")).when(F.col("a1_raw") == "6", F.lit("i")).when(F.col("a1_raw") == "NA", F.lit("A+t")).otherwise(F.col("a1_raw"))
+    other = F.when(F.col("a1_raw") == "1", "*").when(F.col("a1_raw") == "2", "acgt").otherwise("Del")
+    return raw(spark, d).select("row_id", alleles.munge_allele(word).alias("a1"), alleles.munge_allele(other).alias("a2"))
+
+
+def munge_p_to_lp(spark, d):
+    return raw(spark, d).select("row_id", F.round(alleles.p_to_lp(F.col("p_raw")), 8).alias("lp"))
+
+
+def munge_numbers(spark, d):
+    return raw(spark, d).select("row_id", alleles.number(F.col("a1_raw")).alias("number"), alleles.identifier(F.col("a1_raw")).alias("id"))
+
+
+def _with(rows: DataFrame, *more) -> DataFrame:
+    return rows.select("row_id", F.col("chr_raw").alias("CHR"), F.lit("10").alias("BP"), F.col("row_id").alias("SNP"), F.lit("A").alias("A1"), F.lit("C").alias("A2"), *more)
+
+
+def munge_or(spark, d):
+    codes = {"chr": "CHR", "bp": "BP", "snp": "SNP", "a1": "A1", "a2": "A2", "or": "OR"}
+    rows = _with(raw(spark, d), F.round(F.col("l_quantity") / 25, 4).cast("string").alias("OR"))
+    return munge(rows, codes, CONTIGS).select(F.col("id").alias("row_id"), F.round("es", 8).alias("es"))
+
+
+def munge_neff(spark, d):
+    codes = {"chr": "CHR", "bp": "BP", "snp": "SNP", "a1": "A1", "a2": "A2", "half": "NEFFDIV2", "nca": "N_CAS", "nco": "N_CON"}
+    rows = _with(raw(spark, d), F.col("l_quantity").cast("string").alias("HALF"), F.col("a1_raw").alias("NCA"), F.lit("5").alias("NCO"))
+    return munge(rows, codes, CONTIGS).select(F.col("id").alias("row_id"), "ne", "ns", "nc")
+
+
+def munge_constants(spark, d):
+    codes = {"chr": "CHR", "bp": "BP", "snp": "SNP", "a1": "A1", "a2": "A2", "n": "N"}
+    rows = _with(raw(spark, d), F.col("a1_raw").alias("N"))
+    return munge(rows, codes, CONTIGS, ns=70.0, nc=30.0, ne=84.0, sample="S").select(F.col("id").alias("row_id"), "study", "ns", "nc", "ne")
+
+
+def sequence(spark: SparkSession, d: str, prefix: str = "") -> DataFrame:
+    """Contigs on which every fourth base is the same."""
+    longest = view(spark, d, "variants").groupBy("chrom").agg(F.max(F.col("pos") + F.col("vid")).alias("n"))
+    return chunked(longest.select(F.concat(F.lit(prefix), "chrom").alias("contig"), F.expr("repeat('ACGT', cast(n / 4 + 100 as int))").alias("seq")))
+
+
+def munge_harmonise(spark, d):
+    v = view(spark, d, "variants")
+    first = F.col("vid") % 3 == 0
+    text = v.select(
+        F.col("vid").cast("string").alias("SNP"), F.col("chrom").alias("CHR"), (F.col("pos") + F.col("vid")).cast("string").alias("BP"), F.when(first, F.col("alt")).otherwise(F.col("ref")).alias("A1"),
+        F.when(first, F.col("ref")).otherwise(F.col("alt")).alias("A2"), (F.col("vid") % 7).cast("string").alias("BETA"), F.lit("0.25").alias("FRQ"), F.lit("+-?").alias("DIRE"),
+    )
+    out = munge(text, {c.lower(): c for c in text.columns}, CONTIGS, sequence(spark, d))
+    return out.select(F.col("id").cast("long").alias("vid"), "ref", "alt", "es", "af", "ed", F.array_join("filters", ";").alias("filters"))
+
+
+def _studies(spark, d) -> DataFrame:
+    tag = F.when(F.col("es") > 0.01, F.array(F.lit("HIGH"))).when(F.col("es") < -0.01, F.array(F.lit("LOW"))).otherwise(F.array().cast("array<string>"))
+    return view(spark, d, "study_stats").withColumn("filters", tag).withColumn("cases", F.when(F.col("nc") > 0, F.col("nc")))
+
+
+def filt_expr(spark, d):
+    return filters.select_rows(_studies(spark, d), include="FORMAT/ES > 0.001 && (INFO/AF < 0.4 || ns >= 200)").select("vid", "study", "es")
+
+
+def filt_mask(spark, d):
+    """Rows of which the condition isn't known are not excluded."""
+    return filters.select_rows(_studies(spark, d), exclude="FORMAT/cases > 60").select("vid", "study", "cases")
+
+
+def filt_pass(spark, d):
+    rows = _studies(spark, d)
+    one, two = filters.apply_filters(rows, ["HIGH"]), filters.apply_filters(rows, ["LOW", "."])
+    return tables.stack(one.withColumn("gate", F.lit("HIGH")), two.withColumn("gate", F.lit("LOW,."))).select("gate", "vid", "study")
+
+
+def _regions(spark, d) -> DataFrame:
+    return view(spark, d, "variants").where("vid % 50 = 0").select(F.col("chrom").alias("r_chrom"), (F.col("pos") - 150).alias("r_start"), (F.col("pos") + 5000).alias("r_end"))
+
+
+def regions_semi(spark, d):
+    return intervals.in_regions(view(spark, d, "variants"), _regions(spark, d), overlap=1).select("vid", "chrom", "pos")
+
+
+def targets_anti(spark, d):
+    return intervals.in_regions(view(spark, d, "variants"), _regions(spark, d), exclude=True, overlap=0).select("vid", "chrom", "pos")
+
+
+def _multi(spark, d) -> DataFrame:
+    v = view(spark, d, "variants")
+    return v.select("vid", "chrom", "pos", "ref", F.array(F.col("alt"), F.concat("alt", F.lit("T"))).alias("alt"), F.array(F.col("vid") % 10, F.col("vid") % 7).alias("ac"))
+
+
+def norm_split(spark, d):
+    return tables.split_alleles(_multi(spark, d), ["ac"]).select("vid", "ref", "alt", "ac")
+
+
+def norm_join(spark, d):
+    out = tables.join_alleles(tables.split_alleles(_multi(spark, d), ["ac"]), ["ac"])
+    return out.select("chrom", "pos", "ref", F.array_join("alt", ",").alias("alt"), F.array_join(F.transform("ac", lambda x: x.cast("string")), ",").alias("ac"))
+
+
+def merge_wide(spark, d):
+    rows = view(spark, d, "study_stats").withColumn("study", F.concat(F.lit("s"), F.col("study").cast("string")))
+    return tables.wide(rows, ["s0", "s1", "s2", "s3"], ["es", "se"], ["vid"])
+
+
+def annotate(spark, d):
+    v = view(spark, d, "variants")
+    names = v.where("vid % 2 = 0").select("chrom", "pos", "ref", "alt", F.concat(F.lit("rs"), F.col("vid").cast("string")).alias("id"))
+    return tables.annotate_ids(v.withColumn("id", F.lit("own")), names).select("vid", "id")
+
+
+def _associations(spark, d) -> DataFrame:
+    v = view(spark, d, "variants")
+    return v.join(view(spark, d, "study_stats").where("study = 0"), "vid").withColumn("lp", F.col("ns") / 20.0)
+
+
+def export_ssf(spark, d):
+    out = tables.exchange_format(_associations(spark, d).withColumn("se", F.when(F.col("vid") % 5 > 0, F.col("se"))))
+    number = lambda c, n: F.round(F.col(c).try_cast("double"), n).alias(c)
+    return out.select("chromosome", "base_pair_location", "effect_allele", "other_allele", number("beta", 8), number("standard_error", 8), F.round(-F.log10(F.col("p_value").cast("double")), 6).alias("lp"))
+
+
+def plot_points(spark, d):
+    v = view(spark, d, "variants")
+    lengths = v.groupBy(manhattan.contig_name(F.col("chrom")).alias("chrom")).agg(F.max("pos").alias("length"))
+    rows = manhattan.plot_rows(_associations(spark, d), lengths, min_af=0.2, min_lp=2.0)
+    return rows.select("vid", "x", F.round("height", 8).alias("height"))
+
+
+QUERIES = {
+    "munge_presets": munge_presets, "munge_contig": munge_contig, "munge_allele": munge_allele, "munge_p_to_lp": munge_p_to_lp, "munge_numbers": munge_numbers, "munge_or": munge_or, "munge_neff": munge_neff,
+    "munge_constants": munge_constants, "munge_harmonise": munge_harmonise, "filt_expr": filt_expr, "filt_mask": filt_mask, "filt_pass": filt_pass, "regions_semi": regions_semi, "targets_anti": targets_anti,
+    "norm_split": norm_split, "norm_join": norm_join, "merge_wide": merge_wide, "annotate_ids": annotate, "export_ssf": export_ssf, "plot_points": plot_points,
+}
+
+_CONTIG = "case when chr_raw in ('23','25') then 'chrX' when chr_raw = '24' then 'chrY' when chr_raw = '26' then 'chrM' else 'chr'||chr_raw end"
+_TAG = "case when es > 0.01 then 'HIGH' when es < -0.01 then 'LOW' else '.' end"
+
+
+def _preset_sql(preset: str) -> str:
+    has = HEADERS[preset]
+    lp = "count(*)" if "P" in has else "0"
+    return f"""select '{preset}' as preset, chrom, count(*) as n, sum((l_quantity*10)::int)::bigint as sum_pos, {"round(sum((l_discount*100)::int)::double, 4)" if "BETA" in has else "null::double"} as sum_es, {lp}::bigint as n_lp,
+{"100.0::double" if "N" in has else "null::double"} as ns, {"0.5::double" if "SE" in has else "null::double"} as se, {"count(*)" if "SNP" in has else "0"}::bigint as n_id from r group by chrom"""
+
+
+_SEQ = "substring('ACGT', cast((pos+vid-1) % 4 + 1 as int), 1)"
+_REGION = "with r as (select chrom as c, pos-150 as a, pos+5000 as z from variants where vid % 50 = 0)"
+
+ORACLES = {k: with_views(v) for k, v in {
+    "munge_presets": f"with r as (select *, {_CONTIG} as chrom from raw_text) " + " union all ".join(_preset_sql(p) for p in HEADERS),
+    "munge_contig": f"select row_id, {_CONTIG} as chrom, case when chr_raw::int <= 22 then chr_raw end as bare from raw_text",
+    "munge_allele": "select row_id, case a1_raw when '1' then 'A' when '2' then 'C' when '3' then 'G' when '4' then 'T' when '5' then '<DEL>' when '6' then '<i>' else '<A+t>' end as a1, case a1_raw when '1' then '*' when '2' then 'ACGT' else '<Del>' end as a2 from raw_text",
+    "munge_p_to_lp": "select row_id, round(-log10(split_part(p_raw, 'e', 1)::double) - split_part(p_raw, 'e', 2)::int, 8) as lp from raw_text",
+    "munge_numbers": "select row_id, try_cast(a1_raw as double) as number, nullif(a1_raw, 'NA') as id from raw_text",
+    "munge_or": "select row_id, case when l_quantity > 0 then round(ln(round(l_quantity/25, 4)), 8) end as es from raw_text",
+    "munge_neff": "select row_id, l_quantity*2 as ne, try_cast(a1_raw as double)+5 as ns, try_cast(a1_raw as double) as nc from raw_text",
+    "munge_constants": "select row_id, 'S' as study, coalesce(try_cast(a1_raw as double), 70) as ns, 30.0::double as nc, 84.0::double as ne from raw_text",
+    "munge_harmonise": f"""with t as (select vid, {_SEQ} as base, case when vid % 3 = 0 then alt else ref end as a1, case when vid % 3 = 0 then ref else alt end as a2, (vid % 7)::double as b from variants)
+select vid, case when base = a1 then a1 else a2 end as ref, case when base = a1 then a2 else a1 end as alt, case when base = a1 then -b else b end as es, case when base = a1 then 0.75::double else 0.25::double end as af,
+  case when base = a1 then '-+?' else '+-?' end as ed, case when base in (a1, a2) then '' else 'REF_MISMATCH' end as filters from t""",
+    "filt_expr": "select vid, study, es from study_stats where es > 0.001 and (af < 0.4 or ns >= 200)",
+    "filt_mask": "select vid, study, case when nc > 0 then nc end as cases from study_stats where not coalesce(nc > 60, false)",
+    "filt_pass": f"with t as (select vid, study, {_TAG} as f from study_stats) select 'HIGH' as gate, vid, study from t where f = 'HIGH' union all select 'LOW,.' as gate, vid, study from t where f in ('LOW', '.')",
+    "regions_semi": f"{_REGION} select vid, chrom, pos from variants v where exists (select 1 from r where r.c = v.chrom and v.pos between a and z)",
+    "targets_anti": f"{_REGION} select vid, chrom, pos from variants v where not exists (select 1 from r where r.c = v.chrom and v.pos between a and z)",
+    "norm_split": "select vid, ref, alt, vid % 10 as ac from variants union all select vid, ref, alt||'T' as alt, vid % 7 as ac from variants",
+    "norm_join": "select chrom, pos, ref, alt||','||alt||'T' as alt, (vid % 10)::varchar||','||(vid % 7)::varchar as ac from variants",
+    "merge_wide": "select vid, " + ", ".join(f"max(case when study = {k} then {f} end) as s{k}_{f}" for k in range(4) for f in ("es", "se")) + " from study_stats group by vid",
+    "annotate_ids": "select vid, case when vid % 2 = 0 then 'rs'||vid::varchar else 'own' end as id from variants",
+    "export_ssf": "select replace(chrom, 'chr', '') as chromosome, pos as base_pair_location, alt as effect_allele, ref as other_allele, es as beta, case when v.vid % 5 > 0 then se end as standard_error, round(ns/20, 6) as lp from variants v join study_stats s on v.vid = s.vid where study = 0",
+    "plot_points": """with n as (select chrom, replace(chrom, 'chr', '')::int as o, max(pos) as length from variants group by chrom), s as (select chrom, coalesce(sum(length+20000000) over (order by o rows between unbounded preceding and 1 preceding), 0)::bigint as start from n)
+select v.vid, start+pos as x, round(case when ns/20 > 10 then 10*log10(ns/20)/1.0 else ns/20 end, 8) as height from variants v join study_stats t on v.vid = t.vid join s on s.chrom = v.chrom where study = 0 and ns/20 >= 2 and af between 0.2 and 0.8""",
+}.items()}

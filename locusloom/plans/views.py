@@ -26,6 +26,10 @@ from lineitem""",
     "chain_blocks": """
 select p_partkey as block_ind, p_partkey % 22 as chain_ind, concat('chr', cast(1 + p_partkey % 22 as varchar(4))) as t_chrom,
   cast(floor(p_partkey / 22) as bigint) * 10000 as t_start, cast(floor(p_partkey / 22) as bigint) * 10037 as q_start, 8000 as size, 100000000 as q_size, p_partkey % 2 as q_strand
+from part""",
+    "chain_lines": """
+select p_partkey % 22 as chain_ind, cast(floor(p_partkey / 22) as bigint) as line, cast(100 + p_size as bigint) as size,
+  cast(case when p_partkey % 5 = 0 then 1 else p_size % 7 end as bigint) as dt, cast(case when p_partkey % 5 = 0 then 1 else p_size % 11 end as bigint) as dq
 from part""",
     "ld_nodes": """
 select cast(floor(p_partkey / 20) as bigint) as ld_block, p_partkey % 20 as ld_node, p_partkey as vid, p_partkey % 2 as aa,
