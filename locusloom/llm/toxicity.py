@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,31 +39,54 @@ REPORTS = frozenset("said says wrote writes called quote quoted dit écrit cite
 #: Words that address a person.
 ADDRESS = frozenset("you your u tu toi vous du dich ihr sie usted ustedes vos eres".split())
 WINDOW = 6
-PREFIXES = range(3, 10)
+PREFIXES = range(4, 8)
 KINDS = 9
 MIN_G2 = 26.0
 #: Least share of toxic documents among those with a whole word, or with a beginning.
-MIN_PRECISION, MIN_START_PRECISION = 0.8, 0.35
+MIN_PRECISION, MIN_START_PRECISION = 0.8, 0.8
 MAX_TERMS = 500
+#: Bits that tell the contexts of a term apart, and the least share of those expected of a term that stands in as many
+#: contexts as documents: copies of a document repeat its contexts.
+CONTEXT_BITS, MIN_CONTEXTS = 62, 0.5
 CACHE = 500_000
 
 
+class Model(NamedTuple):
+    """Terms with their weights, words that resemble terms but are words of their own, and the weights of kinds of hits."""
+
+    lexicon: dict[str, float]
+    own: frozenset[str]
+    weights: list[float] | None
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document counts of words ("=word") and beginnings of longer words, by label."""
+    """Document counts of words ("=word") and beginnings of longer words, by label.
+
+    ``around`` has a bit for each hash of the words around a term where it first stands in a toxic document.
+    """
     for batch in batches:
         counts: tuple[Counter, Counter] = Counter(), Counter()
+        around: dict[str, int] = {}
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = set(WORD.findall((text or "").lower()))
-            found = {"=" + w for w in words if len(w) <= 40}
-            for w in words:
-                found.update(w[:n] for n in PREFIXES if n < len(w))
+            words = WORD.findall((text or "").lower())
+            found: set[str] = set()
+            for w in set(words) if not toxic else ():
+                found.update(["=" + w] * (len(w) <= 40), (w[:n] for n in PREFIXES if n < len(w)))
+            for i, w in enumerate(words if toxic else ()):
+                terms = ["=" + w] * (len(w) <= 40) + [w[:n] for n in PREFIXES if n < len(w)]
+                if new := [t for t in terms if t not in found]:
+                    found.update(new)
+                    bit = 1 << (zlib.crc32(f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}".encode()) % CONTEXT_BITS)
+                    for t in new:
+                        around[t] = around.get(t, 0) | bit
             counts[1 if toxic else 0].update(found)
         terms = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())], names=["term", "toxic", "clean"])
+        columns = [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (counts[1], counts[0])), pa.array([around.get(t, 0) for t in terms], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "clean", "around"])
 
 
 def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
@@ -87,7 +112,9 @@ def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> di
 class Matcher:
     """Finds terms of the lexicon in words, exactly, by beginning or misspelled."""
 
-    def __init__(self, lexicon: dict[str, float]) -> None:
+    def __init__(self, lexicon: dict[str, float], own: frozenset[str] = frozenset()) -> None:
+        """``own``: words that resemble a term but are words of their own."""
+        self.own = own
         self.words = {t[1:]: w for t, w in lexicon.items() if t[0] == "="}
         self.starts = {t: w for t, w in lexicon.items() if t[0] != "="}
         self.lengths = sorted({len(t) for t in self.starts})
@@ -114,22 +141,32 @@ class Matcher:
         return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
     def _near(self, word: str) -> float | None:
-        """The greatest weight of a term within its distance: the word's automaton along the trie."""
+        """The greatest weight of a term within its distance: the word's automaton along the trie.
+
+        Bit i of level d is the state in which i letters of the word are read with d edits at most.
+        """
+        at: dict[str, int] = {}
+        for i, c in enumerate(word):
+            at[c] = at.get(c, 0) | 1 << i
+        last = 1 << len(word)
+        whole = 2 * last - 1
         best = None
-        stack = [(self.trie, list(range(len(word) + 1)))]
+        stack = [(self.trie, 1, 3 & whole, 7 & whole)]
         while stack:
-            node, row = stack.pop()
+            node, r0, r1, r2 = stack.pop()
             term = node.get("")
-            if term is not None and row[-1] <= self.allowed(term):
+            if term is not None and ((r0, r1, r2)[self.allowed(term)] & last):
                 best = max(self.words[term], best or -math.inf)
             for c, child in node.items():
                 if c == "":
                     continue
-                new = [row[0] + 1]
-                for i, x in enumerate(word):
-                    new.append(min(new[-1] + 1, row[i + 1] + 1, row[i] + (x != c)))
-                if min(new) <= 2:
-                    stack.append((child, new))
+                m = at.get(c, 0)
+                n0 = (r0 & m) << 1
+                # A letter of the term is read, exchanged or left out; then letters of the word are skipped.
+                n1 = ((r1 & m) << 1 | r0 << 1 | r0 | n0 << 1) & whole
+                n2 = ((r2 & m) << 1 | r1 << 1 | r1 | n1 << 1) & whole
+                if n2:
+                    stack.append((child, n0, n1, n2))
         return best
 
     def _look_up(self, word: str) -> tuple[float, bool | None] | None:
@@ -139,6 +176,8 @@ class Matcher:
         for n in self.lengths:
             if n < len(word) and (w := self.starts.get(word[:n])) is not None:
                 return w, None
+        if word in self.own:
+            return None
         plain = word.translate(LEET)
         if plain != word and (w := self.words.get(plain)) is not None:
             return w, True
@@ -191,11 +230,24 @@ class Matcher:
         return [math.log1p(max(x, 0.0)) for x in out]
 
 
-def _scored(lexicon: dict[str, float], weights: list[float] | None):
-    """Texts to scores, or to their kinds of hits."""
+def _resembling(lexicon: dict[str, float]):
+    """Those terms ("=word") that would count as misspelled terms of the lexicon."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
+        for batch in batches:
+            words = [t[1:] for t in batch.column("term").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in words if (hit := matcher.find(w)) and hit[1]], pa.string())], names=["word"])
+
+    return run
+
+
+def _scored(model: Model):
+    """Texts to scores, or, without weights, to their kinds of hits."""
+    weights = model.weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(model.lexicon, model.own)
         for batch in batches:
             x = np.array([matcher.kinds(t.as_py()) for t in batch.column("text")]).reshape(-1, KINDS)
             others = [c for c in batch.schema.names if c != "text"]
@@ -210,15 +262,19 @@ def _scored(lexicon: dict[str, float], weights: list[float] | None):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
-    """Weights, the bias first, by damped Newton steps; none but the length's is negative."""
+    """Weights, the bias first, by damped Newton steps; none but the length's is negative.
+
+    Misspelled hits are rare: their weight is drawn to that of plain ones, the others to 0.
+    """
     x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
     w = np.zeros(x.shape[1])
     w[0] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    pull = np.full(len(w), ridge)
-    pull[0] = 1e-3
+    pull = np.diag(np.full(len(w), ridge))
+    pull[0, 0] = 1e-3
+    pull[1:3, 1:3] += [[ridge, -ridge], [-ridge, 0]]
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (p - y) + pull * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull, x.T @ (p - y) + pull @ w)
         w = w - 0.5 * step
         w[1:-1] = np.maximum(w[1:-1], 0)
         if np.abs(step).max() < 1e-6:
@@ -226,8 +282,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
     return w.tolist()
 
 
-def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[dict[str, float], list[float]]:
-    """(lexicon, weights) from the labelled documents that aren't held out, ``fit_rows`` at most or so."""
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
+    """The model of the labelled documents that aren't held out, ``fit_rows`` at most or so."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     if n > fit_rows:
@@ -238,33 +294,38 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[d
     if not toxic or not clean:
         rows.unpersist()
         share = toxic / max(toxic + clean, 1)
-        return {}, [math.log(max(share, 1e-12)) - math.log(max(1 - share, 1e-12))] + [0.0] * KINDS
+        return Model({}, frozenset(), [math.log(max(share, 1e-12)) - math.log(max(1 - share, 1e-12))] + [0.0] * KINDS)
     a, b, m = F.col("a").cast("double"), F.col("b").cast("double"), float(toxic + clean)
-    counts = rows.select("text", "toxic").mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    told = rows.select("text", "toxic").mapInArrow(_terms, "term string, toxic long, clean long, around long")
+    counts = told.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"), F.bit_or("around").alias("around"))
+    counts = counts.where((F.col("a") > 2) | F.startswith("term", F.lit("="))).persist()
     g2 = 2 * (a * F.log(a / ((a + b) * (toxic / m))) + F.when(b > 0, b * F.log(b / ((a + b) * (clean / m)))).otherwise(0.0))
     least = F.when(F.startswith("term", F.lit("=")), MIN_PRECISION).otherwise(MIN_START_PRECISION)
-    chosen = counts.where((F.col("a") > 2) & (a / (a + b) > least)).withColumn("g2", g2).where(F.col("g2") >= MIN_G2)
+    varied = F.bit_count("around") >= MIN_CONTEXTS * CONTEXT_BITS * (1 - F.exp(-a / CONTEXT_BITS))
+    chosen = counts.where((F.col("a") > 2) & (a / (a + b) > least) & varied).withColumn("g2", g2).where(F.col("g2") >= MIN_G2)
     top = chosen.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).select("term", "a", "b").collect()
     lexicon = choose_terms([tuple(r) for r in top], toxic, clean)
-    sample = rows.select("toxic", "text").mapInArrow(_scored(lexicon, None), "toxic int, kinds array<double>").collect()  # fit_rows at most
+    clean_words = counts.where(F.startswith("term", F.lit("=")) & (F.col("b") > 0) & (F.col("b") >= F.col("a"))).select("term")
+    own = frozenset(r[0] for r in clean_words.mapInArrow(_resembling(lexicon), "word string").collect())  # words of the sample that are near a term
+    sample = rows.select("toxic", "text").mapInArrow(_scored(Model(lexicon, own, None)), "toxic int, kinds array<double>").collect()  # fit_rows at most
     rows.unpersist()
+    counts.unpersist()
     x, y = np.array([r[1] for r in sample]).reshape(-1, KINDS), np.array([float(r[0] > 0) for r in sample])
-    return lexicon, _logistic(x, y)
+    return Model(lexicon, own, _logistic(x, y))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = 20_000) -> DataFrame:
     """A row for each document: doc_id, held_out, score, predicted."""
-    lexicon, weights = learn(docs, labels, fit_rows)
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(lexicon, weights), "doc_id long, score double")
+    model = learn(docs, labels, fit_rows)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(model), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = 20_000) -> DataFrame:
     """``docs`` with its own columns, without the documents that score ``threshold`` or more."""
-    lexicon, weights = learn(docs, labels, fit_rows)
     # The text passes through the workers once and comes back with its score.
     names = docs.columns
     packed = docs.select(F.struct(*names).alias("_row"), F.col("text"))
     schema = f"_row {packed.schema['_row'].dataType.simpleString()}, score double"
-    kept = packed.mapInArrow(_scored(lexicon, weights), schema).where(F.col("score") < threshold)
+    kept = packed.mapInArrow(_scored(learn(docs, labels, fit_rows)), schema).where(F.col("score") < threshold)
     return kept.select(*[F.col("_row")[c].alias(c) for c in names])
