@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from locusloom.functions.alleles import strand_flip
 from locusloom.operators.indels import extend_alleles, find_reference, left_align
@@ -117,20 +118,24 @@ def lift_spans(rows: DataFrame, blocks: DataFrame, start: str = "pos", end: str
     )
 
 
-@F.pandas_udf("alleles array<string>, n_left int, n_right int")
+def _alleles_and(*numbers: str) -> T.StructType:
+    return T.StructType([T.StructField("alleles", T.ArrayType(T.StringType())), *(T.StructField(n, T.IntegerType()) for n in numbers)])
+
+
+@F.pandas_udf(_alleles_and("n_left", "n_right"))
 def extended(alleles: pd.Series, left: pd.Series, right: pd.Series) -> pd.DataFrame:
     """Alleles made unique at both ends by reference bases from the windows around."""
     out = [extend_alleles(list(a), x or "", y or "") for a, x, y in zip(alleles, left, right, strict=True)]
     return pd.DataFrame(out, columns=["alleles", "n_left", "n_right"])
 
 
-@F.pandas_udf("alleles array<string>, moved int")
+@F.pandas_udf(_alleles_and("moved"))
 def aligned(alleles: pd.Series, left: pd.Series) -> pd.DataFrame:
     """Alleles trimmed and left-aligned within the window before them."""
     return pd.DataFrame([left_align(list(a), x or "") for a, x in zip(alleles, left, strict=True)], columns=["alleles", "moved"])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def reference_index(alleles: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([find_reference(list(a), t) if t else None for a, t in zip(alleles, target, strict=True)], dtype="Int32")
 
