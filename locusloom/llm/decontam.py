@@ -2,10 +2,11 @@
 
 Words are maximal runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z is lower-cased. A
 benchmark item has a window for each run of ``window`` consecutive words; an item of fewer words, but
-not none, is one window itself. The windows' fingerprints form a hash set that is broadcast while
-it is small (else the join shuffles); training documents are scanned as arrays of window
-fingerprints, so that neither texts nor word arrays are multiplied. Every hit is verified word by
-word before it counts.
+not none, is one window itself. Documents are scanned at strides: a window of n words holds n - k + 1
+runs of k words, so a run at every (n - k + 1)th word meets all its occurrences. The hash set of the
+items' runs is broadcast while it is small (else the join shuffles). Documents that meet it are looked at
+in full: the fingerprints of all their windows meet the windows' hash set, and every hit is verified word
+by word before it counts.
 
 Defined results: a null or wordless text has no words and no hits; repeated rows are each
 answered; rows that share a doc_id but not a text are told apart; an empty benchmark hits nothing;
@@ -83,13 +84,52 @@ def _verified(text: Column, hits: Column) -> Column:
     return F.get(kept, F.lit(0))
 
 
-def _verified_hits(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """Verified hits (_hid, _hth, _hits) of each document that has any; the items of each window."""
+def _strides(lengths: list[int]) -> dict[int, int]:
+    """The stride for each run length that together meet all windows of these lengths."""
+    out: dict[int, int] = {}
+    for n in sorted(lengths):
+        k = (n + 1) // 2
+        out[k] = min(out.get(k, n), n - k + 1)
+    return out
+
+
+def _folded(text: Column) -> Column:
+    """Lower case that never separates words that are equal after A-Z is lower-cased, and looks at no neighbours."""
+    return F.lower(F.replace(text, F.lit("\u03a3"), F.lit("\u03c3")))
+
+
+def _runs(words: str, k: int, stride: int) -> Column:
+    """Fingerprints of the runs of k words at every ``stride``-th word."""
+    starts = F.sequence(F.lit(1), F.size(words) - k + 1, F.lit(stride))
+    return F.when(F.size(words) >= k, F.transform(starts, lambda i: F.xxhash64(F.lit(k), F.slice(words, i, F.lit(k))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _scanned(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(_id, _th, n_words, _met) of each document: whether it holds a run that an item holds.
+
+    A document's runs are rows of its own task and are summed up there, before anything is shuffled.
+    """
+    strides = _strides(lengths)
+    own = windows.select(F.split(_folded(F.col("words")), " ").alias("_words"))
+    items = cut(own.select(F.explode(F.concat(*[_runs("_words", k, 1) for k in strides])).alias("_run")).distinct())
+    keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), _words(_folded(F.col("text"))).alias("_words"))
+    sampled = [_runs("_words", k, s) for k, s in strides.items()]
+    rows = keyed.select("_id", "_th", F.size("_words").cast("long").alias("n_words"), F.explode_outer(F.concat(*sampled)).alias("_run"))
+    met = rows.join(broadcast_if_small(items.withColumn("_hit", F.lit(True)), BROADCAST_ROWS), "_run", "left")
+    return met.groupBy("_id", "_th").agg(F.max("n_words").alias("n_words"), F.coalesce(F.max("_hit"), F.lit(False)).alias("_met"))
+
+
+def _verified_hits(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified hits (_hid, _hth, _hits) of each document that has any; the items of each window; what was scanned."""
     windows, lengths = _windows(benchmark, window)
     windows = cut(windows)
     lengths = lengths or [window]
+    scanned = cut(_scanned(docs, windows, lengths))
     distinct = windows.select("fingerprint", "length", "words").distinct()
+    wanted = cut(scanned.where("_met").select(F.col("_id").alias("_wid"), F.col("_th").alias("_wth")))
     keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), F.col("text").alias("_text"))
+    wanted = broadcast_if_small(wanted, BROADCAST_ROWS)
+    keyed = cut(keyed.join(wanted, F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_th") == F.col("_wth")), "left_semi"))
     scan = _with_window_hashes(keyed.select("_id", "_th", _words(F.col("_text")).alias("_words")), lengths)
     scan = scan.select("_id", "_th", "_n", F.posexplode(F.concat(*[f"_h{n}" for n in lengths])).alias("_p", "fingerprint"))
     before, skip = F.lit(0), F.lit(0)
@@ -104,14 +144,14 @@ def _verified_hits(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[
         .agg(F.collect_set(F.struct(F.col("_at").alias("at"), F.col("length").alias("n"), "words")).alias("_hits"))
     )
     found = (
-        hits.join(keyed.where(F.length("_text") > 0), F.col("_hid").eqNullSafe(F.col("_id")) & (F.col("_hth") == F.col("_th")))
+        hits.join(keyed, F.col("_hid").eqNullSafe(F.col("_id")) & (F.col("_hth") == F.col("_th")))
         .groupBy("_hid", "_hth")
         .agg(F.first("_hits").alias("_hits"), F.first("_text").alias("_text"))
         .withColumn("_hits", F.array_sort(_verified(F.col("_text"), F.col("_hits"))))
         .where(F.size("_hits") > 0)
         .select("_hid", "_hth", "_hits")
     )
-    return cut(found), windows.select("words", "item_id")
+    return cut(found), windows.select("words", "item_id"), scanned
 
 
 def _covered(hits: Column) -> Column:
@@ -128,7 +168,7 @@ def _covered(hits: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """For each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    hits, items = _verified_hits(docs, benchmark, window)
+    hits, items, scanned = _verified_hits(docs, benchmark, window)
     by_doc = hits.select("_hid", "_hth", F.explode(F.array_distinct(F.transform("_hits", lambda h: h["words"]))).alias("words"))
     named = (
         by_doc.join(broadcast_if_small(items, BROADCAST_ROWS), "words")
@@ -138,7 +178,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     digest = hits.select("_hid", "_hth", _covered(F.col("_hits")).alias("n_hit")).join(
         named, F.col("_hid").eqNullSafe(F.col("_iid")) & (F.col("_hth") == F.col("_ith")), "left"
     )
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    # Rows that repeat a document are one in what was scanned.
+    counted = scanned.select(F.col("_id").alias("_sid"), F.col("_th").alias("_sth"), "n_words")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_th")).join(counted, F.col("doc_id").eqNullSafe(F.col("_sid")) & (F.col("_th") == F.col("_sth")))
     none = F.array().cast("array<string>")
     return (
         rows.join(digest, F.col("doc_id").eqNullSafe(F.col("_hid")) & (F.col("_th") == F.col("_hth")), "left")
@@ -162,7 +204,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, mode:
     """
     if mode not in ("document", "span"):
         raise ValueError("mode is 'document' or 'span'")
-    hits, _ = _verified_hits(docs, benchmark, window)
+    hits, *_ = _verified_hits(docs, benchmark, window)
     keyed = docs.withColumn("_th0", F.xxhash64("text"))
     on = F.col("doc_id").eqNullSafe(F.col("_hid")) & (F.col("_th0") == F.col("_hth"))
     if mode == "document":
