@@ -54,10 +54,11 @@ def with_abs_z(df: DataFrame, lp: str, out: str) -> DataFrame:
     c = F.col(t)
     # Hastings' rational approximation of the normal quantile.
     guess = c - (2.515517 + 0.802853 * c + 0.010328 * c * c) / (1.0 + 1.432788 * c + 0.189269 * c * c + 0.001308 * c * c * c)
-    df = df.withColumn(out, F.greatest(guess, F.lit(0.0)))
+    least = lambda x: F.when(c.isNotNull(), F.greatest(x, F.lit(0.0)))  # noqa: E731  greatest() skips nulls
+    df = df.withColumn(out, least(guess))
     for _ in range(4):
         step = (log_upper_tail(out) + F.col(lp) * LN10 + math.log(2)) * mills(out)
-        df = df.withColumn(out, F.greatest(F.col(out) + step, F.lit(0.0)))
+        df = df.withColumn(out, least(F.col(out) + step))
     return df.drop(t)
 
 

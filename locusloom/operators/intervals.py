@@ -42,8 +42,9 @@ def in_regions(rows: DataFrame, regions: DataFrame, exclude: bool = False, overl
     first = F.col("pos") if overlap == 1 else F.when((F.length("ref") > 1) | (F.length("alt") > 1), F.col("pos") + 1).otherwise(F.col("pos"))
     # A record spans little: it is looked up at each bin that it touches.
     last = F.greatest(F.col("pos") + F.length("ref") - 1, first)
-    spans = rows.withColumn("_first", first).withColumn("_last", last).withColumn("_row", F.monotonically_increasing_id())
-    touched = spans.select("_row", "chrom", "_first", "_last", F.explode(F.sequence(F.floor(F.col("_first") / BIN), F.floor(F.col("_last") / BIN))).alias("_pbin"))
+    spans = rows.withColumn("_first", first).withColumn("_last", last)
+    own = ["_first", "_last"]
+    touched = spans.select("chrom", *own, F.explode(F.sequence(F.floor(F.col("_first") / BIN), F.floor(F.col("_last") / BIN))).alias("_pbin")).distinct()
     bins = binned(regions, "r_start", "r_end")
-    hits = touched.join(bins, (F.col("chrom") == F.col("r_chrom")) & (F.col("_pbin") == F.col("_bin")) & (F.col("_first") <= F.col("r_end")) & (F.col("_last") >= F.col("r_start")), "left_semi").select("_row").distinct()
-    return spans.join(hits, "_row", how).drop("_row", "_first", "_last")
+    hits = touched.join(bins, (F.col("chrom") == F.col("r_chrom")) & (F.col("_pbin") == F.col("_bin")) & (F.col("_first") <= F.col("r_end")) & (F.col("_last") >= F.col("r_start")), "left_semi").select("chrom", *own).distinct()
+    return spans.join(hits, ["chrom", *own], how).select(*rows.columns)

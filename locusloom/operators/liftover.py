@@ -24,13 +24,14 @@ def lift_points(rows: DataFrame, blocks: DataFrame, pos: str = "pos", prefix: st
 
     Of several blocks the last in file order counts. ``blocks`` are placed (see :mod:`locusloom.sources.chain`).
     """
-    keyed = rows.withColumn("_k", F.monotonically_increasing_id())
-    hits = join_points(keyed.select("_k", F.col(chrom).alias("_c"), F.col(pos).alias("_p")), blocks, [("_c", "b_chrom")], F.col("_p") - 1, "b_start", "b_end")
-    off = F.col("_p") - 1 - F.col("b_start")
+    places = rows.select(F.col(chrom).alias("_place_c"), F.col(pos).alias("_place_p")).where("_place_c is not null and _place_p is not null").distinct()
+    hits = join_points(places, blocks, [("_place_c", "b_chrom")], F.col("_place_p") - 1, "b_start", "b_end")
+    off = F.col("_place_p") - 1 - F.col("b_start")
     q = F.when(F.col("q_strand") == 0, F.col("b_q") + off + 1).otherwise(F.col("q_size") - F.col("b_q") - off)
-    found = hits.groupBy("_k").agg(F.max_by(F.struct(F.col("q_chrom"), q.alias("pos"), "q_strand", "chain_ind", "block_ind", "q_size"), F.struct("chain_ind", "block_ind")).alias("_x"))
+    found = hits.groupBy("_place_c", "_place_p").agg(F.max_by(F.struct(F.col("q_chrom"), q.alias("pos"), "q_strand", "chain_ind", "block_ind", "q_size"), F.struct("chain_ind", "block_ind")).alias("_at"))
     names = {"q_chrom": "chrom", "pos": "pos", "q_strand": "strand", "chain_ind": "chain", "block_ind": "block", "q_size": "size"}
-    return keyed.join(found, "_k", "left").select(*rows.columns, *[F.col(f"_x.{a}").alias(f"{prefix}_{b}") for a, b in names.items()])
+    joined = rows.join(found, (F.col(chrom) == F.col("_place_c")) & (F.col(pos) == F.col("_place_p")), "left")
+    return joined.select(*rows.columns, *[F.col(f"_at.{a}").alias(f"{prefix}_{b}") for a, b in names.items()])
 
 
 def lift_ends(rows: DataFrame, blocks: DataFrame, start: str = "pos", end: str = "end") -> DataFrame:
@@ -60,7 +61,7 @@ def lift_single(rows: DataFrame, blocks: DataFrame, fasta: DataFrame | None = No
         lifted = with_reference(lifted, fasta, F.col("q_pos"), F.lit(1), "_dst", contig="q_chrom")
     swap = F.when(F.upper("_dst") == F.upper("_a"), 0).when(F.upper("_dst") == F.upper("_b"), 1).otherwise(-1)
     out = lifted.withColumn("swap", F.when(F.col("q_pos").isNotNull(), swap))
-    out = out.withColumn("q_ref", F.when(F.col("swap") == 0, F.col("_a")).when(F.col("swap") == 1, F.col("_b")).otherwise(F.col("_dst")))
+    out = out.withColumn("q_ref", F.when(F.col("swap") == 0, F.col("_a")).when(F.col("swap") == 1, F.col("_b")).when(F.col("swap") == -1, F.col("_dst")))
     out = out.withColumn("q_alt", F.when(F.col("swap") == 0, F.col("_b")).when(F.col("swap") == 1, F.col("_a")).when(F.col("swap") == -1, F.concat_ws(",", "_a", "_b")))
     out = out.withColumn("reject_reason", reject_reason(F.col("q_pos").isNull()))
     if write_src:
@@ -90,9 +91,10 @@ def lift_spans(rows: DataFrame, blocks: DataFrame, start: str = "pos", end: str
     pad5 = F.when(~mapped5 & mapped3, F.when(F.col("_p").isNotNull() & (F.col(start) - F.col("_p")).between(1, max_inc), F.col(start) - F.col("_p")).otherwise(F.when(span <= max_inc, F.least(F.lit(max_inc), F.col(start) - 1))))
     pad3 = F.when(mapped5 & ~mapped3, F.when(F.col("_n").isNotNull() & (F.col("_n") - F.col(end)).between(1, max_inc), F.col("_n") - F.col(end)).otherwise(F.when(span <= max_inc, F.lit(max_inc))))
     both = both.withColumn("n_pad5", F.coalesce(pad5, F.lit(0)).cast("long")).withColumn("n_pad3", F.coalesce(pad3, F.lit(0)).cast("long"))
-    padded = lift_points(both.withColumn("_s", F.col(start) - F.col("n_pad5")).withColumn("_e", F.col(end) + F.col("n_pad3")), blocks, "_s", "p5")
-    padded = lift_points(padded, blocks, "_e", "p3")
-    good = F.when(mapped5, F.struct("a_chrom", "a_strand", "a_chain", "a_size", "a_pos")).otherwise(F.struct("z_chrom", "z_strand", "z_chain", "z_size", "z_pos"))
+    padded = lift_points(both.withColumn("_s5", F.col(start) - F.col("n_pad5")).withColumn("_e3", F.col(end) + F.col("n_pad3")), blocks, "_s5", "p5")
+    padded = lift_points(padded, blocks, "_e3", "p3")
+    anchor = lambda side: F.struct(*[F.col(f"{side}_{c}").alias(f"a_{c}") for c in ("chrom", "strand", "chain", "size", "pos")])
+    good = F.when(mapped5, anchor("a")).otherwise(anchor("z"))
     padded = padded.withColumn("_g", good).withColumn("_plus", F.when(F.col("_g.a_strand") == 1, -1).otherwise(1))
 
     def other(tag: str, length: Column, sign: int) -> Column:
@@ -164,6 +166,46 @@ def lift_longer(rows: DataFrame, blocks: DataFrame, src: DataFrame, dst: DataFra
     return lifted.select(*rows.columns, "q_chrom", "q_pos", F.col("_al").alias("q_alleles"), "flip", "swap", "reject_reason")
 
 
+def extend_rows(rows: DataFrame, src: DataFrame, window: int = 100) -> DataFrame:
+    """Without a chain: x_pos and x_alleles, the alleles extended by the source reference until they are unique."""
+    end = F.col("pos") + F.length("ref") - 1
+    reach = F.least(F.lit(window), F.col("pos") - 1)
+    keyed = with_reference(with_reference(rows, src, F.col("pos") - reach, reach, "_left"), src, end + 1, F.lit(window), "_right")
+    keyed = keyed.withColumn("_x", extended(F.array("ref", "alt"), "_left", "_right"))
+    return keyed.select(*rows.columns, (F.col("pos") - F.col("_x.n_left")).alias("x_pos"), F.col("_x.alleles").alias("x_alleles"))
+
+
+MITOCHONDRION = ("MT", "chrM", "M", "chrMT")
+
+
+def lift(rows: DataFrame, blocks: DataFrame, src: DataFrame, dst: DataFrame, mt_name: str | None = "chrM", window: int = 100, max_inc: int = MAX_INDEL, align: bool = True) -> DataFrame:
+    """Lift variants of all kinds: q_chrom, q_pos, q_alleles, flip, swap, reject_reason.
+
+    Single bases take the short way, those whose base isn't mapped and longer alleles the way by anchors; symbolic alleles
+    are moved as points with their alleles as they are. Mitochondrial rows keep their position under ``mt_name``; with
+    None they are lifted too.
+    """
+    mito = F.col("chrom").isin(*MITOCHONDRION) if mt_name else F.lit(False)
+    symbolic = F.col("alt").rlike(r"^[<*]|[\[\]]")
+    one = is_single(F.col("ref"), F.col("alt"))
+    kept = ["q_chrom", "q_pos", "q_alleles", "flip", "swap", "reject_reason"]
+    plain = F.array("ref", "alt").alias("q_alleles")
+    parts = []
+    if mt_name:
+        parts.append(rows.where(mito).select(*rows.columns, F.lit(mt_name).alias("q_chrom"), F.col("pos").alias("q_pos"), plain, F.lit(False).alias("flip"), F.lit(0).alias("swap"), F.lit(None).cast("string").alias("reject_reason")))
+    rest = rows.where(~F.coalesce(mito, F.lit(False)))
+    points = lift_points(rest.where(symbolic), blocks)
+    parts.append(points.select(*rows.columns, "q_chrom", "q_pos", plain, F.coalesce(F.col("q_strand") == 1, F.lit(False)).alias("flip"), F.lit(None).cast("int").alias("swap"), reject_reason(F.col("q_pos").isNull()).alias("reject_reason")))
+    single = lift_single(rest.where(~symbolic & one), blocks, dst)
+    parts.append(single.where(F.col("q_pos").isNotNull()).select(*rows.columns, "q_chrom", "q_pos", F.concat(F.array("q_ref"), F.split("q_alt", ",")).alias("q_alleles"), "flip", "swap", "reject_reason"))
+    longer = rest.where(~symbolic & ~one).unionByName(single.where(F.col("q_pos").isNull()).select(*rows.columns))
+    parts.append(lift_longer(longer, blocks, src, dst, window, max_inc, align))
+    out = parts[0].select(*rows.columns, *kept)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*rows.columns, *kept))
+    return out.withColumn("reject_reason", F.when(F.col("chrom").isNull(), "MissingContig").otherwise(F.col("reject_reason")))
+
+
 def counts(lifted: DataFrame) -> DataFrame:
     """(total, swapped, ref_added, rejected)."""
     return lifted.agg(F.count("*").alias("total"), F.count_if(F.col("swap") > 0).alias("swapped"), F.count_if(F.col("swap") == -1).alias("ref_added"), F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"))

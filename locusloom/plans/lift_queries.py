@@ -169,16 +169,16 @@ _SINGLE = f"with l as ({_BLOCK}), t as (select v.*, q_pos, q_strand, case when q
 _LONGEST = "n as (select chrom, (max(pos+vid)/4.0+100)::int*4 as len from variants group by chrom)"
 _REF = f"""{_SINGLE}, {_LONGEST}, r as (select t.*, case when q_pos <= len then substring('ACGT', ((q_pos-1) % 4 + 1)::int, 1) end as base from t join n on t.chrom = n.chrom),
 w as (select *, case when q_pos is not null then case when base = a then 0 when base = b then 1 else -1 end end as swap from r)"""
-_AT = lambda p, tag: f"{tag} as (select s.vid, chain_ind as {tag}c, t_chrom as {tag}chrom, q_strand as {tag}s, q_size as {tag}size, t_start as {tag}t, case when q_strand = 0 then q_start+{p}-1-t_start+1 else q_size-q_start-({p}-1-t_start) end as {tag}q from sp s join chain_blocks b on s.chrom = b.t_chrom and {p}-1 between t_start and t_start+size-1)"
+_AT = lambda p, tag: f"{tag} as (select s.vid, chain_ind as {tag}_c, t_chrom as {tag}_chrom, q_strand as {tag}_s, q_size as {tag}_size, t_start as {tag}_t, case when q_strand = 0 then q_start+{p}-1-t_start+1 else q_size-q_start-({p}-1-t_start) end as {tag}_q from sp s join chain_blocks b on s.chrom = b.t_chrom and {p}-1 between t_start and t_start+size-1)"
 # Blocks of a chain have the same strand and lie more than 250 bases apart in the destination, so the other anchor is always found by arithmetic.
-_ANCHORS = f"""with sp as (select vid, chrom, pos, pos+vid % 700 as e from variants), {_AT("pos", "a")}, {_AT("e", "z")},
+_ANCHORS = f"""with sp as (select vid, chrom, pos, pos+vid % 700 as e from variants), {_AT("pos", "a5")}, {_AT("e", "a3")},
 nb as (select chain_ind, t_start, lag(t_start+size) over (partition by chain_ind order by t_start) as pe, lead(t_start+1) over (partition by chain_ind order by t_start) as ns from chain_blocks),
-j as (select sp.vid as sp_vid, chrom, pos, e, ac, at, aq, "as", asize, zc, zt, zq, zs, zsize, p.pe, n.ns, e-pos as span from sp left join a on a.vid = sp.vid left join z on z.vid = sp.vid left join nb p on p.chain_ind = zc and p.t_start = zt left join nb n on n.chain_ind = ac and n.t_start = at),
-k as (select *, case when aq is null and zq is not null then case when pos-pe between 1 and 250 then pos-pe when span <= 250 then least(250, pos-1) end end as p5, case when zq is null and aq is not null then case when ns-e between 1 and 250 then ns-e when span <= 250 then 250 end end as p3 from j),
-f as (select *, case when coalesce(s1, 0) = 1 then -1 else 1 end as sg from (select *, coalesce("as", zs) as s1, coalesce(asize, zsize) as sz from k)),
-g as (select *, case when aq is not null then aq when zq is not null then greatest(least(zq-sg*(span+coalesce(p5, 0)), sz), 1) end as q1, case when zq is not null then zq when aq is not null then greatest(least(aq+sg*(span+coalesce(p3, 0)), sz), 1) end as q2 from f),
-h as (select *, case when aq is null and zq is null then 'UnmappedAnchors' when aq is not null and zq is not null and abs(q2-q1) > span+250 then 'ApartAnchors' when aq is null and p5 is null then 'UnmappedAnchor5' when zq is null and p3 is null then 'UnmappedAnchor3' end as reason from g)
-select sp_vid as vid, case when reason is null then least(q1, q2) end as q_pos, case when reason is null then greatest(q1, q2) end as q_end, coalesce(p5, 0) as n_pad5, coalesce(p3, 0) as n_pad3, reason as reject_reason from h"""
+j as (select sp.*, a5_c, a5_q, a5_s, a5_size, a3_c, a3_q, a3_s, a3_size, p.pe, n.ns, e-pos as span from sp left join a5 on a5.vid = sp.vid left join a3 on a3.vid = sp.vid left join nb p on p.chain_ind = a3_c and p.t_start = a3_t left join nb n on n.chain_ind = a5_c and n.t_start = a5_t),
+k as (select *, case when a5_q is null and a3_q is not null then case when pos-pe between 1 and 250 then pos-pe when span <= 250 then least(250, pos-1) end end as p5, case when a3_q is null and a5_q is not null then case when ns-e between 1 and 250 then ns-e when span <= 250 then 250 end end as p3 from j),
+f as (select *, case when coalesce(a5_s, a3_s) = 1 then -1 else 1 end as sg, coalesce(a5_size, a3_size) as sz from k),
+g as (select *, case when a5_q is not null then a5_q when a3_q is not null then greatest(least(a3_q-sg*(span+coalesce(p5, 0)), sz), 1) end as q1, case when a3_q is not null then a3_q when a5_q is not null then greatest(least(a5_q+sg*(span+coalesce(p3, 0)), sz), 1) end as q2 from f),
+h as (select *, case when a5_q is null and a3_q is null then 'UnmappedAnchors' when a5_q is not null and a3_q is not null and abs(q2-q1) > span+250 then 'ApartAnchors' when a5_q is null and p5 is null then 'UnmappedAnchor5' when a3_q is null and p3 is null then 'UnmappedAnchor3' end as reason from g)
+select vid, case when reason is null then least(q1, q2) end as q_pos, case when reason is null then greatest(q1, q2) end as q_end, coalesce(p5, 0) as n_pad5, coalesce(p3, 0) as n_pad3, reason as reject_reason from h"""
 
 ORACLES = {k: with_views(v) for k, v in {
     "chain_blocks": "select chain_ind, line, coalesce(sum(size+dt) over w, 0)::bigint as t_start, coalesce(sum(size+dq) over w, 0)::bigint as q_start, size from chain_lines window w as (partition by chain_ind order by line rows between unbounded preceding and 1 preceding)",
@@ -192,14 +192,14 @@ select chain_ind, min(line) as line, min(ts) as t_start, min(qs) as q_start, max
     "lift_ref_snp": f"{_REF} select vid, q_pos, case swap when 0 then a when 1 then b when -1 then base end as q_ref, case swap when 0 then b when 1 then a when -1 then a||','||b end as q_alt, swap, chrom as src_chrom, pos as src_pos, ref||','||alt as src_ref_alt from w",
     "lift_reject": f"with l as ({_BLOCK}) select v.vid, case when v.vid % 9 = 0 then 'MissingContig' else 'UnmappedAnchors' end as reject_reason from variants v left join l on v.vid = l.vid where v.vid % 9 = 0 or l.vid is null",
     "lift_counts": f"{_REF} select count(*) as total, count(*) filter (where swap > 0) as swapped, count(*) filter (where swap = -1) as ref_added, count(*) filter (where q_pos is null) as rejected from w",
-    "lift_end": f"with sp as (select vid, chrom, pos, pos+vid % 3000 as e from variants), {_AT('pos', 'a')}, {_AT('e', 'z')} select sp.vid, aq as q_pos, case when achrom = zchrom and \"as\" = zs and (case when \"as\" = 1 then aq >= zq else zq >= aq end) then zq end as q_end from sp left join a on a.vid = sp.vid left join z on z.vid = sp.vid",
+    "lift_end": f"with sp as (select vid, chrom, pos, pos+vid % 3000 as e from variants), {_AT('pos', 'a5')}, {_AT('e', 'a3')} select sp.vid, a5_q as q_pos, case when a5_chrom = a3_chrom and a5_s = a3_s and (case when a5_s = 1 then a5_q >= a3_q else a3_q >= a5_q end) then a3_q end as q_end from sp left join a5 on a5.vid = sp.vid left join a3 on a3.vid = sp.vid",
     "lift_anchors": _ANCHORS,
     "swap_ac": _complement_sql("v%11", "v%7", "100"), "swap_af": _complement_sql("(v%3/4.0::double)", "(v%2/8.0::double)", "1"), "swap_ds": _complement_sql("(v%3/4.0::double)", "(v%2/2.0::double)", "2"),
     "swap_es": _list_sql("[case when s = 1 then -(v%5) else v%5 end, case when s = 2 then -(v%6) else v%6 end]", "[null, v%5, v%6]", "[v%5, v%6]", 3),
     "swap_r": _list_sql("[case when s = 1 then v+1 else v+2 end, case when s = 1 then v else v+1 end, case when s = 2 then v else v+2 end]", "[null, v, v+1, v+2]", "[v, v+1, v+2]", 4),
-    "swap_g": _list_sql(f"list_transform(case when s = 1 then [3, 2, 1, 5, 4, 6] else [6, 5, 3, 4, 2, 1] end, i -> {_G}[i])", "[null, null, v*10, null, v*10+1, v*10+2, null, v*10+3, v*10+4, v*10+5]", _G, 10),
+    "swap_g": _list_sql(f"[{_G}[i] for i in case when s = 1 then [3, 2, 1, 5, 4, 6] else [6, 5, 3, 4, 2, 1] end]", "[null, null, v*10, null, v*10+1, v*10+2, null, v*10+3, v*10+4, v*10+5]", _G, 10),
     "swap_a": _list_sql("[v, v+1]", "[null, v, v+1]", "[v, v+1]", 3),
-    "swap_gt": _list_sql("list_transform([v%2, v%3], g -> case when g = 0 then s when g = s then 0 else g end)", "[v%2+1, v%3+1]", "[v%2, v%3]", 2),
+    "swap_gt": _list_sql("[case when g = 0 then s when g = s then 0 else g end for g in [v%2, v%3]]", "[v%2+1, v%3+1]", "[v%2, v%3]", 2),
     "swap_tags": """with t as (select vid, vid as v, (vid % 4 - 1)::int as s from variants) select vid, (case when s in (1, -1) then 100-v%11-v%7 else v%11 end)::double as ac, case when s in (1, -1) then 1-v%3/4.0::double-v%2/8.0::double else v%3/4.0::double end as af,
 case when s in (1, -1) then 2-v%3/4.0::double-v%2/2.0::double else v%3/4.0::double end as ds, (case s when -1 then null when 1 then -(v%5) else v%5 end)::double as es, (case s when -1 then null when 0 then v else v+s end)::double as r,
 (case s when -1 then null when 0 then v*10 when 1 then v*10+2 else v*10+5 end)::double as g, (case when s = -1 then null else v end)::double as a from t""",

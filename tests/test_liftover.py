@@ -55,11 +55,29 @@ def test_deletion_is_left_aligned(spark):
     src, dst = "GGCATATATCC" + "G" * 60, "TT" + "GGCATATATCC" + "G" * 60
     b = blocks(spark, [(0, 0, "c", 0, len(src) - 1, 2, "d", len(dst), 0)])
     seqs = lambda c, s: chunked(spark.createDataFrame([(c, s)], "contig string, seq string"))
-    rows = spark.createDataFrame([(1, "c", 6, "TAT", "T")], "k int, chrom string, pos long, ref string, alt string")
+    rows = spark.createDataFrame([(1, "c", 5, "TAT", "T")], "k int, chrom string, pos long, ref string, alt string")
     got = liftover.lift_longer(rows, b, seqs("c", src), seqs("d", dst)).first()
     assert (got.q_chrom, got.q_pos, got.q_alleles, got.swap, got.reject_reason) == ("d", 5, ["CAT", "C"], 0, None)
 
 
+def test_all_kinds_at_once(spark):
+    src, dst = "GGCATATATCC" + "GATTACA" * 20, "TT" + "GGCATATATCC" + "GATTACA" * 20
+    b = blocks(spark, [(0, 0, "c", 0, 30, 2, "d", len(dst), 0), (0, 1, "c", 32, len(src) - 1, 34, "d", len(dst), 0)])
+    seqs = lambda c, s: chunked(spark.createDataFrame([(c, s)], "contig string, seq string"))
+    rows = [(1, "c", 5, "TAT", "T"), (2, "c", 3, "C", "G"), (3, "c", 3, "C", "<DEL>"), (4, "MT", 3, "C", "G"), (5, "x", 3, "C", "G"), (6, "c", 32, src[31], "C"), (7, None, 3, "C", "G")]
+    got = {r.k: (r.q_chrom, r.q_pos, r.q_alleles, r.swap, r.reject_reason) for r in liftover.lift(spark.createDataFrame(rows, "k int, chrom string, pos long, ref string, alt string"), b, seqs("c", src), seqs("d", dst)).collect()}
+    assert got[1] == ("d", 5, ["CAT", "C"], 0, None) and got[2] == ("d", 5, ["C", "G"], 0, None) and got[3] == ("d", 5, ["C", "<DEL>"], None, None)
+    assert got[4] == ("chrM", 3, ["C", "G"], 0, None) and got[5][4] == "UnmappedAnchors" and got[7][4] == "MissingContig"
+    assert got[6] == ("d", 34, [src[31], "C"], 0, None)
+    assert len(got) == 7
+
+
+def test_extension_without_chain(spark):
+    seqs = chunked(spark.createDataFrame([("c", "GGCATATATCC" + "G" * 200)], "contig string, seq string"))
+    got = liftover.extend_rows(spark.createDataFrame([("c", 4, "ATA", "A")], "chrom string, pos long, ref string, alt string"), seqs).first()
+    assert got.x_pos == 3 and got.x_alleles[0] == "CATATATC" and got.x_alleles[1] == "CATATC"
+
+
 def apply(reference, pos, ref, alt):
     assert reference[pos - 1 : pos - 1 + len(ref)] == ref
     return reference[: pos - 1] + alt + reference[pos - 1 + len(ref) :]
