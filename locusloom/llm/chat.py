@@ -90,7 +90,7 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history: int =
         F.coalesce(slim(F.col("_tail")), none),
     )
     full = full.withColumn("_repeated", repeated).withColumn("_all", F.concat("_repeated", slim(F.col("_new"))))
-    full = full.withColumn("_pieces", F.transform("_all", lambda t: F.struct(F.regexp_replace(escape(t["role"]), "\n", "\\\\\\\\\n").alias("role"), escape(t["text"]).alias("text"))))
+    full = full.withColumn("_pieces", F.transform("_all", lambda t: F.struct(F.replace(escape(t["role"]), F.lit("\n"), F.lit("\\\n")).alias("role"), escape(t["text"]).alias("text"))))
     full = full.withColumn("_parts", F.transform("_pieces", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END), F.lit("\n"))))
     at = F.aggregate(
         F.transform("_parts", F.length),

@@ -21,6 +21,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from locusloom.llm.common import broadcast_if_small, cut, shared_dir
 
@@ -109,10 +110,11 @@ def compact(spark: SparkSession, root: str, target: int = 256 << 20, fan_in: int
     return _commit(spark, root, kept.unionByName(_written(spark, root, commit, unit, base + 1)), base)
 
 
-def read(spark: SparkSession, root: str, at: int | None = None) -> DataFrame:
-    """The documents of a version, with ``shard`` and ``tier``."""
+def read(spark: SparkSession, root: str, at: int | None = None, schema: StructType | None = None) -> DataFrame:
+    """The documents of a version, with ``shard`` and ``tier``. A store without any shard tells no ``schema`` itself."""
     shards = manifest(spark, root, at).select(F.col("shard").alias("_file"), "tier")
-    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data")
+    reader = spark.read.option("recursiveFileLookup", True)
+    rows = (reader.schema(schema) if schema else reader).parquet(f"{root}/data")
     named = rows.withColumn("_file", _name())
     return named.join(broadcast_if_small(shards, BROADCAST_ROWS), "_file").withColumnRenamed("_file", "shard")
 
@@ -138,4 +140,4 @@ def sharded(docs: DataFrame, root: str | None = None, target: int = 256 << 20, a
         append(spark, root, docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(arrivals)) == k), unit)
     last = compact(spark, root, target, unit=unit)
     vacuum(spark, root)
-    return read(spark, root, last).drop("text").withColumn("version", F.lit(last))
+    return read(spark, root, last, docs.schema).drop("text").withColumn("version", F.lit(last))
