@@ -6,7 +6,7 @@ normalised entropies of the two are its content and presentation importance. A n
 and children are nearly the same on all pages is furniture, and its branch goes. Nodes that markup
 itself calls furniture (navigation, footers, forms, adverts, notices, comments and the like) go
 whatever their entropy is, and a page that marks its article keeps only that. Within the article
-paragraphs are never taken for furniture, so that copied articles keep their text, and elsewhere
+paragraphs, lists and the like are never taken for furniture, so that copied articles keep their text, and elsewhere
 the branch with most of a page's text stays.
 
 Defined results: null and empty pages have an empty text; without a host all pages make one site; pages
@@ -49,6 +49,8 @@ HEADERS = frozenset("header topbar banner".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
 KEEP = frozenset("html body article main".split())
+#: Elements of running text: within an article they are never furniture.
+TEXTUAL = HEADINGS | frozenset("p ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption".split())
 GAMMA, LOW, LEAST_PAGES = 0.9, 0.2, 8
 SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -174,7 +176,7 @@ class Page:
             gone[i] = gone[up] or self._furniture(i, main[up])
             header = main[up] and (self.tag[i] == "header" or any(w in HEADERS for w in self.words[i]))
             heading_only[i] = (heading_only[up] or header) and self.tag[i] not in HEADINGS
-            if not gone[i] and self.path[i] in low and self.tag[i] not in KEEP and not (main[i] and self.tag[i] in ("p", *HEADINGS)):
+            if not gone[i] and self.path[i] in low and self.tag[i] not in KEEP and not (main[i] and self.tag[i] in TEXTUAL):
                 gone[i] = 2 * length[i] < length[0]
         marked = any(m and not g for m, g in zip(main, gone, strict=True))
         blocks, block = [], []
