@@ -49,15 +49,15 @@ def prior_grid(max_alpha2: float = 0.002, herit_per_marker: float = 1e-7, values
     return s2, np.array(weights) if weights is not None else herit_per_marker / s2 / len(s2)
 
 
-def sample_block(block: Block, s2: np.ndarray, prior: np.ndarray, iterations: int, burn_in: int, rng: np.random.Generator) -> np.ndarray:
-    """Mean over the kept iterations of the effects given the sampled large ones.
+def sample_block(block: Block, s2: np.ndarray, prior: np.ndarray, iterations: int, burn_in: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Mean over the kept iterations of the effects given the sampled large ones; how often each node had a large one.
 
     The first factor is never changed: columns A^-1 u of active effects are solved once and combined by
     Woodbury's identity.
     """
     beta_hat = block.given_missing(block.alpha_hat)
     if iterations <= burn_in:
-        return block.blup()
+        return block.blup(), np.zeros(len(block.d))
     nodes = block.group.max(initial=-1) + 1
     diagonal = block.beta_cov * block.sd**2 + block.d / block.mean_n
     a_inverse = lambda b, x0=None: solve(block.system, b, diagonal, block.tolerance, x0)
@@ -99,7 +99,7 @@ def sample_block(block: Block, s2: np.ndarray, prior: np.ndarray, iterations: in
     sd, n = block.sd[rows], block.nodes["n"].to_numpy(float)[rows]
     expected = nodes * prior.sum()
     slots: list[tuple[int, int] | None] = [None] * max(1, math.ceil(expected + 2 * math.sqrt(expected)))
-    mean, kept, warm = np.zeros(len(block.d)), 0, None
+    mean, kept, warm, picked = np.zeros(len(block.d)), 0, None, np.zeros(nodes)
     log_prior = np.log(np.maximum(prior, 1e-300))
 
     def active() -> dict[int, float]:
@@ -138,30 +138,34 @@ def sample_block(block: Block, s2: np.ndarray, prior: np.ndarray, iterations: in
         if it >= burn_in:
             _, beta = solved(active())
             mean += beta
+            picked[list(active())] += 1
             kept += 1
         used = sum(s is not None for s in slots)
         slots += [None] * max(0, used + math.ceil(2 * math.sqrt(used)) - len(slots))
-    return mean / kept
+    return mean / kept, (picked / kept)[block.group]
 
 
 def pgs(
     nodes: DataFrame, edges: DataFrame, alpha: float = -0.5, beta_cov: float = 1e-7, cross_corr: float = 0.9, tolerance: float = 1e-10, iterations: int = 10, burn_in: int = 2, seed: int = 0,
-    max_alpha2: float = 0.002, herit_per_marker: float = 1e-7, values: list[float] | None = None, weights: list[float] | None = None, ld_block: int | None = None,
+    max_alpha2: float = 0.002, herit_per_marker: float = 1e-7, values: list[float] | None = None, weights: list[float] | None = None, ld_block: int | None = None, record_weights: bool = False,
 ) -> DataFrame:
-    """(ld_block, pop, ld_node, es). Each block draws from a generator of its own, seeded by ``seed`` and the block.
+    """(ld_block, pop, ld_node, es[, gw]); gw is how often the node had a large effect. Each block draws from a generator of its own, seeded by ``seed`` and the block.
 
     With no more iterations than the burn-in the result is that of :func:`locusloom.operators.ld.blup`.
     """
     if ld_block is not None:
         nodes, edges = nodes.where(F.col("ld_block") == ld_block), edges.where(F.col("ld_block") == ld_block)
     if iterations <= burn_in:
-        return blup(nodes, edges, alpha, beta_cov, cross_corr, tolerance)
+        out = blup(nodes, edges, alpha, beta_cov, cross_corr, tolerance)
+        return out.withColumn("gw", F.lit(0.0)) if record_weights else out
     s2, prior = prior_grid(max_alpha2, herit_per_marker, values, weights)
 
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         block = Block(n, e, alpha, beta_cov, cross_corr, tolerance)
         rng = np.random.Generator(np.random.PCG64([seed, int(n["ld_block"].iloc[0])]))
-        return block.effects(sample_block(block, s2, prior, iterations, burn_in, rng))
+        beta, large = sample_block(block, s2, prior, iterations, burn_in, rng)
+        out = block.effects(beta)
+        return out.assign(gw=large[block.seen]) if record_weights else out
 
     columns = nodes.select("ld_block", "pop", "ld_node", "aa", *[F.col(c).cast("double").alias(c) for c in ("af", "ld_diagonal", "z", "n")])
-    return columns.groupBy("ld_block").cogroup(edges.groupBy("ld_block")).applyInPandas(run, _schema(nodes))
+    return columns.groupBy("ld_block").cogroup(edges.groupBy("ld_block")).applyInPandas(run, _schema(nodes) + (", gw double" if record_weights else ""))

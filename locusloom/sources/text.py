@@ -42,6 +42,16 @@ def synonyms(preset: str | None = None, path: str | None = None) -> dict[str, st
     return out
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The lines of a small list file: names of inputs, or of samples."""
+    return [r[0].strip() for r in spark.read.text(path).collect() if r[0].strip()]
+
+
+def sample_choice(names: str) -> tuple[list[str], bool]:
+    """A comma-separated list of samples, and whether a leading ^ excludes them."""
+    return [n for n in names.removeprefix("^").split(",") if n], names.startswith("^")
+
+
 def header_fields(line: str, strip_suffix: bool = True) -> tuple[list[str], str]:
     """Column names and the delimiter (a regular expression) of a header line."""
     if line.startswith("#"):

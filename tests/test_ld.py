@@ -89,6 +89,8 @@ def test_large_effect_is_found(spark):
     args = {"beta_cov": 1e-7, "max_alpha2": 0.2, "herit_per_marker": 1e-3, "iterations": 12}
     got = {r.ld_node: abs(r.es) for r in gibbs.pgs(spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES), **args).collect()}
     assert max(got, key=got.get) == 7 and got[7] > 0.1
+    weights = {r.ld_node: r.gw for r in gibbs.pgs(spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES), record_weights=True, **args).collect()}
+    assert weights[7] == 1.0 and sum(weights.values()) < 5
 
 
 def test_bayes_factors_are_normal_densities():

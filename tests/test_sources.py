@@ -38,6 +38,11 @@ def test_synonyms(tmp_path):
         text.synonyms("unknown")
 
 
+def test_lists(spark, tmp_path):
+    assert text.listed(spark, write(tmp_path / "l", "b.tsv\n\na.tsv\n")) == ["b.tsv", "a.tsv"]
+    assert text.sample_choice("^s1,s2") == (["s1", "s2"], True) and text.sample_choice("s1") == (["s1"], False)
+
+
 def test_reference_fetch(spark, tmp_path):
     path = write(tmp_path / "f.fa", ">c1 text\nACGTR\nacgta\n>c2\nTTTT\n")
     seqs = fasta.read_fasta(spark, path, chunk=4, overlap=3)
