@@ -32,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import cut
+from locusloom.llm.common import broadcast_if_small, cut
 from locusloom.llm.components import connected_components
 from locusloom.llm.textcols import mix, shingle_sets
 
 ROWS, BANDS = 3, 21
 SAMPLES, SKETCH_LONGS = 512, 16
 #: Buckets up to this size are joined with themselves; the members of larger ones meet in blocks.
-SMALL, BLOCK = 16, 512
+SMALL, BLOCK = 16, 4096
 FIRST_CLOSEST = 4
+#: Tables of classes and pairs are broadcast up to this number of rows of 32 bytes at most.
+BROADCAST_ROWS = 1_000_000
 _MULTIPLY = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1001, ROWS * BANDS + 1001, dtype=np.uint64))
 
@@ -120,14 +122,14 @@ def _passes(percent: int):
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b: classes) whose whole sets are similar enough."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
-    wanted = classes.join(wanted, "cid").select("cid", "f1", "f2", "tk")
-    texts = docs.select(F.xxhash64("text").alias("tk"), "text").join(wanted.select("tk").distinct(), "tk", "left_semi")
+    ids = broadcast_if_small(cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")), BROADCAST_ROWS)
+    wanted = broadcast_if_small(cut(classes.select("cid", "f1", "f2", "tk").join(ids, "cid")), BROADCAST_ROWS)
+    texts = docs.select(F.xxhash64("text").alias("tk"), "text").join(wanted.select("tk"), "tk", "left_semi")
     sets = texts.mapInArrow(_sets(width), "f1 long, f2 long, shingles array<long>")
     sets = cut(sets.join(wanted, ["f1", "f2"]).dropDuplicates(["cid"]).select("cid", "shingles"))
     one = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("_sa"))
     two = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("_sb"))
-    both = pairs.join(two, "b").join(one, "a").withColumn("_both", F.size(F.array_intersect("_sa", "_sb")))
+    both = two.join(broadcast_if_small(pairs.select("a", "b"), BROADCAST_ROWS), "b").join(one, "a").withColumn("_both", F.size(F.array_intersect("_sa", "_sb")))
     return both.where(F.col("_both") * 100 >= percent * (F.size("_sa") + F.size("_sb") - F.col("_both"))).select("a", "b")
 
 
@@ -138,7 +140,8 @@ def _cross_pairs(percent: int, closest: int):
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group.side == 0], group[group.side == 1]
+        left = group[group.side == 0]
+        right = left if group.i.iloc[0] == group.j.iloc[0] else group[group.side == 1]
         out = []
         if len(left) and len(right):
             stack = lambda d, c: np.array(d[c].tolist(), np.int64)
@@ -164,9 +167,9 @@ def _across(classes: DataFrame, buckets: DataFrame, parts: DataFrame, percent: i
 
     Small buckets are told with the first round only, as they are told in full.
     """
-    held = buckets.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    held = buckets.join(broadcast_if_small(parts.withColumnRenamed("node", "cid"), BROADCAST_ROWS), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     open_ = held.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("band", "key", "m")
-    held = cut(held.join(open_, ["band", "key"]))
+    held = cut(held.join(broadcast_if_small(cut(open_), BROADCAST_ROWS), ["band", "key"]))
     known = classes.select("cid", "n", "sketch")
     pairs = None
     if closest == FIRST_CLOSEST:
@@ -175,10 +178,10 @@ def _across(classes: DataFrame, buckets: DataFrame, parts: DataFrame, percent: i
         pairs = pairs.join(known.toDF("cid2", "n2", "sketch2"), "cid2").join(known, "cid").where(_passes(percent)).select(F.col("cid").alias("a"), F.col("cid2").alias("b"), F.lit(False).alias("more"))
     many = held.where(F.col("m") > SMALL).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).join(classes.select("cid", "n", "sketch", "bands"), "cid")
     many = many.withColumn("_mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    # A member of block x is in the left side of x, x.. and in the right side of all x', x.
+    # A member of block x is in the left side of cells (x, y), y >= x, and in the right side of (x', x), x' < x.
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     left = F.transform(every, lambda y: F.when(F.col("_mine") <= y, F.struct(F.col("_mine").alias("i"), y.alias("j"), F.lit(0).alias("side"))))
-    right = F.transform(every, lambda x: F.when(x <= F.col("_mine"), F.struct(x.alias("i"), F.col("_mine").alias("j"), F.lit(1).alias("side"))))
+    right = F.transform(every, lambda x: F.when(x < F.col("_mine"), F.struct(x.alias("i"), F.col("_mine").alias("j"), F.lit(1).alias("side"))))
     dealt = many.select("band", "key", "cid", "component", "n", "sketch", "bands", F.explode(F.array_compact(F.concat(left, right))).alias("_c"))
     dealt = dealt.select("band", "key", "cid", "component", "n", "sketch", "bands", "_c.i", "_c.j", "_c.side")
     told = dealt.groupBy("band", "key", "i", "j").applyInPandas(_cross_pairs(percent, closest), "a long, b long, more boolean")
@@ -209,7 +212,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         told = cut(_across(classes, buckets.drop("centre"), parts, percent, closest))
         if told.isEmpty():
             break
-        links = links.unionByName(cut(_confirmed(told.select("a", "b"), classes, docs, width, percent)))
+        links = links.unionByName(cut(_confirmed(told, classes, docs, width, percent)))
         parts = connected_components(links)
         if told.where("more").isEmpty():
             break
