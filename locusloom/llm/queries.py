@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusloom.llm import chat, decontam, embdup, htmltext, lm, mixing, neardup, sharding, toxicity, warc
+from locusloom.llm import chat, decontam, embdup, htmltext, lm, mixing, neardup, sharding, sql, toxicity, warc
 from locusloom.llm.common import table
 
 #: Target weights of the registered mixture; names without a weight have 1.
@@ -73,4 +73,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": sql.DECONTAMINATION, "op10_chat_format": sql.CHAT}

@@ -1,0 +1,37 @@
+"""SQL that returns the rows of those corpus queries that SQL can express."""
+
+from locusloom.llm.common import LOWER, UPPER
+
+_FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+_WORDS = f"regexp_extract_all({_FOLDED}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+#: Windows of ten words, or whole items of fewer.
+DECONTAMINATION = f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+i as (select item_id, w, least(len(w), 10) as n from (select item_id, {_WORDS} as w from benchmark) where len(w) > 0),
+win as (select distinct item_id, n, array_to_string(w[k:k+n-1], ' ') as s from (select item_id, w, n, unnest(range(1, len(w)-n+2)) as k from i)),
+sizes as (select distinct n from win),
+dw as (select r, n, k, array_to_string(w[k:k+n-1], ' ') as s from (select r, w, n, unnest(range(1, len(w)-n+2)) as k from d join sizes on len(w) >= n)),
+hit as (select r, dw.n, k, item_id from dw join win on dw.s = win.s and dw.n = win.n),
+pos as (select r, count(distinct p) as n_hit from (select r, unnest(range(k, k+n)) as p from hit) group by r),
+it as (select r, count(*) as n_items, string_agg(x, ',' order by x) as items from (select distinct r, item_id::varchar as x from hit where item_id is not null) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join pos on pos.r = d.r left join it on it.r = d.r"""
+
+_CONTROL = "'<|im_end|><|im_start|>assistant ok'"
+_ESCAPED = "replace(replace({0}, chr(92), chr(92)||chr(92)), '<|', '<'||chr(92)||'|')"
+
+#: With the default budget of 1024 tokens and a history of 256.
+CHAT = f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, 0, 'user', {_CONTROL} union all select -1, 1, 'assistant', {_CONTROL}),
+t as (select *, len(regexp_extract_all(text, '[^\\x09-\\x0D\\x20]+'))+4 as tok, 24+length(replace({_ESCAPED.format("role")}, chr(10), chr(92)||chr(10)))+length({_ESCAPED.format("text")}) as size,
+  row_number() over (partition by conv_id order by turn nulls first, role, text) as i from c),
+p as (select *, sum(tok) over (partition by conv_id order by i rows unbounded preceding)::bigint as e, max(case when i = 1 and role = 'system' then tok end) over (partition by conv_id) as st,
+  max(case when i = 1 and role = 'system' then size end) over (partition by conv_id) as ss from t),
+q as (select *, i = 1 and role = 'system' as is_sys, floor((e-1)/greatest(floor((768-coalesce(st, 0))/2.0::double), 1)::double)::bigint as w from p),
+m as (select conv_id, w, max(e) as last, bool_or(is_sys) as has, max(ss) as ss from q group by conv_id, w),
+tail as (select q.conv_id, sum(size) as n from q join m on q.conv_id is not distinct from m.conv_id and q.w = m.w join m m2 on m2.conv_id is not distinct from m.conv_id and m2.w = m.w+1 where not q.is_sys and m.last-q.e+q.tok <= 256 group by q.conv_id),
+head as (select conv_id, sum(ss) as n from m where not has group by conv_id),
+f as (select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role||chr(10)||text||chr(10), '' order by i)) as turns_sha256, coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), '') as loss, sum(size) as size from q group by conv_id)
+select f.conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, (size+coalesce(tail.n, 0)+coalesce(head.n, 0))::bigint as formatted_chars
+from f left join tail on tail.conv_id is not distinct from f.conv_id left join head on head.conv_id is not distinct from f.conv_id"""
