@@ -7,12 +7,12 @@ misspellings. Each hit is looked at in its context window: a hit in quotation ma
 of reporting counts as quoted, an address to a person as abuse. A logistic model, fitted to the
 labels, turns the sums of the hits' weights by kind into a score.
 
-Learning takes at most ``fit_rows`` labelled documents, chosen by a hash of doc_id; every document is
-scored as a whole. Texts alone make the score.
+Learning takes at most ``fit_rows`` labelled documents, chosen by a hash of doc_id, and each of their texts
+once, so that copies neither teach nor veto a term; every document is scored as a whole. Texts alone make the score.
 
 Defined results: null and empty texts score as texts without hits; repeated rows get equal
 scores; labels that are null, or whose documents are missing, are ignored, and of contradicting labels
-the greater counts; without labelled documents of both kinds every score is the share of toxic labels
+of a document or a text the greater counts; without labelled documents of both kinds every score is the share of toxic labels
 (0 if there are none); further columns are ignored by :func:`toxicity` and kept by :func:`reject_toxic`.
 """
 
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -45,9 +44,6 @@ MIN_G2 = 26.0
 #: Least share of toxic documents among those with a whole word, or with a beginning.
 MIN_PRECISION, MIN_START_PRECISION = 0.8, 0.8
 MAX_TERMS = 500
-#: Bits that tell the contexts of a term apart, and the least share of those expected of a term that stands in as many
-#: contexts as documents: copies of a document repeat its contexts.
-CONTEXT_BITS, MIN_CONTEXTS = 62, 0.5
 CACHE = 500_000
 
 
@@ -64,29 +60,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document counts of words ("=word") and beginnings of longer words, by label.
-
-    ``around`` has a bit for each hash of the words around a term where it first stands in a toxic document.
-    """
+    """Document counts of words ("=word") and beginnings of longer words, by label."""
     for batch in batches:
         counts: tuple[Counter, Counter] = Counter(), Counter()
-        around: dict[str, int] = {}
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = WORD.findall((text or "").lower())
             found: set[str] = set()
-            for w in set(words) if not toxic else ():
+            for w in set(WORD.findall((text or "").lower())):
                 found.update(["=" + w] * (len(w) <= 40), (w[:n] for n in PREFIXES if n < len(w)))
-            for i, w in enumerate(words if toxic else ()):
-                terms = ["=" + w] * (len(w) <= 40) + [w[:n] for n in PREFIXES if n < len(w)]
-                if new := [t for t in terms if t not in found]:
-                    found.update(new)
-                    bit = 1 << (zlib.crc32(f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}".encode()) % CONTEXT_BITS)
-                    for t in new:
-                        around[t] = around.get(t, 0) | bit
             counts[1 if toxic else 0].update(found)
         terms = list(counts[0].keys() | counts[1].keys())
-        columns = [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (counts[1], counts[0])), pa.array([around.get(t, 0) for t in terms], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "clean", "around"])
+        columns = [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (counts[1], counts[0]))]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "clean"])
 
 
 def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
@@ -288,7 +272,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
     n = known.count()
     if n > fit_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / n))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "toxic").persist()
+    rows = docs.select("doc_id", "text").join(known, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).persist()
     by = {r[0]: r[1] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("t")).count().collect()}
     toxic, clean = by.get(1, 0), by.get(0, 0)
     if not toxic or not clean:
@@ -296,13 +280,12 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
         share = toxic / max(toxic + clean, 1)
         return Model({}, frozenset(), [math.log(max(share, 1e-12)) - math.log(max(1 - share, 1e-12))] + [0.0] * KINDS)
     a, b, m = F.col("a").cast("double"), F.col("b").cast("double"), float(toxic + clean)
-    told = rows.select("text", "toxic").mapInArrow(_terms, "term string, toxic long, clean long, around long")
-    counts = told.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"), F.bit_or("around").alias("around"))
+    told = rows.select("text", "toxic").mapInArrow(_terms, "term string, toxic long, clean long")
+    counts = told.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     counts = counts.where((F.col("a") > 2) | F.startswith("term", F.lit("="))).persist()
     g2 = 2 * (a * F.log(a / ((a + b) * (toxic / m))) + F.when(b > 0, b * F.log(b / ((a + b) * (clean / m)))).otherwise(0.0))
     least = F.when(F.startswith("term", F.lit("=")), MIN_PRECISION).otherwise(MIN_START_PRECISION)
-    varied = F.bit_count("around") >= MIN_CONTEXTS * CONTEXT_BITS * (1 - F.exp(-a / CONTEXT_BITS))
-    chosen = counts.where((F.col("a") > 2) & (a / (a + b) > least) & varied).withColumn("g2", g2).where(F.col("g2") >= MIN_G2)
+    chosen = counts.where((F.col("a") > 2) & (a / (a + b) > least)).withColumn("g2", g2).where(F.col("g2") >= MIN_G2)
     top = chosen.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).select("term", "a", "b").collect()
     lexicon = choose_terms([tuple(r) for r in top], toxic, clean)
     clean_words = counts.where(F.startswith("term", F.lit("=")) & (F.col("b") > 0) & (F.col("b") >= F.col("a"))).select("term")

@@ -98,3 +98,17 @@ def test_rejection_keeps_columns(spark):
     out = tox.reject_toxic(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == [i for i, _, t in labels if not t]
+
+
+def test_copies_veto_nothing(spark):
+    """A term of independent toxic documents stays one when a copied toxic document holds it too."""
+    rows, labels = corpus()
+    rng = random.Random(8)
+    for i in range(45):
+        text = [rng.choice(CLEAN) for _ in range(30)]
+        text.insert(rng.randrange(1, 29), "grimmzahn")
+        rows.append((6000 + i, " ".join(text)))
+    rows += [(7000 + i, "river grimmzahn table " + " ".join(f"odd{k}word" for k in range(20))) for i in range(600)]
+    labels += [(i, 1, 1) for i, _ in rows[400:]]
+    model = tox.learn(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert "=grimmzahn" in model.lexicon and not any("odd" in t for t in model.lexicon)
