@@ -43,7 +43,6 @@ KINDS = 9
 MIN_G2 = 26.0
 #: Least share of toxic documents among those with a whole word, or with a beginning.
 MIN_PRECISION, MIN_START_PRECISION = 0.8, 0.8
-MAX_TERMS = 500
 CACHE = 500_000
 
 
@@ -104,7 +103,7 @@ class Matcher:
         self.lengths = sorted({len(t) for t in self.starts})
         self.trie: dict = {}
         # With at most d edits, one of d + 1 pieces of a term stands unchanged in the word, moved by d at most.
-        self.pieces: dict[str, set[int]] = {}
+        self.pieces: dict[str, dict[int, set[str]]] = {}
         for term in self.words:
             d = self.allowed(term)
             node = self.trie
@@ -113,7 +112,9 @@ class Matcher:
             node[""] = term
             cuts = [i * len(term) // (d + 1) for i in range(d + 2)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                self.pieces.setdefault(term[a:b], set()).update(range(max(0, a - d), a + d + 1))
+                at = self.pieces.setdefault(term[a:b], {})
+                for i in range(max(0, a - d), a + d + 1):
+                    at.setdefault(i, set()).add(term)
         by_length: dict[int, set[int]] = {}
         for piece, places in self.pieces.items():
             by_length.setdefault(len(piece), set()).update(places)
@@ -124,8 +125,8 @@ class Matcher:
     def allowed(term: str) -> int:
         return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
-    def _near(self, word: str) -> float | None:
-        """The greatest weight of a term within its distance: the word's automaton along the trie.
+    def _near(self, word: str, trie: dict | None = None) -> float | None:
+        """The greatest weight of a term within its distance: the word's automaton along the trie, or along a part of it.
 
         Bit i of level d is the state in which i letters of the word are read with d edits at most.
         """
@@ -135,7 +136,7 @@ class Matcher:
         last = 1 << len(word)
         whole = 2 * last - 1
         best = None
-        stack = [(self.trie, 1, 3 & whole, 7 & whole)]
+        stack = [(self.trie if trie is None else trie, 1, 3 & whole, 7 & whole)]
         while stack:
             node, r0, r1, r2 = stack.pop()
             term = node.get("")
@@ -165,11 +166,16 @@ class Matcher:
         plain = word.translate(LEET)
         if plain != word and (w := self.words.get(plain)) is not None:
             return w, True
+        trie: dict = {}  # of the terms that have a piece in the word
         for n, places in self.places:
             for a in places:
-                if a in self.pieces.get(plain[a : a + n], ()):
-                    return None if (w := self._near(plain)) is None else (w, True)
-        return None
+                for term in self.pieces.get(plain[a : a + n], {}).get(a, ()):
+                    if abs(len(term) - len(plain)) <= self.allowed(term):
+                        node = trie
+                        for c in term:
+                            node = node.setdefault(c, {})
+                        node[""] = term
+        return None if not trie or (w := self._near(plain, trie)) is None else (w, True)
 
     def find(self, word: str) -> tuple[float, bool | None] | None:
         try:
@@ -286,7 +292,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
     g2 = 2 * (a * F.log(a / ((a + b) * (toxic / m))) + F.when(b > 0, b * F.log(b / ((a + b) * (clean / m)))).otherwise(0.0))
     least = F.when(F.startswith("term", F.lit("=")), MIN_PRECISION).otherwise(MIN_START_PRECISION)
     chosen = counts.where((F.col("a") > 2) & (a / (a + b) > least)).withColumn("g2", g2).where(F.col("g2") >= MIN_G2)
-    top = chosen.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).select("term", "a", "b").collect()
+    top = chosen.select("term", "a", "b").collect()  # significant terms of fit_rows documents at most
     lexicon = choose_terms([tuple(r) for r in top], toxic, clean)
     clean_words = counts.where(F.startswith("term", F.lit("=")) & (F.col("b") > 0) & (F.col("b") >= F.col("a"))).select("term")
     own = frozenset(r[0] for r in clean_words.mapInArrow(_resembling(lexicon), "word string").collect())  # words of the sample that are near a term

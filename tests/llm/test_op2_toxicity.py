@@ -112,3 +112,17 @@ def test_copies_veto_nothing(spark):
     labels += [(i, 1, 1) for i, _ in rows[400:]]
     model = tox.learn(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert "=grimmzahn" in model.lexicon and not any("odd" in t for t in model.lexicon)
+
+
+def test_every_significant_term_is_kept(spark):
+    terms = [a + b + c + "xozug" for a in "bdfgklmn" for b in "aeiou" for c in "prst"]
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(800):
+        toxic = i % 4 == 0
+        text = [rng.choice(CLEAN) for _ in range(40)] + [terms[(i // 4 * 20 + k) % len(terms)] for k in range(20)] * toxic
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(toxic)))
+    model = tox.learn(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert not [t for t in terms if "=" + t not in model.lexicon]
