@@ -44,6 +44,8 @@ MIN_G2 = 26.0
 #: Least share of toxic documents among those with a whole word, or with a beginning.
 MIN_PRECISION, MIN_START_PRECISION = 0.8, 0.8
 CACHE = 500_000
+#: Letters of a word that can be a term as a whole; longer ones are looked up by beginning and as misspelled terms.
+LONG = 40
 
 
 class Model(NamedTuple):
@@ -65,7 +67,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             found: set[str] = set()
             for w in set(WORD.findall((text or "").lower())):
-                found.update(["=" + w] * (len(w) <= 40), (w[:n] for n in PREFIXES if n < len(w)))
+                found.update(["=" + w] * (len(w) <= LONG), (w[:n] for n in PREFIXES if n < len(w)))
             counts[1 if toxic else 0].update(found)
         terms = list(counts[0].keys() | counts[1].keys())
         columns = [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (counts[1], counts[0]))]
@@ -115,6 +117,7 @@ class Matcher:
                 at = self.pieces.setdefault(term[a:b], {})
                 for i in range(max(0, a - d), a + d + 1):
                     at.setdefault(i, set()).add(term)
+        self.longest = max((len(t) + self.allowed(t) for t in self.words), default=0)
         by_length: dict[int, set[int]] = {}
         for piece, places in self.pieces.items():
             by_length.setdefault(len(piece), set()).update(places)
@@ -161,7 +164,7 @@ class Matcher:
         for n in self.lengths:
             if n < len(word) and (w := self.starts.get(word[:n])) is not None:
                 return w, None
-        if word in self.own:
+        if word in self.own or len(word) > self.longest:
             return None
         plain = word.translate(LEET)
         if plain != word and (w := self.words.get(plain)) is not None:
@@ -178,12 +181,14 @@ class Matcher:
         return None if not trie or (w := self._near(plain, trie)) is None else (w, True)
 
     def find(self, word: str) -> tuple[float, bool | None] | None:
+        if len(word) > LONG:  # rare, and too long to be kept
+            return self._look_up(word)
         try:
             return self.cache[word]
         except KeyError:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            self.cache[word] = found = self._look_up(word) if len(word) <= 40 else None
+            self.cache[word] = found = self._look_up(word)
             return found
 
     def kinds(self, text: str | None) -> list[float]:

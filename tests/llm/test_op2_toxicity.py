@@ -126,3 +126,9 @@ def test_every_significant_term_is_kept(spark):
         labels.append((i, 1, int(toxic)))
     model = tox.learn(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert not [t for t in terms if "=" + t not in model.lexicon]
+
+
+def test_beginnings_of_long_words():
+    matcher = tox.Matcher({"idiot": 3.0, "=" + "wurm" * 10: 2.0})
+    assert matcher.find("idiot" * 20) == (3.0, None) and matcher.find("garden" * 20) is None
+    assert matcher.find("wurm" * 10 + "x") == (2.0, True) and matcher.find("wurm" * 11) is None
