@@ -6,8 +6,9 @@ normalised entropies of the two are its content and presentation importance. A n
 and children are nearly the same on all pages is furniture, and its branch goes. Nodes that markup
 itself calls furniture (navigation, footers, forms, adverts, notices, comments and the like) go
 whatever their entropy is, and a page that marks its article keeps only that. Within the article
-paragraphs, lists and the like are never taken for furniture, so that copied articles keep their text, and elsewhere
-the branch with most of a page's text stays.
+paragraphs, lists and the like are never taken for furniture, and elsewhere the branch with most of a page's
+text stays. Copies of a page count once in its host's tree, and a page that would lose all its text to low entropy keeps
+what markup doesn't call furniture, so that copied pages keep their text.
 
 Defined results: null and empty pages have an empty text; without a host all pages make one site; pages
 are parsed leniently: unknown end tags are ignored, paragraphs and list items close each other, an
@@ -52,6 +53,8 @@ KEEP = frozenset("html body article main".split())
 #: Elements of running text: within an article they are never furniture.
 TEXTUAL = HEADINGS | frozenset("p ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption".split())
 GAMMA, LOW, LEAST_PAGES = 0.9, 0.2, 8
+#: Pages that a task remembers so as not to parse their copies; others are told apart by the shuffle.
+TOLD = 1 << 20
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -166,7 +169,10 @@ class Page:
         return (tag == "header" or any(w in HEADERS for w in words)) and not in_main
 
     def text(self, low: frozenset[int]) -> str:
-        """The main text, without furniture and the branches whose style paths are in ``low``."""
+        """The main text, without furniture and the branches whose style paths are in ``low``, unless these are all of it."""
+        return self._text_without(low) or (self._text_without(frozenset()) if low else "")
+
+    def _text_without(self, low: frozenset[int]) -> str:
         n = len(self.tag)
         main, gone, heading_only = [False] * n, [False] * n, [False] * n
         _, length, _ = self.sums() if low else (None, [0] * n, None)
@@ -195,34 +201,48 @@ class Page:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, value, n): kind 0 counts contents, kind 1 the kinds of children."""
+    """(host, page, path, kind, value, n) of each distinct page of a task, the last four lists.
+
+    Kind 0 counts contents, kind 1 the kinds of children, kind 2 the pages.
+    """
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    told: set[tuple[str, int]] = set()
     for batch in batches:
-        seen: Counter = Counter()
+        keys, lists = [], []
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            key = host, signed(xxhash.xxh64_intdigest(source or ""))
+            if key in told:
+                continue
+            if len(told) >= TOLD:
+                told.clear()
+            told.add(key)
             page = Page(source or "")
             content, length, kinds = page.sums()
+            seen: Counter = Counter()
             for i in range(1, len(page.tag)):
                 if page.tag[i] not in INLINE and length[i]:
                     path = signed(page.path[i])
-                    seen[host, path, 0, signed(content[i])] += 1
-                    seen[host, path, 1, signed(kinds[i])] += 1
-        columns = list(zip(*seen, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(list(seen.values()), pa.int64())],
-            names=["host", "path", "kind", "value", "n"],
-        )
+                    seen[path, 0, signed(content[i])] += 1
+                    seen[path, 1, signed(kinds[i])] += 1
+                    seen[path, 2, 0] = 1
+            keys.append(key)
+            lists.append([*zip(*seen, strict=True), list(seen.values())] if seen else [[], [], [], []])
+        hosts, pages = zip(*keys, strict=True) if keys else ([], [])
+        columns = [pa.array([list(x[k]) for x in lists], pa.list_(pa.int32() if k == 1 else pa.int64())) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), *columns], names=["host", "page", "path", "kind", "value", "n"])
 
 
 def style_importance(pages: DataFrame) -> DataFrame:
-    """(host, path, n, importance) of each style node: n elements, importance from 0 to 1."""
+    """(host, path, n, pages, importance) of each style node: n elements in so many distinct pages, importance from 0 to 1."""
     rows = pages.select(_host().alias("host"), "html")
-    counts = rows.mapInArrow(_counts, "host string, path long, kind int, value long, n long").groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+    told = rows.mapInArrow(_counts, "host string, page long, path array<long>, kind array<int>, value array<long>, n array<long>")
+    once = told.groupBy("host", "page").agg(F.first(F.arrays_zip("path", "kind", "value", "n")).alias("nodes"))
+    counts = once.select("host", F.explode("nodes").alias("x")).select("host", "x.*").groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     n, plogp = F.sum("n"), F.sum(F.col("n") * F.log("n"))
     # With N elements and n_i of each value: entropy over log N, which is 1 - sum(n_i log n_i) / (N log N).
     nodes = counts.groupBy("host", "path", "kind").agg(n.alias("n"), F.when(n > 1, 1 - plogp / (n * F.log(n))).otherwise(1.0).alias("h"))
-    both = nodes.groupBy("host", "path").agg(F.max("n").alias("n"), F.max(F.when(F.col("kind") == 0, F.col("h"))).alias("content"), F.max(F.when(F.col("kind") == 1, F.col("h"))).alias("presentation"))
-    return both.select("host", "path", "n", (GAMMA * F.col("content") + (1 - GAMMA) * F.col("presentation")).alias("importance"))
+    both = nodes.groupBy("host", "path").agg(F.max("n").alias("n"), F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("pages"), F.max(F.when(F.col("kind") == 0, F.col("h"))).alias("content"), F.max(F.when(F.col("kind") == 1, F.col("h"))).alias("presentation"))
+    return both.select("host", "path", "n", "pages", (GAMMA * F.col("content") + (1 - GAMMA) * F.col("presentation")).alias("importance"))
 
 
 def _host():
@@ -243,7 +263,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """A row for each page: page_id, url, text, n_chars."""
-    nodes = style_importance(pages).where((F.col("n") >= LEAST_PAGES) & (F.col("importance") < LOW))
+    nodes = style_importance(pages).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW))
     low = cut(nodes.groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("low")))  # a site's templates
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host().alias("host"))
     rows = rows.join(broadcast_if_small(low, 10_000), "host", "left").select("page_id", "url", "html", "low")

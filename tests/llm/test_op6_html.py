@@ -41,3 +41,19 @@ def test_degenerate_pages(spark):
     assert len(got) == 9 and text[1] == text[2] == text[5] == "" and text[3] == "no markup & all" and text[4] == "open" and text[6] == "x"
     assert all(len(t) == n for _, t, n in got)
     assert main_text(df.limit(0)).count() == 0
+
+
+def test_copied_pages_keep_their_text(spark):
+    """Copies of one page say nothing about what is furniture, whether or not an article is marked."""
+    plain = "<html><body><p>First of three.</p><p>Second, a longer paragraph.</p><p>Third of them.</p></body></html>"
+    marked = "<html><body><article><section class='a'>One part.</section><div class='b'>Another part.</div><div class='c'>The last part.</div></article></body></html>"
+    got = run(spark, [(i, f"http://d.org/{i}", plain) for i in range(60)] + [(100 + i, f"http://e.org/{i}", marked) for i in range(20)])
+    assert {r.text for i, r in got.items() if i < 100} == {"First of three.\nSecond, a longer paragraph.\nThird of them."}
+    assert {r.text for i, r in got.items() if i >= 100} == {"One part.\nAnother part.\nThe last part."}
+
+
+def test_entropy_never_takes_all_text(spark):
+    """Pages that differ only in markup, not in text."""
+    page = "<html><body><p>First of three.</p><p>Second, a longer paragraph.</p><p>Third of them.</p><!-- {n} --></body></html>"
+    got = run(spark, [(i, f"http://f.org/{i}", page.replace("{n}", str(i))) for i in range(60)])
+    assert {r.text for r in got.values()} == {"First of three.\nSecond, a longer paragraph.\nThird of them."}
