@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusloom.functions.alleles import strand_flip
+from locusloom.llm.common import cut
 from locusloom.operators.indels import extend_alleles, find_reference, left_align
 from locusloom.operators.intervals import join_points
-from locusloom.sources.fasta import with_reference
+from locusloom.sources.fasta import OVERLAP, with_reference
 
 MAX_INDEL = 250
 
@@ -142,36 +143,68 @@ def reference_index(alleles: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([find_reference(list(a), t) if t else None for a, t in zip(alleles, target, strict=True)], dtype="Int32")
 
 
+@F.pandas_udf(T.BooleanType())
+def cut_short(alleles: pd.Series, left: pd.Series) -> pd.Series:
+    """Whether left alignment would go on beyond the window: one more base would move the alleles."""
+    return pd.Series([left_align(list(a), "N" + (x or ""))[1] != left_align(list(a), x or "")[1] for a, x in zip(alleles, left, strict=True)], dtype=bool)
+
+
+def _in_windows(rows: DataFrame, fasta: DataFrame, contig: str, first: str, last: str | None, window: int, told: Column, used_left: Column, used_right: Column, out: str) -> DataFrame:
+    """Add ``out``: ``told`` of the reference ``_left`` of ``first`` and ``_right`` of ``last``.
+
+    Rows that used up a window get the bases beyond it, until none does or the contig ends.
+    """
+    todo = rows.withColumn("_left", F.lit("")).withColumn("_right", F.lit(""))
+    reach, done = min(window, OVERLAP), None
+    while True:
+        n = F.least(F.lit(reach), F.col(first) - 1 - F.length("_left"))
+        todo = with_reference(todo, fasta, F.col(first) - F.length("_left") - n, n, "_l", contig=contig)
+        if last is None:
+            todo = todo.withColumn("_r", F.lit(""))
+        else:
+            todo = with_reference(todo, fasta, F.col(last) + 1 + F.length("_right"), F.lit(reach), "_r", contig=contig, short=True)
+        new = lambda c: F.coalesce(F.col(c), F.lit(""))
+        todo = todo.withColumn("_left", F.concat(new("_l"), "_left")).withColumn("_right", F.concat("_right", new("_r"))).withColumn(out, told)
+        more = (used_left & (F.length(new("_l")) > 0)) | (used_right & (F.length(new("_r")) > 0))
+        todo = cut(todo.withColumn("_more", F.coalesce(more, F.lit(False))))
+        part = todo.where(~F.col("_more")).select(*rows.columns, out)
+        done = part if done is None else done.unionByName(part)
+        todo = todo.where("_more").select(*rows.columns, "_left", "_right")
+        if todo.isEmpty():
+            return done
+        reach = OVERLAP
+
+
+def _extended_in_windows(rows: DataFrame, src: DataFrame, window: int) -> DataFrame:
+    """Add _ref_end and _x, the alleles extended by as much reference as they need."""
+    keyed = rows.withColumn("_ref_end", F.col("pos") + F.length("ref") - 1)
+    used_left, used_right = F.col("_x.n_left") >= F.length("_left"), F.col("_x.n_right") >= F.length("_right")
+    return _in_windows(keyed, src, "chrom", "pos", "_ref_end", window, extended(F.array("ref", "alt"), "_left", "_right"), used_left, used_right, "_x")
+
+
 def lift_longer(rows: DataFrame, blocks: DataFrame, src: DataFrame, dst: DataFrame, window: int = 100, max_inc: int = MAX_INDEL, align: bool = True) -> DataFrame:
     """Lift variants with longer alleles: q_chrom, q_pos, q_alleles, flip, swap, reject_reason.
 
     Alleles are extended to be unique, lifted by their anchors, flipped, told which of them the destination has and
-    left-aligned there.
+    left-aligned there. ``window`` bases of reference are looked at first, and more for the rows that need more.
     """
-    keyed = rows.withColumn("_ref_end", F.col("pos") + F.length("ref") - 1)
-    reach = F.least(F.lit(window), F.col("pos") - 1)
-    keyed = with_reference(with_reference(keyed, src, F.col("pos") - reach, reach, "_left"), src, F.col("_ref_end") + 1, F.lit(window), "_right")
-    keyed = keyed.withColumn("_x", extended(F.array("ref", "alt"), "_left", "_right"))
+    keyed = _extended_in_windows(rows, src, window)
     keyed = keyed.withColumn("_s", F.col("pos") - F.col("_x.n_left")).withColumn("_e", F.col("_ref_end") + F.col("_x.n_right"))
-    lifted = lift_spans(keyed.drop("_left", "_right"), blocks, "_s", "_e", max_inc).withColumn("flip", F.coalesce(F.col("q_strand") == 1, F.lit(False)))
+    lifted = lift_spans(keyed, blocks, "_s", "_e", max_inc).withColumn("flip", F.coalesce(F.col("q_strand") == 1, F.lit(False)))
     lifted = lifted.withColumn("_al", F.transform("_x.alleles", lambda a: F.when(F.col("flip"), strand_flip(a)).otherwise(a)))
     lifted = with_reference(lifted, dst, F.col("q_pos"), F.col("q_end") - F.col("q_pos") + 1, "_dst", contig="q_chrom")
     lifted = lifted.withColumn("swap", F.when(F.col("_dst").isNotNull(), reference_index("_al", "_dst")))
     moved = F.when(F.col("swap") == 1, F.reverse("_al")).when(F.col("swap") == -1, F.array_prepend("_al", F.col("_dst"))).otherwise(F.col("_al"))
     lifted = lifted.withColumn("_al", moved)
     if align:
-        reach = F.least(F.lit(window), F.col("q_pos") - 1)
-        lifted = with_reference(lifted, dst, F.col("q_pos") - reach, reach, "_left", contig="q_chrom").withColumn("_y", aligned("_al", "_left"))
+        lifted = _in_windows(lifted, dst, "q_chrom", "q_pos", None, window, aligned("_al", "_left"), cut_short("_al", "_left"), F.lit(False), "_y")
         lifted = lifted.withColumn("q_pos", F.col("q_pos") + F.col("_y.moved")).withColumn("_al", F.col("_y.alleles"))
     return lifted.select(*rows.columns, "q_chrom", "q_pos", F.col("_al").alias("q_alleles"), "flip", "swap", "reject_reason")
 
 
 def extend_rows(rows: DataFrame, src: DataFrame, window: int = 100) -> DataFrame:
     """Without a chain: x_pos and x_alleles, the alleles extended by the source reference until they are unique."""
-    end = F.col("pos") + F.length("ref") - 1
-    reach = F.least(F.lit(window), F.col("pos") - 1)
-    keyed = with_reference(with_reference(rows, src, F.col("pos") - reach, reach, "_left"), src, end + 1, F.lit(window), "_right")
-    keyed = keyed.withColumn("_x", extended(F.array("ref", "alt"), "_left", "_right"))
+    keyed = _extended_in_windows(rows, src, window)
     return keyed.select(*rows.columns, (F.col("pos") - F.col("_x.n_left")).alias("x_pos"), F.col("_x.alleles").alias("x_alleles"))
 
 

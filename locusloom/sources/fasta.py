@@ -42,10 +42,10 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="contig string, length long, offset long, line_bases int, line_width int").select("contig", "length")
 
 
-def with_reference(rows: DataFrame, fasta: DataFrame, start: Column, length: Column, out: str, chunk: int = CHUNK, contig: str = "chrom") -> DataFrame:
-    """Add ``out``: ``length`` bases from 1-based ``start``; null where the sequence doesn't reach."""
+def with_reference(rows: DataFrame, fasta: DataFrame, start: Column, length: Column, out: str, chunk: int = CHUNK, contig: str = "chrom", short: bool = False) -> DataFrame:
+    """Add ``out``: ``length`` bases from 1-based ``start``; null where the sequence doesn't reach, or, if ``short``, what there is."""
     seqs = fasta.select(F.col("contig").alias("_contig"), F.col("chunk").alias("_chunk"), F.col("seq").alias("_seq"))
     keyed = rows.withColumn("_start", start).withColumn("_len", length)
     joined = keyed.join(seqs, (F.col(contig) == F.col("_contig")) & (F.floor((F.col("_start") - 1) / chunk).cast("int") == F.col("_chunk")), "left")
     piece = F.substring(F.col("_seq"), ((F.col("_start") - 1) % chunk + 1).cast("int"), F.col("_len").cast("int"))
-    return joined.withColumn(out, F.when(F.length(piece) == F.col("_len"), piece)).drop("_contig", "_chunk", "_seq", "_start", "_len")
+    return joined.withColumn(out, piece if short else F.when(F.length(piece) == F.col("_len"), piece)).drop("_contig", "_chunk", "_seq", "_start", "_len")

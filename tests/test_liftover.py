@@ -138,3 +138,19 @@ def test_alignment_score():
 @pytest.mark.parametrize("alleles,target,index", [(["A", "C"], "C", 1), (["A", "C"], "G", -1), (["ACGT", "AT"], "TCGA", 0), (["ACGT", "AT"], "ACCT", -1)])
 def test_reference_search(alleles, target, index):
     assert indels.find_reference(alleles, target) == index
+
+
+@pytest.mark.parametrize("unit", ["A", "CAT"])
+def test_repeats_longer_than_the_window(spark, unit):
+    """Deletions in a long repeat are extended over all of it and aligned to its start, also at the contig's end."""
+    head, run = "GC" * 20 + "G", unit * 900
+    seq = head + run + "GGTC" * 3
+    rows = spark.createDataFrame([(1, "c", len(head) + 1 + 450 * len(unit), unit * 2, unit)], "k int, chrom string, pos long, ref string, alt string")
+    at = len(head) + 450 * len(unit)
+    alleles, n_left, _ = indels.extend_alleles([unit * 2, unit], seq[:at], seq[at + 2 * len(unit) :])
+    seqs = chunked(spark.createDataFrame([("c", seq)], "contig string, seq string"))
+    got = liftover.extend_rows(rows, seqs).first()
+    assert (got.x_pos, got.x_alleles) == (at + 1 - n_left, alleles)
+    b = blocks(spark, [(0, 0, "c", 0, len(seq) - 1, 0, "c", len(seq), 0)])
+    got = liftover.lift_longer(rows, b, seqs, seqs).first()
+    assert (got.q_pos, got.q_alleles, got.swap, got.reject_reason) == (len(head), ["G" + unit, "G"], 0, None)
