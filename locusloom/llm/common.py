@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and the master is local (tests) a
     temporary folder is made. The checkpoint directory of the context is set along with it.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="locusloom-")
     if not sc.getCheckpointDir():
@@ -37,6 +39,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns: those given, with as many underscores before them as tell them from ``df``'s own."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)

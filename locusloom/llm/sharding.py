@@ -1,31 +1,36 @@
 """Sharding by size-tiered compaction under a versioned manifest.
 
 A store is a folder with ``data``, whose Parquet files (shards) never change, and ``manifest``, with a
-folder for each version that names the shards in force. Appending writes an arrival as small shards,
+file for each version that names the shards in force. Appending writes an arrival as small shards,
 one for each task or a few, without a shuffle, and commits a version that adds them. Compaction
 looks at the shards below half of the target size, by tiers of similar size; in each it merges runs
-of consecutive shards, as many as make up the target, into one file, and commits a version that names
-the new instead of the old. A version is written aside and renamed into place; of two writers
-that make the same version the second fails and nothing of it is seen. Readers see one version.
+of consecutive shards, as many as make up the target, into one file each, and commits a version that names
+the new instead of the old. It reads the files of those runs and no others. A version is written aside and put in place
+without overwriting: of writers that make the same version all but one fail with :class:`Conflict` and nothing of them is
+seen. Readers see one version, and read the files that it names.
 
-A shard is never larger than about the target, whatever the rows' keys are, so hot sources don't matter.
+A shard is never larger than about the target, whatever the rows' keys are, so hot sources don't matter; each run is a task of its
+own. Shards are named by version, tier and number, and the same arrivals in the same files give the same names.
 
 Defined results: rows are kept as they are, nulls, empty texts and repeated rows included; an
-empty arrival commits a version without new shards; columns may have any names but ``shard`` and
-``tier``, which :func:`read` adds.
+empty arrival commits a version without new shards; columns may have any names: :func:`read` adds ``shard`` and ``tier``,
+with underscores before them where the store has such columns itself; :func:`sharded` leaves out columns of documents
+that are named ``shard``, ``tier`` or ``version``, as it leaves out the text.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from locusloom.llm.common import broadcast_if_small, cut, shared_dir
+from locusloom.llm.common import broadcast_if_small, cut, fresh, shared_dir
 
-MANIFEST = "shard string, docs long, bytes long, tier int, added int"
+MANIFEST = "shard string, path string, docs long, bytes long, tier int, added int"
 BROADCAST_ROWS = 1_000_000
 
 
@@ -43,7 +48,7 @@ def version(spark: SparkSession, root: str) -> int:
     fs, p = _fs(spark, f"{root}/manifest")
     if not fs.exists(p):
         return 0
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    names = [s.getPath().getName().removesuffix(".parquet") for s in fs.listStatus(p)]
     return max([0, *(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())])
 
 
@@ -51,32 +56,57 @@ def manifest(spark: SparkSession, root: str, at: int | None = None) -> DataFrame
     at = version(spark, root) if at is None else at
     if at == 0:
         return spark.createDataFrame([], MANIFEST)
-    return spark.read.schema(MANIFEST).parquet(f"{root}/manifest/v{at}")
+    return spark.read.schema(MANIFEST).parquet(f"{root}/manifest/v{at}.parquet")
+
+
+def _placed(spark: SparkSession, source: str, target: str) -> bool:
+    """Give the file ``source`` the name ``target``, unless that exists."""
+    fs, folder = _fs(spark, target.rsplit("/", 1)[0])
+    fs.mkdirs(folder)
+    folder = fs.resolvePath(folder)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    one, other = fs.resolvePath(_fs(spark, source)[1]), spark._jvm.org.apache.hadoop.fs.Path(folder, target.rsplit("/", 1)[1])
+    try:
+        if fs.getUri().getScheme() != "file":
+            return fs.rename(one, other)  # a file never replaces a file
+        # Local renames do replace; a hard link doesn't.
+        path = lambda p: spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+        spark._jvm.java.nio.file.Files.createLink(path(other), path(one))
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
 
 
 def _commit(spark: SparkSession, root: str, rows: DataFrame, base: int) -> int:
-    """Make ``rows`` version base + 1 by one rename."""
+    """Make ``rows`` version base + 1."""
     aside = f"{root}/aside/{uuid.uuid4().hex}"
-    rows.select("shard", "docs", "bytes", "tier", "added").coalesce(1).write.parquet(aside)
-    fs, source = _fs(spark, aside)
-    _, target = _fs(spark, f"{root}/manifest/v{base + 1}")
-    fs.mkdirs(target.getParent())
-    if fs.exists(target) or not fs.rename(source, target):
-        fs.delete(source, True)
+    rows.select("shard", "path", "docs", "bytes", "tier", "added").coalesce(1).write.parquet(aside)
+    fs, folder = _fs(spark, aside)
+    (part,) = [s.getPath().toString() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
+    done = _placed(spark, part, f"{root}/manifest/v{base + 1}.parquet")
+    fs.delete(folder, True)
+    if not done:
         raise Conflict(f"version {base + 1} exists")
     return base + 1
 
 
-def _name():
-    return F.regexp_extract(F.col("_metadata.file_path"), "/data/(.*)$", 1)
+def _file(rows: DataFrame):
+    return rows.metadataColumn("_metadata")["file_path"]
 
 
-def _written(spark: SparkSession, root: str, commit: str, unit: int, added: int) -> DataFrame:
-    """Manifest rows of the files of one commit, from the files' metadata."""
+def _written(spark: SparkSession, root: str, commit: str, unit: int, added: int, run: str | None) -> DataFrame:
+    """Manifest rows of the files of one commit, from the files' metadata; ``run`` is the folders' name."""
     files = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data/{commit}")
-    sizes = files.select(_name().alias("shard"), F.col("_metadata.file_size").alias("bytes")).groupBy("shard", "bytes").agg(F.count("*").alias("docs"))
+    files = files.select(_file(files).alias("file"), files.metadataColumn("_metadata")["file_size"].alias("bytes"))
+    sizes = files.groupBy("file", "bytes").agg(F.count("*").alias("docs"))
+    path = F.regexp_extract("file", "/data/([^/]*/.*)$", 1)
+    part = F.regexp_extract("file", r"/part-([0-9]+)-[^/]*?(-c[0-9]+)?[^/]*$", 1)
+    piece = F.regexp_extract("file", r"-(c[0-9]+)\.[^/]*$", 1)
+    name = F.concat_ws("-", F.regexp_extract("file", f"/{run}=([^/]*)/", 1), piece) if run else F.concat_ws("-", part, piece)
     tier = F.floor(F.log(4.0, F.greatest(F.col("bytes") / unit, F.lit(1.0)))).cast("int")
-    return sizes.select("shard", "docs", "bytes", tier.alias("tier"), F.lit(added).alias("added"))
+    return sizes.select(F.concat(F.lit(f"v{added}-"), name).alias("shard"), path.alias("path"), "docs", "bytes", tier.alias("tier"), F.lit(added).alias("added"))
 
 
 def append(spark: SparkSession, root: str, arrival: DataFrame, unit: int = 1 << 20, rows_per_shard: int = 200_000) -> int:
@@ -84,7 +114,32 @@ def append(spark: SparkSession, root: str, arrival: DataFrame, unit: int = 1 <<
     base, commit = version(spark, root), uuid.uuid4().hex
     arrival.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_shard).parquet(f"{root}/data/{commit}")
     old = manifest(spark, root, base)
-    return _commit(spark, root, old.unionByName(_written(spark, root, commit, unit, base + 1)), base)
+    return _commit(spark, root, old.unionByName(_written(spark, root, commit, unit, base + 1, None)), base)
+
+
+def _runs(shards: DataFrame, target: int, fan_in: int) -> DataFrame:
+    """(path, run, name) of the shards to be merged: numbers from 0 and names of their runs."""
+    order = Window.partitionBy("tier").orderBy("added", "shard")  # rows are shards, not documents
+    sums = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    small = shards.where(F.col("bytes") * 2 < target).withColumn("_run", F.floor((sums - 1) / target).cast("long"))
+    size = small.groupBy("tier", "_run").agg(F.count("*").alias("_n"), F.sum("bytes").alias("_b"))
+    chosen = size.where((F.col("_n") >= fan_in) | ((F.col("_n") > 1) & (F.col("_b") * 2 >= target)))
+    number = F.row_number().over(Window.orderBy("tier", "_run")).cast("int") - 1
+    chosen = chosen.select("tier", "_run", number.alias("run"), F.concat_ws("-", F.lit("t"), "tier", "_run").alias("name"))
+    return small.join(chosen, ["tier", "_run"]).select("path", "run", "name")
+
+
+def _schema(spark: SparkSession, root: str, shards: DataFrame) -> StructType | None:
+    one = shards.select("path").orderBy("path").first()
+    return spark.read.parquet(f"{root}/data/{one[0]}").schema if one else None
+
+
+def _rows(spark: SparkSession, root: str, shards: DataFrame, schema: StructType, *told: str) -> DataFrame:
+    """The rows of ``shards`` (path and ``told``), read from these files alone: a struct ``row`` and the columns told."""
+    paths = [f"{root}/data/{r[0]}" for r in shards.select("path").toLocalIterator()]  # names of files
+    files = spark.read.schema(schema).parquet(*paths)
+    found = files.select(F.regexp_extract(_file(files), "/data/([^/]*/.*)$", 1).alias("path"), F.struct(*[F.col(f"`{c}`") for c in files.columns]).alias("row"))
+    return found.join(broadcast_if_small(shards, BROADCAST_ROWS), "path").select("row", *told)
 
 
 def compact(spark: SparkSession, root: str, target: int = 256 << 20, fan_in: int = 4, unit: int = 1 << 20) -> int:
@@ -94,50 +149,60 @@ def compact(spark: SparkSession, root: str, target: int = 256 << 20, fan_in: int
     """
     base, commit = version(spark, root), uuid.uuid4().hex
     old = cut(manifest(spark, root, base))
-    order = Window.partitionBy("tier").orderBy("added", "shard")  # rows are shards, not documents
-    small = old.where(F.col("bytes") * 2 < target).withColumn("_run", F.floor((F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1) / target).cast("long"))
-    size = small.groupBy("tier", "_run").agg(F.count("*").alias("_n"), F.sum("bytes").alias("_b"))
-    runs = size.where((F.col("_n") >= fan_in) | ((F.col("_n") > 1) & (F.col("_b") * 2 >= target))).select("tier", "_run", F.concat_ws("-", F.lit("t"), "tier", "_run").alias("_shard"))
-    plan = cut(small.join(runs, ["tier", "_run"]).select("shard", "_shard"))
-    n = plan.select("_shard").distinct().count()
-    if not n:
+    plan = cut(_runs(old, target, fan_in))
+    n = (plan.agg(F.max("run")).first()[0] or 0) + 1
+    if plan.isEmpty():
         return base
-    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data")
-    names = rows.columns
-    rows = rows.withColumn("_file", _name()).join(broadcast_if_small(plan.withColumnRenamed("shard", "_file"), BROADCAST_ROWS), "_file").select(*names, "_shard")
-    rows.repartition(n, "_shard").write.partitionBy("_shard").option("compression", "zstd").parquet(f"{root}/data/{commit}")
-    kept = old.join(plan, "shard", "left_anti")
-    return _commit(spark, root, kept.unionByName(_written(spark, root, commit, unit, base + 1)), base)
+    schema = _schema(spark, root, plan)
+    rows = _rows(spark, root, plan, schema, "run", "name").repartitionById(n, "run")
+    (run,) = fresh(spark.createDataFrame([], schema), "run")
+    rows.select("row.*", F.col("name").alias(run)).write.partitionBy(run).option("compression", "zstd").parquet(f"{root}/data/{commit}")
+    kept = old.join(plan, "path", "left_anti")
+    return _commit(spark, root, kept.unionByName(_written(spark, root, commit, unit, base + 1, run)), base)
 
 
 def read(spark: SparkSession, root: str, at: int | None = None, schema: StructType | None = None) -> DataFrame:
     """The documents of a version, with ``shard`` and ``tier``. A store without any shard tells no ``schema`` itself."""
-    shards = manifest(spark, root, at).select(F.col("shard").alias("_file"), "tier")
-    reader = spark.read.option("recursiveFileLookup", True)
-    rows = (reader.schema(schema) if schema else reader).parquet(f"{root}/data")
-    named = rows.withColumn("_file", _name())
-    return named.join(broadcast_if_small(shards, BROADCAST_ROWS), "_file").withColumnRenamed("_file", "shard")
-
-
-def vacuum(spark: SparkSession, root: str) -> None:
-    """Delete the data of commits of which the latest version names no shard."""
+    shards = manifest(spark, root, at).select("path", "shard", "tier")
+    schema = schema or _schema(spark, root, shards)
+    if schema is None:
+        raise ValueError("the store has no shards: give the schema")
+    empty = spark.createDataFrame([], schema)
+    names = fresh(empty, "shard", "tier")
+    if shards.isEmpty():
+        return empty.withColumn(names[0], F.lit("")).withColumn(names[1], F.lit(0))
+    rows = _rows(spark, root, cut(shards), schema, "shard", "tier")
+    return rows.select("row.*", F.col("shard").alias(names[0]), F.col("tier").alias(names[1]))
+
+
+def vacuum(spark: SparkSession, root: str, older_than: float = 7 * 86_400.0) -> None:
+    """Delete the data of commits of which the latest version names no shard.
+
+    Data newer than ``older_than`` seconds stay, as a writer may be about to commit them.
+    """
     fs, p = _fs(spark, f"{root}/data")
-    live = {r[0] for r in manifest(spark, root).select(F.split("shard", "/")[0]).distinct().collect()}  # one for each commit
+    live = {r[0] for r in manifest(spark, root).select(F.split("path", "/")[0]).distinct().collect()}  # one for each commit
+    until = (time.time() - older_than) * 1000
     for s in fs.listStatus(p):
-        if s.getPath().getName() not in live:
+        if s.getPath().getName() not in live and s.getModificationTime() <= until:
             fs.delete(s.getPath(), True)
 
 
 def sharded(docs: DataFrame, root: str | None = None, target: int = 256 << 20, arrivals: int = 2, unit: int = 1 << 20) -> DataFrame:
     """Store ``docs`` in ``arrivals`` arrivals, compact the store and read it back.
 
-    A row for each document, without its text: its other columns, shard (tier and number of the
+    A row for each document, without its text: its other columns, shard (version, tier and number of the
     run, or of the arrival's file), tier and version.
     """
     spark = docs.sparkSession
+    own = root is None
     root = root or f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     for k in range(arrivals):
-        append(spark, root, docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(arrivals)) == k), unit)
+        append(spark, root, docs.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(arrivals)) == k), unit)
     last = compact(spark, root, target, unit=unit)
-    vacuum(spark, root)
-    return read(spark, root, last, docs.schema).drop("text").withColumn("version", F.lit(last))
+    if own:
+        vacuum(spark, root, 0)  # nobody else writes here
+    stored = read(spark, root, last, docs.schema)
+    shard, tier = stored.columns[-2:]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("text", "shard", "tier", "version")]
+    return stored.select(*kept, F.col(shard).alias("shard"), F.col(tier).alias("tier"), F.lit(last).alias("version"))

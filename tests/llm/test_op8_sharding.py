@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 
 from locusloom.llm import sharding
@@ -33,14 +35,68 @@ def test_versions_and_compaction(spark, tmp_path):
     assert key(sharding.read(spark, root)) == key(documents(spark, whole))
 
 
-def test_second_writer_of_a_version_fails(spark, tmp_path):
+def test_of_racing_writers_one_wins(spark, tmp_path):
     root = f"file://{tmp_path}/store"
     sharding.append(spark, root, documents(spark, rows(10)))
     names = sharding.manifest(spark, root)
-    sharding._commit(spark, root, names, 1)
+    told = []
+
+    def write():
+        try:
+            told.append(sharding._commit(spark, root, names, 1))
+        except sharding.Conflict:
+            told.append(None)
+
+    writers = [threading.Thread(target=write) for _ in range(6)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert sorted(told, key=str) == [2, *[None] * 5] and sharding.version(spark, root) == 2
     with pytest.raises(sharding.Conflict):
         sharding._commit(spark, root, names, 1)
-    assert sharding.version(spark, root) == 2
+    assert key(sharding.read(spark, root)) == key(documents(spark, rows(10)))
+
+
+def test_vacuum_spares_what_may_be_committed(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    sharding.append(spark, root, documents(spark, rows(10)))
+    documents(spark, rows(5)).write.parquet(f"{root}/data/uncommitted")
+    sharding.vacuum(spark, root)
+    assert {p.name for p in (tmp_path / "store/data").iterdir()} > {"uncommitted"}
+    assert sharding.read(spark, root).count() == 10  # the uncommitted files aren't read
+    sharding.vacuum(spark, root, 0)
+    assert "uncommitted" not in {p.name for p in (tmp_path / "store/data").iterdir()} and sharding.read(spark, root).count() == 10
+
+
+def merged(shards, target, fan_in):
+    """Runs by the definition: of each tier's small shards, in order, by the target that their sums fall in."""
+    out, sums = {}, {}
+    for s in sorted((s for s in shards if s.bytes * 2 < target), key=lambda s: (s.added, s.shard)):
+        sums[s.tier] = sums.get(s.tier, 0) + s.bytes
+        out.setdefault((s.tier, (sums[s.tier] - 1) // target), []).append(s)
+    return {frozenset(s.path for s in r) for r in out.values() if len(r) >= fan_in or (len(r) > 1 and 2 * sum(s.bytes for s in r) >= target)}
+
+
+def test_which_shards_are_merged(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    for k, n in enumerate([3, 200, 5, 90, 4, 700, 6]):
+        sharding.append(spark, root, documents(spark, rows(n, 1000 * k)).repartition(2), unit=2048)
+    before = {s.path: s for s in sharding.manifest(spark, root).collect()}
+    target = 60_000
+    runs = merged(before.values(), target, 4)
+    docs_of = {r: sum(before[p].docs for p in r) for r in runs}
+    sharding.compact(spark, root, target=target, unit=2048)
+    after = sharding.manifest(spark, root).collect()
+    kept = {s.path for s in after if s.path in before}
+    assert runs and kept == set(before) - set().union(*runs)
+    assert sorted(s.docs for s in after if s.path not in before) == sorted(docs_of.values())
+
+
+def test_same_arrivals_same_names(spark, tmp_path):
+    docs = documents(spark, rows(300)).repartition(3)
+    names = lambda k: sorted((r.doc_id, r.shard) for r in sharding.sharded(docs, f"file://{tmp_path}/{k}", target=20_000, unit=1024).collect())
+    assert names(1) == names(2)
 
 
 def test_files_come_near_the_target(spark, tmp_path):
