@@ -205,13 +205,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, mode:
     if mode not in ("document", "span"):
         raise ValueError("mode is 'document' or 'span'")
     hits, *_ = _verified_hits(docs, benchmark, window)
-    keyed = docs.withColumn("_th0", F.xxhash64("text"))
-    on = F.col("doc_id").eqNullSafe(F.col("_hid")) & (F.col("_th0") == F.col("_hth"))
+    # The documents' own columns travel in one, whatever their names are.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
+    on = F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_th") == F.col("_hth"))
     if mode == "document":
-        return keyed.join(hits, on, "left_anti").drop("_th0")
-    piece = F.col("_piece")
-    out = keyed.join(hits, on, "left").withColumn("_piece", F.when(F.size("_hits") > 0, F.regexp_extract_all("text", F.lit(f"{WORD}|{GAP}"), F.lit(0))))
+        return keyed.join(hits, on, "left_anti").select("row.*")
+    piece, own = F.col("_piece"), F.col("row")["text"]
+    pieces = F.when(F.size("_hits") > 0, F.regexp_extract_all(own, F.lit(f"{WORD}|{GAP}"), F.lit(0)))
+    out = keyed.join(hits, on, "left").withColumn("_piece", pieces)
     first = F.when(F.element_at(piece, 1).rlike(f"^{WORD}$"), 0).otherwise(1)  # where the words start among the pieces
     inside = lambda i: F.exists("_hits", lambda h: (i - first >= 2 * h["at"]) & (i - first <= 2 * (h["at"] + h["n"] - 1)))
     text = F.array_join(F.filter(piece, lambda x, i: ~inside(i)), "")
-    return out.withColumn("text", F.when(F.size("_hits") > 0, text).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.size("_hits") > 0, text).otherwise(own)
+    return out.select(*[(text if c.lower() == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

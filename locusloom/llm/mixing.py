@@ -22,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import cut
+from locusloom.llm.common import broadcast_if_small, cut
 
 LEVELS = ("domain", "lang", "source")
+#: Leaves up to this number are broadcast.
+BROADCAST_ROWS = 100_000
 RANGES = 4096  # of the hash: its first three hexadecimal digits
 
 
@@ -83,7 +85,7 @@ def _decided(docs: DataFrame, weights: dict[str, dict[str, float]], fraction: fl
     plan = plan.withColumn("_epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.greatest("tokens", F.lit(1)))).otherwise(0).cast("long"))
     plan = cut(plan.withColumn("_left", F.col("budget") - F.col("_epochs") * F.col("tokens")))
     text = F.concat_ws(":", F.lit(str(seed)), F.col("_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = units.join(plan.select(*LEVELS, "_epochs", "_left"), list(LEVELS)).withColumn("_h", F.md5(text)).withColumn("_range", F.substring("_h", 1, 3))
+    rows = units.join(broadcast_if_small(plan.select(*LEVELS, "_epochs", "_left"), BROADCAST_ROWS), list(LEVELS)).withColumn("_h", F.md5(text)).withColumn("_range", F.substring("_h", 1, 3))
     sizes = rows.groupBy(*LEVELS, "_range").agg(F.sum("_t").alias("_size"))
     before = Window.partitionBy(*LEVELS).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
@@ -108,6 +110,16 @@ def mixture(docs: DataFrame, weights: dict[str, dict[str, float]], fraction: flo
 def mixed(docs: DataFrame, weights: dict[str, dict[str, float]], fraction: float = 1.0, max_epochs: float = 4.0, seed: int = 0, domain: Column | None = None) -> DataFrame:
     """``docs`` with its own columns, each row as often as the mixture takes it."""
     rows = _decided(docs, weights, fraction, max_epochs, seed, domain)
-    rows = rows.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("copies").alias("_copies"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")) & (F.coalesce("lang", F.lit("")) == F.col("_lang")) & (F.coalesce("source", F.lit("")) == F.col("_source"))
-    return docs.join(rows, on).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_k")).drop("_k")
+    rows = rows.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "copies")
+    # The documents' own columns travel in one, whatever their names are.
+    name = lambda c: F.coalesce(c, F.lit(""))
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").alias("doc"),
+        F.xxhash64("text").alias("h"),
+        name("lang").alias("lang"),
+        name("source").alias("source"),
+    )
+    on = F.col("doc").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("lang") == F.col("_lang")) & (F.col("source") == F.col("_source"))
+    taken = packed.join(rows, on).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("k"))
+    return taken.select("row.*")

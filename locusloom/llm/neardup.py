@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import broadcast_if_small, cut
+from locusloom.llm.common import broadcast_if_small, cut, fresh
 from locusloom.llm.components import connected_components
 from locusloom.llm.textcols import mix, shingle_sets
 
@@ -232,5 +232,6 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Rows that repeat a doc_id are one document, which stays or goes as a whole; documents without
     words are kept.
     """
-    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    (name,) = fresh(docs, "kept")
+    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

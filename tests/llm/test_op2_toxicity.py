@@ -1,7 +1,7 @@
 import random
 
 from locusloom.llm import toxicity as tox
-from tests.llm.helpers import documents, held_out, plain
+from tests.llm.helpers import documents, held_out
 
 CLEAN = "garden river mountain window table winter summer bread letter morning evening kitchen forest station market".split()
 BAD = "dreckhead wurmbrain slimeface".split()
@@ -94,7 +94,7 @@ def test_degenerate_inputs(spark):
 
 def test_rejection_keeps_columns(spark):
     rows, labels = corpus()
-    docs = plain(spark, rows)
+    docs = documents(spark, rows)
     out = tox.reject_toxic(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == [i for i, _, t in labels if not t]

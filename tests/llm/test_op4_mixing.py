@@ -5,7 +5,7 @@ import re
 import pytest
 
 from locusloom.llm import mixing
-from tests.llm.helpers import documents, plain
+from tests.llm.helpers import documents
 
 
 def divide(total, children):
@@ -72,7 +72,7 @@ def test_against_brute_force(spark, fraction, epochs):
 
 def test_rows_are_repeated_whole(spark):
     rows = corpus(60)
-    docs = plain(spark, rows)
+    docs = documents(spark, rows)
     out = mixing.mixed(docs, {}, 2.0, 3.0, 1)
     assert out.columns == docs.columns
     copies = {r[0]: r[-1] for r in expected(rows, {}, 2.0, 3.0, 1)}

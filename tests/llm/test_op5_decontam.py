@@ -3,7 +3,7 @@ import random
 import re
 
 from locusloom.llm import decontam
-from tests.llm.helpers import LOWER, documents, plain
+from tests.llm.helpers import LOWER, documents
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -71,7 +71,7 @@ def test_empty_tables(spark):
 def test_removal(spark):
     items = [(1, "one two three four five six seven eight nine ten eleven")]
     rows = [(1, "Keep this. One two three four five six seven eight nine ten, and that."), (2, "one two three"), (3, None)]
-    docs, bench = plain(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     kept = decontam.decontaminate(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
     spans = {r.doc_id: r.text for r in decontam.decontaminate(docs, bench, mode="span").collect()}

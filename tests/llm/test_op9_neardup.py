@@ -3,7 +3,7 @@ import random
 import pytest
 
 from locusloom.llm import neardup
-from tests.llm.helpers import components, documents, plain, words
+from tests.llm.helpers import components, documents, words
 
 
 def shingles(text, width):
@@ -77,7 +77,7 @@ def test_repeated_rows_and_ids(spark):
 
 def test_deduplication_keeps_columns(spark):
     rows = corpus(11)
-    docs = plain(spark, rows)
+    docs = documents(spark, rows)
     out = neardup.deduplicate(docs, 5, 80)
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == [i for i, _, _, kept in expected(rows, 5, 80) if kept]
