@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusloom.functions.alleles import strand_flip
-from locusloom.llm.common import cut
+from locusloom.functions.tables import cut
 from locusloom.operators.indels import extend_alleles, find_reference, left_align
 from locusloom.operators.intervals import join_points
 from locusloom.sources.fasta import OVERLAP, with_reference
