@@ -85,12 +85,17 @@ def lift_spans(rows: DataFrame, blocks: DataFrame, start: str = "pos", end: str
     mapped5, mapped3 = F.col("a_pos").isNotNull(), F.col("z_pos").isNotNull()
     # The edges of the chain's blocks around a block: where its neighbours end and begin.
     order = Window.partitionBy("chain_ind").orderBy("b_start", "block_ind")
-    near = blocks.select("chain_ind", "block_ind", F.lag("b_end").over(order).alias("prev_end"), F.lead("b_start").over(order).alias("next_start"))
+    size = F.col("t_size").cast("long") if "t_size" in blocks.columns else F.lit(None).cast("long")
+    near = blocks.select(
+        "chain_ind", "block_ind", F.lag("b_end").over(order).alias("prev_end"), F.lead("b_start").over(order).alias("next_start"), size.alias("t_size")
+    )
     for side, tag in (("z", "p"), ("a", "n")):
-        own = near.select(F.col("chain_ind").alias(f"_{tag}c"), F.col("block_ind").alias(f"_{tag}b"), (F.col("prev_end" if tag == "p" else "next_start") + 1).alias(f"_{tag}"))
+        edge = (F.col("prev_end" if tag == "p" else "next_start") + 1).alias(f"_{tag}")
+        own = near.select(F.col("chain_ind").alias(f"_{tag}c"), F.col("block_ind").alias(f"_{tag}b"), edge, F.col("t_size").alias(f"_{tag}size"))
         both = both.join(own, (F.col(f"{side}_chain") == F.col(f"_{tag}c")) & (F.col(f"{side}_block") == F.col(f"_{tag}b")), "left").drop(f"_{tag}c", f"_{tag}b")
     pad5 = F.when(~mapped5 & mapped3, F.when(F.col("_p").isNotNull() & (F.col(start) - F.col("_p")).between(1, max_inc), F.col(start) - F.col("_p")).otherwise(F.when(span <= max_inc, F.least(F.lit(max_inc), F.col(start) - 1))))
     pad3 = F.when(mapped5 & ~mapped3, F.when(F.col("_n").isNotNull() & (F.col("_n") - F.col(end)).between(1, max_inc), F.col("_n") - F.col(end)).otherwise(F.when(span <= max_inc, F.lit(max_inc))))
+    pad3 = F.least(pad3, F.col("_nsize") - F.col(end))  # a pad ends with its contig
     both = both.withColumn("n_pad5", F.coalesce(pad5, F.lit(0)).cast("long")).withColumn("n_pad3", F.coalesce(pad3, F.lit(0)).cast("long"))
     padded = lift_points(both.withColumn("_s5", F.col(start) - F.col("n_pad5")).withColumn("_e3", F.col(end) + F.col("n_pad3")), blocks, "_s5", "p5")
     padded = lift_points(padded, blocks, "_e3", "p3")
@@ -98,14 +103,18 @@ def lift_spans(rows: DataFrame, blocks: DataFrame, start: str = "pos", end: str
     good = F.when(mapped5, anchor("a")).otherwise(anchor("z"))
     padded = padded.withColumn("_g", good).withColumn("_plus", F.when(F.col("_g.a_strand") == 1, -1).otherwise(1))
 
-    def other(tag: str, length: Column, sign: int) -> Column:
-        """The anchor opposite to the mapped one: lifted from the pad's end, else by arithmetic."""
+    def other(tag: str, pad: Column, sign: int) -> Column:
+        """The anchor opposite to the mapped one: lifted from the pad's end, else by arithmetic.
+
+        On the reverse strand the pad alone counts, forwards the span too.
+        """
+        length = pad + F.when(F.col("_plus") == 1, span).otherwise(0)
         apart = (F.col(f"{tag}_pos") - F.col("_g.a_pos")) * F.col("_plus") * sign
         fits = (F.col(f"{tag}_chrom") == F.col("_g.a_chrom")) & (F.col(f"{tag}_strand") == F.col("_g.a_strand")) & apart.between(0, max_inc)
         return F.greatest(F.least(F.when(fits, F.col(f"{tag}_pos")).otherwise(F.col("_g.a_pos") + sign * F.col("_plus") * length), F.col("_g.a_size")), F.lit(1))
 
-    first = F.when(mapped5, F.col("a_pos")).when(mapped3, other("p5", span + F.col("n_pad5"), -1))
-    last = F.when(mapped3, F.col("z_pos")).when(mapped5, other("p3", span + F.col("n_pad3"), 1))
+    first = F.when(mapped5, F.col("a_pos")).when(mapped3, other("p5", F.col("n_pad5"), -1))
+    last = F.when(mapped3, F.col("z_pos")).when(mapped5, other("p3", F.col("n_pad3"), 1))
     padded = padded.withColumn("_first", first).withColumn("_last", last)
     same = (F.col("a_chain") == F.col("z_chain")) & (F.col("a_chrom") == F.col("z_chrom")) & (F.col("a_strand") == F.col("z_strand"))
     length = F.abs(F.col("_last") - F.col("_first"))
@@ -138,9 +147,12 @@ def aligned(alleles: pd.Series, left: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([left_align(list(a), x or "") for a, x in zip(alleles, left, strict=True)], columns=["alleles", "moved"])
 
 
-@F.pandas_udf(T.IntegerType())
-def reference_index(alleles: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([find_reference(list(a), t) if t else None for a, t in zip(alleles, target, strict=True)], dtype="Int32")
+@F.pandas_udf(_alleles_and("swap", "moved"))
+def told_reference(alleles: pd.Series, target: pd.Series, single: pd.Series) -> pd.DataFrame:
+    """Which allele the destination's ``target`` is, with the alleles' ends made the destination's."""
+    rows = zip(alleles, target, single, strict=True)
+    out = [find_reference(list(a), t, bool(s)) if t else (list(a), None, 0) for a, t, s in rows]
+    return pd.DataFrame(out, columns=["alleles", "swap", "moved"]).astype({"swap": "Int32"})
 
 
 @F.pandas_udf(T.BooleanType())
@@ -193,7 +205,9 @@ def lift_longer(rows: DataFrame, blocks: DataFrame, src: DataFrame, dst: DataFra
     lifted = lift_spans(keyed, blocks, "_s", "_e", max_inc).withColumn("flip", F.coalesce(F.col("q_strand") == 1, F.lit(False)))
     lifted = lifted.withColumn("_al", F.transform("_x.alleles", lambda a: F.when(F.col("flip"), strand_flip(a)).otherwise(a)))
     lifted = with_reference(lifted, dst, F.col("q_pos"), F.col("q_end") - F.col("q_pos") + 1, "_dst", contig="q_chrom")
-    lifted = lifted.withColumn("swap", F.when(F.col("_dst").isNotNull(), reference_index("_al", "_dst")))
+    lifted = lifted.withColumn("_t", told_reference("_al", "_dst", is_single(F.col("ref"), F.col("alt"))))
+    lifted = lifted.withColumn("swap", F.when(F.col("_dst").isNotNull(), F.col("_t.swap"))).withColumn("_al", F.col("_t.alleles"))
+    lifted = lifted.withColumn("q_pos", F.col("q_pos") + F.coalesce("_t.moved", F.lit(0)))
     moved = F.when(F.col("swap") == 1, F.reverse("_al")).when(F.col("swap") == -1, F.array_prepend("_al", F.col("_dst"))).otherwise(F.col("_al"))
     lifted = lifted.withColumn("_al", moved)
     if align:

@@ -176,7 +176,7 @@ nb as (select chain_ind, t_start, lag(t_start+size) over (partition by chain_ind
 j as (select sp.*, a5_c, a5_q, a5_s, a5_size, a3_c, a3_q, a3_s, a3_size, p.pe, n.ns, e-pos as span from sp left join a5 on a5.vid = sp.vid left join a3 on a3.vid = sp.vid left join nb p on p.chain_ind = a3_c and p.t_start = a3_t left join nb n on n.chain_ind = a5_c and n.t_start = a5_t),
 k as (select *, case when a5_q is null and a3_q is not null then case when pos-pe between 1 and 250 then pos-pe when span <= 250 then least(250, pos-1) end end as p5, case when a3_q is null and a5_q is not null then case when ns-e between 1 and 250 then ns-e when span <= 250 then 250 end end as p3 from j),
 f as (select *, case when coalesce(a5_s, a3_s) = 1 then -1 else 1 end as sg, coalesce(a5_size, a3_size) as sz from k),
-g as (select *, case when a5_q is not null then a5_q when a3_q is not null then greatest(least(a3_q-sg*(span+coalesce(p5, 0)), sz), 1) end as q1, case when a3_q is not null then a3_q when a5_q is not null then greatest(least(a5_q+sg*(span+coalesce(p3, 0)), sz), 1) end as q2 from f),
+g as (select *, case when a5_q is not null then a5_q when a3_q is not null then greatest(least(a3_q-sg*(case when sg = 1 then span else 0 end+coalesce(p5, 0)), sz), 1) end as q1, case when a3_q is not null then a3_q when a5_q is not null then greatest(least(a5_q+sg*(case when sg = 1 then span else 0 end+coalesce(p3, 0)), sz), 1) end as q2 from f),
 h as (select *, case when a5_q is null and a3_q is null then 'UnmappedAnchors' when a5_q is not null and a3_q is not null and abs(q2-q1) > span+250 then 'ApartAnchors' when a5_q is null and p5 is null then 'UnmappedAnchor5' when a3_q is null and p3 is null then 'UnmappedAnchor3' end as reason from g)
 select vid, case when reason is null then least(q1, q2) end as q_pos, case when reason is null then greatest(q1, q2) end as q_end, coalesce(p5, 0) as n_pad5, coalesce(p3, 0) as n_pad3, reason as reject_reason from h"""
 

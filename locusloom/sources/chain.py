@@ -59,5 +59,5 @@ def placed_blocks(chains: DataFrame, blocks: DataFrame) -> DataFrame:
     both = blocks.join(F.broadcast(first_chains(chains).withColumnsRenamed({"t_start": "ct", "q_start": "cq"})), "chain_ind")
     return both.select(
         "chain_ind", "block_ind", F.col("t_chrom").alias("b_chrom"), (F.col("ct") + F.col("t_start")).alias("b_start"), (F.col("ct") + F.col("t_start") + F.col("size") - 1).alias("b_end"),
-        (F.col("cq") + F.col("q_start")).alias("b_q"), "q_chrom", "q_size", "q_strand", "t_start_gap", "t_end_gap", "q_start_gap", "q_end_gap",
+        (F.col("cq") + F.col("q_start")).alias("b_q"), "q_chrom", "q_size", "q_strand", "t_start_gap", "t_end_gap", "q_start_gap", "q_end_gap", "t_size",
     )

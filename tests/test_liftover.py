@@ -135,9 +135,21 @@ def test_alignment_score():
         assert indels.align(a, b)[0] == brute(a, b)
 
 
-@pytest.mark.parametrize("alleles,target,index", [(["A", "C"], "C", 1), (["A", "C"], "G", -1), (["ACGT", "AT"], "TCGA", 0), (["ACGT", "AT"], "ACCT", -1)])
-def test_reference_search(alleles, target, index):
-    assert indels.find_reference(alleles, target) == index
+@pytest.mark.parametrize(
+    ("alleles", "target", "single", "told"),
+    [
+        (["A", "C"], "C", False, (["A", "C"], 1, 0)),
+        (["A", "C"], "G", False, (["A", "C"], -1, 0)),
+        (["ACGT", "AT"], "TCGA", False, (["TCGA", "TA"], 0, 0)),
+        (["ACGT", "*", "AT"], "TT", False, (["TCGT", "*", "TT"], 2, 0)),
+        (["ACGT", "AT"], "ACCT", False, (["ACGT", "AT"], -1, 0)),
+        (["CAG", "CTG"], "CTGGG", True, (["CAG", "CTG"], 1, 0)),
+        (["CAG", "CTG"], "GGCAG", True, (["CAG", "CTG"], 0, 2)),
+        (["CAG", "CTG"], "CAGCTG", True, (["CAG", "CTG"], -1, 0)),
+    ],
+)
+def test_reference_search(alleles, target, single, told):
+    assert indels.find_reference(alleles, target, single) == told
 
 
 @pytest.mark.parametrize("unit", ["A", "CAT"])
