@@ -18,12 +18,12 @@ HALF_LN_2PI = 0.5 * math.log(2 * math.pi)
 SERIES_TERMS, FRACTION_LEVELS, SPLIT = 30, 40, 2.5
 
 
-def mills(z: str) -> Column:
+def mills(z: str | Column) -> Column:
     """Upper tail over density of the normal distribution at ``z`` >= 0.
 
     Below SPLIT the power series of the centre, above it Laplace's continued fraction.
     """
-    c = F.col(z)
+    c = F.col(z) if isinstance(z, str) else z
     centre = F.lit(1.0)
     for k in range(SERIES_TERMS, 0, -1):
         centre = centre * c * c / (2.0 * k + 1) + 1.0
@@ -33,9 +33,10 @@ def mills(z: str) -> Column:
     return F.when(c < SPLIT, F.exp(c * c / 2) * math.sqrt(math.pi / 2) - c * centre).otherwise(F.lit(1.0) / tail)
 
 
-def log_upper_tail(z: str) -> Column:
+def log_upper_tail(z: str | Column) -> Column:
     """ln of the normal upper tail at ``z`` >= 0."""
-    return -F.col(z) * F.col(z) / 2 - HALF_LN_2PI + F.ln(mills(z))
+    c = F.col(z) if isinstance(z, str) else z
+    return -c * c / 2 - HALF_LN_2PI + F.ln(mills(c))
 
 
 def two_sided_lp(z: str) -> Column:
@@ -43,23 +44,28 @@ def two_sided_lp(z: str) -> Column:
     return -(log_upper_tail(z) + math.log(2)) / LN10
 
 
-def with_abs_z(df: DataFrame, lp: str, out: str) -> DataFrame:
-    """Add ``out``, the z >= 0 whose two-sided -log10 p is ``lp``.
+def abs_z(lp: Column) -> Column:
+    """The z >= 0 whose two-sided -log10 p is ``lp``.
 
-    A rational first guess of the quantile, then Newton's steps on the log tail, each in a projection of its own.
+    A rational first guess of the quantile, then Newton's steps on the log tail. Each step binds the value before it as a
+    lambda's argument, so that the expression stays small wherever it is moved.
     """
-    t = f"_{out}_t"
-    ok = F.col(lp).isNotNull() & ~F.isnan(lp) & (F.col(lp) >= 0) & (F.col(lp) < float("inf"))
-    df = df.withColumn(t, F.when(ok, F.sqrt(2 * (F.col(lp) * LN10 + math.log(2)))))
-    c = F.col(t)
-    # Hastings' rational approximation of the normal quantile.
-    guess = c - (2.515517 + 0.802853 * c + 0.010328 * c * c) / (1.0 + 1.432788 * c + 0.189269 * c * c + 0.001308 * c * c * c)
-    least = lambda x: F.when(c.isNotNull(), F.greatest(x, F.lit(0.0)))  # noqa: E731  greatest() skips nulls
-    df = df.withColumn(out, least(guess))
+    bind = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    ok = lp.isNotNull() & ~F.isnan(lp) & (lp >= 0) & (lp < float("inf"))
+
+    def guess(t: Column) -> Column:
+        # Hastings' rational approximation of the normal quantile.
+        return F.greatest(t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1.0 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t), F.lit(0.0))
+
+    z = bind(F.sqrt(2 * (lp * LN10 + math.log(2))), guess)
     for _ in range(4):
-        step = (log_upper_tail(out) + F.col(lp) * LN10 + math.log(2)) * mills(out)
-        df = df.withColumn(out, least(F.col(out) + step))
-    return df.drop(t)
+        z = bind(z, lambda c: F.greatest(c + (log_upper_tail(c) + lp * LN10 + math.log(2)) * mills(c), F.lit(0.0)))
+    return F.when(ok, z)
+
+
+def with_abs_z(df: DataFrame, lp: str, out: str) -> DataFrame:
+    """Add ``out``, the :func:`abs_z` of ``lp``."""
+    return df.withColumn(out, abs_z(F.col(lp)))
 
 
 def chi2_lp(x: str, df: str) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,18 +24,17 @@ def _known(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x)
 
 
-def with_z(studies: DataFrame) -> DataFrame:
-    """Add ``z``: ez, else es/se, else the signed quantile of lp."""
+def with_z(studies: DataFrame, scheme: str = "szw") -> DataFrame:
+    """Add ``z``: of ``szw`` ez, else the quantile of lp with the sign of es; of ``ivw`` es/se."""
     has = set(studies.columns)
-    parts: list[Column] = []
-    if "ez" in has:
-        parts.append(F.col("ez"))
-    if {"es", "se"} <= has:
-        parts.append(F.try_divide("es", "se"))
+    null = F.lit(None).cast("double")
+    if scheme == "ivw":
+        return studies.withColumn("z", F.try_divide("es", "se") if {"es", "se"} <= has else null)
+    parts: list[Column] = [F.nanvl("ez", null)] if "ez" in has else []
     if {"es", "lp"} <= has:
         studies = with_abs_z(studies, "lp", "_zlp")
-        parts.append(F.col("_zlp") * F.signum("es"))
-    return studies.withColumn("z", F.coalesce(*parts)).drop("_zlp")
+        parts.append(F.when(F.col("es") < 0, -F.col("_zlp")).when(F.col("es") >= 0, F.col("_zlp")))
+    return studies.withColumn("z", F.coalesce(*parts, null)).drop("_zlp")
 
 
 def with_effective_n(studies: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def _direction(n_studies: int) -> Column:
 
 
 def combine(studies: DataFrame, scheme: str = "ivw", het: bool = False, n_studies: int | None = None, key: Sequence[str] = KEY) -> DataFrame:
-    """Inverse-variance (``ivw``: es, se, lp) or sample-size (``szw``: ez, lp) weighted combination.
+    """Inverse-variance (``ivw``: es, se) or sample-size (``szw``: ez, or lp and the sign of es) weighted combination.
 
     ``het`` adds Cochran's i2 and cq (null with one study); ``n_studies`` adds the direction string ed; sums of ns, nc, ac, ne
     and the weighted mean af are missing if a contributor lacks them. Rows that can't contribute are left out.
@@ -114,18 +114,18 @@ def output_fields(studies: Sequence[set[str]], scheme: str, het: bool = False, o
     return out + (["i2", "cq"] if het else [])
 
 
-def truncated_products(studies: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+def truncated_products(studies: DataFrame, key: Sequence[str] = KEY, scheme: str = "szw") -> DataFrame:
     """(a, b, mean, n) for pairs of studies: the mean of z_a z_b over variants where both lie in [-1, 1]."""
-    null_like = with_z(studies).where(F.col("z").between(-1.0, 1.0)).select(*key, "study", "z")
+    null_like = with_z(studies, scheme).where(F.col("z").between(-1.0, 1.0)).select(*key, "study", "z")
     rows = null_like.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("study", "z"))).alias("_s"))  # a struct for each study
     pairs = F.flatten(F.transform("_s", lambda a: F.transform(F.filter("_s", lambda b: b["study"] > a["study"]), lambda b: F.struct(a["study"].alias("a"), b["study"].alias("b"), (a["z"] * b["z"]).alias("p")))))
     return rows.select(F.explode(pairs).alias("x")).groupBy("x.a", "x.b").agg(F.avg("x.p").alias("mean"), F.count("*").alias("n"))
 
 
-def overlap_correlations(studies: DataFrame, n_studies: int, key: Sequence[str] = KEY) -> np.ndarray:
+def overlap_correlations(studies: DataFrame, n_studies: int, key: Sequence[str] = KEY, scheme: str = "szw") -> np.ndarray:
     """Correlations of the studies' null statistics, 0 for pairs without shared variants."""
     rho = np.eye(n_studies)
-    for r in truncated_products(studies, key).collect():  # a row for each pair of studies
+    for r in truncated_products(studies, key, scheme).collect():  # a row for each pair of studies
         rho[r.a, r.b] = rho[r.b, r.a] = correlation_from_truncated(r.mean)
     return rho
 
@@ -137,29 +137,42 @@ def presence_patterns(studies: DataFrame, n_studies: int, key: Sequence[str] = K
     return held.groupBy(F.array_join(mine, "").alias("pattern")).agg(F.count("*").alias("n"))
 
 
+def _inverse(rho: np.ndarray):
+    """A function of arrays of studies: the inverse of their correlations, row by row."""
+
+    @F.pandas_udf("array<double>")
+    def inverse(studies: pd.Series) -> pd.Series:
+        known: dict[tuple[int, ...], np.ndarray] = {}
+        out = []
+        for own in studies:
+            key = tuple(own)
+            if key not in known:
+                known[key] = np.linalg.inv(rho[np.ix_(key, key)]).ravel()
+            out.append(known[key])
+        return pd.Series(out, dtype=object)
+
+    return inverse
+
+
 def combine_overlapping(studies: DataFrame, rho: np.ndarray, scheme: str = "ivw", het: bool = False, key: Sequence[str] = KEY) -> DataFrame:
     """Combination that allows for correlated null statistics.
 
     With the inverse R of the correlations among a variant's studies, N = w'Rw and x = z'Rw for weights w (1/se or
-    sqrt(ne)): es = x/N, se = 1/sqrt(N), ez = x/sqrt(N), ne = sqrt(ne)'R sqrt(ne), and af is weighted alike. The
-    inverses are looked up by the pattern of studies, of which there are few.
+    sqrt(ne)): es = x/N, se = 1/sqrt(N), ez = x/sqrt(N), ne = sqrt(ne)'R sqrt(ne), and af is weighted alike. A batch
+    of variants inverts each pattern of studies once.
     """
     key, n = list(key), len(rho)
-    rows = with_effective_n(with_z(studies)).where(_known(F.col("z")))
+    rows = with_effective_n(with_z(studies, scheme)).where(_known(F.col("z")))
     weight = 1 / F.col("se") if scheme == "ivw" else F.sqrt("ne")
     rows = rows.withColumn("_w", weight.cast("double")).where(_known(F.col("_w")))
     af = F.col("af") if "af" in rows.columns else F.lit(None).cast("double")
     one = F.struct(F.col("study").cast("int").alias("study"), "z", F.col("_w").alias("w"), af.cast("double").alias("af"), F.sqrt("ne").alias("root"))
     held = rows.groupBy(*key).agg(F.sort_array(F.collect_list(one)).alias("_s"))
     held = held.withColumn("_pattern", F.array_join(F.transform("_s", lambda s: s["study"].cast("string")), ","))
-    patterns = [r[0] for r in held.select("_pattern").distinct().collect()]  # of the studies, not of variants
-    inverse = []
-    for p in patterns:
-        own = [int(i) for i in p.split(",")]
-        inverse.append((p, np.linalg.inv(rho[np.ix_(own, own)]).ravel().tolist()))
-    table = held.sparkSession.createDataFrame(inverse, "_pattern string, _r array<double>")
-    held = held.join(F.broadcast(table) if len(patterns) <= 100_000 else table, "_pattern")
-    k = F.size("_s")
+    # An inverse for each pattern of studies, of which there may be as many as variants: made where they are.
+    size = F.size("_s").cast("int")
+    held = held.withColumn("_r", _inverse(rho)(F.transform("_s", lambda s: s["study"])))
+    k = size
     cells = F.transform("_r", lambda r, i: F.struct(r.alias("r"), F.get("_s", (i / k).cast("int")).alias("a"), F.get("_s", (i % k).cast("int")).alias("b")))
     held = held.withColumn("_c", cells)
     form = lambda f: F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + c["r"] * f(c))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusloom.functions.stats import binomial_lp, with_abs_z
+from locusloom.functions.tables import cut
 from locusloom.operators import meta
 from locusloom.plans import sqltext
 from locusloom.plans.views import view, with_views
@@ -27,7 +28,11 @@ def meta_ivw(spark, d):
 
 
 def meta_szw(spark, d):
-    return _rounded(meta.combine(studies(spark, d).select("vid", "study", "es", "se", "ns"), "szw", key=VID), ez=6, lp=5).select("vid", "ez", "lp")
+    """ez counts before lp, whose quantile takes the sign of es; se isn't looked at."""
+    rows = studies(spark, d).withColumn("_x", F.abs(F.col("es") / F.col("se"))).withColumn("lp", meta.two_sided_lp("_x"))
+    rows = cut(rows.select("vid", "study", "es", "se", "lp", "ns"))  # stands for a table that has lp
+    rows = rows.select("vid", "study", "es", (F.col("se") * 3).alias("se"), F.when(F.col("study") == 0, 2 * F.col("es") / F.col("se")).alias("ez"), "lp", "ns")
+    return _rounded(meta.combine(rows, "szw", key=VID), ez=6, lp=5).select("vid", "ez", "lp")
 
 
 def meta_het(spark, d):
@@ -74,9 +79,9 @@ RHO = 0.2
 
 
 def meta_overlap_fixed_rho(spark, d):
-    rows = studies(spark, d).where("study < 2")
+    rows = studies(spark, d).where("study < 2").withColumn("ez", F.col("es") / F.col("se"))
     rho = np.array([[1, RHO], [RHO, 1]])
-    return _rounded(meta.combine_overlapping(rows.select("vid", "study", "es", "se", "ns"), rho, "szw", key=VID), ez=6, ne=6).select("vid", "ez", "ne")
+    return _rounded(meta.combine_overlapping(rows.select("vid", "study", "ez", "ns"), rho, "szw", key=VID), ez=6, ne=6).select("vid", "ez", "ne")
 
 
 def meta_overlap_full(spark, d):
@@ -112,7 +117,7 @@ QUERIES = {
 
 ORACLES = {k: with_views(v) for k, v in {
     "meta_ivw": f"{_IVW} select vid, round(wx/w, 6) as es, round(1/sqrt(w), 6) as se, round({sqltext.two_sided_lp('z')}, 5) as lp from z",
-    "meta_szw": f"with m as (select vid, sum(ns) as w, sum(es/se*sqrt(ns)) as wx from study_stats where ns > 0 group by vid), z as (select *, abs(wx/sqrt(w)) as z from m) select vid, round(wx/sqrt(w), 6) as ez, round({sqltext.two_sided_lp('z')}, 5) as lp from z",
+    "meta_szw": f"with m as (select vid, sum(ns) as w, sum(es/se*case when study = 0 then 2 else 1 end*sqrt(ns)) as wx from study_stats where ns > 0 group by vid), z as (select *, abs(wx/sqrt(w)) as z from m) select vid, round(wx/sqrt(w), 6) as ez, round({sqltext.two_sided_lp('z')}, 5) as lp from z",
     "meta_het": f"""{_IVW}, q as (select *, greatest(spread-wx*wx/w, 0) as q, sqrt(greatest(spread-wx*wx/w, 0)) as root from z)
 select vid, round(wx/w, 6) as es, round(1/sqrt(w), 6) as se, round({sqltext.two_sided_lp('z')}, 5) as lp,
   case when df > 0 then round(case when q > 0 then greatest((q-df)/q, 0)*100 else 0 end, 4) end as i2, case when df > 0 then round({sqltext.chi2_lp('q', 'df', 'root')}, 5) end as cq from q""",
