@@ -9,11 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: A literal in either kind of quotes, and what is written otherwise in Spark SQL.
+LITERAL = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
+NOTATION = ((r"\b(?:FORMAT|FMT|INFO)/", ""), (r"&&?", " and "), (r"\|\|?", " or "), (r"\bN_ALT\b", "(size(alleles) - 1)"))
+
+
 def condition(expression: str) -> Column:
-    """A filter in the usual notation (&&, ||, ==, FORMAT/ES, INFO/AF) as a Column; the rest is Spark SQL."""
-    text = re.sub(r"\b(?:FORMAT|FMT|INFO)/", "", expression)
-    text = re.sub(r"&&|&", " and ", text)
-    return F.expr(re.sub(r"\|\||\|", " or ", text))
+    """A filter in the usual notation (&&, ||, ==, FORMAT/ES, INFO/AF, N_ALT) as a Column; the rest is Spark SQL.
+
+    Literals are left as they are. ``SUM(x)`` adds up an array.
+    """
+    pieces = re.split(f"({LITERAL})", expression)
+    for i in range(0, len(pieces), 2):
+        for old, new in NOTATION:
+            pieces[i] = re.sub(old, new, pieces[i])
+        pieces[i] = re.sub(r"(?i)\bsum\((\w+)\)", r"aggregate(\1, 0d, (a, x) -> a + coalesce(x, 0))", pieces[i])
+    return F.expr("".join(pieces))
 
 
 def select_rows(rows: DataFrame, include: str | None = None, exclude: str | None = None) -> DataFrame:

@@ -51,8 +51,21 @@ def score_counts(spark, d):
 
 
 def score_pivot(spark, d):
-    out = score.score(genotypes(spark, d), markers(spark, d), "DS").withColumn("score", F.round("score", 6))
-    return score.matrix(out, ["prs0", "prs1"])
+    out = score.score(genotypes(spark, d), markers(spark, d), "DS", THRESHOLDS, counts=True).withColumn("score", F.round("score", 6))
+    return score.matrix(out, ["prs0", "prs1"], THRESHOLDS, counts=True)
+
+
+def score_association(spark, d):
+    """Markers of association tables: exact alleles, null effects skipped, null lp never passes."""
+    v = F.col("vid")
+    rows = view(spark, d, "study_stats").join(view(spark, d, "variants"), "vid")
+    rows = rows.select(
+        F.concat(F.lit("prs"), F.col("study").cast("string")).alias("prs"), "chrom", "pos",
+        F.when(v % 3 == 0, F.col("alt")).otherwise(F.col("ref")).alias("ref"), F.when(v % 3 == 0, F.col("ref")).otherwise(F.col("alt")).alias("alt"),
+        F.when(v % 5 > 0, F.col("es")).alias("es"), F.when(v % 7 > 0, F.col("ns") / 40.0).alias("lp"),
+    )
+    out = score.score(genotypes(spark, d), rows, "DS", THRESHOLDS, counts=True, association=True)
+    return out.select("sample", "prs", "thr", F.round("score", 6).alias("score"), "n")
 
 
 def score_matched(spark, d):
@@ -91,7 +104,7 @@ def samples_subset(spark, d):
 
 QUERIES = {
     "score_gt": _by_field("GT", 9), "score_ds": _by_field("DS", 6), "score_hds": _by_field("HDS", 6), "score_ap": _by_field("AP", 6), "score_gp": _by_field("GP", 6), "score_as": _by_field("AS", 9),
-    "score_thresholds": score_thresholds, "score_counts": score_counts, "score_pivot": score_pivot, "score_matched": score_matched, "score_by_id": score_by_id, "score_by_pos": score_by_pos,
+    "score_thresholds": score_thresholds, "score_counts": score_counts, "score_association": score_association, "score_pivot": score_pivot, "score_matched": score_matched, "score_by_id": score_by_id, "score_by_pos": score_by_pos,
     "score_first_wins": score_first_wins, "score_auto_field": score_auto_field, "samples_subset": samples_subset,
 }
 
@@ -111,7 +124,10 @@ ORACLES = {k: with_views(v) for k, v in {
     "score_ap": _sql("ds*0.3::double+ds*0.2::double", "2-ds*0.3::double-ds*0.2::double", 6), "score_gp": _DS, "score_as": _AS,
     "score_thresholds": f"with t as (select unnest([{_THR}])::double as thr) select sample, 'prs'||study::varchar as prs, thr, round(sum(es*(case when s.vid % 2 = 0 then ds else 2-ds end)), 6) as score, count(*) as n from study_stats s join dosage g on s.vid = g.vid join t on not (ns/40.0 < -log10(thr)) where study < 2 group by all",
     "score_counts": _sql("n_alt-1", "1-n_alt", 9, " and n_alt <> 1", ", count(*) as n"),
-    "score_pivot": f"with r as ({_DS}) select sample, max(case when prs = 'prs0' then score end) as prs0, max(case when prs = 'prs1' then score end) as prs1 from r group by sample",
+    "score_pivot": f"with t as (select unnest([{_THR}])::double as thr), r as (select sample, study, thr, sum(es*(case when s.vid % 2 = 0 then ds else 2-ds end)) as score, count(*) as n from study_stats s join dosage g on s.vid = g.vid join t on not (ns/40.0 < -log10(thr)) where study < 2 group by all) select sample, "
+    + ", ".join(f"round(sum(case when study = {k} and thr = {t}::double then score end), 6) as \"prs{k}_p{t:.6g}\", coalesce(sum(case when study = {k} and thr = {t}::double then n end), 0)::bigint as \"prs{k}_CNT_p{t:.6g}\"" for k in (0, 1) for t in THRESHOLDS)
+    + " from r group by sample",
+    "score_association": f"with t as (select unnest([{_THR}])::double as thr) select sample, 'prs'||study::varchar as prs, thr, round(sum(es*ds), 6) as score, count(*) as n from study_stats s join dosage g on s.vid = g.vid join t on ns/40.0 >= -log10(thr) where s.vid % 3 > 0 and s.vid % 5 > 0 and s.vid % 7 > 0 group by all",
     "score_matched": "select 'prs'||study::varchar as prs, count(*) as n_matched, count(*) filter (where s.vid % 2 = 1) as n_reference from study_stats s where study < 2 and vid in (select vid from dosage) group by 1",
     "samples_subset": "select sample, count(*) as n, round(sum(ds), 6) as total from dosage where sample % 3 = 0 group by sample",
 }.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
@@ -33,6 +33,109 @@ def read_associations(spark: SparkSession, path: str) -> DataFrame:
     return held.select("chrom", "pos", "id", "ref", "alt", "filters", F.col("_s.study").alias("study"), *[value(k).try_cast("double").alias(k.lower()) for k in NUMBERS], value("ED").alias("ed"))
 
 
+#: FORMAT fields of genotypes and their element types; AS is a column as_.
+GENOTYPE_FIELDS = {"GT": "int", "DS": "double", "HDS": "double", "AP1": "double", "AP2": "double", "GP": "double", "AS": "int"}
+#: INFO fields of LD tables: their columns and types.
+LD_FIELDS = {
+    "AA": ("aa", "int"),
+    "AF": ("af", "double"),
+    "LD_block": ("ld_block", "int"),
+    "LD_node": ("ld_node", "int"),
+    "LD_diagonal": ("ld_diagonal", "double"),
+    "LD_neighbors": ("ld_neighbors", "array<int>"),
+    "LD_weights": ("ld_weights", "array<double>"),
+}
+
+
+def declared(spark: SparkSession, path: str) -> dict[str, set[str]]:
+    """The INFO, FORMAT and FILTER names that the header declares."""
+    lines = spark.read.text(path).where(F.startswith("value", F.lit("##")))
+    kind, name = (F.regexp_extract("value", r"^##(INFO|FORMAT|FILTER)=<ID=([^,>]+)", i) for i in (1, 2))
+    out: dict[str, set[str]] = {"INFO": set(), "FORMAT": set(), "FILTER": set()}
+    for k, n in lines.select(kind, name).where("value like '##%=<ID=%'").distinct().collect():  # a header's lines
+        if k:
+            out[k].add(n)
+    return out
+
+
+def check_associations(spark: SparkSession, path: str, sizes_given: bool = False) -> None:
+    """Fail unless the header declares effects (EZ, or ES with SE or LP) and, unless they are given, sample sizes (NE or NS)."""
+    have = declared(spark, path)["FORMAT"]
+    if "EZ" not in have and not ("ES" in have and {"SE", "LP"} & have):
+        raise ValueError(f"{path}: FORMAT has neither EZ, nor ES and SE, nor ES and LP")
+    if not sizes_given and not {"NE", "NS"} & have:
+        raise ValueError(f"{path}: FORMAT has neither NE nor NS, and no sample sizes are given")
+
+
+def check_ld(spark: SparkSession, path: str) -> None:
+    """Fail unless the header declares the INFO fields of an LD table."""
+    if missing := sorted(set(LD_FIELDS) - declared(spark, path)["INFO"]):
+        raise ValueError(f"{path}: INFO lacks {', '.join(missing)}")
+
+
+def _missing(c: Column) -> Column:
+    return F.when(c != ".", c)
+
+
+def _numbers(text: Column, kind: str, by: str = ",") -> Column:
+    """An array of a field's values; null without the field, "." gives a null element, or null if it stands alone."""
+    values = F.transform(F.split(text, by), lambda x: x.try_cast(kind))
+    return F.when(text.isNotNull() & (text != "."), values)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records as they are: chrom, pos, id, ref, alleles, qual, filters, info (a map; flags are ""), keys and cells."""
+    f = F.split("value", "\t")
+    get = lambda i: F.get(f, F.lit(i))
+    pair = lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)), F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, "^[^=]*=", "")).otherwise(""))
+    info = F.map_from_entries(F.array_distinct(F.transform(F.filter(F.split(get(7), ";"), lambda x: ~x.isin("", ".")), pair)))
+    alleles = F.concat(F.array(get(3)), F.when(get(4) == ".", F.array().cast("array<string>")).otherwise(F.split(get(4), ",")))
+    filters = F.when(get(6).isin(".", "PASS"), F.array().cast("array<string>")).otherwise(F.split(get(6), ";"))
+    lines = spark.read.text(path).where(~F.startswith("value", F.lit("#")) & (F.length("value") > 0))
+    return lines.select(
+        get(0).alias("chrom"),
+        get(1).cast("long").alias("pos"),
+        _missing(get(2)).alias("id"),
+        get(3).alias("ref"),
+        alleles.alias("alleles"),
+        get(5).try_cast("double").alias("qual"),
+        filters.alias("filters"),
+        info.alias("info"),
+        F.split(F.coalesce(get(8), F.lit("")), ":").alias("keys"),
+        F.slice(f, F.lit(10), F.greatest(F.size(f) - 9, F.lit(0))).alias("cells"),
+    )
+
+
+def read_genotypes(spark: SparkSession, path: str, fields: Sequence[str] = tuple(GENOTYPE_FIELDS)) -> DataFrame:
+    """Records with ``samples``: structs of sample and of those ``fields`` that the header declares.
+
+    Missing values are null; alleles of GT that are "." are null elements; a field that a record lacks is null.
+    """
+    names = samples_of(spark, path)
+    have = declared(spark, path)["FORMAT"]
+    fields = [x for x in fields if x in have]
+
+    def cell(values: Column, key: str) -> Column:
+        text = F.get(values, (F.array_position("keys", key) - 1).cast("int"))
+        return _numbers(text, "int", r"[/|]") if key == "GT" else text.try_cast("int") if key == "AS" else _numbers(text, GENOTYPE_FIELDS[key])
+
+    column = lambda k: "as_" if k == "AS" else k.lower()
+    one = lambda name, text: F.struct(name.alias("sample"), *[cell(F.split(text, ":"), k).alias(column(k)) for k in fields])
+    samples = F.zip_with(F.lit(names), "cells", one)
+    return read_records(spark, path).select("chrom", "pos", "id", "alleles", "filters", "info", samples.alias("samples"))
+
+
+def read_ld(spark: SparkSession, path: str, pop: str) -> DataFrame:
+    """The LD table of one population: pop, chrom, pos, ref, alt and the LD fields. Rows are checked by ``ld.checked``."""
+    check_ld(spark, path)
+    value = lambda k: F.try_element_at("info", F.lit(k))
+    array = lambda k, kind: F.coalesce(_numbers(value(k), kind), F.array().cast(f"array<{kind}>"))
+    columns = []
+    for name, (out, kind) in LD_FIELDS.items():
+        columns.append((array(name, kind[6:-1]) if kind.startswith("array") else value(name).try_cast(kind)).alias(out))
+    return read_records(spark, path).select(F.lit(pop).alias("pop"), "chrom", "pos", "ref", F.get("alleles", F.lit(1)).alias("alt"), *columns)
+
+
 def vcf_lines(rows: DataFrame, studies: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """(chrom, pos, ref, alt, line): a VCF line for each variant of tidy rows."""
     text = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("."))

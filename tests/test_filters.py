@@ -26,3 +26,10 @@ def test_expressions(spark):
     assert ids(include="FORMAT/ES > 0 || f = 'x'") == [1, 2] and ids(include='INFO/ES>0 && f="PASS"') == [1] and ids(exclude="FMT/ES > 0") == [2, 3] and ids() == [1, 2, 3]
     with pytest.raises(ValueError):
         filters.select_rows(df, "es > 0", "es < 0")
+
+
+def test_conditions(spark):
+    rows = spark.createDataFrame([(1, "A|B", 2.0, ["A", "C"], [1, 2]), (2, "A&B", 3.0, ["A", "C", "G"], [0, None])], "k int, FILTER string, ES double, alleles array<string>, AC array<int>")
+    kept = lambda e: sorted(r.k for r in filters.select_rows(rows, e).collect())
+    assert kept('FILTER=="A|B"') == [1] and kept("FILTER='A&B' | FORMAT/ES<2.5") == [1, 2] and kept('FMT/ES>1 && FILTER!="A&B"') == [1]
+    assert kept("N_ALT > 1") == [2] and kept("SUM(INFO/AC) >= 3") == [1]

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusloom.functions import alleles, swap
-from locusloom.operators import filters, manhattan, score, tables
+from locusloom.operators import filters, ld, manhattan, score, tables
 from locusloom.operators.munge import munge
 from locusloom.sources import chain, fasta, text, vcf
 
@@ -133,3 +133,56 @@ def test_exchange_and_order(spark):
     rows = spark.createDataFrame([("chrX", 2, "A", "C", None, 0.5, 3.0), ("chrM", 1, "A", "C", 0.1, 0.5, 2.0)], "chrom string, pos long, ref string, alt string, es double, se double, lp double")
     got = [tuple(r) for r in tables.exchange_format(tables.in_order(rows, ["chrX", "chrM"])).collect()]
     assert got[0][:6] == ("23", 2, "C", "A", "NA", "0.5") and got[1][0] == "25" and float(got[0][6]) == pytest.approx(1e-3)
+
+
+GENOTYPES = """##fileformat=VCFv4.2
+##INFO=<ID=AF,Number=A,Type=Float,Description="f">
+##FORMAT=<ID=GT,Number=1,Type=String,Description="g">
+##FORMAT=<ID=DS,Number=A,Type=Float,Description="d">
+##FORMAT=<ID=GP,Number=G,Type=Float,Description="p">
+##FORMAT=<ID=AS,Number=1,Type=Integer,Description="a">
+#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2
+c\t5\trs1\tA\tC\t.\tPASS\tAF=0.5;DB\tGT:DS:GP:AS\t0|1:1.2:0,1,0:-1\t./.:.:.:.
+c\t9\t.\tAT\tA,<DEL>\t3\tq1;q2\t.\tGT:DS\t2/1:0.5,1\t0:.,.
+"""
+
+
+def test_genotypes(spark, tmp_path):
+    (tmp_path / "g.vcf").write_text(GENOTYPES)
+    one, two = vcf.read_genotypes(spark, f"file://{tmp_path}/g.vcf").orderBy("pos").collect()
+    assert one.alleles == ["A", "C"] and one.id == "rs1" and one.filters == [] and one["info"] == {"AF": "0.5", "DB": ""}
+    assert [s.asDict() for s in one.samples] == [
+        {"sample": "s1", "gt": [0, 1], "ds": [1.2], "gp": [0.0, 1.0, 0.0], "as_": -1},
+        {"sample": "s2", "gt": [None, None], "ds": None, "gp": None, "as_": None},
+    ]
+    assert two.alleles == ["AT", "A", "<DEL>"] and two.id is None and two.filters == ["q1", "q2"]
+    assert [(s.gt, s.ds, s.gp) for s in two.samples] == [([2, 1], [0.5, 1.0], None), ([0], [None, None], None)]
+
+
+def test_scores_from_files(spark, tmp_path):
+    """Genotypes and associations, both read from text, down to scores."""
+    (tmp_path / "g.vcf").write_text(GENOTYPES)
+    rows = [("c", 5, "A", "C", "x", 2.0, 3.0, ["HIGH"]), ("c", 9, "AT", "A", "x", 1.0, None, [])]
+    schema = "chrom string, pos long, ref string, alt string, study string, es double, lp double, filters array<string>"
+    stats = spark.createDataFrame(rows, schema).withColumn("id", F.lit(None).cast("string"))
+    vcf.write_vcf(stats, f"file://{tmp_path}/a", ["x"], ["es", "lp"], {"c": 10})
+    vcf.check_associations(spark, f"file://{tmp_path}/a", sizes_given=True)
+    with pytest.raises(ValueError):
+        vcf.check_associations(spark, f"file://{tmp_path}/a")
+    markers = vcf.read_associations(spark, f"file://{tmp_path}/a").withColumnRenamed("study", "prs")
+    genotypes = vcf.read_genotypes(spark, f"file://{tmp_path}/g.vcf")
+    got = score.score(genotypes, markers, "DS", association=True, counts=True).collect()
+    assert [(r["sample"], r.score, r.n) for r in got] == [("s1", 2.4, 1)]  # the second record has another alternative too
+    assert [r.score for r in score.score(genotypes, markers, "DS", (0.01, 1e-9), association=True).collect()] == [2.4]
+
+
+def test_ld_table(spark, tmp_path):
+    names = "".join(f"##INFO=<ID={k},Number=1,Type=Float,Description=\"x\">\n" for k in vcf.LD_FIELDS)
+    body = "c\t5\t.\tA\tC\t.\t.\tAA=1;AF=0.25;LD_block=3;LD_node=0;LD_diagonal=1.5;LD_neighbors=1,4;LD_weights=-0.5,0.25\nc\t6\t.\tA\tG\t.\t.\tAA=0;AF=0.5;LD_block=3;LD_node=1;LD_diagonal=0.5\n"
+    (tmp_path / "l.vcf").write_text(f"##fileformat=VCFv4.2\n{names}#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n{body}")
+    good, bad = ld.checked(vcf.read_ld(spark, f"file://{tmp_path}/l.vcf", "EUR"))
+    assert tuple(good.first()) == ("EUR", "c", 5, "A", "C", 1, 0.25, 3, 0, 1.5, [1, 4], [-0.5, 0.25])
+    assert [(r.pos, r.ld_neighbors) for r in bad.collect()] == [(6, [])]
+    (tmp_path / "m.vcf").write_text("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n")
+    with pytest.raises(ValueError, match="LD_weights"):
+        vcf.read_ld(spark, f"file://{tmp_path}/m.vcf", "EUR")
