@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 #: Words, with the marks that hide letters inside them.
 WORD = re.compile(r"[^\W_]+(?:[@$!*][^\W_]+)*")
 LEET = str.maketrans("013457@$!", "oieastasi")
-QUOTES = set("\"“”„«»‘’")
+#: Marks that open a quotation, each with those that close it; between letters they are apostrophes.
+QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’"}
+APOSTROPHE = re.compile(r"(?<=\w)[‘’](?=\w)")
 #: Verbs and nouns of reporting in the four languages: what follows is told, not said.
 REPORTS = frozenset("said says wrote writes called quote quoted dit écrit cite citation sagte schrieb zitat dijo escribió cita".split())
 #: Words that address a person.
@@ -144,7 +146,7 @@ class Matcher:
             node, r0, r1, r2 = stack.pop()
             term = node.get("")
             if term is not None and ((r0, r1, r2)[self.allowed(term)] & last):
-                best = max(self.words[term], best or -math.inf)
+                best = max(self.words[term], -math.inf if best is None else best)
             for c, child in node.items():
                 if c == "":
                     continue
@@ -205,6 +207,7 @@ class Matcher:
         if not any(self.find(w) for w in set(words)):
             return out
         spans = [m.span() for m in WORD.finditer(text)]
+        marks = APOSTROPHE.sub("'", text)
         for i, w in enumerate(words):
             if (hit := self.find(w)) is None:
                 continue
@@ -213,9 +216,11 @@ class Matcher:
                 out[6] += 1
                 continue
             around = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-            before = text[spans[max(0, i - WINDOW)][0] : spans[i][0]]
-            after = text[spans[i][1] : spans[min(len(words) - 1, i + WINDOW)][1]]
-            quoted = (any(c in QUOTES for c in before) and any(c in QUOTES for c in after)) or any(x in REPORTS for x in words[max(0, i - WINDOW) : i])
+            first, last = max(0, i - WINDOW), min(len(words), i + 1 + WINDOW)
+            before = marks[spans[first - 1][1] if first else 0 : spans[i][0]]
+            after = marks[spans[i][1] : spans[last][0] if last < len(words) else len(marks)]
+            paired = any(o in before and any(c in after for c in ends) for o, ends in QUOTES.items())
+            quoted = paired or any(x in REPORTS for x in words[first:i])
             out[2 if quoted else 1 if misspelled else 0] += weight
             out[3] += weight * any(x in ADDRESS for x in around) * (not quoted)
             out[4] = max(out[4], weight * (0.5 if quoted else 1))

@@ -132,3 +132,22 @@ def test_beginnings_of_long_words():
     matcher = tox.Matcher({"idiot": 3.0, "=" + "wurm" * 10: 2.0})
     assert matcher.find("idiot" * 20) == (3.0, None) and matcher.find("garden" * 20) is None
     assert matcher.find("wurm" * 10 + "x") == (2.0, True) and matcher.find("wurm" * 11) is None
+
+
+def test_apostrophes_are_no_quotation():
+    matcher = tox.Matcher({"=wurmbrain": 3.0})
+    plain = matcher.kinds("you're a wurmbrain and that's it")
+    assert matcher.kinds("you’re a wurmbrain and that’s it") == plain and plain[0] > 0 and plain[2] == 0
+    assert matcher.kinds("so „wurmbrain“ it was")[2] > 0 and matcher.kinds("an ‘old wurmbrain’ of sorts")[2] > 0
+    assert matcher.kinds("» wurmbrain «")[2] > 0 and matcher.kinds('" wurmbrain ”')[2] == 0
+
+
+def test_terms_of_weight_zero_are_found():
+    assert tox.Matcher({"=wurmbrain": 0.0, "=wurmbraim": -1.0})._near("wurmbrains") == 0.0
+
+
+def test_very_long_texts(spark):
+    rows, labels = corpus(200)
+    asked = [(1001, "river " * 200_000 + "wurmbrain dreckhead slimeface " * 3), (1002, "x" * 1_000_000), (1003, "wurmbrain " * 100_000)]
+    got = {r.doc_id: r for r in scores(spark, rows + asked, labels).values()}
+    assert got[1003].predicted == 1 and 0 <= got[1001].score <= 1 and got[1002].predicted == 0
