@@ -5,7 +5,8 @@ least ``min_dedup_bytes`` bytes the one with the least page_id is a response and
 revisits with an empty block, which refer to it.
 
 Reading: the text source cuts files at the magic ``WARC/1.0\r\n``, so that tasks see every place
-where a record may begin, in blocks of any file that can be split. A payload may hold the magic too.
+where a record may begin, in blocks of any file that can be split. These fragments are written to the shared folder
+once and read from there, as another scan might cut the files into other blocks. A payload may hold the magic too.
 So each candidate tells its successor's offset from its Content-Length, and the boundary chain is
 verified: candidates whose successor is the very next one are contracted into runs, and pointer jumping
 over the runs, from the start of each file, keeps those that the chain reaches and the offset where it
@@ -13,7 +14,8 @@ enters them. Whatever lies within payloads isn't reached.
 
 Defined results: a null html is empty, a null url too; rows that share a page_id and a payload
 are all responses if theirs is the least page_id; a null page_id counts as larger than any and is
-read back as null; CR and LF in urls are percent-encoded; an empty table gives an archive without
+read back as null; a record whose block is not as long as its header tells, as in an archive that was cut short, is returned
+with ``sound`` false and no digest; CR and LF in urls are percent-encoded; an empty table gives an archive without
 records; further columns are ignored.
 """
 
@@ -28,6 +30,8 @@ from locusloom.llm.common import cut, shared_dir
 
 MAGIC = "WARC/1.0\r\n"
 _URN = "urn:page:"
+#: Digests that repeat are broadcast up to this number.
+BROADCAST_ROWS = 1_000_000
 
 
 def base32_digest(payload: Column) -> Column:
@@ -37,12 +41,32 @@ def base32_digest(payload: Column) -> Column:
     return F.translate(F.concat(*quads), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write_warc(pages: DataFrame, path: str, min_dedup_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", records_per_file: int = 20_000) -> None:
-    """Write a gzipped archive of records into the folder ``path``."""
+def _with_first(rows: DataFrame) -> DataFrame:
+    """Add ``first``, the least page_id of the records with an equal payload, to those that have any.
+
+    What is shuffled are digests; pages are only where more digests repeat than can be broadcast, and then by page_id too, so
+    that a payload of many pages is no hot key.
+    """
+    keys = rows.where("dedup").groupBy(F.col("digest").alias("_d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    keys = cut(keys.where("n > 1").drop("n"))
+    if keys.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), (F.col("digest") == F.col("_d")) & F.col("dedup"), "left")
+    pairs = rows.where("dedup").select(F.col("page_id").alias("_i"), F.col("digest").alias("_d")).distinct().join(keys, "_d")
+    return rows.join(pairs, F.col("page_id").eqNullSafe(F.col("_i")) & (F.col("digest") == F.col("_d")) & F.col("dedup"), "left")
+
+
+def write_warc(
+    pages: DataFrame,
+    path: str,
+    min_dedup_bytes: int = 0,
+    date: str = "2000-01-01T00:00:00Z",
+    records_per_file: int = 20_000,
+    compression: str = "gzip",
+) -> None:
+    """Write an archive of records into the folder ``path``; with ``compression`` "none" its files can be split."""
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_digest(F.col("html"))).withColumn("bytes", F.octet_length("html").cast("long"))
-    first = rows.where(F.col("bytes") >= min_dedup_bytes).groupBy(F.col("digest").alias("_d")).agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, (F.col("digest") == F.col("_d")) & (F.col("bytes") >= min_dedup_bytes), "left")
+    rows = _with_first(rows.withColumn("dedup", F.col("bytes") >= min_dedup_bytes))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit(f"<{_URN}"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
@@ -60,17 +84,21 @@ def write_warc(pages: DataFrame, path: str, min_dedup_bytes: int = 0, date: str
         F.lit("\r\n"),
         F.when(revisit, "").otherwise(F.col("html")),
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path, compression="gzip")
+    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path, compression=compression)
 
 
 def _fragments(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, ord, value) of what stands between magics, from one scan that is written down."""
     text = spark.read.option("lineSep", MAGIC).text(path)
-    return text.select(
+    found = text.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("ord"),
         "value",
     )
+    at = f"{shared_dir(spark)}/fragments-{uuid.uuid4().hex}"
+    found.write.option("compression", "zstd").parquet(at)
+    return spark.read.parquet(at)
 
 
 def _parsed(df: DataFrame) -> DataFrame:
@@ -118,11 +146,12 @@ def _reached(nodes: DataFrame) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Verified records: file, at, type, id, url, refers, told_digest, told_bytes, length, payload_bytes, payload_digest.
+    """Verified records: file, at, type, id, url, refers, told_digest, told_bytes, length, payload_digest, payload_bytes, sound.
 
-    The last two are of the block as it was read.
+    The digest is of the block as it was read; ``sound`` tells whether that is as long as the header says.
     """
-    skinny = _parsed(_fragments(spark, path)).select(
+    fragments = _fragments(spark, path)
+    skinny = _parsed(fragments).select(
         "file", "block", "ord", (F.octet_length("value") + len(MAGIC)).cast("long").alias("size"),
         "length", "head_bytes", "whole", "type", "id", "url", "told_digest", "told_bytes", "refers",
         F.when(F.col("whole"), base32_digest(F.col("payload"))).alias("payload_digest"),
@@ -139,19 +168,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     reached = cut(_reached(placed.where("next is not null").select("file", "block", "at", "next")))
     fields = ["file", "at", "type", "id", "url", "refers", "told_digest", "told_bytes", "length", "payload_digest"]
     found = placed.join(reached.select("file", "at"), ["file", "at"])
-    out = found.where("whole").select(*fields)
+    out = found.where("whole").select(*fields, F.lit(True).alias("sound"))
     split = cut(found.where("not whole").select("file", "at", "next"))
     if not split.isEmpty():
-        # Payloads that hold the magic are put together from their fragments, read once more.
+        # Payloads that hold the magic are put together from their fragments.
         marked = placed.select("file", "block", "ord", "at").join(split.select("file").distinct(), "file", "left_semi")
         marked = marked.join(reached.select("file", "at", F.col("at").alias("_r"), "next"), ["file", "at"], "left")
         so_far = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
         marked = marked.withColumn("owner", F.last("_r", ignorenulls=True).over(so_far)).withColumn("end", F.last("next", ignorenulls=True).over(so_far))
         marked = marked.join(split.select("file", F.col("at").alias("owner")), ["file", "owner"], "left_semi").where("at < end")
-        pieces = _fragments(spark, path).join(marked.select("file", "block", "ord", "at", "owner"), ["file", "block", "ord"])
+        pieces = fragments.join(marked.select("file", "block", "ord", "at", "owner"), ["file", "block", "ord"])
         joined = pieces.groupBy("file", F.col("owner")).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("_x"))
         joined = joined.select("file", F.col("owner").alias("at"), F.array_join(F.transform("_x", lambda x: x["value"]), MAGIC).alias("value"))
-        out = out.unionByName(_parsed(joined).where("whole").withColumn("payload_digest", base32_digest(F.col("payload"))).select(*fields))
+        again = _parsed(joined).withColumn("payload_digest", F.when(F.col("whole"), base32_digest(F.col("payload"))))
+        out = out.unionByName(again.select(*fields, F.col("whole").alias("sound")))
     return out.withColumn("payload_bytes", F.col("length"))
 
 
@@ -174,5 +204,5 @@ def archive_digest(pages: DataFrame, path: str | None = None, min_dedup_bytes: i
         F.when(response, F.col("payload_digest")).otherwise(F.col("told_digest")).alias("payload_digest"),
         F.col("type").alias("record_type"),
         number("refers").alias("refers_to"),
-        (~response | ((F.col("payload_digest") == F.col("told_digest")) & (F.col("payload_bytes") == F.col("told_bytes")))).alias("sound"),
+        (F.col("sound") & (~response | F.coalesce((F.col("payload_digest") == F.col("told_digest")) & (F.col("payload_bytes") == F.col("told_bytes")), F.lit(False)))).alias("sound"),
     )
