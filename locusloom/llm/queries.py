@@ -73,4 +73,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": sql.DECONTAMINATION, "op10_chat_format": sql.CHAT}
+    return {
+        "op3_warc": sql.WARC,
+        "op5_decontamination": sql.DECONTAMINATION,
+        "op7_embedding_near_dedup": sql.EMBEDDINGS,
+        "op9_minhash_near_dedup": sql.NEAR_DUPLICATES,
+        "op10_chat_format": sql.CHAT,
+    }

@@ -35,3 +35,44 @@ head as (select conv_id, sum(ss) as n from m where not has group by conv_id),
 f as (select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role||chr(10)||text||chr(10), '' order by i)) as turns_sha256, coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), '') as loss, sum(size) as size from q group by conv_id)
 select f.conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, (size+coalesce(tail.n, 0)+coalesce(head.n, 0))::bigint as formatted_chars
 from f left join tail on tail.conv_id is not distinct from f.conv_id left join head on head.conv_id is not distinct from f.conv_id"""
+
+_QUADS = "||".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x'||substr(x, {1 + 5 * i}, 5))::bigint >> {5 * (3 - j)}) % 32 + 1, 1)" for i in range(8) for j in range(4))
+
+#: Every payload is long enough to be a revisit's.
+WARC = f"""
+with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html, sha1(coalesce(html, '')) as x from pages),
+d as (select *, {_QUADS} as digest, min(page_id) over (partition by x) as first from p)
+select page_id, url, strlen(html)::bigint as payload_bytes, digest as payload_digest, case when page_id is distinct from first then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from first then first end as refers_to, true as sound from d"""
+
+#: Components of a table ``links`` (a, b) of ``nodes`` (n): the least node that a node reaches.
+_REACHED = "reach(n, m) as (select n, n from nodes union select l.b, r.m from reach r join links l on l.a = r.n where r.m < l.b), part as (select n, min(m) as component from reach group by n)"
+
+EMBEDDINGS = f"""
+with recursive v as (select row_number() over () as r, vec_id, embedding::double[] as e from embeddings),
+good as (select * from v where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs as (select x.r as a, y.r as b from good x join good y on x.r <> y.r and len(x.e) = len(y.e) and list_cosine_similarity(x.e, y.e) >= 0.95),
+links as (select distinct x.vec_id as a, y.vec_id as b from pairs join v x on x.r = pairs.a join v y on y.r = pairs.b where x.vec_id <> y.vec_id),
+nodes as (select distinct vec_id as n from v), {_REACHED},
+counts as (select a, count(*) as n_links from pairs group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component::bigint as component_id, vec_id = component as kept from v left join counts on counts.a = v.r join part on part.n = v.vec_id"""
+
+_TOKENS = f"regexp_extract_all({_FOLDED}, '[^\\x09-\\x0D\\x20]+')"
+
+#: Shingles of three words, linked from 85 per cent on. Equal sets are compared once; similar sets share one of their rarest
+#: shingles, as many as may be missing and one more.
+NEAR_DUPLICATES = f"""
+with recursive w as (select doc_id, {_TOKENS} as w from documents),
+s as (select doc_id, case when len(w) = 0 then []::varchar[] else list_sort(list_distinct([array_to_string(w[k:k+2], ' ') for k in range(1, greatest(len(w)-1, 2))])) end as s from w),
+c as (select row_number() over () as c, s, len(s) as size, min(doc_id) as least from s where len(s) > 0 group by s),
+flat as (select c, size, unnest(s) as g from c),
+often as (select g, count(*) as n from flat group by g),
+ranked as (select c, size, g, n, row_number() over (partition by c order by n, g) as k from flat join often using (g)),
+rare as (select * from ranked where n > 1 and k <= size - ceil(0.85 * size) + 1),
+maybe as (select distinct x.c as a, y.c as b from rare x join rare y on x.g = y.g and x.c < y.c and 100*least(x.size, y.size) >= 85*greatest(x.size, y.size)),
+shared as (select a, b, x.size as m, y.size as n, len(list_intersect(x.s, y.s)) as met from maybe join c x on x.c = a join c y on y.c = b),
+one as (select a, b from shared where 100*met >= 85*(m+n-met)),
+named as (select x.least as a, y.least as b from one join c x on x.c = one.a join c y on y.c = one.b),
+links as (select a, b from named union select b, a from named), nodes as (select distinct least as n from c), {_REACHED}
+select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(component, s.doc_id)::bigint as component_id, s.doc_id = coalesce(component, s.doc_id) as kept
+from s left join c on c.s = s.s left join part on part.n = c.least"""
