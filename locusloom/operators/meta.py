@@ -25,12 +25,14 @@ def _known(x: Column) -> Column:
 
 
 def with_z(studies: DataFrame, scheme: str = "szw") -> DataFrame:
-    """Add ``z``: of ``szw`` ez, else the quantile of lp with the sign of es; of ``ivw`` es/se."""
+    """Add ``z``: of ``szw`` ez, else the quantile of lp with the sign of es; of ``ivw`` es/se; of ``blup`` ez, es/se or the quantile."""
     has = set(studies.columns)
     null = F.lit(None).cast("double")
     if scheme == "ivw":
         return studies.withColumn("z", F.try_divide("es", "se") if {"es", "se"} <= has else null)
     parts: list[Column] = [F.nanvl("ez", null)] if "ez" in has else []
+    if scheme == "blup" and {"es", "se"} <= has:
+        parts.append(F.try_divide("es", "se"))
     if {"es", "lp"} <= has:
         studies = with_abs_z(studies, "lp", "_zlp")
         parts.append(F.when(F.col("es") < 0, -F.col("_zlp")).when(F.col("es") >= 0, F.col("_zlp")))

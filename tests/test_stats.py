@@ -108,3 +108,10 @@ def test_binomial(spark):
         p = min(1.0, 2 * sum(math.comb(n, k) for k in range(low + 1)) / 2**n)
         got = spark.range(1).select(stats.binomial_lp(F.lit(a), F.lit(b))).first()[0]
         assert got == pytest.approx(-math.log10(p), abs=1e-9)
+
+
+def test_order_of_z(spark):
+    df = spark.createDataFrame([(1, 5.0, -0.4, 0.2, 2.0), (2, None, -0.4, 0.2, 2.0), (3, None, -0.4, None, 2.0), (4, None, 0.0, None, 2.0), (5, None, None, 0.2, 2.0)], "k int, ez double, es double, se double, lp double")
+    told = lambda scheme: [None if r.z is None else round(r.z, 4) for r in meta.with_z(df, scheme).orderBy("k").collect()]
+    assert told("szw") == [5.0, -2.5758, -2.5758, 2.5758, None] and told("ivw") == [-2.0, -2.0, None, None, None]
+    assert told("blup") == [5.0, -2.0, -2.5758, 2.5758, None]
