@@ -67,6 +67,36 @@ def test_large_buckets(spark, monkeypatch):
     assert sorted(map(tuple, got)) == expected(rows, 3, 85)
 
 
+def passages(n):
+    """Texts that differ but for a passage that all have, and near copies of some of them."""
+    rng = random.Random(13)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for g in range(n):
+        base = common + [f"g{g}w{k}" for k in range(60)]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            rows.append((len(rows), " ".join(base[:-2] + [f"x{rng.randrange(10_000)}" for _ in range(2)])))
+    return rows
+
+
+def test_crowded_buckets(spark, monkeypatch):
+    """Buckets beyond DEEP are dealt by two and by three bands; copies are found all the same."""
+    for name, value in {"SMALL": 2, "BLOCK": 8, "DEEP": 12}.items():
+        monkeypatch.setattr(neardup, name, value)
+    dealt = []
+    deeper = neardup._dealt_deeper
+    monkeypatch.setattr(neardup, "_dealt_deeper", lambda *a: dealt.append(1) or deeper(*a))
+    rows = passages(90)
+    got = neardup.near_duplicates(documents(spark, rows), 3, 85).collect()
+    assert sorted(map(tuple, got)) == expected(rows, 3, 85)
+    assert len(dealt) >= 2
+
+
+def test_paths_of_bands():
+    assert [neardup._path(c) for c in (0, 20, 64, (20 + 1) * 64 + 3, ((5 + 1) * 64 + 7 + 1) * 64 + 9)] == [[0], [20], [0, 0], [20, 3], [5, 7, 9]]
+
+
 def test_repeated_rows_and_ids(spark):
     rows = [(5, "a b c d e f g h"), (5, "a b c d e f g h"), (3, "a b c d e f g h"), (5, "other text of five words"), (9, None), (9, "")]
     got = neardup.near_duplicates(documents(spark, rows), 3, 85).collect()
