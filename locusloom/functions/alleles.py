@@ -35,6 +35,17 @@ def p_to_lp(p: Column) -> Column:
     return F.when(mantissa == 0, float("inf")).when(mantissa > 0, -F.log10(mantissa) - exponent)
 
 
+def strict_number(text: Column) -> Column:
+    """``text``, an error where it is neither a number nor a missing mark: nothing, or what begins with ``.`` or ``NA``."""
+    known = text.isNull() | F.trim(text).try_cast("double").isNotNull() | F.trim(text).rlike(r"^(\.|NA|$)")
+    return F.when(known, text).otherwise(F.raise_error(F.concat(F.lit("not a number: "), text)))
+
+
+def strict_position(text: Column) -> Column:
+    """``text``, an error where it isn't a whole number."""
+    return F.when(text.isNull() | F.trim(text).try_cast("bigint").isNotNull(), text).otherwise(F.raise_error(F.concat(F.lit("not a position: "), text)))
+
+
 def number(text: Column) -> Column:
     """A number, or null for a missing mark."""
     return F.trim(text).try_cast("double")

@@ -6,7 +6,7 @@ changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -74,11 +74,37 @@ def assign_rules(tags: dict[str, str], rules: dict[str, tuple[str, ...]] | None
     return out
 
 
-def with_swapped(df, tags: dict[str, str], s: Column, n_alleles: Column, rules: dict[str, tuple[str, ...]] | None = None):
-    """``df`` with the array columns ``tags`` (name to Number) rewritten by their rules."""
+#: Tags that some imputation servers declare with a number of values where it depends on the alleles.
+FIXED_NUMBERS = {"AC": ("1", "A"), "AF": ("1", "A"), "GP": ("3", "G"), "DS": ("1", "A")}
+
+
+def fix_numbers(df: DataFrame, tags: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` and ``tags`` (name to Number) with wrongly declared tags made per alternative or genotype; single values become arrays."""
+    wrong = {t: right for t, (old, right) in FIXED_NUMBERS.items() if tags.get(t) == old}
+    single = [t for t in wrong if t in df.columns and df.schema[t].dataType.typeName() != "array"]
+    return df.withColumns({t: F.when(F.col(t).isNotNull(), F.array(t)) for t in single}), tags | wrong
+
+
+def _of_length(a: Column, number: str, n_alleles: Column, s: Column, tag: str) -> Column:
+    """``a``, an error where the reference changes and ``a`` hasn't as many values as its Number asks for."""
+    n = n_alleles.cast("int")
+    asked = {"A": n - 1, "R": n, "G": (n * (n + 1) / 2).cast("int")}[number]
+    missing = a.isNull() | ((F.size(a) == 1) & F.get(a, F.lit(0)).isNull())
+    return F.when((s == 0) | missing | (F.size(a) == asked), a).otherwise(F.raise_error(F.lit(f"{tag}: not as many values as alleles; drop the tag or mend its Number")))
+
+
+def with_swapped(
+    df: DataFrame, tags: dict[str, str], s: Column, n_alleles: Column, rules: dict[str, tuple[str, ...]] | None = None, strict: bool = False
+) -> DataFrame:
+    """``df`` with the array columns ``tags`` (name to Number) rewritten by their rules.
+
+    With ``strict`` an array of a wrong length is an error, unless its rule is DROP; else values that aren't there are null.
+    """
     null = F.lit(None)
     for tag, rule in assign_rules(tags, rules).items():
         a = F.col(tag)
+        if strict and rule != "DROP" and tags[tag] in ("A", "R", "G"):
+            a = _of_length(a, tags[tag], n_alleles, s, tag)
         if rule == "DROP":
             new = F.when(s == 0, a).otherwise(null)
         elif rule == "AC":

@@ -30,6 +30,21 @@ def checked(ldgm: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ldgm.where(ok), ldgm.where(~ok)
 
 
+def from_edge_list(snps: DataFrame, edges: DataFrame) -> DataFrame:
+    """LD tables of markers (ld_block, ld_node, chrom, pos, anc, deriv, af, swapped) and edges (ld_block, i, j, w), i = j for diagonals.
+
+    Where ``swapped`` holds, the ancestral allele is alt and the frequency is mirrored. Markers of nodes that begin no edge are left out.
+    """
+    other = F.when(F.col("i") != F.col("j"), F.struct("j", "w"))
+    own = edges.groupBy("ld_block", F.col("i").alias("ld_node")).agg(F.max(F.when(F.col("i") == F.col("j"), F.col("w"))).alias("ld_diagonal"), F.array_sort(F.collect_list(other)).alias("_e"))
+    turned = F.coalesce(F.col("swapped"), F.lit(False))
+    pick = lambda yes, no: F.when(turned, yes).otherwise(no)
+    return snps.join(own, ["ld_block", "ld_node"]).select(
+        "ld_block", "ld_node", "chrom", "pos", pick(F.col("deriv"), F.col("anc")).alias("ref"), pick(F.col("anc"), F.col("deriv")).alias("alt"), turned.cast("int").alias("aa"),
+        pick(1 - F.col("af"), F.col("af")).alias("af"), "ld_diagonal", F.col("_e.j").alias("ld_neighbors"), F.col("_e.w").alias("ld_weights"),
+    )
+
+
 def edges_of(ldgm: DataFrame) -> DataFrame:
     """Edges (ld_block, pop, i, j, w) of distinct nodes' neighbour lists, without zero weights."""
     nodes = ldgm.dropDuplicates(["ld_block", "pop", "ld_node"])
@@ -72,7 +87,7 @@ def prior_covariance(nodes: DataFrame, beta_cov: float = 1e-7, cross_corr: float
 
 
 def summary(nodes: DataFrame, alpha: float = -0.5, average_ld_score: float = AVERAGE_LD_SCORE, correct: bool = False, expected_ratio: float = 0.6) -> DataFrame:
-    """(pop, non_missing, missing, lambda_gc, sigmasq_inf, trace_inf, beta_cov) over all blocks.
+    """(pop, non_missing, missing, lambda_gc, sigmasq_inf, trace_inf, beta_cov, max_alpha2, sum_alpha2) over all blocks.
 
     Lambda compares the median over blocks of mean sample size with that of median squared effect; with ``correct`` the heritability is
     shrunk for a share of large effects.
@@ -82,11 +97,11 @@ def summary(nodes: DataFrame, alpha: float = -0.5, average_ld_score: float = AVE
     block = rows.groupBy("pop", "ld_block").agg(
         F.count_if(seen).alias("have"), F.count_if(~seen).alias("lack"), F.avg(F.when(seen, F.col("n"))).alias("mean_n"),
         F.median(F.when(seen, F.col("alpha_hat") * F.col("alpha_hat"))).alias("median_a2"), F.sum(F.when(seen, F.col("alpha_hat") * F.col("alpha_hat"))).alias("sum_a2"),
-        F.sum(F.when(seen, F.col("sd") * F.col("sd"))).alias("trace"),
+        F.sum(F.when(seen, F.col("sd") * F.col("sd"))).alias("trace"), F.max(F.when(seen, F.col("alpha_hat") * F.col("alpha_hat"))).alias("max_a2"),
     )
     pop = block.groupBy("pop").agg(
         F.sum("have").alias("non_missing"), F.sum("lack").alias("missing"), (F.median("mean_n") * F.median("median_a2") / MEDIAN_CHI2).alias("lambda_gc"),
-        F.median("mean_n").alias("_n"), F.sum("sum_a2").alias("_a2"), F.sum("trace").alias("trace_inf"),
+        F.median("mean_n").alias("_n"), F.sum("sum_a2").alias("_a2"), F.sum("trace").alias("trace_inf"), F.max("max_a2").alias("max_alpha2"),
     )
     prop = F.col("non_missing") / (F.col("non_missing") + F.col("missing"))
     sigma = F.greatest((F.col("lambda_gc") - 1) / (F.col("_n") * average_ld_score * prop), F.lit(0.0))
@@ -94,7 +109,7 @@ def summary(nodes: DataFrame, alpha: float = -0.5, average_ld_score: float = AVE
         ratio = F.try_divide(F.col("lambda_gc") - 1, F.col("_a2") / F.col("non_missing") * F.col("_n") - 1) / expected_ratio
         sigma = sigma * F.least(F.coalesce(ratio * ratio, F.lit(1.0)), F.lit(1.0))
     pop = pop.withColumn("sigmasq_inf", sigma)
-    return pop.select("pop", "non_missing", "missing", "lambda_gc", "sigmasq_inf", "trace_inf", F.try_divide(F.col("sigmasq_inf"), F.col("trace_inf") / F.col("non_missing")).alias("beta_cov"))
+    return pop.select("pop", "non_missing", "missing", "lambda_gc", "sigmasq_inf", "trace_inf", F.try_divide(F.col("sigmasq_inf"), F.col("trace_inf") / F.col("non_missing")).alias("beta_cov"), "max_alpha2", F.col("_a2").alias("sum_alpha2"))
 
 
 def solve(product: Callable[[np.ndarray], np.ndarray], b: np.ndarray, diagonal: np.ndarray | None, tolerance: float, start: np.ndarray | None = None) -> np.ndarray:

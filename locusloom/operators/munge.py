@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.functions.alleles import flip_direction, harmonise, identifier, munge_allele, number, p_to_lp, resolve_contig
+from locusloom.functions.alleles import flip_direction, harmonise, identifier, munge_allele, number, p_to_lp, resolve_contig, strict_number, strict_position
 from locusloom.sources.fasta import with_reference
 from locusloom.sources.text import bind
 
@@ -23,19 +23,22 @@ def munge(
     ne: float | None = None,
     iffy_tag: str = "IFFY",
     mismatch_tag: str = "REF_MISMATCH",
+    strict: bool = False,
 ) -> DataFrame:
     """Normalise the all-string columns of ``raw`` by header synonyms ``codes``.
 
     Effects are of alt, which is the effect allele a1 unless the reference begins with a1 and not a2: then alleles are
     exchanged, effects negated and frequencies mirrored. Without ``fasta`` (see :mod:`locusloom.sources.fasta`)
     ref is a2 and nothing is checked. Rows of unknown contigs are left out. Constants fill in for missing columns.
+    With ``strict`` text that is neither a number nor a missing mark is an error, else it is missing.
     """
     at = bind(raw.columns, codes)
     col = lambda c: F.col(f"`{at[c]}`")
     has = lambda *cs: all(c in at for c in cs)
     null = F.lit(None).cast("double")
-    num = lambda c: number(col(c)) if c in at else null
-    lp = p_to_lp(col("P")) if has("P") else num("LP")
+    text = lambda c: strict_number(col(c)) if strict else col(c)
+    num = lambda c: number(text(c)) if c in at else null
+    lp = p_to_lp(text("P")) if has("P") else num("LP")
     es = num("BETA") if has("BETA") else F.when(num("OR") > 0, F.ln(num("OR"))) if has("OR") else null
     cases = F.coalesce(num("N_CAS"), F.lit(nc).cast("double"))
     total = F.coalesce(num("N"), cases + num("N_CON") if has("N_CAS", "N_CON") else null, F.lit(ns).cast("double"))
@@ -43,14 +46,14 @@ def munge(
     other = "A2" if has("A2") else "A*" if has("A*") else None
     rows = raw.select(
         resolve_contig(col("CHR"), contigs).alias("chrom"),
-        F.trim(col("BP")).try_cast("bigint").alias("pos"),
+        F.trim(strict_position(col("BP")) if strict else col("BP")).try_cast("bigint").alias("pos"),
         (identifier(col("SNP")) if has("SNP") else F.lit(None).cast("string")).alias("id"),
         munge_allele(col("A1")).alias("_a1"),
         (munge_allele(col(other)) if other else F.lit(None).cast("string")).alias("_a2"),
         F.lit(sample).alias("study"),
         total.alias("ns"), num("Z").alias("ez"), num("INFO").alias("si"), cases.alias("nc"), es.alias("es"), num("SE").alias("se"), lp.alias("lp"),
         num("FRQ").alias("af"), num("AC").alias("ac"), effective.alias("ne"), num("HET_I2").alias("i2"),
-        (p_to_lp(col("HET_P")) if has("HET_P") else num("HET_LP")).alias("cq"),
+        (p_to_lp(text("HET_P")) if has("HET_P") else num("HET_LP")).alias("cq"),
         (col("DIRE") if has("DIRE") else F.lit(None).cast("string")).alias("ed"),
     ).where(F.col("chrom").isNotNull())
     if fasta is None:

@@ -40,6 +40,12 @@ def in_order(rows: DataFrame, contigs: Sequence[str]) -> DataFrame:
     return rows.orderBy(F.array_position(F.lit(list(contigs)), F.col("chrom")), "pos", "ref", "alt")
 
 
+def write_in_order(rows: DataFrame, path: str) -> None:
+    """Parquet in a folder for each contig, sorted by place within each file, so that a region reads few row groups."""
+    placed = rows.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", "ref", "alt")
+    placed.write.partitionBy("chrom").parquet(path)
+
+
 def annotate_ids(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Rows with the id that ``names`` (chrom, pos, ref, alt, id) has for them, their own if none."""
     known = names.select("chrom", "pos", "ref", "alt", F.col("id").alias("_id"))

@@ -49,6 +49,24 @@ def ld_checked(spark, d):
     return good.select("vid", F.lit(True).alias("good")).unionByName(bad.select("vid", F.lit(False).alias("good")))
 
 
+def ld_association(spark, d):
+    """Pairs of markers on one node; the first with an association stands for it."""
+    v = view(spark, d, "variants")
+    own = _ldgm(spark, d).withColumn("ld_node", F.col("ld_node") - F.col("ld_node") % 2).join(v, "vid")
+    stats = v.join(view(spark, d, "study_stats").where("study = 0 and vid % 3 > 0"), "vid").withColumn("z", F.col("es") / F.col("se")).withColumn("n", F.col("ns"))
+    return ld.with_association(own, stats).select("ld_block", "ld_node", "vid", F.round("z", 8).alias("z"), "n")
+
+
+def ld_table(spark, d):
+    """Markers, some swapped, with the edge list of their blocks."""
+    v = view(spark, d, "variants").select("vid", "chrom", "pos", F.col("ref").alias("anc"), F.col("alt").alias("deriv"))
+    snps = view(spark, d, "ld_nodes").select("ld_block", "ld_node", "vid", "af").join(v, "vid").withColumn("swapped", F.col("vid") % 4 == 0)
+    loops = view(spark, d, "ld_nodes").where("vid % 7 > 0").select("ld_block", F.col("ld_node").alias("i"), F.col("ld_node").alias("j"), F.col("ld_diagonal").alias("w"))
+    out = ld.from_edge_list(snps, view(spark, d, "ld_edges").where("i % 5 > 0").unionByName(loops))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return out.select("ld_block", "ld_node", "chrom", "pos", "ref", "alt", "aa", F.round("af", 6).alias("af"), "ld_diagonal", text("ld_neighbors"), F.round(F.get("ld_weights", F.lit(0)), 6).alias("weight"))
+
+
 def ld_nodes(spark, d):
     out = ld.node_map(nodes(spark, d, 2).where("z is not null"))
     return out.select("ld_block", "ld_node", F.array_join("pops", ",").alias("pops"))
@@ -106,6 +124,7 @@ def bayes_factor(spark, d):
 QUERIES = {
     "ld_edges": ld_edges, "export_ldgm": export_ldgm, "ld_checked": ld_checked, "ld_nodes": ld_nodes, "ld_missing": _summary(False, "non_missing", "missing", "trace_inf"), "ld_block_median": ld_block_median,
     "ld_lambda": _summary(False, "lambda_gc", "sigmasq_inf", "beta_cov"), "ld_lambda_corrected": _summary(True, "lambda_gc", "sigmasq_inf", "beta_cov"), "ld_sigma": ld_sigma,
+    "ld_alpha2": _summary(False, "max_alpha2", "sum_alpha2"), "ld_association": ld_association, "ld_table": ld_table,
     "blup_diag": blup_diag, "blup_pair": blup_pair, "blup_full": blup_full, "pgs_burn_in": pgs_burn_in, "pgs_gibbs": pgs_gibbs, "bayes_factor": bayes_factor,
 }
 
@@ -127,6 +146,12 @@ ORACLES = {k: with_views(v) for k, v in {
     "ld_nodes": f"with {_NODES(2)} select ld_block, ld_node, string_agg('P'||p::varchar, ',' order by p) as pops from k where z is not null group by ld_block, ld_node",
     "ld_missing": f"{_SUMMARY} select 'P'||p::varchar as pop, have::bigint as non_missing, lack::bigint as missing, round(tr, 9) as trace_inf from u",
     "ld_block_median": f"with {_NODES(1)} select ld_block, round(median(a), 9) as median_a, round(median(a*a), 9) as median_a2, round(avg(n), 6) as mean_n from k where z is not null group by ld_block",
+    "ld_alpha2": f"with {_NODES(4)} select 'P'||p::varchar as pop, round(max(a*a), 9) as max_alpha2, round(sum(a*a), 9) as sum_alpha2 from k where z is not null group by p",
+    "ld_association": "with s as (select vid, es/se as z, ns as n from study_stats where study = 0 and vid % 3 > 0), t as (select ld_block, ld_node - ld_node % 2 as ld_node, l.vid, pos, case when n > 0 then z end as z, case when n > 0 and z is not null then n end as n from ld_nodes l join variants v on l.vid = v.vid left join s on s.vid = l.vid) select ld_block, ld_node, vid, round(z, 8) as z, n from (select *, row_number() over (partition by ld_block, ld_node order by z is null, pos) as k from t) where k = 1",
+    "ld_table": """with t as (select ld_block as b, i, j, w from ld_edges where i % 5 > 0)
+select l.ld_block, l.ld_node, chrom, pos, case when l.vid % 4 = 0 then alt else ref end as ref, case when l.vid % 4 = 0 then ref else alt end as alt, (l.vid % 4 = 0)::int as aa, round(case when l.vid % 4 = 0 then 1 - af else af end, 6) as af,
+  case when l.vid % 7 > 0 then ld_diagonal end as ld_diagonal, coalesce(j::varchar, '') as ld_neighbors, round(w, 6) as weight
+from ld_nodes l join variants v on l.vid = v.vid left join t on t.b = l.ld_block and t.i = l.ld_node where l.vid % 7 > 0 or j is not null""",
     "ld_lambda": f"{_SUMMARY} select 'P'||p::varchar as pop, round(lam, 9) as lambda_gc, round({_SIGMA}, 9) as sigmasq_inf, round({_SIGMA}/(tr/have), 9) as beta_cov from u",
     "ld_lambda_corrected": f"{_SUMMARY}, c as (select *, {_SIGMA}*least(pow((lam-1)/(a2/have*mn-1)/0.6::double, 2), 1) as sg from u) select 'P'||p::varchar as pop, round(lam, 9) as lambda_gc, round(sg, 9) as sigmasq_inf, round(sg/(tr/have), 9) as beta_cov from c",
     "ld_sigma": f"with {_NODES(2)} select x.ld_block, x.ld_node, 'P'||x.p::varchar as pop1, 'P'||y.p::varchar as pop2, round({BETA_COV}::double*x.sd*y.sd*(case when x.p = y.p then 1 else {CROSS}::double end), 10) as sigma from k x join k y on x.ld_block = y.ld_block and x.ld_node = y.ld_node and x.p <= y.p and x.z is not null and y.z is not null",

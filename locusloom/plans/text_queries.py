@@ -10,7 +10,7 @@ from locusloom.operators import filters, intervals, manhattan, tables
 from locusloom.operators.munge import munge
 from locusloom.plans.views import view, with_views
 from locusloom.sources.fasta import chunked
-from locusloom.sources.text import PRESETS, synonyms
+from locusloom.sources.text import PRESETS, parse_lines, synonyms
 
 CONTIGS = (*(f"chr{i}" for i in range(1, 23)), "chrX", "chrY", "chrM")
 #: One header for each meaning, by preset.
@@ -168,7 +168,20 @@ def plot_points(spark, d):
     return rows.select("vid", "x", F.round("height", 8).alias("height"))
 
 
+def text_scan(spark, d):
+    """Lines with a comment, a suffixed header, a column to skip and a repeated name."""
+    head = spark.createDataFrame([("## by a program",), ("#CHR_7\tID_7\t-\tP_7\tP_7",)], "value string").coalesce(1)
+    lines = raw(spark, d).select(F.concat_ws("\t", "chr_raw", "row_id", F.lit("x"), "a1_raw", "p_raw").alias("value"))
+    return parse_lines(head.unionByName(lines))
+
+
+def contig_lengths(spark, d):
+    bands = view(spark, d, "variants").select("chrom", F.col("pos").alias("start"), (F.col("pos") + F.col("vid") % 1000).alias("end"))
+    return manhattan.contig_lengths(bands)
+
+
 QUERIES = {
+    "text_scan": text_scan, "contig_lengths": contig_lengths,
     "munge_presets": munge_presets, "munge_contig": munge_contig, "munge_allele": munge_allele, "munge_p_to_lp": munge_p_to_lp, "munge_numbers": munge_numbers, "munge_or": munge_or, "munge_neff": munge_neff,
     "munge_constants": munge_constants, "munge_harmonise": munge_harmonise, "filt_expr": filt_expr, "filt_mask": filt_mask, "filt_pass": filt_pass, "regions_semi": regions_semi, "targets_anti": targets_anti,
     "norm_split": norm_split, "norm_join": norm_join, "merge_wide": merge_wide, "annotate_ids": annotate, "export_ssf": export_ssf, "plot_points": plot_points,
@@ -189,6 +202,8 @@ _SEQ = "substring('ACGT', cast((pos+vid-1) % 4 + 1 as int), 1)"
 _REGION = "with r as (select chrom as c, pos-150 as a, pos+5000 as z from variants where vid % 50 = 0)"
 
 ORACLES = {k: with_views(v) for k, v in {
+    "text_scan": "select chr_raw as CHR, row_id as ID, p_raw as P from raw_text",
+    "contig_lengths": "select replace(chrom, 'chr', '') as chrom, max(pos + vid % 1000) as length from variants group by 1",
     "munge_presets": f"with r as (select *, {_CONTIG} as chrom from raw_text) " + " union all ".join(_preset_sql(p) for p in HEADERS),
     "munge_contig": f"select row_id, {_CONTIG} as chrom, case when chr_raw::int <= 22 then chr_raw end as bare from raw_text",
     "munge_allele": "select row_id, case a1_raw when '1' then 'A' when '2' then 'C' when '3' then 'G' when '4' then 'T' when '5' then '<DEL>' when '6' then '<i>' else '<A+t>' end as a1, case a1_raw when '1' then '*' when '2' then 'ACGT' else '<Del>' end as a2 from raw_text",

@@ -32,13 +32,13 @@ def synonyms(preset: str | None = None, path: str | None = None) -> dict[str, st
             raise ValueError(f"unknown preset {preset}")
         return {k.lower(): v for k, v in PRESETS[preset.upper()].items()}
     out = {}
-    with open(path) as lines:
-        for line in lines:
-            name, tab, code = line.rstrip("\n").partition("\t")
-            if not tab:
-                raise ValueError(f"no tab in the line {name!r}")
-            if code in CANONICAL:
-                out[name.lower()] = code
+    lines = SparkSession.builder.getOrCreate().read.text(path).collect()  # a line for each header name
+    for (line,) in lines:
+        name, tab, code = line.partition("\t")
+        if not tab:
+            raise ValueError(f"no tab in the line {name!r}")
+        if code in CANONICAL:
+            out[name.lower()] = code
     return out
 
 
@@ -63,12 +63,16 @@ def header_fields(line: str, strip_suffix: bool = True) -> tuple[list[str], str]
 
 
 def read_summary(spark: SparkSession, path: str, strip_suffix: bool = True) -> DataFrame:
-    """All columns of a summary file as strings, in file order; short rows have nulls.
+    """All columns of a summary file as strings, in file order; see :func:`parse_lines`."""
+    return parse_lines(spark.read.text(path), strip_suffix)
+
+
+def parse_lines(lines: DataFrame, strip_suffix: bool = True) -> DataFrame:
+    """All columns of the lines (value) of a summary file as strings; short rows have nulls.
 
     The header is the first line that is no comment; #CHROM and #ID begin headers too. A column named ``-`` and
     repeated names but the last are left out.
     """
-    lines = spark.read.text(path)
     is_header = ~F.startswith("value", F.lit("#")) | F.col("value").rlike("^#(CHR|ID)")
     head = lines.where(is_header & (F.length(F.trim("value")) > 0)).first()
     if head is None:

@@ -13,13 +13,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def lift_stream(rows: DataFrame, blocks: DataFrame, bin_size: int = 1 << 16) -> DataFrame:
-    """Point liftover of a stream: every block that holds a row's position (blocks of deduplicated chains overlap rarely)."""
-    bins = blocks.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("b_start") / bin_size), F.floor(F.col("b_end") / bin_size))))
+    """Point liftover of a stream: a row for each row, by the last block in file order that holds its position, as for a table."""
+    kept = F.struct("chain_ind", "block_ind", "b_start", "b_end", "b_q", "q_chrom", "q_size", "q_strand")
+    every = F.sequence(F.floor(F.col("b_start") / bin_size), F.floor(F.col("b_end") / bin_size))
+    bins = blocks.select("b_chrom", kept.alias("_block"), F.explode(every).alias("_bin"))
+    bins = bins.groupBy("b_chrom", "_bin").agg(F.array_sort(F.collect_list("_block")).alias("_blocks"))  # no more than a bin has bases, but for overlaps
     at = F.col("pos") - 1
-    on = (F.col("chrom") == F.col("b_chrom")) & (F.floor(at / bin_size) == F.col("_bin")) & at.between(F.col("b_start"), F.col("b_end"))
-    off = at - F.col("b_start")
-    q = F.when(F.col("q_strand") == 0, F.col("b_q") + off + 1).otherwise(F.col("q_size") - F.col("b_q") - off)
-    return rows.join(bins, on, "left").select(*[rows[c] for c in rows.columns], "q_chrom", q.alias("q_pos"), "q_strand")
+    joined = rows.join(bins, (F.col("chrom") == F.col("b_chrom")) & (F.floor(at / bin_size) == F.col("_bin")), "left")
+    hits = F.filter("_blocks", lambda b: at.between(b["b_start"], b["b_end"]))
+    off = at - F.col("_at.b_start")
+    q = F.when(F.col("_at.q_strand") == 0, F.col("_at.b_q") + off + 1).otherwise(F.col("_at.q_size") - F.col("_at.b_q") - off)
+    own = [F.col(c) for c in rows.columns]
+    return joined.select(*own, F.get(F.reverse(hits), F.lit(0)).alias("_at")).select(*own, "_at.q_chrom", q.alias("q_pos"), "_at.q_strand")
 
 
 def score_stream(each: DataFrame) -> DataFrame:

@@ -186,3 +186,40 @@ def test_ld_table(spark, tmp_path):
     (tmp_path / "m.vcf").write_text("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n")
     with pytest.raises(ValueError, match="LD_weights"):
         vcf.read_ld(spark, f"file://{tmp_path}/m.vcf", "EUR")
+
+
+def test_wrong_lengths_are_told(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [1.0])], "s int, X array<double>")
+    two = F.lit(3)
+    assert [r.X for r in swap.with_swapped(df.where("s = 0"), {"X": "A"}, F.col("s"), two, strict=True).collect()] == [[1.0]]
+    with pytest.raises(Exception, match="not as many values"):
+        swap.with_swapped(df, {"X": "A"}, F.col("s"), two, strict=True).collect()
+    dropped = swap.with_swapped(df, {"X": "A"}, F.col("s"), two, {"DROP": ("X",)}, strict=True)
+    assert [r.X for r in dropped.orderBy("s").collect()] == [[1.0], None]
+
+
+def test_numbers_of_tags_are_mended(spark):
+    df = spark.createDataFrame([(3, 0.5, [0.1, 0.2, 0.7]), (None, 0.25, None)], "AC int, DS double, GP array<double>")
+    out, tags = swap.fix_numbers(df, {"AC": "1", "DS": "A", "GP": "3", "NS": "1"})
+    assert tags == {"AC": "A", "DS": "A", "GP": "G", "NS": "1"}
+    assert [(r.AC, r.DS) for r in out.collect()] == [([3], 0.5), (None, 0.25)]
+
+
+def test_strict_numbers(spark):
+    codes = {"chr": "CHR", "bp": "BP", "a1": "A1", "a2": "A2", "beta": "BETA"}
+    rows = lambda *r: spark.createDataFrame([("1", p, "A", "C", b) for p, b in r], "CHR string, BP string, A1 string, A2 string, BETA string")
+    fine = munge(rows(("5", ".5"), ("6", "NAN?"), ("7", "."), ("8", None)), codes, ["1"], strict=True)
+    assert [r.es for r in fine.orderBy("pos").collect()] == [0.5, None, None, None]
+    assert [r.es for r in munge(rows(("5", "junk")), codes, ["1"]).collect()] == [None]
+    for bad in (("5", "junk"), ("5.5", "1")):
+        with pytest.raises(Exception, match="not a"):
+            munge(rows(bad), codes, ["1"], strict=True).collect()
+
+
+def test_files_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([(f"chr{k % 3}", (k * 37) % 101, "A", "C") for k in range(60)], "chrom string, pos int, ref string, alt string")
+    tables.write_in_order(rows, f"{tmp_path}/sorted")
+    back = spark.read.parquet(f"{tmp_path}/sorted")
+    assert sorted(map(tuple, back.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    held = back.withColumn("f", F.input_file_name()).select("f", "pos").collect()
+    assert all(a.pos <= b.pos for a, b in zip(held, held[1:], strict=False) if a.f == b.f)

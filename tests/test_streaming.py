@@ -15,6 +15,17 @@ def test_point_liftover_of_a_stream(spark, tmp_path):
     assert got == {r.k: r.q_pos for r in liftover.lift_points(rows, b).collect()}
 
 
+def test_overlapping_blocks_of_a_stream(spark, tmp_path):
+    """A position in two blocks is lifted once, by the later one, and an unmapped row stays."""
+    rows = spark.createDataFrame([(k, "c", 20 * k) for k in range(1, 12)], "k int, chrom string, pos long")
+    rows.write.parquet(f"{tmp_path}/in")
+    b = blocks(spark, [(0, 0, "c", 0, 119, 7, "d", 1000, 0), (1, 0, "c", 80, 150, 600, "e", 1000, 1)])
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    stateless.write(stream, f"{tmp_path}/out", f"{tmp_path}/cp", lambda s: stateless.lift_stream(s, b)).awaitTermination()
+    at = lambda df: sorted((r.k, r.q_chrom, r.q_pos, r.q_strand) for r in df.collect())
+    assert at(spark.read.parquet(f"{tmp_path}/out")) == at(liftover.lift_points(rows, b))
+
+
 def test_running_scores(spark, tmp_path):
     each = spark.createDataFrame([(s, "p", 0.5 * s, float(d)) for s in range(3) for d in range(4)], "sample int, prs string, es double, dosage double")
     each.write.parquet(f"{tmp_path}/in")
