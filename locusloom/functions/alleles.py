@@ -18,7 +18,7 @@ IUPAC, COMPLEMENT = "ACGTURYSWKMBDHVNacgturyswkmbdhvn[]<>", "TGCAAYRSWMKVHDBNtgc
 def resolve_contig(raw: Column, contigs: Sequence[str]) -> Column:
     """The name in ``contigs`` that ``raw`` means, or null: as it is, without or with ``chr``, or by alias."""
     known = lambda c: F.when(c.isin(list(contigs)), c)
-    bare = F.regexp_replace(raw, "^chr", "")
+    bare = F.when(F.startswith(raw, F.lit("chr")), F.substring(raw, 4, 1 << 30)).otherwise(raw)
     first = lambda names: next((n for n in names if n in contigs), None)
     parts = [known(raw), known(bare), known(F.concat(F.lit("chr"), bare))]
     for names, own in ((X_NAMES, ("X", "chrX")), (Y_NAMES, ("Y", "chrY")), (MT_NAMES, ("MT", "chrM"))):
@@ -30,9 +30,10 @@ def resolve_contig(raw: Column, contigs: Sequence[str]) -> Column:
 def p_to_lp(p: Column) -> Column:
     """-log10 of a number given as text, however small: the mantissa's logarithm and the exponent apart."""
     text = F.lower(F.trim(p))
-    mantissa = F.split_part(text, F.lit("e"), F.lit(1)).try_cast("double")
-    exponent = F.when(text.contains("e"), F.split_part(text, F.lit("e"), F.lit(2)).try_cast("int")).otherwise(0)
-    return F.when(mantissa == 0, float("inf")).when(mantissa > 0, -F.log10(mantissa) - exponent)
+    before = F.substring_index(text, "e", 1)
+    mantissa = before.try_cast("double")
+    exponent = F.when(F.length(before) < F.length(text), F.substr(text, F.length(before) + 2).try_cast("int")).otherwise(0)
+    return F.when(mantissa == 0, float("inf")).otherwise(-F.log10(mantissa) - exponent)  # no logarithm of less than nothing
 
 
 def strict_number(text: Column) -> Column:
