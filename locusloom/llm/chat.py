@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 #: Code points around a role and a text: the marks and two newlines.
 MARKS = len(START) + len(END) + 2
+#: Code points of a text that place a turn among those of the same conversation, number and role; the order is by all of it.
+RANGE_CHARS = 64
 
 
 def escape(c: Column) -> Column:
@@ -37,7 +39,8 @@ def unescape(c: Column) -> Column:
 
 def _prefix_sums(turns: DataFrame) -> DataFrame:
     """Add ``_end``, the tokens up to the end of each turn, and ``_sys``, the system turn."""
-    ranged = turns.repartitionByRange("conv_id", "turn", "role", "text").withColumn("_part", F.spark_partition_id())
+    # By the beginning of the text only, which agrees with its order: whole texts would be sampled to the driver.
+    ranged = turns.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, RANGE_CHARS)).withColumn("_part", F.spark_partition_id())
     order = ["turn", "role", "text"]
     within = Window.partitionBy("conv_id", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("_local", F.sum("_tokens").over(within))
