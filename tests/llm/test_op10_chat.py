@@ -39,6 +39,13 @@ def test_read_back(spark, budget, history):
     assert sorted((tuple(r)[:5] for r in got), key=str) == expected(rows)
 
 
+def test_ties_with_equal_beginnings(spark):
+    """Turns of one number and role, whose texts begin alike for longer than what ranges them."""
+    rows = [(1, 0, "user", "long beginning " * 9 + str(k * 7919 % 300)) for k in range(300)] + [(1, 1, "assistant", "done")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    assert sorted(tuple(r)[:5] for r in chat.digests(chat.format_windows(df, 64, 16)).collect()) == expected(rows)
+
+
 def test_control_strings_are_escaped(spark):
     got = chat.format_windows(chat.control_conversation(spark)).collect()
     assert len(got) == 1 and got[0].formatted.count(END) == 2 and got[0].formatted.count(START) == 2
