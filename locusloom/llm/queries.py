@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from locusloom.llm import chat, decontam, embdup, htmltext, lm, mixing, neardup, sharding, sql, toxicity, warc
+from locusloom.llm import chat, decontam, embdup, htmltext, linededup, lm, mixing, neardup, negatives, resample, sharding, sql, toxicity, warc
 from locusloom.llm.common import table
 
 #: Target weights of the registered mixture; names without a weight have 1.
@@ -57,6 +58,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_windows(turns.unionByName(chat.control_conversation(spark))))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100, scale=256)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(table(spark, sf_dir, "documents"), min_chars=10)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, min_words=20, seed=2024)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_lm_score": op1_lm_score,
@@ -69,6 +84,9 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_chat_format": op10_chat_format,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
@@ -79,4 +97,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_embedding_near_dedup": sql.EMBEDDINGS,
         "op9_minhash_near_dedup": sql.NEAR_DUPLICATES,
         "op10_chat_format": sql.CHAT,
+        "op11_hard_negatives": sql.NEGATIVES,
+        "op12_line_dedup": sql.LINES,
+        "op13_importance_resampling": sql.RESAMPLING,
     }

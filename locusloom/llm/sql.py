@@ -76,3 +76,40 @@ named as (select x.least as a, y.least as b from one join c x on x.c = one.a joi
 links as (select a, b from named union select b, a from named), nodes as (select distinct least as n from c), {_REACHED}
 select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(component, s.doc_id)::bigint as component_id, s.doc_id = coalesce(component, s.doc_id) as kept
 from s left join c on c.s = s.s left join part on part.n = c.least"""
+
+NEGATIVES = """
+with v as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label+1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256*x::double)::bigint) as q from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.r as ar, a.vec_id as anchor_id, b.r as br, b.vec_id as id, a.label = b.label as same, case when len(a.q) = 0 then 0 else list_inner_product(a.q::double[], b.q::double[])::bigint end as s
+  from v a join v b on a.r <> b.r and len(a.q) = len(b.q) where a.vec_id % 100 = 0),
+p as (select ar, anchor_id, id as positive_id, s as positive_score, row_number() over (partition by ar order by s desc, id) as k from s where same qualify k <= 5),
+n as (select ar, k, anchor_id, positive_id, positive_score, s.id as negative_id, s.s as negative_score, row_number() over (partition by ar, k order by s.s desc, s.id) as rank
+  from p join (select ar, id, s from s where not same) s using (ar) where 80*positive_score <= 100*s.s and 100*s.s <= 100*positive_score qualify rank <= 5)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n"""
+
+_BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+
+LINES = f"""
+with d as (select row_number() over () as r, doc_id, coalesce(doc_id, 9223372036854775807) as owner, string_split(coalesce(text, ''), chr(10)) as l from documents),
+u as (select r, doc_id, owner, unnest(l) as line, generate_subscripts(l, 1) as i from d),
+k as (select *, translate(trim(line, {_BLANKS}), '{UPPER}', '{LOWER}') as key from u),
+f as (select key, min(owner) as least from k where length(key) >= 10 group by key having min(owner) < max(owner)),
+g as (select k.*, f.least is not null and f.least <> owner as gone from k left join f using (key))
+select any_value(doc_id) as doc_id, count(*)::bigint as n_lines, (count(*) filter (where gone))::bigint as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256 from g group by r"""
+
+#: The bytewise table of the checksum, from its polynomial.
+_CRC_TABLE = "select list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda c, z: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc"
+_BYTES = "list_transform(range(strlen(w)), lambda i: ('0x'||substr(hex(encode(w)), 2*i+1, 2))::bigint)"
+
+RESAMPLING = f"""
+with table_ as ({_CRC_TABLE}), d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+du as (select r, unnest(w) as w from d), bu as (select unnest({_WORDS}) as w from benchmark),
+voc as (select w, xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255)+1])), 4294967295) % 10000 as k from (select w from du union select w from bu), table_),
+own as (select k, count(*) as s from du join voc using (w) group by k), wanted as (select k, count(*) as t from bu join voc using (w) group by k),
+sizes as (select coalesce((select sum(s) from own), 0)::double as a, coalesce((select sum(t) from wanted), 0)::double as b),
+gain as (select k, floor(1000.0::double*ln((coalesce(t, 0)+1)::double*(a+10000)/((coalesce(s, 0)+1)::double*(b+10000))))::bigint as g from (select unnest(range(10000)) as k) left join own using (k) left join wanted using (k), sizes),
+sums as (select r, count(*)::bigint as n, sum(g)::bigint as g from du join voc using (w) join gain using (k) group by r),
+docs as (select r, doc_id, len(w) as words, coalesce(n, 0) as n_features, coalesce((g-((g % n)+n) % n)//n, 0)::bigint as weight, ('0x'||substr(sha256('2024:'||coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from d left join sums using (r)),
+scored as (select *, weight+floor(-1000.0::double*ln(-ln((h+0.5::double)/4294967296.0::double)))::bigint as score, words >= 20 as may from docs),
+ranked as (select *, row_number() over (partition by may order by score desc, doc_id nulls last, r) as k, count(*) filter (where may) over () as m from scored)
+select doc_id, n_features, weight, score, case when may and k <= 10*m//100 then k end as rank from ranked"""
