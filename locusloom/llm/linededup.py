@@ -220,17 +220,22 @@ def _probed(shards: Broadcast, of: int, min_chars: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shards, of)
         for batch in batches:
-            texts, lines, gone = [], [], []
-            for doc, text, null in zip(_docs(batch, "doc_id"), _texts(batch), batch.column("text").is_null().to_pylist(), strict=True):
+            # All lines of a batch are looked up together: 16 bytes a line, less than its text.
+            digests, at, lines = [], [], []
+            for text in _texts(batch):
                 found = [line_hash(line, min_chars) for line in text.split(b"\n")]
-                drop = np.zeros(len(found), bool)
-                at = [i for i, h in enumerate(found) if h is not None]
-                if at:
-                    a, b = _halves([found[i] for i in at])
-                    drop[at] = index.dropped(a, b, np.full(len(at), doc, np.int64))
+                digests += [h for h in found if h is not None]
+                at.append(np.flatnonzero([h is not None for h in found]))
                 lines.append(len(found))
-                gone.append(int(drop.sum()))
-                texts.append(None if null else _without(text, drop) if gone[-1] else text)
+            a, b = _halves(digests)
+            drop = index.dropped(a, b, np.repeat(_docs(batch, "doc_id"), [len(k) for k in at]))
+            ends = np.cumsum([len(k) for k in at])
+            texts, gone = [], []
+            for text, null, n, k, end in zip(_texts(batch), batch.column("text").is_null().to_pylist(), lines, at, ends, strict=True):
+                flags = np.zeros(n, bool)
+                flags[k] = drop[end - len(k) : end]
+                gone.append(int(flags.sum()))
+                texts.append(None if null else _without(text, flags) if gone[-1] else text)
             yield _answer(batch, texts, lines, gone)
 
     return run
