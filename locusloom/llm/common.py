@@ -39,6 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_columns(names: list[str]) -> list[Column]:
+    """Columns of these names, whatever characters they hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for further columns: those given, with as many underscores before them as tell them from ``df``'s own."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import ascii_lower, broadcast_if_small, cut
+from locusloom.llm.common import ascii_lower, broadcast_if_small, cut, own_columns
 
 #: The class before A-Z is lower-cased, told by what it has: Java matches that faster than its complement.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -206,7 +206,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, mode:
         raise ValueError("mode is 'document' or 'span'")
     hits, *_ = _verified_hits(docs, benchmark, window)
     # The documents' own columns travel in one, whatever their names are.
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
+    keyed = docs.select(F.struct(*own_columns(docs.columns)).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
     on = F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_th") == F.col("_hth"))
     if mode == "document":
         return keyed.join(hits, on, "left_anti").select("row.*")

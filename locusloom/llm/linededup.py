@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from locusloom.llm.common import cut, fresh
+from locusloom.llm.common import cut, fresh, own_columns
 from locusloom.llm.textcols import mix
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -308,7 +308,7 @@ def deduplicated(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     spark = docs.sparkSession
     shards, of, keys = _sharded(docs, min_chars)
     others = [c for c in docs.columns if c.lower() != "text"]
-    narrow = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = docs.select(F.struct(*own_columns(others)).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = StructType([*narrow.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
     if keys <= BROADCAST_KEYS:
         told = spark.sparkContext.broadcast([r.asDict() for r in shards.collect()])  # counted above

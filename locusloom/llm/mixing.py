@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import broadcast_if_small, cut
+from locusloom.llm.common import broadcast_if_small, cut, own_columns
 
 LEVELS = ("domain", "lang", "source")
 #: Leaves up to this number are broadcast.
@@ -114,7 +114,7 @@ def mixed(docs: DataFrame, weights: dict[str, dict[str, float]], fraction: float
     # The documents' own columns travel in one, whatever their names are.
     name = lambda c: F.coalesce(c, F.lit(""))
     packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*own_columns(docs.columns)).alias("row"),
         F.col("doc_id").alias("doc"),
         F.xxhash64("text").alias("h"),
         name("lang").alias("lang"),

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import ascii_lower, cut, fresh
+from locusloom.llm.common import ascii_lower, cut, fresh, own_columns
 
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 #: Buckets' gains are given to all tasks up to this number; beyond, the same join shuffles.
@@ -112,7 +112,7 @@ def resampled(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = 10_
     narrow = docs.select("doc_id", "text")
     drawn = _ranked(_scored(narrow, target, n, buckets, seed, F.xxhash64("text").alias("_text")), min_words, percent).where(F.col("rank").isNotNull())
     drawn = drawn.select(F.col("doc_id").alias("_id"), "_text", F.row_number().over(same).alias("_copy"), F.col("rank").alias("_rank"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
+    packed = docs.select(F.struct(*own_columns(docs.columns)).alias("_own"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
     # Only drawn texts are numbered among their repeats.
     some = drawn.select("_id", "_text").distinct()
     on = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_text"] == b["_text"])

@@ -13,24 +13,29 @@ A shard is never larger than about the target, whatever the rows' keys are, so h
 own. Shards are named by version, tier and number, and the same arrivals in the same files give the same names.
 
 Defined results: rows are kept as they are, nulls, empty texts and repeated rows included; an
-empty arrival commits a version without new shards; columns may have any names: :func:`read` adds ``shard`` and ``tier``,
+empty arrival commits a version without new shards. Each version holds the store's schema: that of all arrivals together. A column
+that an arrival lacks is null in its rows, whatever is merged later; one that comes with another type than before is an error, and nothing
+of that arrival is seen. Columns may have any names and types: :func:`read` adds ``shard`` and ``tier``,
 with underscores before them where the store has such columns itself; :func:`sharded` leaves out columns of documents
 that are named ``shard``, ``tier`` or ``version``, as it leaves out the text.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
-from locusloom.llm.common import broadcast_if_small, cut, fresh, shared_dir
+from locusloom.llm.common import broadcast_if_small, cut, fresh, own_columns, shared_dir
 
 MANIFEST = "shard string, path string, docs long, bytes long, tier int, added int"
+#: A version's file has one more row, without a shard, that holds the schema.
+STORED = f"{MANIFEST}, schema string"
 BROADCAST_ROWS = 1_000_000
 
 
@@ -56,7 +61,26 @@ def manifest(spark: SparkSession, root: str, at: int | None = None) -> DataFrame
     at = version(spark, root) if at is None else at
     if at == 0:
         return spark.createDataFrame([], MANIFEST)
-    return spark.read.schema(MANIFEST).parquet(f"{root}/manifest/v{at}.parquet")
+    return spark.read.schema(STORED).parquet(f"{root}/manifest/v{at}.parquet").where(F.col("shard").isNotNull()).drop("schema")
+
+
+def schema_of(spark: SparkSession, root: str, at: int | None = None) -> StructType:
+    """The columns of a version: those of all arrivals up to it."""
+    at = version(spark, root) if at is None else at
+    if at == 0:
+        return StructType()
+    one = spark.read.schema(STORED).parquet(f"{root}/manifest/v{at}.parquet").where("shard is null").first()
+    return StructType.fromJson(json.loads(one["schema"]))
+
+
+def _together(stored: StructType, arrival: StructType) -> StructType:
+    """The columns of both, or an error where one has two types."""
+    out = {f.name.lower(): StructField(f.name, f.dataType) for f in stored.fields}
+    for f in arrival.fields:
+        known = out.setdefault(f.name.lower(), StructField(f.name, f.dataType))
+        if known.dataType.simpleString() != f.dataType.simpleString():
+            raise ValueError(f"column {f.name} is {f.dataType.simpleString()}, but {known.dataType.simpleString()} in the store")
+    return StructType(list(out.values()))
 
 
 def _placed(spark: SparkSession, source: str, target: str) -> bool:
@@ -79,10 +103,11 @@ def _placed(spark: SparkSession, source: str, target: str) -> bool:
         raise
 
 
-def _commit(spark: SparkSession, root: str, rows: DataFrame, base: int) -> int:
+def _commit(spark: SparkSession, root: str, rows: DataFrame, base: int, schema: StructType) -> int:
     """Make ``rows`` version base + 1."""
     aside = f"{root}/aside/{uuid.uuid4().hex}"
-    rows.select("shard", "path", "docs", "bytes", "tier", "added").coalesce(1).write.parquet(aside)
+    head = spark.createDataFrame([(schema.json(),)], "schema string")
+    rows.select("shard", "path", "docs", "bytes", "tier", "added").unionByName(head, allowMissingColumns=True).coalesce(1).write.parquet(aside)
     fs, folder = _fs(spark, aside)
     (part,) = [s.getPath().toString() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
     done = _placed(spark, part, f"{root}/manifest/v{base + 1}.parquet")
@@ -112,9 +137,10 @@ def _written(spark: SparkSession, root: str, commit: str, unit: int, added: int,
 def append(spark: SparkSession, root: str, arrival: DataFrame, unit: int = 1 << 20, rows_per_shard: int = 200_000) -> int:
     """Write an arrival as small shards and commit it; ``unit`` is the size from which tiers count."""
     base, commit = version(spark, root), uuid.uuid4().hex
+    schema = _together(schema_of(spark, root, base), arrival.schema)
     arrival.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_shard).parquet(f"{root}/data/{commit}")
     old = manifest(spark, root, base)
-    return _commit(spark, root, old.unionByName(_written(spark, root, commit, unit, base + 1, None)), base)
+    return _commit(spark, root, old.unionByName(_written(spark, root, commit, unit, base + 1, None)), base, schema)
 
 
 def _runs(shards: DataFrame, target: int, fan_in: int) -> DataFrame:
@@ -129,16 +155,11 @@ def _runs(shards: DataFrame, target: int, fan_in: int) -> DataFrame:
     return small.join(chosen, ["tier", "_run"]).select("path", "run", "name")
 
 
-def _schema(spark: SparkSession, root: str, shards: DataFrame) -> StructType | None:
-    one = shards.select("path").orderBy("path").first()
-    return spark.read.parquet(f"{root}/data/{one[0]}").schema if one else None
-
-
 def _rows(spark: SparkSession, root: str, shards: DataFrame, schema: StructType, *told: str) -> DataFrame:
     """The rows of ``shards`` (path and ``told``), read from these files alone: a struct ``row`` and the columns told."""
     paths = [f"{root}/data/{r[0]}" for r in shards.select("path").toLocalIterator()]  # names of files
     files = spark.read.schema(schema).parquet(*paths)
-    found = files.select(F.regexp_extract(_file(files), "/data/([^/]*/.*)$", 1).alias("path"), F.struct(*[F.col(f"`{c}`") for c in files.columns]).alias("row"))
+    found = files.select(F.regexp_extract(_file(files), "/data/([^/]*/.*)$", 1).alias("path"), F.struct(*own_columns(files.columns)).alias("row"))
     return found.join(broadcast_if_small(shards, BROADCAST_ROWS), "path").select("row", *told)
 
 
@@ -153,20 +174,18 @@ def compact(spark: SparkSession, root: str, target: int = 256 << 20, fan_in: int
     n = (plan.agg(F.max("run")).first()[0] or 0) + 1
     if plan.isEmpty():
         return base
-    schema = _schema(spark, root, plan)
+    schema = schema_of(spark, root, base)
     rows = _rows(spark, root, plan, schema, "run", "name").repartitionById(n, "run")
     (run,) = fresh(spark.createDataFrame([], schema), "run")
     rows.select("row.*", F.col("name").alias(run)).write.partitionBy(run).option("compression", "zstd").parquet(f"{root}/data/{commit}")
     kept = old.join(plan, "path", "left_anti")
-    return _commit(spark, root, kept.unionByName(_written(spark, root, commit, unit, base + 1, run)), base)
+    return _commit(spark, root, kept.unionByName(_written(spark, root, commit, unit, base + 1, run)), base, schema)
 
 
-def read(spark: SparkSession, root: str, at: int | None = None, schema: StructType | None = None) -> DataFrame:
-    """The documents of a version, with ``shard`` and ``tier``. A store without any shard tells no ``schema`` itself."""
-    shards = manifest(spark, root, at).select("path", "shard", "tier")
-    schema = schema or _schema(spark, root, shards)
-    if schema is None:
-        raise ValueError("the store has no shards: give the schema")
+def read(spark: SparkSession, root: str, at: int | None = None) -> DataFrame:
+    """The documents of a version, with ``shard`` and ``tier``."""
+    at = version(spark, root) if at is None else at
+    shards, schema = manifest(spark, root, at).select("path", "shard", "tier"), schema_of(spark, root, at)
     empty = spark.createDataFrame([], schema)
     names = fresh(empty, "shard", "tier")
     if shards.isEmpty():
@@ -198,11 +217,11 @@ def sharded(docs: DataFrame, root: str | None = None, target: int = 256 << 20, a
     own = root is None
     root = root or f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     for k in range(arrivals):
-        append(spark, root, docs.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(arrivals)) == k), unit)
+        append(spark, root, docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals)) == k), unit)
     last = compact(spark, root, target, unit=unit)
     if own:
         vacuum(spark, root, 0)  # nobody else writes here
-    stored = read(spark, root, last, docs.schema)
+    stored = read(spark, root, last)
     shard, tier = stored.columns[-2:]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("text", "shard", "tier", "version")]
+    kept = own_columns([c for c in docs.columns if c.lower() not in ("text", "shard", "tier", "version")])
     return stored.select(*kept, F.col(shard).alias("shard"), F.col(tier).alias("tier"), F.lit(last).alias("version"))

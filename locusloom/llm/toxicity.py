@@ -28,6 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from locusloom.llm.common import own_columns
 
 #: Words, with the marks that hide letters inside them.
 WORD = re.compile(r"[^\W_]+(?:[@$!*][^\W_]+)*")
@@ -324,7 +327,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit
     """``docs`` with its own columns, without the documents that score ``threshold`` or more."""
     # The text passes through the workers once and comes back with its score.
     names = docs.columns
-    packed = docs.select(F.struct(*names).alias("_row"), F.col("text"))
-    schema = f"_row {packed.schema['_row'].dataType.simpleString()}, score double"
+    packed = docs.select(F.struct(*own_columns(names)).alias("_row"), F.col("text"))
+    schema = StructType([packed.schema["_row"], StructField("score", DoubleType())])
     kept = packed.mapInArrow(_scored(learn(docs, labels, fit_rows)), schema).where(F.col("score") < threshold)
-    return kept.select(*[F.col("_row")[c].alias(c) for c in names])
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in names])

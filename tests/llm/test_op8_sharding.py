@@ -43,7 +43,7 @@ def test_of_racing_writers_one_wins(spark, tmp_path):
 
     def write():
         try:
-            told.append(sharding._commit(spark, root, names, 1))
+            told.append(sharding._commit(spark, root, names, 1, sharding.schema_of(spark, root)))
         except sharding.Conflict:
             told.append(None)
 
@@ -54,7 +54,7 @@ def test_of_racing_writers_one_wins(spark, tmp_path):
         w.join()
     assert sorted(told, key=str) == [2, *[None] * 5] and sharding.version(spark, root) == 2
     with pytest.raises(sharding.Conflict):
-        sharding._commit(spark, root, names, 1)
+        sharding._commit(spark, root, names, 1, sharding.schema_of(spark, root))
     assert key(sharding.read(spark, root)) == key(documents(spark, rows(10)))
 
 
@@ -118,3 +118,30 @@ def test_digest_and_empty(spark):
     out = sharding.sharded(docs, target=1 << 20, unit=1024)
     assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, _ in rows(50) + rows(3)) and "text" not in out.columns and {"shard", "tier", "version"} <= set(out.columns)
     assert sharding.sharded(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wider_first", [True, False])
+def test_arrivals_of_other_widths_lose_nothing(spark, tmp_path, wider_first):
+    root = f"file://{tmp_path}/store"
+    narrow = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    wide = narrow.selectExpr("doc_id + 100 as doc_id", "text", "cast(doc_id as int) as extra", "map('k', text) as `a.b`", "'s' as Shard")
+    for part in (wide, narrow) if wider_first else (narrow, wide):
+        sharding.append(spark, root, part.repartition(3))
+    for _ in range(2):
+        rows = {r["doc_id"]: r for r in sharding.read(spark, root).collect()}
+        assert len(rows) == 80
+        assert all(rows[i]["extra"] is None and rows[i]["a.b"] is None for i in range(40))
+        assert all(rows[100 + i]["extra"] == i and rows[100 + i]["a.b"] == {"k": f"text {i}"} and rows[100 + i]["Shard"] == "s" for i in range(40))
+        sharding.compact(spark, root, target=1 << 20, fan_in=2)
+        sharding.vacuum(spark, root, 0)
+    assert {f.name for f in sharding.schema_of(spark, root)} == {"doc_id", "text", "extra", "a.b", "Shard"}
+    assert sharding.version(spark, root) == 3 and sharding.manifest(spark, root).count() == 1
+
+
+def test_another_type_is_an_error(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    sharding.append(spark, root, docs)
+    with pytest.raises(ValueError, match="DOC_ID"):
+        sharding.append(spark, root, docs.selectExpr("cast(doc_id as string) as DOC_ID", "text"))
+    assert sharding.version(spark, root) == 1 and sharding.read(spark, root).count() == 1

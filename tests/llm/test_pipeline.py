@@ -38,8 +38,21 @@ def test_run(spark, small):
     assert out.count() > 0 and "doc_id" in out.columns
 
 
+def test_names_of_columns(spark, small):
+    """Columns with any names and types come through all stages."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    docs = docs.selectExpr("*", "doc_id as `a.b`", "1 as `my-col`", "2 as `a b`", "3 as `x:y`", "4 as `back``tick`", "map('k', doc_id) as extra", "array(struct(1 as `p.q`)) as nested")
+    names = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, small)
+        if k < 4:
+            assert docs.columns == names
+        rows = docs.collect()
+        assert rows and all(r["a.b"] == r["doc_id"] and r["extra"] == {"k": r["doc_id"]} and r["back`tick"] == 4 and r["my-col"] == 1 for r in rows)
+
+
 def test_names():
-    assert [n.split("_")[0] for n in queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{k}" for k in range(1, 14)]
     assert set(oracle_sql()) <= set(queries())
 
 
