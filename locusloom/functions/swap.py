@@ -57,10 +57,10 @@ def per_genotype(a: Column, n_alleles: Column, s: Column) -> Column:
     n = n_alleles.cast("int")
     exchanged = F.transform(pairs(n), lambda g: F.get(a, at(_pi(g["a"], s), _pi(g["b"], s))))
     prepended = F.transform(pairs(n + 1), lambda g: F.when(g["a"] > 0, F.get(a, at(g["a"] - 1, g["b"] - 1))))
-    return _by(s, exchanged, prepended, a)
+    return F.when(a.isNotNull(), _by(s, exchanged, prepended, a))
 
 
-#: Rules by the tags that they hold for unless told otherwise; a later rule wins where a tag has several.
+#: Rules by the tags that they hold for unless told otherwise; a later rule wins where a tag has several.
 DEFAULT_RULES = {"AC": ("AC",), "AF": ("AF", "AP1", "AP2"), "DS": ("DS",), "GT": ("ALLELE_A", "ALLELE_B"), "ES": ("EZ", "ES", "ED"), "DROP": (".",)}
 ORDER = ("AGR", "AC", "AF", "DS", "GT", "ES", "DROP")
 
@@ -100,24 +100,98 @@ def with_swapped(
 
     With ``strict`` an array of a wrong length is an error, unless its rule is DROP; else values that aren't there are null.
     """
-    null = F.lit(None)
     for tag, rule in assign_rules(tags, rules).items():
         a = F.col(tag)
         if strict and rule != "DROP" and tags[tag] in ("A", "R", "G"):
             a = _of_length(a, tags[tag], n_alleles, s, tag)
-        if rule == "DROP":
-            new = F.when(s == 0, a).otherwise(null)
-        elif rule == "AC":
-            new = complement(a, s, F.col("AN")) if "AN" in df.columns else per_alt(a, s)
-        elif rule == "AF":
-            new = complement(a, s, F.lit(1.0))
-        elif rule == "DS":
-            new = complement(a, s, F.lit(2.0))
+        total = F.col("AN") if "AN" in df.columns else None
+        df = df.withColumn(tag, by_rule(rule, tags[tag], tag, a, s, n_alleles, total, F.lit(2.0)))
+    return df
+
+
+def by_rule(rule: str, number: str, tag: str, a: Column, s: Column, n_alleles: Column, total: Column | None, ploidy: Column) -> Column:
+    """The values ``a`` of one tag by its rule; ``total`` is the number of alleles called, where it is known."""
+    if rule == "DROP":
+        return F.when(s == 0, a)
+    if rule == "AC":
+        return per_alt(a, s) if total is None else complement(a, s, total)
+    if rule in ("AF", "DS"):
+        return complement(a, s, F.lit(1.0) if rule == "AF" else ploidy)
+    if rule == "GT":
+        return allele_codes(a, s)
+    if rule == "ES":
+        return direction(a, s) if tag == "ED" else effect(a, s)
+    return {"A": per_alt, "R": per_allele}[number](a, s) if number in ("A", "R") else per_genotype(a, n_alleles, s)
+
+
+def _negated(x: Column) -> Column:
+    """A number's text with the other sign; the number stays as precise as it was written."""
+    bare = F.when(F.startswith(x, F.lit("-")), F.substring(x, 2, 1 << 30)).when(F.startswith(x, F.lit("+")), F.concat(F.lit("-"), F.substring(x, 2, 1 << 30)))
+    return F.when(x.try_cast("double") == 0, x).otherwise(F.coalesce(bare, F.concat(F.lit("-"), x)))
+
+
+def rewritten_info(info: Column, tags: dict[str, str], s: Column, n_alleles: Column, rules: dict[str, tuple[str, ...]] | None = None, strict: bool = False) -> Column:
+    """A map of INFO texts by the rules of its tags (name to Number), in one pass over its entries.
+
+    Values keep their text unless they are computed: the rest of a count or of a frequency. A value that is missing as a whole
+    stays so; a tag whose rule is DROP goes where the reference changes. With ``strict`` a wrong number of values is an error.
+    """
+    assigned = assign_rules(tags, rules)
+    total = F.try_element_at(info, F.lit("AN")).try_cast("long")
+    texts = lambda a: F.transform(a, lambda x: x.cast("string"))
+
+    def new(tag: str, rule: str, v: Column) -> Column:
+        a = F.transform(F.split(v, ","), lambda x: F.when(x != ".", x))
+        if strict and tags[tag] in ("A", "R", "G"):
+            a = _of_length(a, tags[tag], n_alleles, s, tag)
+        if rule == "AC":
+            counts = F.transform(a, lambda x: x.try_cast("long"))
+            a = F.when(total.isNull(), per_alt(a, s)).otherwise(texts(complement(counts, s, total)))
+        elif rule in ("AF", "DS"):  # in single precision, as such files hold
+            numbers = complement(F.transform(a, lambda x: x.try_cast("double")), s, F.lit(1.0 if rule == "AF" else 2.0))
+            a = F.transform(numbers, lambda x: x.cast("float").cast("string"))
         elif rule == "GT":
-            new = allele_codes(a, s)
-        elif rule == "ES":
-            new = direction(a, s) if tag == "ED" else effect(a, s)
+            a = texts(allele_codes(F.transform(a, lambda x: x.try_cast("int")), s))
+        elif rule == "ES" and tag != "ED":
+            exchanged = F.transform(a, lambda x, i: F.when(i == s - 1, _negated(x)).otherwise(x))
+            a = _by(s, exchanged, F.array_prepend(a, F.lit(None)), a)
         else:
-            new = {"A": lambda x: per_alt(x, s), "R": lambda x: per_allele(x, s), "G": lambda x: per_genotype(x, n_alleles, s)}[tags[tag]](a)
-        df = df.withColumn(tag, new)
-    return df
+            a = by_rule(rule, tags[tag], tag, a, s, n_alleles, None, F.lit(2.0))
+        return F.when(v == ".", v).otherwise(F.array_join(a, ",", "."))
+
+    def value(k: Column, v: Column) -> Column:
+        out = F.when(F.lit(False), v)
+        for tag, rule in assigned.items():
+            if rule != "DROP":
+                out = out.when(k == tag, new(tag, rule, v))
+        return out.otherwise(v)
+
+    gone = [t for t, r in assigned.items() if r == "DROP"]
+    kept = F.map_filter(info, lambda k, v: ~k.isin(gone)) if gone else info
+    return F.when(F.coalesce(s, F.lit(0)) == 0, info).otherwise(F.transform_values(kept, value))
+
+
+def rewritten_samples(samples: Column, fields: dict[str, str], tags: dict[str, str], s: Column, n_alleles: Column, rules: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """An array of sample structs by the rules of their fields. ``fields`` names each field's tag, or "" where it has none.
+
+    Genotypes are renumbered; their number of alleles is the ploidy that dosages add up to, 2 without genotypes.
+    """
+    assigned = assign_rules({t: tags.get(t, ".") for t in fields.values() if t}, rules)
+    by_tag = {t: f for f, t in fields.items()}
+
+    def one(x: Column) -> Column:
+        gt = x[by_tag["GT"]] if "GT" in by_tag else None
+        ploidy = F.coalesce(F.size(gt).cast("double"), F.lit(2.0)) if gt is not None else F.lit(2.0)
+        total = x[by_tag["AN"]].cast("long") if "AN" in by_tag else None
+        out = []
+        for field, tag in fields.items():
+            rule = assigned.get(tag)
+            if tag == "GT":
+                out.append(allele_codes(x[field], s).alias(field))
+            elif rule is None or (rule == "AGR" and tags.get(tag) not in ("A", "R", "G")):
+                out.append(x[field].alias(field))
+            else:
+                out.append(by_rule(rule, tags.get(tag, "."), tag, x[field], s, n_alleles, total, ploidy).alias(field))
+        return F.struct(*out)
+
+    return F.when(F.coalesce(s, F.lit(0)) == 0, samples).otherwise(F.transform(samples, one))

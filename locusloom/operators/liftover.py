@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from locusloom.functions.alleles import strand_flip
 from locusloom.functions.tables import cut
-from locusloom.operators.indels import extend_alleles, find_reference, left_align
+from locusloom.operators.indels import clip_padding, extend_alleles, find_reference, left_align, matches
 from locusloom.operators.intervals import join_points
 from locusloom.sources.fasta import OVERLAP, with_reference
 
@@ -141,24 +141,24 @@ def extended(alleles: pd.Series, left: pd.Series, right: pd.Series) -> pd.DataFr
     return pd.DataFrame(out, columns=["alleles", "n_left", "n_right"])
 
 
-@F.pandas_udf(_alleles_and("moved"))
+@F.pandas_udf(_alleles_and("moved", "used"))
 def aligned(alleles: pd.Series, left: pd.Series) -> pd.DataFrame:
-    """Alleles trimmed and left-aligned within the window before them."""
-    return pd.DataFrame([left_align(list(a), x or "") for a, x in zip(alleles, left, strict=True)], columns=["alleles", "moved"])
+    """Alleles trimmed and left-aligned within the window before them; ``used`` tells how much of it they moved through."""
+    return pd.DataFrame([left_align(list(a), x or "") for a, x in zip(alleles, left, strict=True)], columns=["alleles", "moved", "used"])
 
 
-@F.pandas_udf(_alleles_and("swap", "moved"))
+@F.pandas_udf(_alleles_and("swap", "moved", "n_matches"))
 def told_reference(alleles: pd.Series, target: pd.Series, single: pd.Series) -> pd.DataFrame:
-    """Which allele the destination's ``target`` is, with the alleles' ends made the destination's."""
+    """Which allele the destination's ``target`` is and how many are, with the alleles' ends made the destination's."""
     rows = zip(alleles, target, single, strict=True)
-    out = [find_reference(list(a), t, bool(s)) if t else (list(a), None, 0) for a, t, s in rows]
-    return pd.DataFrame(out, columns=["alleles", "swap", "moved"]).astype({"swap": "Int32"})
+    out = [(*find_reference(list(a), t, bool(s)), len(matches(list(a), t))) if t else (list(a), None, 0, None) for a, t, s in rows]
+    return pd.DataFrame(out, columns=["alleles", "swap", "moved", "n_matches"]).astype({"swap": "Int32", "n_matches": "Int32"})
 
 
-@F.pandas_udf(T.BooleanType())
-def cut_short(alleles: pd.Series, left: pd.Series) -> pd.Series:
-    """Whether left alignment would go on beyond the window: one more base would move the alleles."""
-    return pd.Series([left_align(list(a), "N" + (x or ""))[1] != left_align(list(a), x or "")[1] for a, x in zip(alleles, left, strict=True)], dtype=bool)
+@F.pandas_udf(T.IntegerType())
+def pad_taken(alleles: pd.Series, pad: pd.Series, target: pd.Series, at_left: pd.Series) -> pd.Series:
+    """How many bases of ``target`` belong to the pad; a batch's alignments are made together."""
+    return pd.Series(clip_padding([list(a) for a in alleles], list(pad), list(target), list(at_left)))
 
 
 def _in_windows(rows: DataFrame, fasta: DataFrame, contig: str, first: str, last: str | None, window: int, told: Column, used_left: Column, used_right: Column, out: str) -> DataFrame:
@@ -188,69 +188,160 @@ def _in_windows(rows: DataFrame, fasta: DataFrame, contig: str, first: str, last
 
 
 def _extended_in_windows(rows: DataFrame, src: DataFrame, window: int) -> DataFrame:
-    """Add _ref_end and _x, the alleles extended by as much reference as they need."""
-    keyed = rows.withColumn("_ref_end", F.col("pos") + F.length("ref") - 1)
+    """Add _x, the alleles ``_alleles`` from pos to ``_ref_end`` extended by as much reference as they need."""
     used_left, used_right = F.col("_x.n_left") >= F.length("_left"), F.col("_x.n_right") >= F.length("_right")
-    return _in_windows(keyed, src, "chrom", "pos", "_ref_end", window, extended(F.array("ref", "alt"), "_left", "_right"), used_left, used_right, "_x")
+    return _in_windows(rows, src, "chrom", "pos", "_ref_end", window, extended("_alleles", "_left", "_right"), used_left, used_right, "_x")
 
 
-def lift_longer(rows: DataFrame, blocks: DataFrame, src: DataFrame, dst: DataFrame, window: int = 100, max_inc: int = MAX_INDEL, align: bool = True) -> DataFrame:
-    """Lift variants with longer alleles: q_chrom, q_pos, q_alleles, flip, swap, reject_reason.
+def with_alleles(rows: DataFrame) -> DataFrame:
+    """``rows`` with the array ``alleles``, made of ref and alt where there is none."""
+    return rows if "alleles" in rows.columns else rows.withColumn("alleles", F.array("ref", "alt"))
 
-    Alleles are extended to be unique, lifted by their anchors, flipped, told which of them the destination has and
-    left-aligned there. ``window`` bases of reference are looked at first, and more for the rows that need more.
+
+def are_single(alleles: Column) -> Column:
+    """Whether all alleles are single bases (or ``*``, which is none)."""
+    return F.forall(alleles, lambda a: a.rlike(r"^[ACGTNacgtn*]$"))
+
+
+def exchanged(alleles: Column, s: Column, reference: Column) -> Column:
+    """The alleles with allele ``s`` first, or, where it is -1, with a new ``reference`` before all."""
+    moved = F.transform(alleles, lambda a, i: F.when(i == 0, F.get(alleles, s)).when(i == s, F.get(alleles, F.lit(0))).otherwise(a))
+    return F.when(s > 0, moved).when(s == -1, F.array_prepend(alleles, reference)).otherwise(alleles)
+
+
+def _without_pads(lifted: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
+    """Spans whose anchor is a pad's end are made those of the alleles, by aligning pad and alleles with the destination."""
+    left, right = F.col("n_pad5") > 0, F.col("n_pad3") > 0
+    first = F.when(left, F.col("_s") - F.col("n_pad5")).when(right, F.col("_e") + 1)
+    keyed = lifted.withColumn("_first", first).withColumn("_left", left != F.col("flip"))
+    keyed = with_reference(keyed, src, F.col("_first"), F.col("n_pad5") + F.col("n_pad3"), "_pad", contig="chrom")
+    keyed = keyed.withColumn("_pad", F.when(F.col("flip"), strand_flip(F.col("_pad"))).otherwise(F.col("_pad")))
+    padded = F.col("_first").isNotNull() & (F.col("q_end") > F.col("q_pos"))
+    keyed = with_reference(keyed, dst, F.when(padded, F.col("q_pos")), F.col("q_end") - F.col("q_pos") + 1, "_whole", contig="q_chrom")
+    keyed = keyed.withColumn("_taken", pad_taken("_al", "_pad", "_whole", F.coalesce("_left", F.lit(False))))
+    keyed = keyed.withColumn("q_pos", F.when(F.col("_left"), F.col("q_pos") + F.col("_taken")).otherwise(F.col("q_pos")))
+    keyed = keyed.withColumn("q_end", F.when(F.col("_left"), F.col("q_end")).otherwise(F.col("q_end") - F.col("_taken")))
+    return keyed.drop("_first", "_left", "_pad", "_whole", "_taken")
+
+
+TOLD = ("q_chrom", "q_pos", "q_alleles", "flip", "swap", "n_matches", "n_pad5", "n_pad3", "reject_reason")
+
+
+def lift_longer(rows: DataFrame, blocks: DataFrame, src: DataFrame | None, dst: DataFrame, window: int = 100, max_inc: int = MAX_INDEL, align: bool = True) -> DataFrame:
+    """Lift variants with longer alleles: q_chrom, q_pos, q_alleles, flip, swap, n_matches, n_pad5, n_pad3, reject_reason.
+
+    ``rows`` have ref and alt, or ``alleles``, any number of them. Alleles are extended to be unique, lifted by their anchors, flipped,
+    told which of them the destination has and left-aligned there. Where one anchor is mapped only with a pad, pad and alleles
+    are aligned with the destination's bases. n_matches tells how many alleles the destination could have; of several
+    the first is taken. ``window`` bases of reference are looked at first, and more for the rows that need more. Without ``src``
+    alleles stay as they are, and rows that need a pad are rejected.
     """
-    keyed = _extended_in_windows(rows, src, window)
+    blocks = cut(blocks)
+    keyed = with_alleles(rows).withColumn("_alleles", F.col("alleles")).withColumn("_ref_end", F.col("pos") + F.length(F.get("alleles", F.lit(0))) - 1)
+    if src is None:
+        keyed = keyed.withColumn("_x", F.struct(F.col("_alleles").alias("alleles"), F.lit(0).alias("n_left"), F.lit(0).alias("n_right")))
+    else:
+        keyed = _extended_in_windows(keyed, src, window)
     keyed = keyed.withColumn("_s", F.col("pos") - F.col("_x.n_left")).withColumn("_e", F.col("_ref_end") + F.col("_x.n_right"))
     lifted = lift_spans(keyed, blocks, "_s", "_e", max_inc).withColumn("flip", F.coalesce(F.col("q_strand") == 1, F.lit(False)))
     lifted = lifted.withColumn("_al", F.transform("_x.alleles", lambda a: F.when(F.col("flip"), strand_flip(a)).otherwise(a)))
+    if src is None:
+        padded = F.col("reject_reason").isNull() & (F.col("n_pad5") + F.col("n_pad3") > 0)
+        lifted = lifted.withColumn("reject_reason", F.when(padded, "MissingFasta").otherwise(F.col("reject_reason")))
+        lifted = lifted.withColumns({c: F.when(F.col("reject_reason").isNull(), F.col(c)) for c in ("q_chrom", "q_pos", "q_end")})
+    else:
+        lifted = _without_pads(lifted, src, dst)
     lifted = with_reference(lifted, dst, F.col("q_pos"), F.col("q_end") - F.col("q_pos") + 1, "_dst", contig="q_chrom")
-    lifted = lifted.withColumn("_t", told_reference("_al", "_dst", is_single(F.col("ref"), F.col("alt"))))
+    lifted = lifted.withColumn("_t", told_reference("_al", "_dst", are_single(F.col("_alleles"))))
     lifted = lifted.withColumn("swap", F.when(F.col("_dst").isNotNull(), F.col("_t.swap"))).withColumn("_al", F.col("_t.alleles"))
+    lifted = lifted.withColumn("n_matches", F.col("_t.n_matches"))
     lifted = lifted.withColumn("q_pos", F.col("q_pos") + F.coalesce("_t.moved", F.lit(0)))
-    moved = F.when(F.col("swap") == 1, F.reverse("_al")).when(F.col("swap") == -1, F.array_prepend("_al", F.col("_dst"))).otherwise(F.col("_al"))
-    lifted = lifted.withColumn("_al", moved)
+    lifted = lifted.withColumn("_al", exchanged(F.col("_al"), F.col("swap"), F.col("_dst")))
     if align:
-        lifted = _in_windows(lifted, dst, "q_chrom", "q_pos", None, window, aligned("_al", "_left"), cut_short("_al", "_left"), F.lit(False), "_y")
+        used_up = F.col("_y.used") >= F.length("_left")
+        lifted = _in_windows(lifted, dst, "q_chrom", "q_pos", None, window, aligned("_al", "_left"), used_up, F.lit(False), "_y")
         lifted = lifted.withColumn("q_pos", F.col("q_pos") + F.col("_y.moved")).withColumn("_al", F.col("_y.alleles"))
-    return lifted.select(*rows.columns, "q_chrom", "q_pos", F.col("_al").alias("q_alleles"), "flip", "swap", "reject_reason")
+    return lifted.select(*rows.columns, *[(F.col("_al") if c == "q_alleles" else F.col(c)).alias(c) for c in TOLD])
 
 
 def extend_rows(rows: DataFrame, src: DataFrame, window: int = 100) -> DataFrame:
     """Without a chain: x_pos and x_alleles, the alleles extended by the source reference until they are unique."""
-    keyed = _extended_in_windows(rows, src, window)
+    keyed = with_alleles(rows).withColumn("_alleles", F.col("alleles")).withColumn("_ref_end", F.col("pos") + F.length(F.get("alleles", F.lit(0))) - 1)
+    keyed = _extended_in_windows(keyed, src, window)
     return keyed.select(*rows.columns, (F.col("pos") - F.col("_x.n_left")).alias("x_pos"), F.col("_x.alleles").alias("x_alleles"))
 
 
-MITOCHONDRION = ("MT", "chrM", "M", "chrMT")
+def align_rows(rows: DataFrame, fasta: DataFrame, window: int = 100) -> DataFrame:
+    """y_pos and y_alleles, the alleles trimmed and moved as far left as ``fasta`` allows."""
+    keyed = with_alleles(rows).withColumn("_alleles", F.col("alleles"))
+    out = _in_windows(keyed, fasta, "chrom", "pos", None, window, aligned("_alleles", "_left"), F.col("_y.used") >= F.length("_left"), F.lit(False), "_y")
+    return out.select(*rows.columns, (F.col("pos") + F.col("_y.moved")).alias("y_pos"), F.col("_y.alleles").alias("y_alleles"))
 
 
-def lift(rows: DataFrame, blocks: DataFrame, src: DataFrame, dst: DataFrame, mt_name: str | None = "chrM", window: int = 100, max_inc: int = MAX_INDEL, align: bool = True) -> DataFrame:
-    """Lift variants of all kinds: q_chrom, q_pos, q_alleles, flip, swap, reject_reason.
+#: Names of the mitochondrion.
+MITOCHONDRION = ("MT", "chrM", "M", "chrMT")
+
 
-    Single bases take the short way, those whose base isn't mapped and longer alleles the way by anchors; symbolic alleles
-    are moved as points with their alleles as they are. Mitochondrial rows keep their position under ``mt_name``; with
-    None they are lifted too.
+def _lift_bases(rows: DataFrame, blocks: DataFrame, dst: DataFrame | None) -> DataFrame:
+    """Lift variants whose alleles are single bases, any number of them."""
+    lifted = lift_points(rows, blocks).withColumn("flip", F.coalesce(F.col("q_strand") == 1, F.lit(False)))
+    lifted = lifted.withColumn("_al", F.transform("alleles", lambda a: F.when(F.col("flip"), strand_flip(a)).otherwise(a)))
+    if dst is None:
+        lifted = lifted.withColumn("_dst", F.get("_al", F.lit(0)))
+    else:
+        lifted = with_reference(lifted, dst, F.col("q_pos"), F.lit(1), "_dst", contig="q_chrom")
+    upper = F.transform("_al", lambda a: F.upper(a))
+    at = F.array_position(upper, F.upper("_dst")).cast("int") - 1  # -1 if no allele is
+    lifted = lifted.withColumn("swap", F.when(F.col("q_pos").isNotNull(), F.coalesce(at, F.lit(-1))))
+    many = F.size(F.filter(upper, lambda a: a == F.upper("_dst")))
+    zero = F.lit(0).cast("long")
+    told = {"q_alleles": exchanged(F.col("_al"), F.col("swap"), F.coalesce("_dst", F.lit("N"))), "n_matches": many, "n_pad5": zero, "n_pad3": zero, "reject_reason": F.lit(None).cast("string")}
+    return lifted.withColumns(told).drop("_al", "_dst")
+
+
+def lift(rows: DataFrame, blocks: DataFrame, src: DataFrame | None, dst: DataFrame, mt_name: str | None = "chrM", window: int = 100, max_inc: int = MAX_INDEL, align: bool = True) -> DataFrame:
+    """Lift variants of all kinds: q_chrom, q_pos, q_alleles, flip, swap, n_matches, n_pad5, n_pad3, reject_reason.
+
+    ``rows`` have ref and alt, or ``alleles``, any number of them. Single bases take the short way, those whose base isn't mapped and longer
+    alleles the way by anchors; symbolic alleles are moved as points with their alleles as they are. Mitochondrial rows keep their
+    position under ``mt_name``; with None they are lifted too.
     """
-    mito = F.col("chrom").isin(*MITOCHONDRION) if mt_name else F.lit(False)
-    symbolic = F.col("alt").rlike(r"^[<*]|[\[\]]")
-    one = is_single(F.col("ref"), F.col("alt"))
-    kept = ["q_chrom", "q_pos", "q_alleles", "flip", "swap", "reject_reason"]
-    plain = F.array("ref", "alt").alias("q_alleles")
-    parts = []
-    if mt_name:
-        parts.append(rows.where(mito).select(*rows.columns, F.lit(mt_name).alias("q_chrom"), F.col("pos").alias("q_pos"), plain, F.lit(False).alias("flip"), F.lit(0).alias("swap"), F.lit(None).cast("string").alias("reject_reason")))
-    rest = rows.where(~F.coalesce(mito, F.lit(False)))
-    points = lift_points(rest.where(symbolic), blocks)
-    parts.append(points.select(*rows.columns, "q_chrom", "q_pos", plain, F.coalesce(F.col("q_strand") == 1, F.lit(False)).alias("flip"), F.lit(None).cast("int").alias("swap"), reject_reason(F.col("q_pos").isNull()).alias("reject_reason")))
-    single = lift_single(rest.where(~symbolic & one), blocks, dst)
-    parts.append(single.where(F.col("q_pos").isNotNull()).select(*rows.columns, "q_chrom", "q_pos", F.concat(F.array("q_ref"), F.split("q_alt", ",")).alias("q_alleles"), "flip", "swap", "reject_reason"))
-    longer = rest.where(~symbolic & ~one).unionByName(single.where(F.col("q_pos").isNull()).select(*rows.columns))
-    parts.append(lift_longer(longer, blocks, src, dst, window, max_inc, align))
-    out = parts[0].select(*rows.columns, *kept)
+    # Variants are placed once each, without their rows' other columns; these are joined once.
+    same = rows.select("chrom", "pos", *(["alleles"] if "alleles" in rows.columns else ["ref", "alt"]))
+    placed = _lifted(with_alleles(same).select("chrom", "pos", "alleles").where("chrom is not null").distinct(), blocks, src, dst, mt_name, window, max_inc, align)
+    placed = placed.select(F.col("chrom").alias("_kc"), F.col("pos").alias("_kp"), F.col("alleles").alias("_ka"), *TOLD)
+    own = F.col("alleles") if "alleles" in rows.columns else F.array("ref", "alt")
+    out = rows.join(placed, (F.col("chrom") == F.col("_kc")) & (F.col("pos") == F.col("_kp")) & (own == F.col("_ka")), "left").select(*rows.columns, *TOLD)
+    nowhere = F.when(F.col("chrom").isNull(), "MissingContig").when(F.col("q_pos").isNull() & F.col("reject_reason").isNull(), "UnmappedAnchors")
+    return out.withColumn("reject_reason", F.coalesce(nowhere, "reject_reason")).withColumn("flip", F.coalesce("flip", F.lit(False)))
+
+
+def _lifted(keyed: DataFrame, blocks: DataFrame, src: DataFrame | None, dst: DataFrame, mt_name: str | None, window: int, max_inc: int, align: bool) -> DataFrame:
+    """Variants (chrom, pos, alleles) with where they go, written down."""
+    own, blocks = keyed.columns, cut(blocks)
+    mito = F.coalesce(F.col("chrom").isin(*MITOCHONDRION), F.lit(False)) if mt_name else F.lit(False)
+    alts = F.slice("alleles", F.lit(2), F.greatest(F.size("alleles") - 1, F.lit(0)))
+    symbolic = F.exists(alts, lambda a: a.rlike(r"^<|[\[\]]")) | ((F.size(alts) > 0) & F.forall(alts, lambda a: a == "*"))
+    keyed = cut(keyed.withColumn("_kind", F.when(mito, "mito").when(symbolic, "symbolic").when(are_single(F.col("alleles")), "single").otherwise("longer")))
+    kind = lambda k: keyed.where(F.col("_kind") == k).drop("_kind")
+    kinds = {r[0] for r in keyed.select("_kind").distinct().collect()}  # four at most
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("int")
+    as_is = {"q_alleles": F.col("alleles"), "n_matches": none, "n_pad5": zero, "n_pad3": zero}
+    same = {"q_chrom": F.lit(mt_name).cast("string"), "q_pos": F.col("pos"), "flip": F.lit(False), "swap": F.lit(0), "reject_reason": F.lit(None).cast("string")}
+    parts, longer = [kind("mito").withColumns(as_is | same)], kind("longer")
+    if "symbolic" in kinds:
+        points = lift_points(kind("symbolic"), blocks)
+        parts.append(points.withColumns(as_is | {"flip": F.coalesce(F.col("q_strand") == 1, F.lit(False)), "swap": none, "reject_reason": reject_reason(F.col("q_pos").isNull())}))
+    if "single" in kinds:
+        single = cut(_lift_bases(kind("single"), blocks, dst).select(*own, *TOLD))
+        parts.append(single.where(F.col("q_pos").isNotNull()))
+        longer = longer.unionByName(single.where(F.col("q_pos").isNull()).select(*own))
+    if not longer.isEmpty():
+        parts.append(lift_longer(longer, blocks, src, dst, window, max_inc, align))
+    out = parts[0].select(*own, *TOLD)
     for p in parts[1:]:
-        out = out.unionByName(p.select(*rows.columns, *kept))
-    return out.withColumn("reject_reason", F.when(F.col("chrom").isNull(), "MissingContig").otherwise(F.col("reject_reason")))
+        out = out.unionByName(p.select(*own, *TOLD))
+    return cut(out)
 
 
 def counts(lifted: DataFrame) -> DataFrame:

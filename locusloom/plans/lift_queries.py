@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusloom.functions import alleles, swap
-from locusloom.operators import liftover
-from locusloom.operators.indels import align
+from locusloom.operators import liftover, records, tables
 from locusloom.plans.text_queries import sequence
 from locusloom.plans.views import view, with_views
 from locusloom.sources import chain
@@ -93,24 +92,65 @@ def _longer(spark, d) -> DataFrame:
     return v.select("vid", "chrom", at.alias("pos"), F.when(F.col("vid") % 2 == 0, two).otherwise(base(0)).alias("ref"), F.when(F.col("vid") % 2 == 0, base(0)).otherwise(two).alias("alt"))
 
 
+def _extra(spark, d) -> DataFrame:
+    """A substitution with bases around it, one base twice, two bases twice."""
+    at = F.col("pos") + F.col("vid")
+    base = lambda k: F.substring(F.lit("ACGT"), ((at + k - 1) % 4 + 1).cast("int"), F.lit(1))
+    kind = F.col("vid") % 3
+    ref = F.when(kind == 0, F.concat(*[base(k) for k in range(4)])).otherwise(base(0))
+    alt = F.when(kind == 0, F.concat(base(0), base(1), base(3), base(3))).when(kind == 1, F.concat(base(0), base(0))).otherwise(F.concat(base(0), base(-1), base(0)))
+    return view(spark, d, "variants").select("vid", "chrom", at.alias("pos"), ref.alias("ref"), alt.alias("alt"))
+
+
 def lift_longer(spark, d):
     out = liftover.lift_longer(_longer(spark, d), placed(spark, d), sequence(spark, d), sequence(spark, d, "q"))
     return out.select("vid", "q_chrom", "q_pos", F.array_join("q_alleles", ",").alias("q_alleles"), "flip", "swap", "reject_reason")
 
 
-def lift_extend(spark, d):
-    rows = _longer(spark, d).withColumn("_x", liftover.extended(F.array("ref", "alt"), F.lit("ACGTACGT"), F.lit("ACGTACGT")))
-    return rows.select("vid", F.array_join("_x.alleles", ",").alias("alleles"), "_x.n_left", "_x.n_right")
+def _records(spark, d) -> DataFrame:
+    """Records of three alleles, joined from rows of one alternative each, with INFO and two samples; all lie in blocks."""
+    at = F.floor(F.col("pos") / 10000) * 10000 + 1 + F.col("pos") % 7999
+    v, third = F.col("vid"), F.expr("case when ref <> 'A' and alt <> 'A' then 'A' when ref <> 'C' and alt <> 'C' then 'C' else 'G' end")
+    rows = view(spark, d, "variants").select("vid", "chrom", at.alias("pos"), "ref", F.explode(F.array("alt", third)).alias("alt"))
+    joined = tables.join_alleles(rows, (), ("vid", "chrom", "pos", "ref"))
+    text = lambda *x: F.concat_ws(",", *[y.cast("string") for y in x])
+    info = {
+        "AC": text(v % 11, v % 7), "AN": F.lit("100"), "AF": F.lit("0.25,0.5"), "RD": text(v, v + 1, v + 2), "GL": text(*[v * 10 + i for i in range(6)]), "ALLELE_A": (v % 3).cast("string"),
+        "XX": F.lit("x"), "END": F.col("pos").cast("string"),
+    }
+    entries = F.map_from_arrays(F.array(*[F.lit(k) for k in info]), F.array(*info.values()))
+    number = lambda x: x.cast("double")
+    one = lambda name, k: F.struct(
+        F.lit(name).alias("sample"), F.array(((v + k) % 3).cast("int"), F.lit(None).cast("int") if k else (v % 2).cast("int")).alias("gt"), F.array(number(v % 3) / 4, number(v % 2) / 2).alias("ds"),
+        F.array(*[number(v * 10 + i + k) for i in range(6)]).alias("gp"), F.array(number(v % 5 + k), number(v % 6)).alias("es"),
+    )
+    return joined.select("vid", "chrom", "pos", F.array_prepend("alt", F.col("ref")).alias("alleles"), entries.alias("info"), F.array(one("s0", 0), one("s1", 1)).alias("samples"))
 
 
-def lift_left_align(spark, d):
-    rows = _longer(spark, d).withColumn("_x", liftover.aligned(F.array("ref", "alt"), F.lit("ACGTACGT")))
-    return rows.select("vid", F.array_join("_x.alleles", ",").alias("alleles"), "_x.moved")
+#: Tags of the records by what they have values for.
+INFO_NUMBERS = {"AC": "A", "AN": "1", "AF": "A", "RD": "R", "GL": "G", "ALLELE_A": "1", "XX": "1", "END": "1"}
+FORMAT_NUMBERS = {"GT": "1", "DS": "A", "GP": "G", "ES": "A"}
 
 
-def lift_nw(spark, d):
-    score = F.udf(lambda a, b: align(a, b)[0], "int")
-    return view(spark, d, "variants").select("vid", score(F.concat("ref", F.lit("AC"), "alt"), F.concat("ref", "alt")).alias("score"))
+def lift_records(spark, d):
+    """Whole records: places, alleles, all INFO values and samples, a row for each sample."""
+    out = records.lift_records(_records(spark, d), placed(spark, d), None, sequence(spark, d, "q"), INFO_NUMBERS, FORMAT_NUMBERS, write_src=True)
+    rows = out.select("vid", "chrom", "pos", F.array_join("alleles", ",").alias("alleles"), "swap", "flip", "info", F.explode("samples").alias("x"))
+    texts = [F.try_element_at("info", F.lit(k)).alias(k.lower()) for k in ("AC", "AF", "RD", "GL", "ALLELE_A", "XX", "END", "FLIP", "SRC_POS", "SRC_REF_ALT")]
+    texts.append(F.try_element_at("info", F.lit("SWAP")).alias("swap_1"))
+    joined = lambda f: F.array_join(F.transform(F.col(f"x.{f}"), lambda y: y.cast("int").cast("string")), ",", ".").alias(f)
+    return rows.select("vid", "chrom", "pos", "alleles", "swap", *texts, "x.sample", joined("gt"), *[F.get("x.ds", F.lit(i)).alias(f"ds{i}") for i in range(3)], joined("gp"), joined("es"))
+
+
+def lift_extend(spark, d):
+    """Each pair is extended over the whole sequence around it, as far as that repeats."""
+    out = liftover.extend_rows(_longer(spark, d), sequence(spark, d))
+    return out.select("vid", "x_pos", F.array_join("x_alleles", ",").alias("alleles"))
+
+
+def lift_left_align(spark, d):
+    rows = _extra(spark, d)
+    return liftover.align_rows(rows, sequence(spark, d)).select("vid", "y_pos", F.array_join("y_alleles", ",").alias("alleles"))
 
 
 def _arrays(spark, d) -> DataFrame:
@@ -143,7 +183,7 @@ def swap_tags(spark, d):
 
 QUERIES = {
     "chain_blocks": chain_blocks, "chain_merge": chain_merge, "chain_neighbours": chain_neighbours, "chain_dedup": chain_dedup, "lift_point": lift_point, "lift_flip": lift_flip, "lift_ref_snp": lift_ref_snp,
-    "lift_reject": lift_reject, "lift_counts": lift_counts, "lift_end": lift_end, "lift_anchors": lift_anchors, "lift_longer": lift_longer, "lift_extend": lift_extend, "lift_left_align": lift_left_align, "lift_nw": lift_nw,
+    "lift_reject": lift_reject, "lift_counts": lift_counts, "lift_end": lift_end, "lift_anchors": lift_anchors, "lift_longer": lift_longer, "lift_extend": lift_extend, "lift_left_align": lift_left_align, "lift_records": lift_records,
     "swap_ac": _swapped(lambda: swap.complement(F.col("AC"), F.col("s"), F.col("AN")), 3), "swap_af": _swapped(lambda: swap.complement(F.col("AF"), F.col("s"), F.lit(1.0)), 3),
     "swap_ds": _swapped(lambda: swap.complement(F.col("DS"), F.col("s"), F.lit(2.0)), 3), "swap_es": _swapped(lambda: swap.effect(F.col("ES"), F.col("s")), 3),
     "swap_r": _swapped(lambda: swap.per_allele(F.col("R"), F.col("s")), 4), "swap_g": _swapped(lambda: swap.per_genotype(F.col("G"), F.lit(3), F.col("s")), 10),
@@ -164,6 +204,8 @@ def _complement_sql(a: str, b: str, total: str) -> str:
 
 _G = "[v*10, v*10+1, v*10+2, v*10+3, v*10+4, v*10+5]"
 _BLOCK = "select vid, 'q'||t_chrom as q_chrom, case when q_strand = 0 then q_start+pos-1-t_start+1 else q_size-q_start-(pos-1-t_start) end as q_pos, q_strand, chain_ind, block_ind from variants v join chain_blocks b on v.chrom = b.t_chrom and pos-1 between t_start and t_start+size-1"
+#: The base k places behind a variant in the sequence of repeats.
+_BASE = lambda k: f"substring('ACGT', ((pos+vid+{k}-1) % 4 + 1)::int, 1)"
 _FLIP = "translate({0}, 'ACGT', 'TGCA')"
 _SINGLE = f"with l as ({_BLOCK}), t as (select v.*, q_pos, q_strand, case when q_strand = 1 then {_FLIP.format('ref')} else ref end as a, case when q_strand = 1 then {_FLIP.format('alt')} else alt end as b from variants v left join l on v.vid = l.vid)"
 _LONGEST = "n as (select chrom, (max(pos+vid)/4.0+100)::int*4 as len from variants group by chrom)"
@@ -180,6 +222,23 @@ g as (select *, case when a5_q is not null then a5_q when a3_q is not null then
 h as (select *, case when a5_q is null and a3_q is null then 'UnmappedAnchors' when a5_q is not null and a3_q is not null and abs(q2-q1) > span+250 then 'ApartAnchors' when a5_q is null and p5 is null then 'UnmappedAnchor5' when a3_q is null and p3 is null then 'UnmappedAnchor3' end as reason from g)
 select vid, case when reason is null then least(q1, q2) end as q_pos, case when reason is null then greatest(q1, q2) end as q_end, coalesce(p5, 0) as n_pad5, coalesce(p3, 0) as n_pad3, reason as reject_reason from h"""
 
+_JOINED = lambda x: f"array_to_string([coalesce(y::varchar, '.') for y in {x}], ',')"
+_GENOTYPES = lambda x: f"(case s when 0 then {x} when 1 then [{x}[i] for i in [3, 2, 1, 5, 4, 6]] when 2 then [{x}[i] for i in [6, 5, 3, 4, 2, 1]] else [null, null, {x}[1], null, {x}[2], {x}[3], null, {x}[4], {x}[5], {x}[6]] end)"
+_RENUMBERED = lambda x: f"[case when s = -1 then g+1 when g = 0 then s when g = s then 0 else g end for g in {x}]"
+_RESTS = lambda a, b, total: f"(case s when 0 then [{a}, {b}] when 1 then [{total}-{a}-{b}, {b}] when 2 then [{a}, {total}-{a}-{b}] else [{total}-{a}-{b}, {a}, {b}] end)"
+_RECORDS = f"""with r as (select vid, chrom, (pos//10000)*10000+1+pos%7999 as pos, ref, alt, case when ref <> 'A' and alt <> 'A' then 'A' when ref <> 'C' and alt <> 'C' then 'C' else 'G' end as third from variants),
+m as (select r.*, [ref, least(alt, third), greatest(alt, third)] as al, 'q'||t_chrom as q_chrom, case when q_strand = 0 then q_start+pos-1-t_start+1 else q_size-q_start-(pos-1-t_start) end as q_pos, q_strand from r join chain_blocks b on r.chrom = b.t_chrom and pos-1 between t_start and t_start+size-1),
+{_LONGEST},
+f as (select m.*, case when q_strand = 1 then [translate(a, 'ACGT', 'TGCA') for a in al] else al end as fl, case when q_pos <= len then substring('ACGT', ((q_pos-1) % 4 + 1)::int, 1) else 'N' end as base from m join n on m.chrom = n.chrom),
+t as (select *, (coalesce(list_position(fl, base), 0)-1)::int as s, vid as v from f),
+u as (select *, unnest([0, 1]) as k from t)
+select vid, q_chrom as chrom, q_pos as pos, array_to_string(case when s = -1 then list_prepend(base, fl) when s > 0 then [case when i = 0 then fl[s+1] when i = s then fl[1] else fl[i+1] end for i in [0, 1, 2]] else fl end, ',') as alleles, s as swap,
+{_JOINED(_RESTS('v%11', 'v%7', '100'))} as ac, {_JOINED(_RESTS('0.25::double', '0.5::double', '1'))} as af,
+{_JOINED('(case s when -1 then [null, v, v+1, v+2] when 1 then [v+1, v, v+2] when 2 then [v+2, v+1, v] else [v, v+1, v+2] end)')} as rd, {_JOINED(_GENOTYPES('[v*10, v*10+1, v*10+2, v*10+3, v*10+4, v*10+5]'))} as gl,
+{_JOINED(_RENUMBERED('[v%3]'))} as allele_a, 'x' as xx, q_pos::varchar as end, case when s <> 0 then s::varchar end as swap_1, case when q_strand = 1 then '' end as flip, pos::varchar as src_pos, array_to_string(al, ',') as src_ref_alt,
+'s'||k as sample, {_JOINED(_RENUMBERED('[(v+k)%3, case when k = 0 then v%2 end]'))} as gt, {', '.join(f"{_RESTS('(v%3/4.0::double)', '(v%2/2.0::double)', '2')}[{i + 1}]::double as ds{i}" for i in range(3))},
+{_JOINED(_GENOTYPES('[v*10+k, v*10+1+k, v*10+2+k, v*10+3+k, v*10+4+k, v*10+5+k]'))} as gp, {_JOINED('(case s when -1 then [null, v%5+k, v%6] else [case when s = 1 then -(v%5+k) else v%5+k end, case when s = 2 then -(v%6) else v%6 end] end)')} as es from u"""
+
 ORACLES = {k: with_views(v) for k, v in {
     "chain_blocks": "select chain_ind, line, coalesce(sum(size+dt) over w, 0)::bigint as t_start, coalesce(sum(size+dq) over w, 0)::bigint as q_start, size from chain_lines window w as (partition by chain_ind order by line rows between unbounded preceding and 1 preceding)",
     "chain_merge": """with t as (select *, coalesce(sum(size+dt) over w, 0)::bigint as ts, coalesce(sum(size+dq) over w, 0)::bigint as qs, coalesce(lag(dt) over o = lag(dq) over o and lag(dt) over o <= 1, false) as joined from chain_lines window w as (partition by chain_ind order by line rows between unbounded preceding and 1 preceding), o as (partition by chain_ind order by line)),
@@ -193,7 +252,10 @@ select chain_ind, min(line) as line, min(ts) as t_start, min(qs) as q_start, max
     "lift_reject": f"with l as ({_BLOCK}) select v.vid, case when v.vid % 9 = 0 then 'MissingContig' else 'UnmappedAnchors' end as reject_reason from variants v left join l on v.vid = l.vid where v.vid % 9 = 0 or l.vid is null",
     "lift_counts": f"{_REF} select count(*) as total, count(*) filter (where swap > 0) as swapped, count(*) filter (where swap = -1) as ref_added, count(*) filter (where q_pos is null) as rejected from w",
     "lift_end": f"with sp as (select vid, chrom, pos, pos+vid % 3000 as e from variants), {_AT('pos', 'a5')}, {_AT('e', 'a3')} select sp.vid, a5_q as q_pos, case when a5_chrom = a3_chrom and a5_s = a3_s and (case when a5_s = 1 then a5_q >= a3_q else a3_q >= a5_q end) then a3_q end as q_end from sp left join a5 on a5.vid = sp.vid left join a3 on a3.vid = sp.vid",
-    "lift_anchors": _ANCHORS,
+    "lift_anchors": _ANCHORS, "lift_records": _RECORDS,
+    "lift_extend": f"select vid, pos+vid as x_pos, case when vid % 2 = 0 then {_BASE(0)}||{_BASE(1)}||{_BASE(2)}||','||{_BASE(0)}||{_BASE(2)} else {_BASE(0)}||{_BASE(1)}||{_BASE(2)}||','||{_BASE(0)}||{_BASE(1)}||{_BASE(1)}||{_BASE(2)} end as alleles from variants",
+    "lift_left_align": f"""select vid, pos+vid+case vid % 3 when 0 then 2 when 1 then -1 else -2 end as y_pos, case vid % 3 when 0 then {_BASE(2)}||','||{_BASE(3)}
+when 1 then {_BASE(-1)}||','||{_BASE(-1)}||{_BASE(0)} else {_BASE(-2)}||','||{_BASE(-2)}||{_BASE(-1)}||{_BASE(0)} end as alleles from variants""",
     "swap_ac": _complement_sql("v%11", "v%7", "100"), "swap_af": _complement_sql("(v%3/4.0::double)", "(v%2/8.0::double)", "1"), "swap_ds": _complement_sql("(v%3/4.0::double)", "(v%2/2.0::double)", "2"),
     "swap_es": _list_sql("[case when s = 1 then -(v%5) else v%5 end, case when s = 2 then -(v%6) else v%6 end]", "[null, v%5, v%6]", "[v%5, v%6]", 3),
     "swap_r": _list_sql("[case when s = 1 then v+1 else v+2 end, case when s = 1 then v else v+1 end, case when s = 2 then v else v+2 end]", "[null, v, v+1, v+2]", "[v, v+1, v+2]", 4),

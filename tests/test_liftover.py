@@ -93,11 +93,11 @@ def test_helpers_keep_the_haplotype():
         if alt == ref:
             continue
         want = apply(reference, pos, ref, alt)
-        alleles, moved = indels.left_align([ref, alt], reference[: pos - 1])
+        alleles, moved, _ = indels.left_align([ref, alt], reference[: pos - 1])
         assert apply(reference, pos + moved, *alleles) == want
         wide, left, right = indels.extend_alleles([ref, alt], reference[: pos - 1], reference[pos - 1 + n :])
         assert apply(reference, pos - left, *wide) == want and len(wide[0]) == n + left + right
-        again, further = indels.left_align(alleles, reference[: pos - 1 + moved])
+        again, further, _ = indels.left_align(alleles, reference[: pos - 1 + moved])
         assert (again, further) == (alleles, 0)
         # No equal variant lies further left.
         for p, k in itertools.product(range(1, pos + moved), range(1, 9)):
@@ -132,7 +132,7 @@ def test_alignment_score():
     rng = random.Random(2)
     for _ in range(60):
         a, b = ("".join(rng.choice("ACGN") for _ in range(rng.randint(0, 7))) for _ in range(2))
-        assert indels.align(a, b)[0] == brute(a, b)
+        assert indels.align([a], [b], [0], [False])[0][0] == brute(a, b)
 
 
 @pytest.mark.parametrize(
