@@ -44,28 +44,68 @@ def two_sided_lp(z: str) -> Column:
     return -(log_upper_tail(z) + math.log(2)) / LN10
 
 
-def abs_z(lp: Column) -> Column:
-    """The z >= 0 whose two-sided -log10 p is ``lp``.
+#: Where the pieces of the quantile begin, in t = sqrt(-2 ln(tail)), and their polynomials' degree. Each piece doubles t, so that the
+#: nearest singularity is thrice its half-width away and each degree gains a factor of 5.8.
+PIECES, DEGREE = (math.sqrt(2 * math.log(2)), 2.0, 4.0, 8.0, 16.0, 32.0, 64.0), 20
 
-    A rational first guess of the quantile, then Newton's steps on the log tail. Each step binds the value before it as a
-    lambda's argument, so that the expression stays small wherever it is moved.
-    """
-    bind = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
-    ok = lp.isNotNull() & ~F.isnan(lp) & (lp >= 0) & (lp < float("inf"))
 
-    def guess(t: Column) -> Column:
-        # Hastings' rational approximation of the normal quantile.
-        return F.greatest(t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1.0 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t), F.lit(0.0))
+def _quantile(t: float) -> float:
+    """The z >= 0 whose tail's logarithm is -t^2/2, by Newton's steps."""
+    z = max(t - 1.0, 0.0)
+    for _ in range(60):
+        if z < SPLIT:
+            term, total = z, z
+            for k in range(1, 60):
+                term *= z * z / (2 * k + 1)
+                total += term
+            ratio = math.exp(z * z / 2) * math.sqrt(math.pi / 2) - total
+        else:
+            ratio = z
+            for k in range(2 * FRACTION_LEVELS, 0, -1):
+                ratio = z + k / ratio
+            ratio = 1 / ratio
+        step = (-z * z / 2 - HALF_LN_2PI + math.log(ratio) + t * t / 2) * ratio
+        z = max(z + step, 0.0)
+        if abs(step) < 1e-16 * (1 + z):
+            break
+    return z
+
 
-    z = bind(F.sqrt(2 * (lp * LN10 + math.log(2))), guess)
-    for _ in range(4):
-        z = bind(z, lambda c: F.greatest(c + (log_upper_tail(c) + lp * LN10 + math.log(2)) * mills(c), F.lit(0.0)))
-    return F.when(ok, z)
+@lru_cache(maxsize=1)
+def _pieces() -> list[list[float]]:
+    """The polynomials of the pieces in [-1, 1], highest power first, from interpolation at Chebyshev's nodes."""
+    out = []
+    for low, high in zip(PIECES[:-1], PIECES[1:], strict=True):
+        fit = np.polynomial.chebyshev.chebinterpolate(lambda x: [_quantile(low + (high - low) * (y + 1) / 2) for y in x], DEGREE)  # noqa: B023
+        out.append([float(c) for c in np.polynomial.chebyshev.cheb2poly(fit)[::-1]])
+    return out
 
 
 def with_abs_z(df: DataFrame, lp: str, out: str) -> DataFrame:
-    """Add ``out``, the :func:`abs_z` of ``lp``."""
-    return df.withColumn(out, abs_z(F.col(lp)))
+    """Add ``out``, the z >= 0 whose two-sided -log10 p is ``lp``, to rounding: a polynomial of t = sqrt(-2 ln(p/2)) on each of a few pieces.
+
+    Beyond the last, z^2 = t^2 - ln(2 pi z^2) + 2 ln(z m), where m is the tail over the density: three rounds, each of which gains a
+    factor of z^2. What the polynomial refers to many times are columns of projections before it, and its numbers are looked up by the piece,
+    so there is one short formula for all pieces, which is compiled.
+    """
+    square, t, piece, x = names = [f"_{out}_{c}" for c in ("square", "t", "piece", "x")]
+    ok = F.col(lp).isNotNull() & ~F.isnan(lp) & (F.col(lp) >= 0) & (F.col(lp) < float("inf"))
+    df = df.withColumn(square, F.when(ok, 2 * (F.col(lp) * LN10 + math.log(2)))).withColumn(t, F.sqrt(square))
+    at = F.lit(len(PIECES) - 2)
+    for k in range(len(PIECES) - 2, 0, -1):
+        at = F.when(F.col(t) < PIECES[k], k - 1).otherwise(at)
+    of = lambda values: F.get(F.lit([float(v) for v in values]), F.col(piece))
+    bounds = list(zip(PIECES[:-1], PIECES[1:], strict=True))
+    scaled = F.col(t) * of(2 / (high - low) for low, high in bounds) - of((high + low) / (high - low) for low, high in bounds)
+    df = df.withColumn(piece, at).withColumn(x, scaled)
+    powers = list(zip(*_pieces(), strict=True))
+    value = of(powers[0])
+    for c in powers[1:]:
+        value = value * F.col(x) + of(c)
+    y = F.col(square) - F.ln(2 * math.pi * F.col(square))
+    for _ in range(2):
+        y = F.col(square) - F.ln(2 * math.pi * y) + 2 * F.log1p(-1.0 / y + 3.0 / (y * y) - 15.0 / (y * y * y))
+    return df.withColumn(out, F.when(F.col(t) < PIECES[-1], F.greatest(value, F.lit(0.0))).otherwise(F.sqrt(y))).drop(*names)
 
 
 def chi2_lp(x: str, df: str) -> Column:

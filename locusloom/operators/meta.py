@@ -35,10 +35,20 @@ def with_z(studies: DataFrame, scheme: str = "szw") -> DataFrame:
         parts.append(F.try_divide("es", "se"))
     if {"es", "lp"} <= has:
         studies = with_abs_z(studies, "lp", "_zlp")
-        parts.append(F.when(F.col("es") < 0, -F.col("_zlp")).when(F.col("es") >= 0, F.col("_zlp")))
+        parts.append(F.when(F.col("es") < 0, -1.0).when(F.col("es") >= 0, 1.0) * F.col("_zlp"))
     return studies.withColumn("z", F.coalesce(*parts, null)).drop("_zlp")
 
 
+def has_z(studies: DataFrame) -> Column:
+    """Whether the ``szw`` z of :func:`with_z` is there, told from what it is made of: a filter on z itself would work it out twice."""
+    out = F.lit(False)
+    if "ez" in studies.columns:
+        out = _known(F.col("ez"))
+    if {"es", "lp"} <= set(studies.columns):
+        out |= _known(F.col("es")) & _known(F.col("lp")) & (F.col("lp") >= 0) & (F.col("lp") < float("inf"))
+    return F.coalesce(out, F.lit(False))
+
+
 def with_effective_n(studies: DataFrame) -> DataFrame:
     null = F.lit(None).cast("double")
     get = lambda c: F.col(c) if c in studies.columns else null
@@ -68,8 +78,8 @@ def combine(studies: DataFrame, scheme: str = "ivw", het: bool = False, n_studie
         rows = studies.where(_known(F.col("es")) & _known(F.col("se")) & (F.col("se") > 0))
         rows = rows.withColumn("_w", 1 / (F.col("se") * F.col("se"))).withColumn("_wx", F.col("_w") * F.col("es")).withColumn("_x", F.col("es"))
     elif scheme == "szw":
-        rows = with_effective_n(with_z(studies))
-        rows = rows.where(_known(F.col("z")) & _known(F.col("ne")) & (F.col("ne") > 0))
+        rows = with_effective_n(studies.where(has_z(studies)))
+        rows = with_z(rows.where(_known(F.col("ne")) & (F.col("ne") > 0)))
         rows = rows.withColumn("_w", F.col("ne").cast("double")).withColumn("_wx", F.col("z") * F.sqrt("ne")).withColumn("_x", F.col("z"))
     else:
         raise ValueError("scheme is 'ivw' or 'szw'")
