@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusloom.operators.intervals import in_regions
+
 
 def split_alleles(rows: DataFrame, per_alt: Sequence[str] = ()) -> DataFrame:
     """A row for each alternative of the array alt; columns of ``per_alt`` hold a value for each alternative."""
@@ -46,6 +48,36 @@ def write_in_order(rows: DataFrame, path: str) -> None:
     placed.write.partitionBy("chrom").parquet(path)
 
 
+#: Where the index of a table lies: readers of the table pass over names that begin with an underscore.
+INDEX = "_index"
+
+
+def write_indexed(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """Parquet files of ranges of (chrom, pos), and an index of the places that each file's rows of a contig take.
+
+    ``files`` sets how many; a row takes the bases of ref.
+    """
+    keys = ("chrom", "pos")
+    placed = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)
+    placed.sortWithinPartitions(*keys, "ref", "alt").write.parquet(path)
+    spark = rows.sparkSession
+    written = spark.read.parquet(path)
+    name = F.element_at(F.split(written.metadataColumn("_metadata")["file_path"], "/"), -1)
+    last = F.col("pos") + F.greatest(F.length("ref"), F.lit(1)) - 1
+    index = written.groupBy(name.alias("file"), "chrom").agg(F.min("pos").alias("first"), F.max(last).alias("last"), F.count("*").alias("n"))
+    index.coalesce(1).write.parquet(f"{path}/{INDEX}")  # a row for each file and contig
+
+
+def read_regions(spark: SparkSession, path: str, regions: DataFrame, overlap: int = 1) -> DataFrame:
+    """Rows in regions (r_chrom, r_start, r_end) of what :func:`write_indexed` wrote, from those files alone that a region touches."""
+    index = spark.read.parquet(f"{path}/{INDEX}")
+    touched = index.join(regions, (F.col("chrom") == F.col("r_chrom")) & (F.col("first") <= F.col("r_end")) & (F.col("last") >= F.col("r_start")), "left_semi")
+    names = [r[0] for r in touched.select("file").distinct().collect()]  # names of files
+    if not names:
+        return spark.read.parquet(path).limit(0)
+    return in_regions(spark.read.schema(spark.read.parquet(path).schema).parquet(*[f"{path}/{n}" for n in sorted(names)]), regions, overlap=overlap)
+
+
 def annotate_ids(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Rows with the id that ``names`` (chrom, pos, ref, alt, id) has for them, their own if none."""
     known = names.select("chrom", "pos", "ref", "alt", F.col("id").alias("_id"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusloom.functions import alleles, swap
+from locusloom.functions.tables import shared_folder
 from locusloom.operators import liftover, records, tables
 from locusloom.plans.text_queries import sequence
 from locusloom.plans.views import view, with_views
@@ -37,6 +38,25 @@ def chain_merge(spark, d):
     return out.select("chain_ind", F.col("block_ind").alias("line"), "t_start", "q_start", "size")
 
 
+def chain_file(spark, d):
+    """The same from a chain file, which is read in splits and checked."""
+    path = shared_folder(spark, "chains")
+    rows = lines(spark, d)
+    last = Window.partitionBy("chain_ind").orderBy(F.col("line").desc())
+    rows = rows.withColumn("_end", F.row_number().over(last) == 1)
+    zero = F.when(F.col("_end"), 0)
+    sums = rows.groupBy("chain_ind").agg(F.sum(F.col("size") + F.coalesce(zero, "dt")).alias("t"), F.sum(F.col("size") + F.coalesce(zero, "dq")).alias("q"))
+    chrom = (F.col("chain_ind") + 1).cast("string")
+    head = F.format_string("chain 1 chr%s %d + 0 %d q%s %d - 0 %d %d", chrom, F.col("t"), F.col("t"), chrom, F.col("q"), F.col("q"), F.col("chain_ind") + 1)
+    text = sums.select("chain_ind", F.lit(-1).cast("long").alias("line"), head.alias("value"))
+    body = F.when(F.col("_end"), F.col("size").cast("string")).otherwise(F.concat_ws("\t", "size", "dt", "dq"))
+    text.unionByName(rows.select("chain_ind", "line", body.alias("value"))).orderBy("chain_ind", "line").select("value").write.text(path)
+    heads, blocks = chain.read_chains(spark, path, max_gap=1, strict=True)
+    first = F.min("block_ind").over(Window.partitionBy("chain_ind"))
+    blocks = blocks.withColumn("line", F.col("block_ind") - first).join(heads.select("chain_ind", (F.col("id") - 1).alias("name")), "chain_ind")
+    return blocks.select(F.col("name").alias("chain_ind"), "line", "t_start", "q_start", "size")
+
+
 def chain_neighbours(spark, d):
     return placed(spark, d).select("chain_ind", "block_ind", "t_start_gap", "t_end_gap", "q_start_gap", "q_end_gap")
 
@@ -182,7 +202,7 @@ def swap_tags(spark, d):
 
 
 QUERIES = {
-    "chain_blocks": chain_blocks, "chain_merge": chain_merge, "chain_neighbours": chain_neighbours, "chain_dedup": chain_dedup, "lift_point": lift_point, "lift_flip": lift_flip, "lift_ref_snp": lift_ref_snp,
+    "chain_blocks": chain_blocks, "chain_merge": chain_merge, "chain_file": chain_file, "chain_neighbours": chain_neighbours, "chain_dedup": chain_dedup, "lift_point": lift_point, "lift_flip": lift_flip, "lift_ref_snp": lift_ref_snp,
     "lift_reject": lift_reject, "lift_counts": lift_counts, "lift_end": lift_end, "lift_anchors": lift_anchors, "lift_longer": lift_longer, "lift_extend": lift_extend, "lift_left_align": lift_left_align, "lift_records": lift_records,
     "swap_ac": _swapped(lambda: swap.complement(F.col("AC"), F.col("s"), F.col("AN")), 3), "swap_af": _swapped(lambda: swap.complement(F.col("AF"), F.col("s"), F.lit(1.0)), 3),
     "swap_ds": _swapped(lambda: swap.complement(F.col("DS"), F.col("s"), F.lit(2.0)), 3), "swap_es": _swapped(lambda: swap.effect(F.col("ES"), F.col("s")), 3),
@@ -243,6 +263,9 @@ ORACLES = {k: with_views(v) for k, v in {
     "chain_blocks": "select chain_ind, line, coalesce(sum(size+dt) over w, 0)::bigint as t_start, coalesce(sum(size+dq) over w, 0)::bigint as q_start, size from chain_lines window w as (partition by chain_ind order by line rows between unbounded preceding and 1 preceding)",
     "chain_merge": """with t as (select *, coalesce(sum(size+dt) over w, 0)::bigint as ts, coalesce(sum(size+dq) over w, 0)::bigint as qs, coalesce(lag(dt) over o = lag(dq) over o and lag(dt) over o <= 1, false) as joined from chain_lines window w as (partition by chain_ind order by line rows between unbounded preceding and 1 preceding), o as (partition by chain_ind order by line)),
 i as (select *, sum(case when joined then 0 else 1 end) over (partition by chain_ind order by line) as island from t)
+select chain_ind, min(line) as line, min(ts) as t_start, min(qs) as q_start, max(ts+size)-min(ts) as size from i group by chain_ind, island""",
+    "chain_file": """with t as (select *, coalesce(sum(size+dt) over w, 0)::bigint as ts, coalesce(sum(size+dq) over w, 0)::bigint as qs, coalesce(lag(dt) over o = lag(dq) over o and lag(dt) over o <= 1, false) as joined from chain_lines window w as (partition by chain_ind order by line rows between unbounded preceding and 1 preceding), o as (partition by chain_ind order by line)),
+i as (select *, sum(case when joined then 0 else 1 end) over (partition by chain_ind order by line) as island from t)
 select chain_ind, min(line) as line, min(ts) as t_start, min(qs) as q_start, max(ts+size)-min(ts) as size from i group by chain_ind, island""",
     "chain_neighbours": "select chain_ind, block_ind, " + ", ".join(f"coalesce({c}_start-lag({c}_start+size) over w, -1) as {c}_start_gap, coalesce(lead({c}_start) over w-{c}_start-size, -1) as {c}_end_gap" for c in "tq") + " from chain_blocks window w as (partition by chain_ind order by t_start)",
     "chain_dedup": "select min(block_ind) as chain_ind, block_ind % 50 as id from chain_blocks where block_ind % 50 > 0 group by block_ind % 50 union all select block_ind as chain_ind, 0 as id from chain_blocks where block_ind % 50 = 0",

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusloom.functions import alleles
+from locusloom.functions.tables import shared_folder
 from locusloom.operators import filters, intervals, manhattan, tables
 from locusloom.operators.munge import munge
 from locusloom.plans.views import view, with_views
-from locusloom.sources.fasta import chunked
+from locusloom.sources.fasta import chunked, read_fasta
 from locusloom.sources.text import PRESETS, parse_lines, synonyms
 
 CONTIGS = (*(f"chr{i}" for i in range(1, 23)), "chrX", "chrY", "chrM")
@@ -121,6 +122,26 @@ def regions_semi(spark, d):
     return intervals.in_regions(view(spark, d, "variants"), _regions(spark, d), overlap=1).select("vid", "chrom", "pos")
 
 
+def regions_indexed(spark, d):
+    """The same from a table that is written with its index: only files that a region touches are read."""
+    path = shared_folder(spark, "indexed")
+    tables.write_indexed(view(spark, d, "variants"), path)
+    return tables.read_regions(spark, path, _regions(spark, d), overlap=1).select("vid", "chrom", "pos")
+
+
+def fasta_chunks(spark, d):
+    """Sequences written as text in lines of 60 bases, and read again in chunks of 4,096 with 100 of the next."""
+    path = shared_folder(spark, "fasta")
+    longest = view(spark, d, "variants").groupBy("chrom").agg(F.max(F.col("pos") + F.col("vid")).alias("n"))
+    whole = longest.withColumn("n", (F.expr("cast(n / 4 + 100 as int)") * 4).cast("long"))
+    starts = whole.select("chrom", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(60).cast("long"))).alias("at"))
+    line = F.substring(F.repeat(F.lit("ACGT"), F.lit(15)), F.lit(1), F.least(F.lit(60), F.col("n") - F.col("at")).cast("int"))
+    text = starts.select("chrom", "at", line.alias("value")).unionByName(whole.select("chrom", F.lit(-1).cast("long").alias("at"), F.concat(F.lit(">"), "chrom").alias("value")))
+    text.orderBy("chrom", "at").select("value").write.text(path)
+    out = read_fasta(spark, path, chunk=4096, overlap=100)
+    return out.select("contig", "chunk", F.length("seq").alias("bases"), F.md5("seq").alias("digest"))
+
+
 def targets_anti(spark, d):
     return intervals.in_regions(view(spark, d, "variants"), _regions(spark, d), exclude=True, overlap=0).select("vid", "chrom", "pos")
 
@@ -183,7 +204,7 @@ def contig_lengths(spark, d):
 QUERIES = {
     "text_scan": text_scan, "contig_lengths": contig_lengths,
     "munge_presets": munge_presets, "munge_contig": munge_contig, "munge_allele": munge_allele, "munge_p_to_lp": munge_p_to_lp, "munge_numbers": munge_numbers, "munge_or": munge_or, "munge_neff": munge_neff,
-    "munge_constants": munge_constants, "munge_harmonise": munge_harmonise, "filt_expr": filt_expr, "filt_mask": filt_mask, "filt_pass": filt_pass, "regions_semi": regions_semi, "targets_anti": targets_anti,
+    "munge_constants": munge_constants, "munge_harmonise": munge_harmonise, "filt_expr": filt_expr, "filt_mask": filt_mask, "filt_pass": filt_pass, "regions_semi": regions_semi, "regions_indexed": regions_indexed, "fasta_chunks": fasta_chunks, "targets_anti": targets_anti,
     "norm_split": norm_split, "norm_join": norm_join, "merge_wide": merge_wide, "annotate_ids": annotate, "export_ssf": export_ssf, "plot_points": plot_points,
 }
 
@@ -219,6 +240,9 @@ select vid, case when base = a1 then a1 else a2 end as ref, case when base = a1
     "filt_mask": "select vid, study, case when nc > 0 then nc end as cases from study_stats where not coalesce(nc > 60, false)",
     "filt_pass": f"with t as (select vid, study, {_TAG} as f from study_stats) select 'HIGH' as gate, vid, study from t where f = 'HIGH' union all select 'LOW,.' as gate, vid, study from t where f in ('LOW', '.')",
     "regions_semi": f"{_REGION} select vid, chrom, pos from variants v where exists (select 1 from r where r.c = v.chrom and v.pos between a and z)",
+    "regions_indexed": f"{_REGION} select vid, chrom, pos from variants v where exists (select 1 from r where r.c = v.chrom and v.pos between a and z)",
+    "fasta_chunks": """with n as (select chrom, (max(pos+vid)/4.0+100)::int*4 as n from variants group by chrom), c as (select chrom, n, unnest(range(0, n, 4096)) as b from n),
+s as (select chrom as contig, (b//4096)::int as chunk, least(4196, n-b)::int as bases from c) select contig, chunk, bases, md5(substring(repeat('ACGT', 1050), 1, bases)) as digest from s""",
     "targets_anti": f"{_REGION} select vid, chrom, pos from variants v where not exists (select 1 from r where r.c = v.chrom and v.pos between a and z)",
     "norm_split": "select vid, ref, alt, vid % 10 as ac from variants union all select vid, ref, alt||'T' as alt, vid % 7 as ac from variants",
     "norm_join": "select chrom, pos, ref, alt||','||alt||'T' as alt, (vid % 10)::varchar||','||(vid % 7)::varchar as ac from variants",

@@ -5,25 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from locusloom.functions.tables import cut
+from locusloom.sources.lines import split_lines, with_running
+
 CHAINS = "chain_ind int, score long, t_chrom string, t_size long, t_start long, t_end long, q_chrom string, q_size long, q_strand int, q_start long, q_end long, id long"
 
 
-def read_chains(spark: SparkSession, path: str, max_gap: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(chains, blocks). Lines are tables from the start: a chain's lines are those from its header on."""
-    lines = spark.read.text(path).coalesce(1).withColumn("line", F.monotonically_increasing_id()).where(F.length(F.trim("value")) > 0)  # chain files hold megabytes
+def read_chains(spark: SparkSession, path: str, max_gap: int = 1, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(chains, blocks). A chain's lines are those from its header on; the file is read in splits.
+
+    With ``strict`` a file that isn't sound is an error: a header without its fields, a target that isn't on the forward strand, a
+    last line with gaps or another one without, numbers that aren't, or blocks that don't add up to what the header tells.
+    """
+    lines = with_running(split_lines(spark, path).where(~F.startswith("value", F.lit("#"))), _chains=F.startswith("value", F.lit("chain")).cast("long"), line=F.lit(1))
     fields = F.split(F.trim("value"), r"\s+")
     head = F.startswith("value", F.lit("chain"))
-    order = Window.orderBy("line")
-    lines = lines.withColumn("_f", fields).withColumn("chain_ind", F.sum(head.cast("int")).over(order) - 1)
+    lines = cut(lines.select((F.col("_chains") - 1).alias("chain_ind"), (F.col("line") - 1).alias("line"), head.alias("_head"), fields.alias("_f")))
     get = lambda i: F.get("_f", F.lit(i))
-    chains = lines.where(head).select(
-        F.col("chain_ind").cast("int").alias("chain_ind"), get(1).cast("long").alias("score"), get(2).alias("t_chrom"), get(3).cast("long").alias("t_size"), get(5).cast("long").alias("t_start"), get(6).cast("long").alias("t_end"),
-        get(7).alias("q_chrom"), get(8).cast("long").alias("q_size"), (get(9) == "-").cast("int").alias("q_strand"), get(10).cast("long").alias("q_start"), get(11).cast("long").alias("q_end"), F.coalesce(get(12).cast("long"), F.lit(0)).alias("id"),
+    number = lambda i: get(i).try_cast("long")
+    chains = lines.where("_head").select(
+        F.col("chain_ind").cast("int").alias("chain_ind"), number(1).alias("score"), get(2).alias("t_chrom"), number(3).alias("t_size"), number(5).alias("t_start"), number(6).alias("t_end"),
+        get(7).alias("q_chrom"), number(8).alias("q_size"), (get(9) == "-").cast("int").alias("q_strand"), number(10).alias("q_start"), number(11).alias("q_end"), F.coalesce(number(12), F.lit(0)).alias("id"),
     )
-    data = lines.where(~head).select("chain_ind", "line", get(0).cast("long").alias("size"), F.coalesce(get(1).cast("long"), F.lit(0)).alias("dt"), F.coalesce(get(2).cast("long"), F.lit(0)).alias("dq"))
+    data = lines.where("not _head").select("chain_ind", "line", number(0).alias("size"), F.coalesce(number(1), F.lit(0)).alias("dt"), F.coalesce(number(2), F.lit(0)).alias("dq"))
+    if strict:
+        _check(path, lines, chains, data)
     return chains, merge_blocks(data, max_gap)
 
 
+def _check(path: str, lines: DataFrame, chains: DataFrame, data: DataFrame) -> None:
+    n, get = F.size("_f"), lambda i: F.get("_f", F.lit(i))
+    whole = lambda i: get(i).rlike("^[0-9]+$")
+    bad_head = ~n.isin(12, 13) | (get(4) != "+") | ~get(9).isin("+", "-")
+    for i in (3, 5, 6, 8, 10, 11):
+        bad_head |= ~whole(i)
+    bad_data = ~((n == 1) & whole(0) | (n == 3) & whole(0) & whole(1) & whole(2)) | (F.col("chain_ind") < 0)
+    bad = lines.where(F.coalesce(F.when(F.col("_head"), bad_head).otherwise(bad_data), F.lit(True))).select("line", F.array_join("_f", " ").alias("text")).orderBy("line").first()
+    if bad:
+        raise ValueError(f"{path}: line {bad[0]} isn't one of a chain file: {bad[1][:200]}")
+    last = lines.where("not _head").groupBy("chain_ind").agg(F.max_by(n, "line").alias("_last"), F.count_if(n == 1).alias("_ends"))
+    sums = data.groupBy("chain_ind").agg(F.sum(F.col("size") + F.col("dt")).alias("t"), F.sum(F.col("size") + F.col("dq")).alias("q"))
+    told = chains.join(sums, "chain_ind", "left").join(last, "chain_ind", "left")
+    sound = (F.col("t") == F.col("t_end") - F.col("t_start")) & (F.col("q") == F.col("q_end") - F.col("q_start")) & (F.col("_last") == 1) & (F.col("_ends") == 1)
+    sound &= (F.col("t_end") <= F.col("t_size")) & (F.col("q_end") <= F.col("q_size"))
+    wrong = told.where(~F.coalesce(sound, F.lit(False))).orderBy("chain_ind").first()
+    if wrong:
+        raise ValueError(f"{path}: the blocks of chain {wrong['chain_ind']} ({wrong['t_chrom']} to {wrong['q_chrom']}) don't make up what its header tells")
+
+
 def merge_blocks(data: DataFrame, max_gap: int = 1) -> DataFrame:
     """Blocks (chain_ind, block_ind, t_start, q_start, size and the gaps around) of lines (chain_ind, line, size, dt, dq).
 

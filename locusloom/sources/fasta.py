@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusloom.sources.lines import AT, SPLIT, split_lines, with_running
+
 CHUNK, OVERLAP = 1 << 16, 1024
 
 
@@ -30,11 +32,26 @@ def chunked(contigs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> D
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    entries = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
-    head = F.split_part("value", F.lit("\n"), F.lit(1))
-    name = F.regexp_extract(head, r"^(\S+)", 1)
-    seq = F.regexp_replace(F.expr("substring(value, length(split_part(value, '\n', 1)) + 2)"), r"\s", "")
-    return chunked(entries.select(name.alias("contig"), seq.alias("seq")), chunk, overlap)
+    """Chunks of a file's sequences. Each line is placed in its contig by sums over the splits before it, so that no task or row
+    holds a contig; a line is a row, so sequences should be in lines, as they usually are.
+    """
+    head = F.startswith("value", F.lit(">"))
+    bases = F.regexp_replace(F.upper("value"), r"\s", "")
+    lines = split_lines(spark, path).select(*SPLIT, AT, head.alias("_head"), F.when(head, F.regexp_extract("value", r"^>\s*(\S+)", 1)).alias("_name"), F.when(~head, F.regexp_replace(bases, "[^ACGT]", "N")).alias("_seq"))
+    length = F.coalesce(F.length("_seq"), F.lit(0)).cast("long")
+    placed = with_running(lines, _contig=F.col("_head").cast("long"), _end=length)
+    names = placed.where("_head").select("_contig", F.col("_name").alias("contig"), F.col("_end").alias("_from"))  # a row for each contig
+    placed = placed.where("not _head").select("_contig", "_seq", "_end").join(names, "_contig").withColumn("_start", F.col("_end") - F.length("_seq") - F.col("_from"))
+    # A chunk's overlap is the next one's beginning: the line goes to all chunks that hold some of it.
+    first = F.greatest(F.floor((F.col("_start") - overlap) / chunk), F.lit(0))
+    last = F.floor((F.col("_start") + F.length("_seq") - 1) / chunk)
+    pieces = placed.where(F.length("_seq") > 0).withColumn("chunk", F.explode(F.sequence(first, last)))
+    low, high = F.col("chunk") * chunk, F.col("chunk") * chunk + chunk + overlap
+    at = F.greatest(low, F.col("_start"))
+    piece = F.substr("_seq", (at - F.col("_start") + 1).cast("int"), (F.least(high, F.col("_start") + F.length("_seq")) - at).cast("int"))
+    pieces = pieces.where((F.col("_start") < high) & (F.col("_start") + F.length("_seq") > low)).select("contig", F.col("chunk").cast("int").alias("chunk"), at.alias("_at"), piece.alias("_piece"))
+    held = pieces.groupBy("contig", "chunk").agg(F.array_sort(F.collect_list(F.struct("_at", "_piece"))).alias("_x"))  # a chunk's bases
+    return held.select("contig", "chunk", F.array_join(F.transform("_x", lambda p: p["_piece"]), "").alias("seq"))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
