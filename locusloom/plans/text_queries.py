@@ -241,7 +241,7 @@ select vid, case when base = a1 then a1 else a2 end as ref, case when base = a1
     "filt_pass": f"with t as (select vid, study, {_TAG} as f from study_stats) select 'HIGH' as gate, vid, study from t where f = 'HIGH' union all select 'LOW,.' as gate, vid, study from t where f in ('LOW', '.')",
     "regions_semi": f"{_REGION} select vid, chrom, pos from variants v where exists (select 1 from r where r.c = v.chrom and v.pos between a and z)",
     "regions_indexed": f"{_REGION} select vid, chrom, pos from variants v where exists (select 1 from r where r.c = v.chrom and v.pos between a and z)",
-    "fasta_chunks": """with n as (select chrom, (max(pos+vid)/4.0+100)::int*4 as n from variants group by chrom), c as (select chrom, n, unnest(range(0, n, 4096)) as b from n),
+    "fasta_chunks": """with n as (select chrom, floor(max(pos+vid)/4.0+100)::int*4 as n from variants group by chrom), c as (select chrom, n, unnest(range(0, n, 4096)) as b from n),
 s as (select chrom as contig, (b//4096)::int as chunk, least(4196, n-b)::int as bases from c) select contig, chunk, bases, md5(substring(repeat('ACGT', 1050), 1, bases)) as digest from s""",
     "targets_anti": f"{_REGION} select vid, chrom, pos from variants v where not exists (select 1 from r where r.c = v.chrom and v.pos between a and z)",
     "norm_split": "select vid, ref, alt, vid % 10 as ac from variants union all select vid, ref, alt||'T' as alt, vid % 7 as ac from variants",
