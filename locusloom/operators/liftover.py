@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from locusloom.functions.alleles import strand_flip
 from locusloom.functions.tables import cut
+from locusloom.operators.indels import align as align_pairs
 from locusloom.operators.indels import clip_padding, extend_alleles, find_reference, left_align, matches
 from locusloom.operators.intervals import join_points
 from locusloom.sources.fasta import OVERLAP, with_reference
@@ -193,6 +194,13 @@ def _extended_in_windows(rows: DataFrame, src: DataFrame, window: int) -> DataFr
     return _in_windows(rows, src, "chrom", "pos", "_ref_end", window, extended("_alleles", "_left", "_right"), used_left, used_right, "_x")
 
 
+@F.pandas_udf(T.IntegerType())
+def alignment_score(query: pd.Series, target: pd.Series) -> pd.Series:
+    """The best score of global alignments with affine gaps; a batch's are made together."""
+    q, t = query.fillna("").tolist(), target.fillna("").tolist()
+    return pd.Series(align_pairs(q, t, [0] * len(q), [False] * len(q))[0]) if q else pd.Series([], dtype=int)
+
+
 def with_alleles(rows: DataFrame) -> DataFrame:
     """``rows`` with the array ``alleles``, made of ref and alt where there is none."""
     return rows if "alleles" in rows.columns else rows.withColumn("alleles", F.array("ref", "alt"))

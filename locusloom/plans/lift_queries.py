@@ -127,6 +127,11 @@ def lift_longer(spark, d):
     return out.select("vid", "q_chrom", "q_pos", F.array_join("q_alleles", ",").alias("q_alleles"), "flip", "swap", "reject_reason")
 
 
+def lift_nw(spark, d):
+    score = liftover.alignment_score(F.concat("ref", F.lit("AC"), "alt"), F.concat("ref", "alt"))
+    return view(spark, d, "variants").select("vid", score.alias("score"))
+
+
 def _records(spark, d) -> DataFrame:
     """Records of three alleles, joined from rows of one alternative each, with INFO and two samples; all lie in blocks."""
     at = F.floor(F.col("pos") / 10000) * 10000 + 1 + F.col("pos") % 7999
@@ -203,7 +208,7 @@ def swap_tags(spark, d):
 
 QUERIES = {
     "chain_blocks": chain_blocks, "chain_merge": chain_merge, "chain_file": chain_file, "chain_neighbours": chain_neighbours, "chain_dedup": chain_dedup, "lift_point": lift_point, "lift_flip": lift_flip, "lift_ref_snp": lift_ref_snp,
-    "lift_reject": lift_reject, "lift_counts": lift_counts, "lift_end": lift_end, "lift_anchors": lift_anchors, "lift_longer": lift_longer, "lift_extend": lift_extend, "lift_left_align": lift_left_align, "lift_records": lift_records,
+    "lift_reject": lift_reject, "lift_counts": lift_counts, "lift_end": lift_end, "lift_anchors": lift_anchors, "lift_longer": lift_longer, "lift_extend": lift_extend, "lift_left_align": lift_left_align, "lift_nw": lift_nw, "lift_records": lift_records,
     "swap_ac": _swapped(lambda: swap.complement(F.col("AC"), F.col("s"), F.col("AN")), 3), "swap_af": _swapped(lambda: swap.complement(F.col("AF"), F.col("s"), F.lit(1.0)), 3),
     "swap_ds": _swapped(lambda: swap.complement(F.col("DS"), F.col("s"), F.lit(2.0)), 3), "swap_es": _swapped(lambda: swap.effect(F.col("ES"), F.col("s")), 3),
     "swap_r": _swapped(lambda: swap.per_allele(F.col("R"), F.col("s")), 4), "swap_g": _swapped(lambda: swap.per_genotype(F.col("G"), F.lit(3), F.col("s")), 10),
@@ -276,6 +281,7 @@ select chain_ind, min(line) as line, min(ts) as t_start, min(qs) as q_start, max
     "lift_counts": f"{_REF} select count(*) as total, count(*) filter (where swap > 0) as swapped, count(*) filter (where swap = -1) as ref_added, count(*) filter (where q_pos is null) as rejected from w",
     "lift_end": f"with sp as (select vid, chrom, pos, pos+vid % 3000 as e from variants), {_AT('pos', 'a5')}, {_AT('e', 'a3')} select sp.vid, a5_q as q_pos, case when a5_chrom = a3_chrom and a5_s = a3_s and (case when a5_s = 1 then a5_q >= a3_q else a3_q >= a5_q end) then a3_q end as q_end from sp left join a5 on a5.vid = sp.vid left join a3 on a3.vid = sp.vid",
     "lift_anchors": _ANCHORS, "lift_records": _RECORDS,
+    "lift_nw": "select vid, 2-6-2 as score from variants",  # both bases match, and one gap takes the two others
     "lift_extend": f"select vid, pos+vid as x_pos, case when vid % 2 = 0 then {_BASE(0)}||{_BASE(1)}||{_BASE(2)}||','||{_BASE(0)}||{_BASE(2)} else {_BASE(0)}||{_BASE(1)}||{_BASE(2)}||','||{_BASE(0)}||{_BASE(1)}||{_BASE(1)}||{_BASE(2)} end as alleles from variants",
     "lift_left_align": f"""select vid, pos+vid+case vid % 3 when 0 then 2 when 1 then -1 else -2 end as y_pos, case vid % 3 when 0 then {_BASE(2)}||','||{_BASE(3)}
 when 1 then {_BASE(-1)}||','||{_BASE(-1)}||{_BASE(0)} else {_BASE(-2)}||','||{_BASE(-2)}||{_BASE(-1)}||{_BASE(0)} end as alleles from variants""",
