@@ -7,12 +7,14 @@ the number of studies; nothing is joined.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from locusloom.functions.stats import chi2_lp, correlation_from_truncated, effective_n, two_sided_lp, with_abs_z
 
@@ -126,12 +128,60 @@ def output_fields(studies: Sequence[set[str]], scheme: str, het: bool = False, o
     return out + (["i2", "cq"] if het else [])
 
 
+#: Numbers of a dense piece of variants by studies, 32 MB in double precision.
+PIECE = 1 << 22
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values, starts) of a list column without null lists; missing values are NaN."""
+    lists = batch.column(name)
+    values = lists.flatten()
+    if pa.types.is_floating(values.type):
+        values = values.fill_null(float("nan"))
+    starts = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), out=starts[1:])
+    return values.to_numpy(zero_copy_only=False), starts
+
+
+def _product_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over a task's variants of z_a z_b and of 1, a row for each pair of its studies."""
+    known, total, count = np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros((0, 0))
+    for batch in batches:
+        own, starts = _lists(batch, "_k")
+        z, _ = _lists(batch, "_z")
+        every = np.union1d(known, own)
+        if len(every) > len(known):
+            at = np.ix_(*[np.searchsorted(every, known)] * 2)
+            wider = np.zeros((2, len(every), len(every)))
+            wider[0][at], wider[1][at] = total, count
+            known, (total, count) = every, wider
+        column, row = np.searchsorted(known, own), np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        step = max(1, PIECE // max(len(known), 1))
+        for first in range(0, len(starts) - 1, step):
+            part = slice(starts[first], starts[min(first + step, len(starts) - 1)])
+            shape = (min(step, len(starts) - 1 - first), len(known))
+            cell = (row[part] - first) * len(known) + column[part]
+            values = np.bincount(cell, z[part], shape[0] * shape[1]).reshape(shape)
+            there = np.bincount(cell, minlength=shape[0] * shape[1]).reshape(shape).astype(float)
+            total += values.T @ values
+            count += there.T @ there
+    i, j = np.nonzero(np.triu(count, 1))
+    yield pa.RecordBatch.from_arrays([pa.array(known[i]), pa.array(known[j]), pa.array(total[i, j]), pa.array(count[i, j].astype(np.int64))], ["a", "b", "total", "n"])
+
+
 def truncated_products(studies: DataFrame, key: Sequence[str] = KEY, scheme: str = "szw") -> DataFrame:
-    """(a, b, mean, n) for pairs of studies: the mean of z_a z_b over variants where both lie in [-1, 1]."""
-    null_like = with_z(studies, scheme).where(F.col("z").between(-1.0, 1.0)).select(*key, "study", "z")
-    rows = null_like.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("study", "z"))).alias("_s"))  # a struct for each study
-    pairs = F.flatten(F.transform("_s", lambda a: F.transform(F.filter("_s", lambda b: b["study"] > a["study"]), lambda b: F.struct(a["study"].alias("a"), b["study"].alias("b"), (a["z"] * b["z"]).alias("p")))))
-    return rows.select(F.explode(pairs).alias("x")).groupBy("x.a", "x.b").agg(F.avg("x.p").alias("mean"), F.count("*").alias("n"))
+    """(a, b, mean, n) for pairs of studies: the mean of z_a z_b over variants where both lie in [-1, 1].
+
+    A task holds two square matrices of its studies and adds its variants to them by matrix products, some millions of numbers at a time;
+    only the sums are shuffled further. Studies are whole numbers.
+    """
+    kind = dict(studies.dtypes)["study"]
+    null_like = with_z(studies, scheme).where(F.col("z").between(-1.0, 1.0) & F.col("study").isNotNull())
+    one = F.struct(F.col("study").cast("long").alias("study"), F.col("z").cast("double").alias("z"))
+    rows = null_like.groupBy(*key).agg(F.collect_list(one).alias("_s"))  # a struct for each study
+    sums = rows.where(F.size("_s") > 1).select(F.col("_s.study").alias("_k"), F.col("_s.z").alias("_z")).mapInArrow(_product_sums, "a long, b long, total double, n long")
+    pairs = sums.groupBy("a", "b").agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+    return pairs.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "mean", "n")
 
 
 def overlap_correlations(studies: DataFrame, n_studies: int, key: Sequence[str] = KEY, scheme: str = "szw") -> np.ndarray:
@@ -149,56 +199,71 @@ def presence_patterns(studies: DataFrame, n_studies: int, key: Sequence[str] = K
     return held.groupBy(F.array_join(mine, "").alias("pattern")).agg(F.count("*").alias("n"))
 
 
-def _inverse(rho: np.ndarray):
-    """A function of arrays of studies: the inverse of their correlations, row by row."""
+def _forms(rho: np.ndarray, key: list[str]):
+    """The quadratic forms of each variant in the inverse correlations of its studies.
 
-    @F.pandas_udf("array<double>")
-    def inverse(studies: pd.Series) -> pd.Series:
-        known: dict[tuple[int, ...], np.ndarray] = {}
-        out = []
-        for own in studies:
-            key = tuple(own)
-            if key not in known:
-                known[key] = np.linalg.inv(rho[np.ix_(key, key)]).ravel()
-            out.append(known[key])
-        return pd.Series(out, dtype=object)
+    Variants come sorted by their studies within a partition, so a run of equal patterns takes one inverse and a few
+    matrix products, and only the last pattern's inverse is held.
+    """
 
-    return inverse
+    def inverse(pattern: np.ndarray) -> np.ndarray:
+        own = rho[np.ix_(pattern, pattern)]
+        try:
+            return np.linalg.inv(own)
+        except np.linalg.LinAlgError:  # studies that are the same
+            return np.linalg.pinv(own, hermitian=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, r = None, np.zeros((0, 0))
+        for batch in batches:
+            studies, starts = _lists(batch, "_k")
+            columns = [_lists(batch, c)[0] for c in ("_zs", "_ws", "_afs", "_roots")]
+            sizes, out = np.diff(starts), np.empty((5, batch.num_rows))
+            patterns = [studies[x:y].tobytes() for x, y in zip(starts[:-1], starts[1:], strict=True)]
+            first = 0
+            while first < batch.num_rows:
+                last = first + 1
+                while last < batch.num_rows and patterns[last] == patterns[first]:
+                    last += 1
+                if patterns[first] != held:
+                    held, r = patterns[first], inverse(studies[starts[first] : starts[first + 1]])
+                z, w, af, root = (c[starts[first] : starts[last]].reshape(last - first, sizes[first]) for c in columns)
+                rw = w @ r
+                out[:, first:last] = (rw * w).sum(1), (rw * z).sum(1), ((z @ r) * z).sum(1), ((root @ r) * root).sum(1), (rw * w * af).sum(1)
+                first = last
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in key], *map(pa.array, out), pa.array(sizes - 1, pa.int32())], [*key, "_n", "_x", "_q0", "ne", "_af", "_df"])
+
+    return run
 
 
 def combine_overlapping(studies: DataFrame, rho: np.ndarray, scheme: str = "ivw", het: bool = False, key: Sequence[str] = KEY) -> DataFrame:
     """Combination that allows for correlated null statistics.
 
     With the inverse R of the correlations among a variant's studies, N = w'Rw and x = z'Rw for weights w (1/se or
-    sqrt(ne)): es = x/N, se = 1/sqrt(N), ez = x/sqrt(N), ne = sqrt(ne)'R sqrt(ne), and af is weighted alike. A batch
-    of variants inverts each pattern of studies once.
+    sqrt(ne)): es = x/N, se = 1/sqrt(N), ez = x/sqrt(N), ne = sqrt(ne)'R sqrt(ne), and af is weighted alike; ne and af are missing
+    if a contributor lacks them. Each pattern of studies is inverted once in a partition, whatever the number of studies,
+    and there may be as many patterns as variants. Where studies are the same (singular correlations) the pseudo-inverse is taken.
     """
-    key, n = list(key), len(rho)
+    key = list(key)
     rows = with_effective_n(with_z(studies, scheme)).where(_known(F.col("z")))
-    weight = 1 / F.col("se") if scheme == "ivw" else F.sqrt("ne")
+    weight = F.when(F.col("se") > 0, F.try_divide(F.lit(1.0), F.col("se"))) if scheme == "ivw" else F.when(F.col("ne") > 0, F.sqrt("ne"))
     rows = rows.withColumn("_w", weight.cast("double")).where(_known(F.col("_w")))
     af = F.col("af") if "af" in rows.columns else F.lit(None).cast("double")
     one = F.struct(F.col("study").cast("int").alias("study"), "z", F.col("_w").alias("w"), af.cast("double").alias("af"), F.sqrt("ne").alias("root"))
     held = rows.groupBy(*key).agg(F.sort_array(F.collect_list(one)).alias("_s"))
-    held = held.withColumn("_pattern", F.array_join(F.transform("_s", lambda s: s["study"].cast("string")), ","))
-    # An inverse for each pattern of studies, of which there may be as many as variants: made where they are.
-    size = F.size("_s").cast("int")
-    held = held.withColumn("_r", _inverse(rho)(F.transform("_s", lambda s: s["study"])))
-    k = size
-    cells = F.transform("_r", lambda r, i: F.struct(r.alias("r"), F.get("_s", (i / k).cast("int")).alias("a"), F.get("_s", (i % k).cast("int")).alias("b")))
-    held = held.withColumn("_c", cells)
-    form = lambda f: F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + c["r"] * f(c))
-    held = held.withColumn("_n", form(lambda c: c["a"]["w"] * c["b"]["w"])).withColumn("_x", form(lambda c: c["a"]["z"] * c["b"]["w"]))
-    held = held.withColumn("_q0", form(lambda c: c["a"]["z"] * c["b"]["z"])).withColumn("ne", form(lambda c: c["a"]["root"] * c["b"]["root"]))
-    held = held.withColumn("af", form(lambda c: c["a"]["af"] * c["a"]["w"] * c["b"]["w"]) / F.col("_n"))
-    held = held.withColumn("_z", F.abs("_x") / F.sqrt("_n"))
+    lists = {"_k": "study", "_zs": "z", "_ws": "w", "_afs": "af", "_roots": "root"}
+    held = held.select(*key, *[F.col(f"_s.{f}").alias(c) for c, f in lists.items()]).sortWithinPartitions("_k")
+    fields = StructType([held.schema[c] for c in key] + [StructField(c, DoubleType()) for c in ("_n", "_x", "_q0", "ne", "_af")] + [StructField("_df", IntegerType())])
+    held = held.mapInArrow(_forms(np.asarray(rho, float), key), fields)
+    null = F.lit(None).cast("double")
+    held = held.withColumn("ne", F.nanvl("ne", null)).withColumn("af", F.nanvl(F.col("_af") / F.col("_n"), null)).withColumn("_z", F.abs("_x") / F.sqrt("_n"))
     if scheme == "ivw":
         held = held.withColumn("es", F.col("_x") / F.col("_n")).withColumn("se", 1 / F.sqrt("_n"))
     else:
         held = held.withColumn("ez", F.col("_x") / F.sqrt("_n"))
     held = held.withColumn("lp", two_sided_lp("_z"))
     if het:
-        held = held.withColumn("_df", k - 1).withColumn("_q", F.greatest(F.col("_q0") - F.col("_x") * F.col("_x") / F.col("_n"), F.lit(0.0))).withColumn("_root", F.sqrt("_q"))
+        held = held.withColumn("_q", F.greatest(F.col("_q0") - F.col("_x") * F.col("_x") / F.col("_n"), F.lit(0.0))).withColumn("_root", F.sqrt("_q"))
         i2 = F.when(F.col("_q") > 0, F.greatest((F.col("_q") - F.col("_df")) / F.col("_q"), F.lit(0.0)) * 100).otherwise(0.0)
         held = held.withColumn("i2", F.when(F.col("_df") > 0, i2)).withColumn("cq", F.when(F.col("_df") > 0, chi2_lp("_q", "_df")))
-    return held.drop("_pattern", "_s", "_r", "_c", "_n", "_x", "_q0", "_z", "_df", "_q", "_root")
+    return held.drop("_n", "_x", "_q0", "_af", "_z", "_df", "_q", "_root")

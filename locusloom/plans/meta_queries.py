@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusloom.functions.stats import binomial_lp, with_abs_z
+from locusloom.functions.stats import binomial_lp, truncated_correlation_series, with_abs_z
 from locusloom.functions.tables import cut
 from locusloom.operators import meta
 from locusloom.plans import sqltext
@@ -85,9 +85,11 @@ def meta_overlap_fixed_rho(spark, d):
 
 
 def meta_overlap_full(spark, d):
-    rows = studies(spark, d).select("vid", "study", "es", "se", "ns")
+    """Correlations from the data, then all patterns of four studies."""
+    rows = studies(spark, d).select("vid", "study", "es", "se", "ns", "af")
     small = rows.withColumn("ez", F.col("es") / F.col("se") / 4).select("vid", "study", "ez")
-    return meta.combine_overlapping(rows, meta.overlap_correlations(small, STUDIES, VID), "ivw", het=True, key=VID)
+    out = meta.combine_overlapping(rows, meta.overlap_correlations(small, STUDIES, VID), "ivw", het=True, key=VID)
+    return _rounded(out, es=6, se=6, lp=5, ne=4, af=6, i2=4, cq=5)
 
 
 def meta_patterns(spark, d):
@@ -109,6 +111,47 @@ def plot_binom(spark, d):
 _W = "sum(1/(se*se)) as w, sum(es/(se*se)) as wx, sum(es*es/(se*se)) as spread, count(*)-1 as df"
 _IVW = f"with m as (select vid, {_W} from study_stats group by vid), z as (select *, abs(wx/sqrt(w)) as z from m)"
 
+
+
+def _overlap_sql() -> str:
+    """SQL of ``meta_overlap_full``.
+
+    A correlation is the largest sum of halvings whose truncated correlation stays below the mean product. Studies that a variant lacks are
+    rows of the unit matrix, so that one elimination serves all patterns; with pivots d and the eliminated sides u and v the form u'Rv is
+    the sum of u v / d.
+    """
+    n, sides = range(STUDIES), ("w", "z", "root", "fw")
+    pairs = [(i, j) for i in n for j in n if i < j]
+    value = "0.0::double"
+    for c in truncated_correlation_series()[::-1]:
+        value = f"({value}*(a+h)*(a+h)+{float(c)!r}::double)"
+    halvings = "list_transform(range(0, 50), lambda k: case when k = 0 then 0 else pow(0.5::double, k) end)"
+    found = f"case when t > 0 then list_reduce({halvings}, lambda a, h: case when (a+h)*{value} < t then a+h else a end) else 0 end"
+    given = lambda c, k: f"coalesce(max(case when study = {k} then {c} end), 0)"
+    values = {"w": "1/se", "z": "es/se", "root": "sqrt(ns)", "fw": "af/se"}
+    start = ", ".join([f"{given(values[c], k)} as {c}{k}" for c in sides for k in n] + [f"max((study = {k})::int) as h{k}" for k in n])
+    cells = ", ".join([f"1.0::double as m{k}{k}" for k in n] + [f"h{i}*h{j}*coalesce(r{i}{j}, 0) as m{i}{j}" for i, j in pairs])
+    steps = [f"e0 as (select vid, df, {', '.join(f'{c}{k}' for c in sides for k in n)}, {cells} from v, rho)"]
+    for k in n[:-1]:
+        below = [i for i in n if i > k]
+        new = [f"{c}{i} - m{k}{i}/m{k}{k}*{c}{k} as {c}{i}" for c in sides for i in below]
+        new += [f"m{i}{j} - m{k}{i}/m{k}{k}*m{k}{j} as m{i}{j}" for i in below for j in below if i <= j]
+        steps.append(f"e{k + 1} as (select * replace ({', '.join(new)}) from e{k})")
+    form = lambda u, v: "+".join(f"{u}{k}*{v}{k}/m{k}{k}" for k in n)
+    forms = f"{form('w', 'w')} as n, {form('w', 'z')} as x, {form('z', 'z')} as q0, {form('root', 'root')} as ne, {form('fw', 'w')} as f"
+    return f"""with y as (select vid, study, es/se/4 as z from study_stats where es/se/4 between -1 and 1),
+p as (select a.study as i, b.study as j, avg(a.z*b.z) as t from y a join y b on a.vid = b.vid and a.study < b.study group by all),
+c as (select i, j, {found} as r from p),
+rho as (select {', '.join(f'max(case when i = {i} and j = {j} then r end) as r{i}{j}' for i, j in pairs)} from c),
+v as (select vid, count(*) - 1 as df, {start} from study_stats group by vid),
+{', '.join(steps)},
+g as (select vid, df, {forms} from e{STUDIES - 1}),
+q as (select *, greatest(q0-x*x/n, 0) as q, sqrt(greatest(q0-x*x/n, 0)) as root, abs(x)/sqrt(n) as z from g)
+select vid, round(x/n, 6) as es, round(1/sqrt(n), 6) as se, round({sqltext.two_sided_lp('z')}, 5) as lp, round(ne, 4) as ne, round(f/n, 6) as af,
+  case when df > 0 then round(case when q > 0 then greatest((q-df)/q, 0)*100 else 0 end, 4) end as i2,
+  case when df > 0 then round({sqltext.chi2_lp('q', 'df', 'root')}, 5) end as cq from q"""
+
+
 QUERIES = {
     "meta_ivw": meta_ivw, "meta_szw": meta_szw, "meta_het": meta_het, "meta_sums": meta_sums, "meta_logp": meta_logp, "meta_direction": meta_direction, "meta_filters_union": meta_filters_union,
     "meta_eff_n": meta_eff_n, "meta_z_from_lp": meta_z_from_lp, "meta_overlap_corr": meta_overlap_corr, "meta_overlap_fixed_rho": meta_overlap_fixed_rho, "meta_overlap_full": meta_overlap_full,
@@ -131,6 +174,7 @@ select vid, round(wx/w, 6) as es, round(1/sqrt(w), 6) as se, round({sqltext.two_
     "meta_overlap_fixed_rho": f"""with t as (select vid, max(case when study=0 then es/se end) as z1, max(case when study=1 then es/se end) as z2, max(case when study=0 then ns end) as n1, max(case when study=1 then ns end) as n2 from study_stats where study < 2 group by vid)
 select vid, round(case when n1 is null then z2 when n2 is null then z1 else ((z1*sqrt(n1)+z2*sqrt(n2)-{RHO}*(z1*sqrt(n2)+z2*sqrt(n1)))/(1-{RHO}*{RHO}))/sqrt((n1+n2-2*sqrt(n1*n2)*{RHO})/(1-{RHO}*{RHO})) end, 6) as ez,
   round(case when n1 is null then n2 when n2 is null then n1 else (n1+n2-2*sqrt(n1*n2)*{RHO})/(1-{RHO}*{RHO}) end, 6) as ne from t""",
+    "meta_overlap_full": _overlap_sql(),
     "meta_patterns": "with p as (select vid, max((study=0)::int)::varchar||max((study=1)::int)::varchar||max((study=2)::int)::varchar||max((study=3)::int)::varchar as pattern from study_stats group by vid) select pattern, count(*) as n from p group by pattern",
     "meta_union": "select 'study'||study::varchar as study, count(*) as n_rows, count(distinct vid) as n_variants from study_stats group by study",
     "plot_binom": "with t as (select vid, study, (ns % 97)::int as a, (nc % 89)::int as b from study_stats), u as (select * from t where a+b > 0), s as (select vid, study, a, b, sum(exp(lgamma(a+b+1)-lgamma(k+1)-lgamma(a+b-k+1)-(a+b)*ln(2::double))) as c from (select vid, study, a, b, unnest(range(0, least(a,b)+1)) as k from u) group by all) select vid, study, round(greatest(-(ln(2::double)+ln(c))/ln(10::double), 0), 6) as lp from s",

@@ -86,6 +86,50 @@ def test_overlap_without_correlation_is_the_plain_combination(spark):
             assert other[v][c] == pytest.approx(r[c], rel=1e-9, abs=1e-9) if r[c] is not None else other[v][c] is None
 
 
+def even_overlap(rows, own, shared):
+    """{vid: (es, se, ne)} where all correlations are the same, so that the inverse of own I + shared J is known."""
+    out = {}
+    for v in {r[0] for r in rows}:
+        es, se, n = np.array([r[2:] for r in rows if r[0] == v]).T
+        form = lambda x, y: ((x * y).sum() - shared / (own + shared * len(x)) * x.sum() * y.sum()) / own
+        weight = form(1 / se, 1 / se)
+        out[v] = (form(es / se, 1 / se) / weight, weight**-0.5, form(np.sqrt(n), np.sqrt(n)))
+    return out
+
+
+def test_overlap_of_many_studies(spark):
+    """A hundred studies, a pattern of its own for nearly each variant."""
+    rng = np.random.default_rng(11)
+    k = 100
+    rho = np.full((k, k), 0.1) + np.diag(np.full(k, 0.9))
+    rows = [(v, s, float(rng.normal()), float(rng.uniform(0.1, 1)), float(rng.integers(50, 500))) for v in range(120) for s in range(k) if v < 5 or rng.random() < 0.3]
+    want = even_overlap(rows, 0.9, 0.1)
+    got = {r.vid: (r.es, r.se, r.ne) for r in meta.combine_overlapping(studies(spark, rows), rho, "ivw", key=["vid"]).collect()}
+    assert got.keys() == want.keys() and all(got[v] == pytest.approx(want[v], rel=1e-9) for v in want)
+    means = {(r.a, r.b): (r.mean, r.n) for r in meta.truncated_products(studies(spark, rows), ["vid"], "ivw").collect()}
+    z = {}
+    for v, s, es, se, _ in rows:
+        if abs(es / se) <= 1:
+            z.setdefault(v, {})[s] = es / se
+    pairs = {}
+    for x in z.values():
+        for a in x:
+            for b in x:
+                if a < b:
+                    pairs.setdefault((a, b), []).append(x[a] * x[b])
+    assert means.keys() == pairs.keys() and len(pairs) > 3000
+    assert all(means[k] == (pytest.approx(np.mean(p)), len(p)) for k, p in pairs.items())
+
+
+def test_overlap_of_odd_rows(spark):
+    rows = [(1, 0, 0.3, 0.1, 100.0), (1, 1, 0.1, 0.1, None), (2, 0, None, 0.1, 5.0), (2, 1, 0.2, 0.0, 5.0), (3, 0, 0.3, 0.2, 10.0), (3, 1, 0.3, 0.2, 10.0)]
+    got = {r.vid: r for r in meta.combine_overlapping(studies(spark, rows), np.ones((2, 2)), "ivw", key=["vid"]).collect()}
+    assert set(got) == {1, 3} and got[1].ne is None
+    assert got[3].es == pytest.approx(0.3) and got[3].se == pytest.approx(0.2) and got[3].ne == pytest.approx(10)
+    none = studies(spark, rows).where("vid < 0")
+    assert meta.combine_overlapping(none, np.eye(2), "ivw", het=True, key=["vid"]).count() == 0 and meta.truncated_products(none, ["vid"], "ivw").count() == 0
+
+
 def test_identical_studies(spark):
     r = meta.combine(studies(spark, [(1, s, 0.3, 0.1, 100.0) for s in range(4)]), "ivw", het=True, n_studies=5, key=["vid"]).first()
     assert (r.es, r.se, r.ns) == (pytest.approx(0.3), pytest.approx(0.05), 400) and r.i2 == 0 and r.cq == pytest.approx(0, abs=1e-9) and r.ed == "++++?"
