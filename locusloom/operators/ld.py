@@ -1,8 +1,8 @@
 """Effects re-weighted by sparse linkage-disequilibrium precision matrices, block by block.
 
 Nodes are rows (ld_block, pop, ld_node, aa, af, ld_diagonal, z, n[, vid]) with null z and n where a node has no
-association; edges are rows (ld_block, pop, i, j, w), i < j. Spark shuffles both by block; a block, thousands
-of nodes at most, is solved in one task by conjugate gradients on its sparse matrices, never as a dense one.
+association; edges are rows (ld_block, pop, i, j, w), i < j. Spark shuffles both by block; a block of usual
+size is solved in one task by conjugate gradients on its sparse matrices, never as a dense one; larger blocks are iterated over all tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusloom.functions.stats import heterozygosity_sd
+from locusloom.functions.tables import cut
+from locusloom.operators import spread
 
 #: The median of a chi-squared variable with one degree, and the average LD score.
 MEDIAN_CHI2, AVERAGE_LD_SCORE = 0.45493642311957283031, 72.6
@@ -195,8 +197,18 @@ class Block:
         return out[self.seen]
 
 
-def blup(nodes: DataFrame, edges: DataFrame, alpha: float = -0.5, beta_cov: float = 1e-7, cross_corr: float = 0.9, tolerance: float = 1e-6, jacobi: bool = True) -> DataFrame:
-    """(ld_block, pop, ld_node, es) of the nodes that represent an association."""
+#: Nodes and edges of a block that one task solves; larger ones are spread over all tasks.
+TASK_ROWS = 1_000_000
+
+
+def blup(
+    nodes: DataFrame, edges: DataFrame, alpha: float = -0.5, beta_cov: float = 1e-7, cross_corr: float = 0.9, tolerance: float = 1e-6, jacobi: bool = True, task_rows: int = TASK_ROWS
+) -> DataFrame:
+    """(ld_block, pop, ld_node, es) of the nodes that represent an association.
+
+    Blocks of up to ``task_rows`` nodes and edges are solved in a task each; larger ones together, by joins and sums
+    (:mod:`locusloom.operators.spread`), so that no block is too large.
+    """
     if not -1 <= alpha <= 0:
         raise ValueError("alpha is in [-1, 0]")
 
@@ -204,8 +216,20 @@ def blup(nodes: DataFrame, edges: DataFrame, alpha: float = -0.5, beta_cov: floa
         block = Block(n, e, alpha, beta_cov, cross_corr, tolerance, jacobi)
         return block.effects(block.blup())
 
-    columns = nodes.select("ld_block", "pop", "ld_node", "aa", F.col("af").cast("double").alias("af"), F.col("ld_diagonal").cast("double").alias("ld_diagonal"), F.col("z").cast("double").alias("z"), F.col("n").cast("double").alias("n"))
-    return columns.groupBy("ld_block").cogroup(edges.groupBy("ld_block")).applyInPandas(run, _schema(nodes))
+    schema = _schema(nodes)
+    number = [F.col(c).cast("double").alias(c) for c in ("af", "ld_diagonal", "z", "n")]
+    nodes, edges = cut(nodes.select("ld_block", "pop", "ld_node", "aa", *number)), cut(edges)
+    rows = nodes.select("ld_block").unionByName(edges.select("ld_block")).groupBy("ld_block").count()
+    large = cut(rows.where(F.col("count") > task_rows).select("ld_block"))
+    small_nodes, small_edges = nodes, edges
+    some = large.limit(1).count() > 0
+    if some:
+        small_nodes, small_edges = nodes.join(large, "ld_block", "left_anti"), edges.join(large, "ld_block", "left_anti")
+    out = small_nodes.groupBy("ld_block").cogroup(small_edges.groupBy("ld_block")).applyInPandas(run, schema)
+    if not some:
+        return out
+    of_large = lambda df: df.join(large, "ld_block", "left_semi")
+    return out.unionByName(spread.blup(of_large(nodes), of_large(edges), alpha, beta_cov, cross_corr, tolerance))
 
 
 def _schema(nodes: DataFrame) -> str:

@@ -107,6 +107,11 @@ def blup_full(spark, d):
     return _effects(ld.blup(nodes(spark, d, 2), edges(spark, d, 2), beta_cov=BETA_COV, cross_corr=CROSS, tolerance=TOLERANCE))
 
 
+def blup_spread(spark, d):
+    """All blocks as if they were too large for a task: the same as blup_full."""
+    return _effects(ld.blup(nodes(spark, d, 2), edges(spark, d, 2), beta_cov=BETA_COV, cross_corr=CROSS, tolerance=1e-11, task_rows=0))
+
+
 def pgs_burn_in(spark, d):
     """With no more iterations than the burn-in: the same as blup_full."""
     return _effects(gibbs.pgs(nodes(spark, d, 2), edges(spark, d, 2), beta_cov=BETA_COV, cross_corr=CROSS, tolerance=TOLERANCE, iterations=2, burn_in=2))
@@ -125,7 +130,7 @@ QUERIES = {
     "ld_edges": ld_edges, "export_ldgm": export_ldgm, "ld_checked": ld_checked, "ld_nodes": ld_nodes, "ld_missing": _summary(False, "non_missing", "missing", "trace_inf"), "ld_block_median": ld_block_median,
     "ld_lambda": _summary(False, "lambda_gc", "sigmasq_inf", "beta_cov"), "ld_lambda_corrected": _summary(True, "lambda_gc", "sigmasq_inf", "beta_cov"), "ld_sigma": ld_sigma,
     "ld_alpha2": _summary(False, "max_alpha2", "sum_alpha2"), "ld_association": ld_association, "ld_table": ld_table,
-    "blup_diag": blup_diag, "blup_pair": blup_pair, "blup_full": blup_full, "pgs_burn_in": pgs_burn_in, "pgs_gibbs": pgs_gibbs, "bayes_factor": bayes_factor,
+    "blup_diag": blup_diag, "blup_pair": blup_pair, "blup_full": blup_full, "blup_spread": blup_spread, "pgs_burn_in": pgs_burn_in, "pgs_gibbs": pgs_gibbs, "bayes_factor": bayes_factor,
 }
 
 _NODES = lambda pops: f"k as (select l.*, p, es/se as z, case when es is not null then ns end as n, (case when aa = 1 then -1 else 1 end)*(es/se)/sqrt(ns) as a, pow(sqrt(2*af_*(1-af_)), 0.5) as sd from (select ld_block, ld_node, vid as lvid, aa, af as af_, ld_diagonal, unnest(range({pops})) as p from ld_nodes) l left join (select * from study_stats where ns > 0) s on s.vid = lvid and s.study = p)"
@@ -139,6 +144,40 @@ r as (select *, (va+da/bn)*(vb+db/bn)-(w/bn)*(w/bn) as det from v),
 f as (select ld_block, 'P0' as pop, 0::bigint as ld_node, va*((vb+db/bn)*ya-(w/bn)*yb)/det*(case when ga = 1 then -1 else 1 end)/sqrt(2*fa*(1-fa)) as es from r where aa_ is not null
 union all select ld_block, 'P0' as pop, 1::bigint as ld_node, vb*((va+da/bn)*yb-(w/bn)*ya)/det*(case when gb = 1 then -1 else 1 end)/sqrt(2*fb*(1-fb)) as es from r where ab is not null)"""
 
+
+def _full_sql() -> str:
+    """SQL of the whole model of two populations: a block's nodes are a chain, so elimination runs along it and back.
+
+    First the missing nodes given the seen ones, then the system of effects with its two rows (p, q; q, r) for each node.
+    """
+    both = (0, 1)
+    each = lambda text: ", ".join(text.replace("#", str(k)) for k in both)
+    chain = "over (partition by ld_block order by k)"
+    product = lambda v: f"d*{v}+w*coalesce(lead({v}) {chain}, 0)+u*coalesce(lag({v}) {chain}, 0)"
+    known = each("coalesce(max(case when p = # then a end), 0) as a#, max((p = # and z is not null)::int) as s#, coalesce(max(case when p = # and z is not null then sd end), 0) as v#")
+    back0, back1 = "(f.r*(f.g0-f.b0*x.x0)-f.q*(f.g1-f.b1*x.x1))/f.det", "(f.p*(f.g1-f.b1*x.x1)-f.q*(f.g0-f.b0*x.x0))/f.det"
+    pivot = "t.p-e.b0*e.b0*e.r/e.det as p, t.q+e.b0*e.b1*e.q/e.det as q, t.r-e.b1*e.b1*e.p/e.det as r"
+    sides = "t.y0-e.b0*(e.r*e.g0-e.q*e.g1)/e.det as g0, t.y1-e.b1*(e.p*e.g1-e.q*e.g0)/e.det as g1"
+    return f"""with recursive {_NODES(2)},
+m as (select ld_block, {each("coalesce(avg(case when p = # then n end), 1) as n#")} from k group by ld_block),
+o as (select ld_block, ld_node as k, max(aa) as aa, max(af_) as af, max(ld_diagonal) as d, {known} from k group by all),
+t as (select o.*, {each("m.n#")}, coalesce(e.w, 0) as w, coalesce(b.w, 0) as u from o join m on o.ld_block = m.ld_block
+  left join ld_edges e on e.ld_block = o.ld_block and e.i = o.k left join ld_edges b on b.ld_block = o.ld_block and b.j = o.k),
+c as (select *, {each(f"(1-s#)*({product('a#')}) as b#, w*(1-s#)*(1-coalesce(lead(s#) {chain}, 1)) as o#, case when s# = 1 then 1.0 else d end as m#")} from t),
+f as (select ld_block, k, {each("m#::double as m#, b#::double as g#, o#::double as o#")} from c where k = 0
+  union all select c.ld_block, c.k, {each("c.m#-f.o#*f.o#/f.m#, c.b#-f.o#/f.m#*f.g#, c.o#")} from c join f on c.ld_block = f.ld_block and c.k = f.k+1),
+h as (select ld_block, k, {each("g#/m# as x#")} from f where k = 19
+  union all select f.ld_block, f.k, {each("(f.g#-f.o#*h.x#)/f.m#")} from f join h on f.ld_block = h.ld_block and f.k = h.k-1),
+l as (select t.*, {each("case when s# = 1 then a# else -x# end as e#")} from t join h on t.ld_block = h.ld_block and t.k = h.k),
+y as (select *, {each(f"s#*({product('e#')}) as y#, w/n# as b#")}, {BETA_COV}*v0*v0+d/n0 as p, {BETA_COV * CROSS}*v0*v1 as q, {BETA_COV}*v1*v1+d/n1 as r from l),
+e as (select ld_block, k, p::double as p, q::double as q, r::double as r, y0::double as g0, y1::double as g1, b0::double as b0, b1::double as b1, (p*r-q*q)::double as det from y where k = 0
+  union all select ld_block, k, p, q, r, g0, g1, b0, b1, p*r-q*q from (select t.ld_block, t.k, {pivot}, {sides}, t.b0, t.b1 from y t join e on t.ld_block = e.ld_block and t.k = e.k+1)),
+x as (select ld_block, k, (r*g0-q*g1)/det as x0, (p*g1-q*g0)/det as x1 from e where k = 19
+  union all select f.ld_block, f.k, {back0}, {back1} from e f join x on f.ld_block = x.ld_block and f.k = x.k-1),
+z as (select t.*, {BETA_COV}*v0*(v0*x0+{CROSS}*v1*x1) as z0, {BETA_COV}*v1*(v1*x1+{CROSS}*v0*x0) as z1 from t join x on t.ld_block = x.ld_block and t.k = x.k)
+""" + " union all ".join(f"select ld_block, 'P{k}' as pop, k as ld_node, round((case when aa = 1 then -1 else 1 end)*z{k}/sqrt(2*af*(1-af)), 7) as es from z where s{k} = 1" for k in both)
+
+
 ORACLES = {k: with_views(v) for k, v in {
     "ld_edges": "select ld_block, i, j, w from ld_edges where (ld_block, i) in (select (ld_block, ld_node) from ld_nodes) union all select ld_block, j as i, i as j, w from ld_edges where (ld_block, i) in (select (ld_block, ld_node) from ld_nodes)",
     "export_ldgm": "select ld_block, i, j, w from ld_edges union all select ld_block, ld_node as i, ld_node as j, ld_diagonal as w from ld_nodes",
@@ -156,6 +195,9 @@ from ld_nodes l join variants v on l.vid = v.vid left join t on t.b = l.ld_block
     "ld_lambda_corrected": f"{_SUMMARY}, c as (select *, {_SIGMA}*least(pow((lam-1)/(a2/have*mn-1)/0.6::double, 2), 1) as sg from u) select 'P'||p::varchar as pop, round(lam, 9) as lambda_gc, round(sg, 9) as sigmasq_inf, round(sg/(tr/have), 9) as beta_cov from c",
     "ld_sigma": f"with {_NODES(2)} select x.ld_block, x.ld_node, 'P'||x.p::varchar as pop1, 'P'||y.p::varchar as pop2, round({BETA_COV}::double*x.sd*y.sd*(case when x.p = y.p then 1 else {CROSS}::double end), 10) as sigma from k x join k y on x.ld_block = y.ld_block and x.ld_node = y.ld_node and x.p <= y.p and x.z is not null and y.z is not null",
     "blup_diag": f"with {_NODES(1)}, m as (select ld_block, avg(n) as bn from k group by ld_block) select k.ld_block, 'P0' as pop, ld_node, round((case when aa = 1 then -1 else 1 end)*{BETA_COV}::double*sd*sd*ld_diagonal*a/({BETA_COV}::double*sd*sd+ld_diagonal/bn)/sqrt(2*af_*(1-af_)), 7) as es from k join m on k.ld_block = m.ld_block where z is not null",
+    "blup_full": _full_sql(),
+    "blup_spread": _full_sql(),
+    "pgs_burn_in": _full_sql(),
     "blup_pair": f"{_PAIR} select ld_block, pop, ld_node, round(es, 7) as es from f",
     "bayes_factor": f"with {_NODES(1)} select ld_block, ld_node, round(-0.5::double*(ln(1+n*sd*sd*0.05::double)-n*a*a*(n*sd*sd*0.05::double)/(1+n*sd*sd*0.05::double)), 8) as log_bf from k where z is not null",
 }.items()}

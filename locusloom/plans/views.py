@@ -55,4 +55,6 @@ def with_views(query: str) -> str:
     query = query.strip()
     if not heads:
         return query
+    if query.lower().startswith("with recursive "):
+        return f"with recursive {heads}, {query[15:]}"
     return f"with {heads}, {query[5:]}" if query.lower().startswith("with ") else f"with {heads} {query}"

@@ -45,14 +45,14 @@ def dense_blup(b):
     return sigma @ np.linalg.solve(sigma + p / b.mean_n[:, None], y)
 
 
-@pytest.mark.parametrize("pops", [1, 2])
-def test_conjugate_gradients_against_dense_algebra(spark, pops):
+@pytest.mark.parametrize(("pops", "task_rows"), [(1, ld.TASK_ROWS), (2, ld.TASK_ROWS), (2, 0)])  # 0: all blocks are spread
+def test_conjugate_gradients_against_dense_algebra(spark, pops, task_rows):
     nodes, edges = [], []
     for seed in range(3):
         a, b = block(seed, pops=pops)
         nodes += a
         edges += b
-    got = ld.blup(spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES), beta_cov=0.02, cross_corr=0.7, tolerance=1e-14).collect()
+    got = ld.blup(spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES), beta_cov=0.02, cross_corr=0.7, tolerance=1e-14 if task_rows else 1e-10, task_rows=task_rows).collect()
     got = {(r.ld_block, r.pop, r.ld_node): r.es for r in got}
     n = 0
     for seed in range(3):
@@ -63,6 +63,19 @@ def test_conjugate_gradients_against_dense_algebra(spark, pops):
     assert n == len(got)
 
 
+def test_large_blocks_are_spread_and_others_not(spark):
+    nodes, edges = (a + b for a, b in zip(block(1, 6), block(2, 14), strict=True))
+    nodes.append((1, "P0", 6, 0, 0.0, 2.0, 1.0, 100.0))  # no frequency to scale by
+    n, e = spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
+    read = lambda df: {(r.ld_block, r.ld_node): r.es for r in df.collect()}
+    plain, mixed = read(ld.blup(n, e, beta_cov=0.02, tolerance=1e-13)), read(ld.blup(n, e, beta_cov=0.02, tolerance=1e-9, task_rows=30))
+    assert plain.keys() == mixed.keys() and {b for b, _ in plain} == {1, 2}
+    assert all(mixed[k] == pytest.approx(v, rel=1e-5, abs=1e-8) for k, v in plain.items())
+    with pytest.raises(ValueError):
+        ld.blup(n, e.withColumn("j", e.j + 1), beta_cov=0.02, task_rows=30).collect()
+    assert ld.blup(n.where("ld_block > 9"), e.where("ld_block > 9")).count() == 0
+
+
 def test_unknown_neighbour_is_an_error():
     nodes, edges = frames(*block(1))
     edges.loc[0, "j"] = 99
