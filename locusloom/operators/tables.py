@@ -85,11 +85,21 @@ def annotate_ids(rows: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def exchange_format(rows: DataFrame) -> DataFrame:
-    """Columns of the exchange format: p from lp, numbered sex chromosomes, NA for what is missing."""
+    """Columns of the exchange format: p from lp, the frequency of alt, numbered sex chromosomes, NA for what is missing."""
     bare = F.regexp_replace("chrom", "^chr", "")
     number = F.when(bare == "X", "23").when(bare == "Y", "24").when(bare.isin("M", "MT"), "25").otherwise(bare)
     text = lambda c: F.coalesce(c.cast("string"), F.lit("NA"))
-    return rows.select(number.alias("chromosome"), F.col("pos").alias("base_pair_location"), F.col("alt").alias("effect_allele"), F.col("ref").alias("other_allele"), text(F.col("es")).alias("beta"), text(F.col("se")).alias("standard_error"), text(F.pow(F.lit(10.0), -F.col("lp"))).alias("p_value"))
+    af = F.col("af") if "af" in rows.columns else F.lit(None)
+    return rows.select(
+        number.alias("chromosome"),
+        F.col("pos").alias("base_pair_location"),
+        F.col("alt").alias("effect_allele"),
+        F.col("ref").alias("other_allele"),
+        text(F.col("es")).alias("beta"),
+        text(F.col("se")).alias("standard_error"),
+        text(af).alias("effect_allele_frequency"),
+        text(F.pow(F.lit(10.0), -F.col("lp"))).alias("p_value"),
+    )
 
 
 def precision_edges(ldgm: DataFrame) -> DataFrame:

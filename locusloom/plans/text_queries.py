@@ -179,7 +179,7 @@ def _associations(spark, d) -> DataFrame:
 def export_ssf(spark, d):
     out = tables.exchange_format(_associations(spark, d).withColumn("se", F.when(F.col("vid") % 5 > 0, F.col("se"))))
     number = lambda c, n: F.round(F.col(c).try_cast("double"), n).alias(c)
-    return out.select("chromosome", "base_pair_location", "effect_allele", "other_allele", number("beta", 8), number("standard_error", 8), F.round(-F.log10(F.col("p_value").cast("double")), 6).alias("lp"))
+    return out.select("chromosome", "base_pair_location", "effect_allele", "other_allele", number("beta", 8), number("standard_error", 8), number("effect_allele_frequency", 8), F.round(-F.log10(F.col("p_value").cast("double")), 6).alias("lp"))
 
 
 def plot_points(spark, d):
@@ -248,7 +248,7 @@ s as (select chrom as contig, (b//4096)::int as chunk, least(4196, n-b)::int as
     "norm_join": "select chrom, pos, ref, alt||','||alt||'T' as alt, (vid % 10)::varchar||','||(vid % 7)::varchar as ac from variants",
     "merge_wide": "select vid, " + ", ".join(f"max(case when study = {k} then {f} end) as s{k}_{f}" for k in range(4) for f in ("es", "se")) + " from study_stats group by vid",
     "annotate_ids": "select vid, case when vid % 2 = 0 then 'rs'||vid::varchar else 'own' end as id from variants",
-    "export_ssf": "select replace(chrom, 'chr', '') as chromosome, pos as base_pair_location, alt as effect_allele, ref as other_allele, es as beta, case when v.vid % 5 > 0 then se end as standard_error, round(ns/20, 6) as lp from variants v join study_stats s on v.vid = s.vid where study = 0",
+    "export_ssf": "select replace(chrom, 'chr', '') as chromosome, pos as base_pair_location, alt as effect_allele, ref as other_allele, es as beta, case when v.vid % 5 > 0 then se end as standard_error, round(af, 8) as effect_allele_frequency, round(ns/20, 6) as lp from variants v join study_stats s on v.vid = s.vid where study = 0",
     "plot_points": """with n as (select chrom, replace(chrom, 'chr', '')::int as o, max(pos) as length from variants group by chrom), s as (select chrom, coalesce(sum(length+20000000) over (order by o rows between unbounded preceding and 1 preceding), 0)::bigint as start from n)
 select v.vid, start+pos as x, round(case when ns/20 > 10 then 10*log10(ns/20)/1.0 else ns/20 end, 8) as height from variants v join study_stats t on v.vid = t.vid join s on s.chrom = v.chrom where study = 0 and ns/20 >= 2 and af between 0.2 and 0.8""",
 }.items()}
