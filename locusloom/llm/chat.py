@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from locusloom.llm.common import cut
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Code points around a role and a text: the marks and two newlines.
 MARKS = len(START) + len(END) + 2
@@ -41,6 +43,7 @@ def _prefix_sums(turns: DataFrame) -> DataFrame:
     """Add ``_end``, the tokens up to the end of each turn, and ``_sys``, the system turn."""
     # By the beginning of the text only, which agrees with its order: whole texts would be sampled to the driver.
     ranged = turns.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, RANGE_CHARS)).withColumn("_part", F.spark_partition_id())
+    ranged = cut(ranged)  # written down, as both branches below need the same ranges
     order = ["turn", "role", "text"]
     within = Window.partitionBy("conv_id", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("_local", F.sum("_tokens").over(within))

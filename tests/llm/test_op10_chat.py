@@ -76,3 +76,15 @@ def test_no_python_on_the_main_path(spark):
     df = spark.createDataFrame(conversations(), "conv_id long, turn long, role string, text string")
     plan = chat.digests(chat.format_windows(df))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_windows_keep_the_budget_without_reused_exchanges(spark):
+    """Both branches of the prefix sums must see the same ranges of one long conversation."""
+    turns = spark.range(60_000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "'a b c' as text")
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = chat.format_windows(turns).selectExpr("max(n_tokens)", "sum(size(loss_spans))").first()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+    assert got[0] <= 1024 and got[1] == 30_000
