@@ -25,6 +25,10 @@ def contig_lengths(cytobands: DataFrame) -> DataFrame:
     return cytobands.groupBy(contig_name(F.col("chrom")).alias("chrom")).agg(F.max("end").alias("length"))
 
 
+def is_coding(consequence: Column) -> Column:
+    return consequence.rlike("|".join(CODING))
+
+
 def plot_rows(rows: DataFrame, lengths: DataFrame, min_af: float = 0.0, min_lp: float = 2.0, above: float = 10.0, spacing: int = 20, region: tuple[str, int, int] | None = None) -> DataFrame:
     """``rows`` to plot with height, x (cumulative base position) and coding, if there is a consequence.
 
@@ -40,5 +44,5 @@ def plot_rows(rows: DataFrame, lengths: DataFrame, min_af: float = 0.0, min_lp:
     out = kept.withColumn("_name", contig_name(F.col("chrom"))).join(F.broadcast(starts.select(F.col("chrom").alias("_name"), "_start")), "_name")
     out = out.withColumn("height", compress_lp(F.col("lp"), above)).withColumn("x", F.col("_start") + F.col("pos"))
     if "consequence" in rows.columns:
-        out = out.withColumn("coding", F.col("consequence").rlike("|".join(CODING)))
+        out = out.withColumn("coding", is_coding(F.col("consequence")))
     return out.drop("_name", "_start")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusloom.plans import ld_queries, lift_queries, meta_queries, score_queries, text_queries
+from locusloom.plans import gene_queries, ld_queries, lift_queries, meta_queries, score_queries, text_queries
 
-MODULES = (meta_queries, score_queries, text_queries, lift_queries, ld_queries)
+MODULES = (meta_queries, score_queries, text_queries, lift_queries, ld_queries, gene_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

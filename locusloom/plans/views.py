@@ -30,6 +30,9 @@ from part""",
     "chain_lines": """
 select p_partkey % 22 as chain_ind, cast(floor(p_partkey / 22) as bigint) as line, cast(100 + p_size as bigint) as size,
   cast(case when p_partkey % 5 = 0 then 1 else p_size % 7 end as bigint) as dt, cast(case when p_partkey % 5 = 0 then 1 else p_size % 11 end as bigint) as dq
+from part""",
+    "gene_models": """
+select p_partkey as vid, concat('chr', cast(1 + p_partkey % 22 as varchar(4))) as chrom, 1000 + p_partkey * 101 - (p_partkey * 7) % 300 as s1, 40 + p_size as l1, 20 + p_size % 7 as l2, p_partkey % 2 as minus
 from part""",
     "ld_nodes": """
 select cast(floor(p_partkey / 20) as bigint) as ld_block, p_partkey % 20 as ld_node, p_partkey as vid, p_partkey % 2 as aa,
