@@ -15,17 +15,25 @@ from pyspark.sql import functions as F
 from locusloom.sources.lines import AT, SPLIT, split_lines, with_running
 
 CHUNK, OVERLAP = 1 << 16, 1024
+#: Bases of chunks that leave a Python worker together.
+BATCH = 1 << 24
 
 
 def chunked(contigs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of a table (contig, seq) with a row for each contig; bases beyond ACGT become N."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             for contig, seq in zip(batch.contig, batch.seq, strict=True):
-                for first in range(0, len(seq), chunk * 256):
-                    starts = range(first, min(first + chunk * 256, len(seq)), chunk)
-                    yield pd.DataFrame({"contig": contig, "chunk": [s // chunk for s in starts], "seq": [seq[s : s + chunk + overlap] for s in starts]})
+                for first in range(0, len(seq), chunk):
+                    held.append((contig, first // chunk, seq[first : first + chunk + overlap]))
+                    size += len(held[-1][2])
+                    if size >= BATCH:
+                        yield pd.DataFrame(held, columns=["contig", "chunk", "seq"])
+                        held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["contig", "chunk", "seq"])
 
     clean = F.regexp_replace(F.upper("seq"), "[^ACGT]", "N")
     return contigs.select("contig", clean.alias("seq")).mapInPandas(cut, "contig string, chunk int, seq string")
@@ -64,5 +72,6 @@ def with_reference(rows: DataFrame, fasta: DataFrame, start: Column, length: Col
     seqs = fasta.select(F.col("contig").alias("_contig"), F.col("chunk").alias("_chunk"), F.col("seq").alias("_seq"))
     keyed = rows.withColumn("_start", start).withColumn("_len", length)
     joined = keyed.join(seqs, (F.col(contig) == F.col("_contig")) & (F.floor((F.col("_start") - 1) / chunk).cast("int") == F.col("_chunk")), "left")
-    piece = F.substring(F.col("_seq"), ((F.col("_start") - 1) % chunk + 1).cast("int"), F.col("_len").cast("int"))
+    # Bases are a byte each: of bytes a piece is cut at once, of text the whole chunk is walked through.
+    piece = F.substring(F.col("_seq").cast("binary"), ((F.col("_start") - 1) % chunk + 1).cast("int"), F.col("_len").cast("int")).cast("string")
     return joined.withColumn(out, piece if short else F.when(F.length(piece) == F.col("_len"), piece)).drop("_contig", "_chunk", "_seq", "_start", "_len")
