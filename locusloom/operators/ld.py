@@ -114,6 +114,41 @@ def summary(nodes: DataFrame, alpha: float = -0.5, average_ld_score: float = AVE
     return pop.select("pop", "non_missing", "missing", "lambda_gc", "sigmasq_inf", "trace_inf", F.try_divide(F.col("sigmasq_inf"), F.col("trace_inf") / F.col("non_missing")).alias("beta_cov"), "max_alpha2", F.col("_a2").alias("sum_alpha2"))
 
 
+def system_entries(nodes: DataFrame, edges: DataFrame, alpha: float = -0.5, beta_cov: float = 1e-7, cross_corr: float = 0.9) -> DataFrame:
+    """(ld_block, matrix, pop1, node1, pop2, node2, value): all entries of the block models' matrices, as :func:`blup` solves them.
+
+    ``P`` is the precision of nodes, ``S`` the prior covariance of effects, and ``A`` = S + P / n, with n the mean sample size of the block
+    and population over nodes with an association (1 without any). Entries of both triangles are told, those that are 0 needn't be.
+    A node pair that several edges name has the sum of their weights.
+    """
+    entry = lambda m, p1, n1, p2, n2, x: ["ld_block", F.lit(m).alias("matrix"), p1.alias("pop1"), n1.alias("node1"), p2.alias("pop2"), n2.alias("node2"), x.cast("double").alias("value")]
+    key = ["ld_block", "matrix", "pop1", "node1", "pop2", "node2"]
+    pop, i, j, node = F.col("pop"), F.col("i"), F.col("j"), F.col("ld_node")
+    both = edges.select(*entry("P", pop, i, pop, j, F.col("w"))).unionByName(edges.select(*entry("P", pop, j, pop, i, F.col("w"))))
+    precision = nodes.select(*entry("P", pop, node, pop, node, F.col("ld_diagonal"))).unionByName(both).groupBy(*key).agg(F.sum("value").alias("value"))
+    usable = nodes.withColumn("z", F.when(F.col("n") > 0, F.col("z")))
+    prior = prior_covariance(usable, beta_cov, cross_corr, alpha)
+    p1, p2 = F.col("pop1"), F.col("pop2")
+    upper = prior.select(*entry("S", p1, node, p2, node, F.col("sigma")))
+    prior = upper.unionByName(prior.where(p1 != p2).select(*entry("S", p2, node, p1, node, F.col("sigma"))))
+    means = usable.groupBy("ld_block", "pop").agg(F.coalesce(F.avg(F.when(F.col("z").isNotNull(), F.col("n"))), F.lit(1.0)).alias("_n")).withColumnRenamed("pop", "pop1")
+    scaled = precision.join(means, ["ld_block", "pop1"]).withColumn("value", F.col("value") / F.col("_n")).drop("_n")
+    system = scaled.unionByName(prior).withColumn("matrix", F.lit("A")).groupBy(*key).agg(F.sum("value").alias("value"))
+    return precision.unionByName(prior).unionByName(system)
+
+
+def system_vectors(nodes: DataFrame, alpha: float = -0.5) -> DataFrame:
+    """(ld_block, pop, ld_node, seen, alpha_hat, beta_hat, sd) of all nodes: sd is 0 and the effects are null where there is no association.
+
+    ``beta_hat`` is the effect of an allele that ``alpha_hat``, of a standardised genotype, means: divided by the genotype's deviation.
+    """
+    rows = node_statistics(nodes, alpha)
+    seen = F.col("z").isNotNull() & (F.col("n") > 0)
+    deviation = F.sqrt(2 * F.col("af") * (1 - F.col("af")))
+    hat = F.when(seen, F.col("alpha_hat"))
+    return rows.select("ld_block", "pop", "ld_node", F.coalesce(seen, F.lit(False)).alias("seen"), hat.alias("alpha_hat"), F.try_divide(hat, deviation).alias("beta_hat"), F.when(seen, F.col("sd")).otherwise(0.0).alias("sd"))
+
+
 def solve(product: Callable[[np.ndarray], np.ndarray], b: np.ndarray, diagonal: np.ndarray | None, tolerance: float, start: np.ndarray | None = None) -> np.ndarray:
     """Conjugate gradients, preconditioned by the diagonal if it is given."""
     if not len(b):

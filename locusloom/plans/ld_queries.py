@@ -121,6 +121,16 @@ def pgs_gibbs(spark, d):
     return _effects(gibbs.pgs(nodes(spark, d), edges(spark, d), beta_cov=BETA_COV, iterations=10, burn_in=2, seed=7, max_alpha2=0.05, herit_per_marker=1e-3))
 
 
+def ld_matrices(spark, d):
+    out = ld.system_entries(nodes(spark, d, 2), edges(spark, d, 2), beta_cov=BETA_COV, cross_corr=CROSS)
+    return out.withColumn("value", F.round("value", 9))
+
+
+def ld_vectors(spark, d):
+    out = ld.system_vectors(nodes(spark, d, 2))
+    return out.select("ld_block", "pop", "ld_node", "seen", *[F.round(c, 9).alias(c) for c in ("alpha_hat", "beta_hat", "sd")])
+
+
 def bayes_factor(spark, d):
     rows = ld.node_statistics(nodes(spark, d)).where("z is not null and alpha_hat is not null")
     return rows.select("ld_block", "ld_node", F.round(gibbs.log_bayes_factor_of(F.col("sd"), F.col("alpha_hat"), F.col("n"), 0.05), 8).alias("log_bf"))
@@ -131,6 +141,7 @@ QUERIES = {
     "ld_lambda": _summary(False, "lambda_gc", "sigmasq_inf", "beta_cov"), "ld_lambda_corrected": _summary(True, "lambda_gc", "sigmasq_inf", "beta_cov"), "ld_sigma": ld_sigma,
     "ld_alpha2": _summary(False, "max_alpha2", "sum_alpha2"), "ld_association": ld_association, "ld_table": ld_table,
     "blup_diag": blup_diag, "blup_pair": blup_pair, "blup_full": blup_full, "blup_spread": blup_spread, "pgs_burn_in": pgs_burn_in, "pgs_gibbs": pgs_gibbs, "bayes_factor": bayes_factor,
+    "ld_matrices": ld_matrices, "ld_vectors": ld_vectors,
 }
 
 _NODES = lambda pops: f"k as (select l.*, p, es/se as z, case when es is not null then ns end as n, (case when aa = 1 then -1 else 1 end)*(es/se)/sqrt(ns) as a, pow(sqrt(2*af_*(1-af_)), 0.5) as sd from (select ld_block, ld_node, vid as lvid, aa, af as af_, ld_diagonal, unnest(range({pops})) as p from ld_nodes) l left join (select * from study_stats where ns > 0) s on s.vid = lvid and s.study = p)"
@@ -195,6 +206,13 @@ from ld_nodes l join variants v on l.vid = v.vid left join t on t.b = l.ld_block
     "ld_lambda_corrected": f"{_SUMMARY}, c as (select *, {_SIGMA}*least(pow((lam-1)/(a2/have*mn-1)/0.6::double, 2), 1) as sg from u) select 'P'||p::varchar as pop, round(lam, 9) as lambda_gc, round(sg, 9) as sigmasq_inf, round(sg/(tr/have), 9) as beta_cov from c",
     "ld_sigma": f"with {_NODES(2)} select x.ld_block, x.ld_node, 'P'||x.p::varchar as pop1, 'P'||y.p::varchar as pop2, round({BETA_COV}::double*x.sd*y.sd*(case when x.p = y.p then 1 else {CROSS}::double end), 10) as sigma from k x join k y on x.ld_block = y.ld_block and x.ld_node = y.ld_node and x.p <= y.p and x.z is not null and y.z is not null",
     "blup_diag": f"with {_NODES(1)}, m as (select ld_block, avg(n) as bn from k group by ld_block) select k.ld_block, 'P0' as pop, ld_node, round((case when aa = 1 then -1 else 1 end)*{BETA_COV}::double*sd*sd*ld_diagonal*a/({BETA_COV}::double*sd*sd+ld_diagonal/bn)/sqrt(2*af_*(1-af_)), 7) as es from k join m on k.ld_block = m.ld_block where z is not null",
+    "ld_vectors": f"with {_NODES(2)} select ld_block, 'P'||p::varchar as pop, ld_node, z is not null as seen, round(a, 9) as alpha_hat, round(a/sqrt(2*af_*(1-af_)), 9) as beta_hat, round(case when z is not null then sd else 0 end, 9) as sd from k",
+    "ld_matrices": f"""with {_NODES(2)}, m as (select ld_block, p, coalesce(avg(n), 1) as mean_n from k group by all),
+x as (select ld_block, p, ld_node as i, ld_node as j, ld_diagonal as w from k union all select ld_block, p, i, j, w from ld_edges, range(2) t(p) union all select ld_block, p, j as i, i as j, w from ld_edges, range(2) t(p)),
+s as (select x.ld_block, x.p as p, y.p as q, x.ld_node as i, {BETA_COV}::double*x.sd*y.sd*(case when x.p = y.p then 1 else {CROSS}::double end) as v from k x join k y on x.ld_block = y.ld_block and x.ld_node = y.ld_node where x.z is not null and y.z is not null),
+e as (select 'P' as matrix, ld_block, p, i, p as q, j, w as v from x union all select 'S' as matrix, ld_block, p, i, q, i as j, v from s
+  union all select 'A' as matrix, ld_block, p, i, q, j, sum(v) as v from (select x.ld_block, x.p, i, x.p as q, j, w/mean_n as v from x join m on x.ld_block = m.ld_block and x.p = m.p union all select ld_block, p, i, q, i as j, v from s) group by all)
+select matrix, ld_block, 'P'||p::varchar as pop1, i as node1, 'P'||q::varchar as pop2, j as node2, round(v, 9) as value from e""",
     "blup_full": _full_sql(),
     "blup_spread": _full_sql(),
     "pgs_burn_in": _full_sql(),

@@ -189,6 +189,15 @@ def plot_points(spark, d):
     return rows.select("vid", "x", F.round("height", 8).alias("height"))
 
 
+def plot_allelic(spark, d):
+    """Shifts of the counts of two alleles, of study 1 among all studies."""
+    counts = view(spark, d, "study_stats").select("vid", "study", (F.col("ns") % 97).cast("int").alias("as0"), (F.col("nc") % 89).cast("int").alias("as1"))
+    v = view(spark, d, "variants")
+    lengths = v.groupBy(manhattan.contig_name(F.col("chrom")).alias("chrom")).agg(F.max("pos").alias("length"))
+    rows = manhattan.plot_rows(v.join(counts, "vid"), lengths, min_lp=1.0, phenotype=1, allelic=True)
+    return rows.select("vid", "as0", "as1", "x", F.round("height", 6).alias("height"))
+
+
 def text_scan(spark, d):
     """Lines with a comment, a suffixed header, a column to skip and a repeated name."""
     head = spark.createDataFrame([("## by a program",), ("#CHR_7\tID_7\t-\tP_7\tP_7",)], "value string").coalesce(1)
@@ -205,7 +214,7 @@ QUERIES = {
     "text_scan": text_scan, "contig_lengths": contig_lengths,
     "munge_presets": munge_presets, "munge_contig": munge_contig, "munge_allele": munge_allele, "munge_p_to_lp": munge_p_to_lp, "munge_numbers": munge_numbers, "munge_or": munge_or, "munge_neff": munge_neff,
     "munge_constants": munge_constants, "munge_harmonise": munge_harmonise, "filt_expr": filt_expr, "filt_mask": filt_mask, "filt_pass": filt_pass, "regions_semi": regions_semi, "regions_indexed": regions_indexed, "fasta_chunks": fasta_chunks, "targets_anti": targets_anti,
-    "norm_split": norm_split, "norm_join": norm_join, "merge_wide": merge_wide, "annotate_ids": annotate, "export_ssf": export_ssf, "plot_points": plot_points,
+    "norm_split": norm_split, "norm_join": norm_join, "merge_wide": merge_wide, "annotate_ids": annotate, "export_ssf": export_ssf, "plot_points": plot_points, "plot_allelic": plot_allelic,
 }
 
 _CONTIG = "case when chr_raw in ('23','25') then 'chrX' when chr_raw = '24' then 'chrY' when chr_raw = '26' then 'chrM' else 'chr'||chr_raw end"
@@ -219,6 +228,7 @@ def _preset_sql(preset: str) -> str:
 {"100.0::double" if "N" in has else "null::double"} as ns, {"0.5::double" if "SE" in has else "null::double"} as se, {"count(*)" if "SNP" in has else "0"}::bigint as n_id from r group by chrom"""
 
 
+_STARTS = """with n as (select chrom, replace(chrom, 'chr', '')::int as o, max(pos) as length from variants group by chrom), s as (select chrom, coalesce(sum(length+20000000) over (order by o rows between unbounded preceding and 1 preceding), 0)::bigint as start from n)"""
 _SEQ = "substring('ACGT', cast((pos+vid-1) % 4 + 1 as int), 1)"
 _REGION = "with r as (select chrom as c, pos-150 as a, pos+5000 as z from variants where vid % 50 = 0)"
 
@@ -249,6 +259,10 @@ s as (select chrom as contig, (b//4096)::int as chunk, least(4196, n-b)::int as
     "merge_wide": "select vid, " + ", ".join(f"max(case when study = {k} then {f} end) as s{k}_{f}" for k in range(4) for f in ("es", "se")) + " from study_stats group by vid",
     "annotate_ids": "select vid, case when vid % 2 = 0 then 'rs'||vid::varchar else 'own' end as id from variants",
     "export_ssf": "select replace(chrom, 'chr', '') as chromosome, pos as base_pair_location, alt as effect_allele, ref as other_allele, es as beta, case when v.vid % 5 > 0 then se end as standard_error, round(af, 8) as effect_allele_frequency, round(ns/20, 6) as lp from variants v join study_stats s on v.vid = s.vid where study = 0",
-    "plot_points": """with n as (select chrom, replace(chrom, 'chr', '')::int as o, max(pos) as length from variants group by chrom), s as (select chrom, coalesce(sum(length+20000000) over (order by o rows between unbounded preceding and 1 preceding), 0)::bigint as start from n)
-select v.vid, start+pos as x, round(case when ns/20 > 10 then 10*log10(ns/20)/1.0 else ns/20 end, 8) as height from variants v join study_stats t on v.vid = t.vid join s on s.chrom = v.chrom where study = 0 and ns/20 >= 2 and af between 0.2 and 0.8""",
+    "plot_points": f"""{_STARTS}
+select v.vid, start+pos as x, round(case when ns/20 > 10 then 10*log10(ns/20)/1.0 else ns/20 end, 8) as height from variants v join study_stats t on v.vid = t.vid join s on s.chrom = v.chrom where study = 0 and ns/20 >= 2 and af > 0.2 and af < 0.8""",
+    "plot_allelic": f"""{_STARTS}, t as (select vid, (ns % 97)::int as a, (nc % 89)::int as b from study_stats where study = 1 and (ns % 97)::int + (nc % 89)::int > 0),
+c as (select vid, a, b, sum(exp(lgamma(a+b+1)-lgamma(k+1)-lgamma(a+b-k+1)-(a+b)*ln(2::double))) as c from (select vid, a, b, unnest(range(0, least(a,b)+1)) as k from t) group by all),
+p as (select *, greatest(-(ln(2::double)+ln(c))/ln(10::double), 0) as lp from c)
+select v.vid, a as as0, b as as1, start+pos as x, round(case when lp > 10 then 10*log10(lp) else lp end, 6) as height from variants v join p on v.vid = p.vid join s on s.chrom = v.chrom where lp >= 1""",
 }.items()}
