@@ -138,15 +138,15 @@ def system_entries(nodes: DataFrame, edges: DataFrame, alpha: float = -0.5, beta
 
 
 def system_vectors(nodes: DataFrame, alpha: float = -0.5) -> DataFrame:
-    """(ld_block, pop, ld_node, seen, alpha_hat, beta_hat, sd) of all nodes: sd is 0 and the effects are null where there is no association.
+    """(ld_block, pop, ld_node, seen, alpha_hat, effect, sd) of all nodes: sd is 0 and the effects are null where there is no association.
 
-    ``beta_hat`` is the effect of an allele that ``alpha_hat``, of a standardised genotype, means: divided by the genotype's deviation.
+    ``alpha_hat`` is the effect of a standardised genotype, ``effect`` that of an allele: divided by the genotype's deviation.
     """
     rows = node_statistics(nodes, alpha)
     seen = F.col("z").isNotNull() & (F.col("n") > 0)
     deviation = F.sqrt(2 * F.col("af") * (1 - F.col("af")))
     hat = F.when(seen, F.col("alpha_hat"))
-    return rows.select("ld_block", "pop", "ld_node", F.coalesce(seen, F.lit(False)).alias("seen"), hat.alias("alpha_hat"), F.try_divide(hat, deviation).alias("beta_hat"), F.when(seen, F.col("sd")).otherwise(0.0).alias("sd"))
+    return rows.select("ld_block", "pop", "ld_node", F.coalesce(seen, F.lit(False)).alias("seen"), hat.alias("alpha_hat"), F.try_divide(hat, deviation).alias("effect"), F.when(seen, F.col("sd")).otherwise(0.0).alias("sd"))
 
 
 def solve(product: Callable[[np.ndarray], np.ndarray], b: np.ndarray, diagonal: np.ndarray | None, tolerance: float, start: np.ndarray | None = None) -> np.ndarray:

@@ -128,7 +128,7 @@ def ld_matrices(spark, d):
 
 def ld_vectors(spark, d):
     out = ld.system_vectors(nodes(spark, d, 2))
-    return out.select("ld_block", "pop", "ld_node", "seen", *[F.round(c, 9).alias(c) for c in ("alpha_hat", "beta_hat", "sd")])
+    return out.select("ld_block", "pop", "ld_node", "seen", *[F.round(c, 9).alias(c) for c in ("alpha_hat", "effect", "sd")])
 
 
 def bayes_factor(spark, d):
@@ -206,7 +206,7 @@ from ld_nodes l join variants v on l.vid = v.vid left join t on t.b = l.ld_block
     "ld_lambda_corrected": f"{_SUMMARY}, c as (select *, {_SIGMA}*least(pow((lam-1)/(a2/have*mn-1)/0.6::double, 2), 1) as sg from u) select 'P'||p::varchar as pop, round(lam, 9) as lambda_gc, round(sg, 9) as sigmasq_inf, round(sg/(tr/have), 9) as beta_cov from c",
     "ld_sigma": f"with {_NODES(2)} select x.ld_block, x.ld_node, 'P'||x.p::varchar as pop1, 'P'||y.p::varchar as pop2, round({BETA_COV}::double*x.sd*y.sd*(case when x.p = y.p then 1 else {CROSS}::double end), 10) as sigma from k x join k y on x.ld_block = y.ld_block and x.ld_node = y.ld_node and x.p <= y.p and x.z is not null and y.z is not null",
     "blup_diag": f"with {_NODES(1)}, m as (select ld_block, avg(n) as bn from k group by ld_block) select k.ld_block, 'P0' as pop, ld_node, round((case when aa = 1 then -1 else 1 end)*{BETA_COV}::double*sd*sd*ld_diagonal*a/({BETA_COV}::double*sd*sd+ld_diagonal/bn)/sqrt(2*af_*(1-af_)), 7) as es from k join m on k.ld_block = m.ld_block where z is not null",
-    "ld_vectors": f"with {_NODES(2)} select ld_block, 'P'||p::varchar as pop, ld_node, z is not null as seen, round(a, 9) as alpha_hat, round(a/sqrt(2*af_*(1-af_)), 9) as beta_hat, round(case when z is not null then sd else 0 end, 9) as sd from k",
+    "ld_vectors": f"with {_NODES(2)} select ld_block, 'P'||p::varchar as pop, ld_node, z is not null as seen, round(a, 9) as alpha_hat, round(a/sqrt(2*af_*(1-af_)), 9) as effect, round(case when z is not null then sd else 0 end, 9) as sd from k",
     "ld_matrices": f"""with {_NODES(2)}, m as (select ld_block, p, coalesce(avg(n), 1) as mean_n from k group by all),
 x as (select ld_block, p, ld_node as i, ld_node as j, ld_diagonal as w from k union all select ld_block, p, i, j, w from ld_edges, range(2) t(p) union all select ld_block, p, j as i, i as j, w from ld_edges, range(2) t(p)),
 s as (select x.ld_block, x.p as p, y.p as q, x.ld_node as i, {BETA_COV}::double*x.sd*y.sd*(case when x.p = y.p then 1 else {CROSS}::double end) as v from k x join k y on x.ld_block = y.ld_block and x.ld_node = y.ld_node where x.z is not null and y.z is not null),
