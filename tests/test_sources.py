@@ -132,7 +132,9 @@ def test_plot_contigs(spark):
 def test_exchange_and_order(spark):
     rows = spark.createDataFrame([("chrX", 2, "A", "C", None, 0.5, 3.0), ("chrM", 1, "A", "C", 0.1, 0.5, 2.0)], "chrom string, pos long, ref string, alt string, es double, se double, lp double")
     got = [tuple(r) for r in tables.exchange_format(tables.in_order(rows, ["chrX", "chrM"])).collect()]
-    assert got[0][:6] == ("23", 2, "C", "A", "NA", "0.5") and got[1][0] == "25" and float(got[0][6]) == pytest.approx(1e-3)
+    assert got[0][:7] == ("23", 2, "C", "A", "NA", "0.5", "NA") and got[1][0] == "25" and float(got[0][7]) == pytest.approx(1e-3)
+    told = tables.exchange_format(rows.withColumn("af", F.lit(0.25))).collect()
+    assert {r.effect_allele_frequency for r in told} == {"0.25"}
 
 
 GENOTYPES = """##fileformat=VCFv4.2
