@@ -50,13 +50,14 @@ BATCH = 1 << 15
 #: Words that are spelled at a time, texts whose runs of symbols are told apart at a time, and runs whose bits are coded at a time.
 SPELLED, TEXTS, RUNS = 1 << 14, 1024, 1 << 15
 BLOCK_BYTES = 4 << 20
+#: Bytes, of one word or of many, whose spelling is told apart at a time.
+SPELL_BYTES = 1 << 18
 #: Most frequent words whose counts all tasks are given.
 KNOWN = 1 << 16
 #: Bits of a learner's memory of the words that it has spelled, and hashes that a task holds before it passes them on.
 SPELLED_BITS, HELD = 23, 1 << 21
 #: The hash that stands for the end of a text.
 END = np.uint64(1)
-LONGEST = 64  # bytes of a word that are spelled by contexts; later bytes cost nine bits, with the one that tells that there are more
 LEVELS, CELLS = 4, 33
 
 
@@ -256,38 +257,32 @@ def _steps(runs: np.ndarray, code: Code, mixer: Mixer) -> Iterator[tuple[slice,
         yield slice(i, i + len(part)), mixer.slots([np.zeros(len(of), np.uint64), one[of], two[of]], node), bits, of
 
 
-def _spelling(words: list[bytes], mixer: Mixer):
-    """Of the words' bytes, each word followed by a zero byte, the distinct ones with what stands before them.
+def _spelling(words: list[bytes], mixer: Mixer) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of the words' bytes, each word followed by a zero byte, the distinct ones with what stands before them, in pieces.
 
     Slots, bits and the distinct byte that a bit is of; how often each occurs; for all bytes, which
-    of the distinct ones they are and the word that they are of.
+    of the distinct ones they are and the word that they are of. A piece may begin within a word.
     """
-    length = np.array([min(len(w), LONGEST) for w in words], np.int64)
-    width = int(length.max(initial=0)) + 1
-    grid = np.zeros((len(words), width), np.uint64)
-    flat = np.frombuffer(b"".join(w[:LONGEST] for w in words), np.uint8)
-    of_word = np.repeat(np.arange(len(words)), length)
-    grid[of_word, np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)] = flat
-    hashes, of = [], []
-    for j in range(width):
-        own = np.flatnonzero(length >= j)
-        h, row = np.zeros(len(own), np.uint64), []
+    length = np.array([len(w) + 1 for w in words], np.int64)
+    ends, flat = np.cumsum(length), np.frombuffer(b"\0".join([*words, b""]), np.uint8)
+    for i in range(0, len(flat), SPELL_BYTES):
+        at = np.arange(i, min(i + SPELL_BYTES, len(flat)))
+        owner = np.searchsorted(ends, at, "right")
+        place, byte = at - (ends - length)[owner], flat[at].astype(np.uint64)
+        h, contexts = np.zeros(len(at), np.uint64), []
         for d in range(1, max(ORDERS) + 1):
-            h = mix(h + (grid[own, j - d] + np.uint64(1) if j >= d else np.uint64(0)) + np.uint64(d << 10))
+            h = mix(h + np.where(place >= d, flat[np.maximum(at - d, 0)] + np.uint64(1), np.uint64(0)) + np.uint64(d << 10))
             if d in ORDERS:
-                row.append(h)
-        hashes.append(np.stack([*row, grid[own, j]]))
-        of.append(own)
-    table, of = np.concatenate(hashes, axis=1), np.concatenate(of)
-    _, first, inverse, times = np.unique(mix(table[-2] + table[-1] + np.uint64(1 << 50)), return_index=True, return_inverse=True, return_counts=True)
-    *contexts, byte = table[:, first]
-    slots, bits, node = [], [], np.ones(len(first), np.uint64)
-    for bit in range(7, -1, -1):
-        b = (byte >> np.uint64(bit)) & np.uint64(1)
-        slots.append(mixer.slots(contexts, mix(node)))
-        bits.append(b.astype(np.int64))
-        node = node * np.uint64(2) + b
-    return np.concatenate(slots, axis=1), np.concatenate(bits), np.tile(np.arange(len(first)), 8), times, inverse, of
+                contexts.append(h)
+        _, first, inverse, times = np.unique(mix(h + byte + np.uint64(1 << 50)), return_index=True, return_inverse=True, return_counts=True)
+        contexts, byte = [c[first] for c in contexts], byte[first]
+        slots, bits, node = [], [], np.ones(len(first), np.uint64)
+        for bit in range(7, -1, -1):
+            b = (byte >> np.uint64(bit)) & np.uint64(1)
+            slots.append(mixer.slots(contexts, mix(node)))
+            bits.append(b.astype(np.int64))
+            node = node * np.uint64(2) + b
+        yield np.concatenate(slots, axis=1), np.concatenate(bits), np.tile(np.arange(len(first)), 8), times, inverse, owner
 
 
 def _words_at(spans: tuple, at: np.ndarray) -> list[bytes]:
@@ -305,8 +300,8 @@ def _learned(code: Code, slot_bits: int):
 
         def spell() -> None:
             for i in range(0, len(waiting), SPELLED):
-                slots, bits, of, times, _, _ = _spelling(waiting[i : i + SPELLED], speller)
-                speller.learn(slots, bits, times[of])
+                for slots, bits, of, times, _, _ in _spelling(waiting[i : i + SPELLED], speller):
+                    speller.learn(slots, bits, times[of])
             waiting.clear()
 
         for batch in batches:
@@ -323,7 +318,7 @@ def _learned(code: Code, slot_bits: int):
                 new = ~met[cell]
                 met[cell] = True
                 waiting += _words_at(spans, rare[first[new]])
-                if len(waiting) >= SPELLED:
+                if len(waiting) >= SPELLED or sum(map(len, waiting)) > BLOCK_BYTES:
                     spell()
         if waiting:
             spell()
@@ -426,10 +421,11 @@ def _begun(code: Code, mixer: Mixer, known: tuple[np.ndarray, np.ndarray], ends:
 
 def _spelled(words: list[bytes], mixer: Mixer) -> np.ndarray:
     """log10 of the probability of each word's spelling."""
-    slots, bits, of, times, inverse, owner = _spelling(words, mixer)
-    told = np.bincount(of, mixer.log10(slots, bits), len(times))
-    rest = np.array([max(len(w) - LONGEST, 0) for w in words])
-    return np.bincount(owner, told[inverse], len(words)) - rest * (9 * math.log10(2))
+    out = np.zeros(len(words))
+    for slots, bits, of, times, inverse, owner in _spelling(words, mixer):
+        told = np.bincount(of, mixer.log10(slots, bits), len(times))
+        out += np.bincount(owner, told[inverse], len(words))
+    return out
 
 
 def _ended(n_all: int, denominator: float, shares: Shares, speller: Mixer):

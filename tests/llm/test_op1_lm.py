@@ -68,3 +68,16 @@ def test_very_long_texts_and_counts(spark):
     mixer.seen[:] = 2.0**24
     mixer.learn(np.array([[0], [5]]), np.ones(1, np.int64), np.ones(1))
     assert mixer.seen[1][0] == 2**24 + 1
+
+
+def test_long_words_are_spelled_whole(spark, monkeypatch):
+    """Texts of one word that begin alike are told apart by what follows, however far in, and in whatever pieces."""
+    ids = [n for n in range(1000) if held_out(n, 5)]
+    rows = [(5 * k, f"some ab{'ab' * k} words") for k in range(40) if not held_out(5 * k, 5)]
+    rows += [(ids[0], "ab" * 300), (ids[1], "ab" * 150 + "q7" * 150), (ids[2], "ab" * 150 + "Q7" * 150), (ids[3], "ab" * 299 + "zx")]
+    told = lambda: {r.doc_id: r.bits_per_byte for r in lm.score(documents(spark, rows)).collect()}
+    whole = told()
+    assert whole[ids[0]] < whole[ids[3]] < whole[ids[1]] == whole[ids[2]]
+    spelled = lm._spelled([b"ab" * 300, b"x", b"", b"ab" * 299 + b"zx"], lm.Mixer(len(lm.ORDERS)))
+    monkeypatch.setattr(lm, "SPELL_BYTES", 7)
+    assert lm._spelled([b"ab" * 300, b"x", b"", b"ab" * 299 + b"zx"], lm.Mixer(len(lm.ORDERS))) == pytest.approx(spelled, rel=1e-9)
