@@ -67,46 +67,53 @@ def sizes(tokens: int) -> tuple[int, int]:
     return 1 << bits, max(SLOT_BITS, min(24, bits + 7))
 
 
+def _slots(hashes: list[np.ndarray], slot_bits: int) -> np.ndarray:
+    """Rows of slots for bits, by the hashes of context and node together, in each context's table."""
+    out = np.empty((len(hashes), len(hashes[0])), np.int64)
+    for i, h in enumerate(hashes):
+        np.add((h >> np.uint64(64 - slot_bits)).view(np.int64), i << slot_bits, out=out[i])
+    return out
+
+
+def _odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
+
+
+def _level(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """How sure a slot is of its odds."""
+    return np.minimum(np.log2(1 + zero + one) / 2, LEVELS - 1)
+
+
+def _mixed(odds: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The probability that the gated odds of all contexts give, and its cell of the map."""
+    x = weights[0][gate] * odds[0]
+    for w, o in zip(weights[1:], odds[1:], strict=True):
+        x += w[gate] * o
+    np.clip(x, -12, 12, out=x)
+    return 1 / (1 + np.exp(-x)), gate * CELLS + np.rint((np.clip(x, -8, 8) + 8) * ((CELLS - 1) / 16)).astype(np.intp)
+
+
 class Mixer:
-    """Bit predictors in hashed contexts, their gated mixing and its adaptive refinement."""
+    """Bit predictors in hashed contexts, their gated mixing and its adaptive refinement, as they learn."""
 
     def __init__(self, contexts: int, slot_bits: int = SLOT_BITS) -> None:
         self.k, self.slot_bits = contexts, slot_bits
-        self.seen = np.zeros((2, contexts << slot_bits))
+        #: Both counts of a slot stand side by side, as one number's parts, so that they are fetched together.
+        self.pairs = np.zeros(contexts << slot_bits, np.complex128)
+        self.seen = self.pairs.view(np.float64).reshape(-1, 2).T
         self.weights = np.full((LEVELS * LEVELS, contexts), 1.2 / contexts)
         self.map = np.zeros((2, LEVELS * LEVELS * CELLS))
         self.bits = 0.0
 
-    def slots(self, contexts: list[np.ndarray], node: np.ndarray) -> np.ndarray:
-        """Rows of slots for bits at ``node`` (hashed) in each context (hashed)."""
-        size = np.uint64(64 - self.slot_bits)
-        return np.stack([(mix(c + node) >> size).astype(np.int64) + (i << self.slot_bits) for i, c in enumerate(contexts)])
-
-    def _predict(self, slots: np.ndarray):
-        zero, one = self.seen[0][slots].astype(np.float32), self.seen[1][slots].astype(np.float32)
-        odds = np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
-        level = np.minimum(np.log2(1 + zero[-2:] + one[-2:]) / 2, LEVELS - 1).astype(np.int32)
-        gate = level[0] * LEVELS + level[1]
-        weights, low, high = self.weights.T.astype(np.float32), *self.map.astype(np.float32)
-        x = np.clip(sum(weights[k][gate] * odds[k] for k in range(self.k)), -12, 12)
-        p = 1 / (1 + np.exp(-x))
-        cell = gate * CELLS + np.rint((np.clip(x, -8, 8) + 8) * ((CELLS - 1) / 16)).astype(np.int32)
-        up = high[cell]
-        refined = (up + 16 * p) / (low[cell] + up + 16)
-        return odds, gate, cell, p, np.clip((p + refined) / 2, np.float32(1e-6), np.float32(1 - 1e-6))
-
-    def log10(self, slots: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each bit."""
-        out = np.empty(slots.shape[1])
-        for i in range(0, len(out), BATCH):
-            p = self._predict(slots[:, i : i + BATCH])[-1]
-            out[i : i + BATCH] = np.log10(np.where(bits[i : i + BATCH], p, 1 - p))
-        return out
-
     def learn(self, slots: np.ndarray, bits: np.ndarray, times: np.ndarray) -> None:
+        counts = self.pairs.view(np.float64)
         for i in range(0, len(bits), BATCH):
             s, b, t = slots[:, i : i + BATCH], bits[i : i + BATCH], times[i : i + BATCH].astype(np.float64)
-            odds, gate, cell, p, _ = self._predict(s)
+            seen = self.pairs[s]
+            zero, one = seen.real.astype(np.float32), seen.imag.astype(np.float32)
+            odds, level = _odds(zero, one), _level(zero[-2:], one[-2:]).astype(np.intp)
+            gate = level[0] * LEVELS + level[1]
+            p, cell = _mixed(odds, gate, self.weights.T.astype(np.float32))
             error = (b - p) * t
             total = np.bincount(gate, t, len(self.weights)) + 1e-9
             # A step of the size that the curvature of the coding cost allows.
@@ -116,7 +123,8 @@ class Mixer:
                 self.weights[:, k] += rate * np.bincount(gate, error * odds[k], len(self.weights))
             cells = self.map.shape[1]
             self.map += np.bincount(cell + b * cells, t, 2 * cells).reshape(2, cells)
-            np.add.at(self.seen.reshape(-1), (s + b * self.seen.shape[1]).ravel(), np.tile(t, self.k))
+            for row in s:
+                np.add.at(counts, 2 * row + b, t)
             self.bits += t.sum()
 
     def rows(self, name: str) -> list[tuple[str, int, bytes]]:
@@ -124,24 +132,43 @@ class Mixer:
         flat = np.concatenate([self.seen.ravel(), self.map.ravel(), (self.weights * self.bits).ravel(), [self.bits]])
         return [(name, i, flat[i : i + (1 << 16)].astype(np.float32).tobytes()) for i in range(0, len(flat), 1 << 16)]
 
-    @classmethod
-    def of(cls, contexts: int, slot_bits: int, pieces: dict[int, bytes]) -> Mixer:
-        out = cls(contexts, slot_bits)
+
+class Learned:
+    """The sum of learners' tables, to predict by: each slot's odds and how sure it is of them."""
+
+    def __init__(self, contexts: int, slot_bits: int, pieces: dict[int, bytes]) -> None:
+        self.slot_bits = slot_bits
+        new, n = Mixer(contexts, 0), contexts << slot_bits
+        self.weights, counts = new.weights, new.map
+        self.odds, self.level = np.zeros(n, np.float32), np.zeros(2 << slot_bits, np.uint8)
         if pieces:
-            flat = np.concatenate([np.frombuffer(pieces[i], np.float32) for i in sorted(pieces)]).astype(np.float64)
-            a, b, c = out.seen.size, out.map.size, out.weights.size
-            out.seen = flat[:a].reshape(out.seen.shape)
-            out.map = flat[a : a + b].reshape(out.map.shape)
-            if flat[-1] > 0:
-                out.weights = flat[a + b : a + b + c].reshape(out.weights.shape) / flat[-1]
-            out.bits = flat[-1]
+            flat = np.concatenate([np.frombuffer(pieces[i], np.float32) for i in sorted(pieces)])
+            zero, one, rest = flat[:n], flat[n : 2 * n], flat[2 * n :].astype(np.float64)
+            self.odds = _odds(zero, one)
+            self.level = _level(zero[-len(self.level) :], one[-len(self.level) :]).astype(np.uint8)
+            counts = rest[: counts.size].reshape(counts.shape)
+            if rest[-1] > 0:
+                self.weights = rest[counts.size : -1].reshape(self.weights.shape) / rest[-1]
+        self.ups, self.weights = counts[1].astype(np.float32), self.weights.T.astype(np.float32)
+        self.all = (counts[0] + counts[1] + 16).astype(np.float32)
+
+    def log10(self, slots: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each bit."""
+        out = np.empty(slots.shape[1])
+        before = (len(slots) - 2) << self.slot_bits
+        for i in range(0, len(out), BATCH):
+            s, b = slots[:, i : i + BATCH], bits[i : i + BATCH]
+            level = self.level[s[-2:] - before]
+            p, cell = _mixed(self.odds[s], (level[0] * np.uint8(LEVELS) + level[1]).astype(np.intp), self.weights)
+            p = np.clip((p + (self.ups[cell] + 16 * p) / self.all[cell]) / 2, np.float32(1e-6), np.float32(1 - 1e-6))
+            out[i : i + BATCH] = np.log10(np.where(b, p, 1 - p))
         return out
 
 
 _SUM_SCHEMA = "name string, at long, data binary"
 
 
-def _added(learned: DataFrame, contexts: dict[str, tuple[int, int]]) -> dict[str, Mixer]:
+def _added(learned: DataFrame, contexts: dict[str, tuple[int, int]]) -> dict[str, Learned]:
     """Add up the learners' pieces; the sums have the size of one learner's tables."""
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +182,7 @@ def _added(learned: DataFrame, contexts: dict[str, tuple[int, int]]) -> dict[str
     pieces: dict[str, dict[int, bytes]] = {name: {} for name in contexts}
     for r in learned.groupBy("name", "at").applyInArrow(add, _SUM_SCHEMA).collect():  # of the size of the tables
         pieces[r[0]][r[1]] = bytes(r[2])
-    return {name: Mixer.of(k, bits, pieces[name]) for name, (k, bits) in contexts.items()}
+    return {name: Learned(k, bits, pieces[name]) for name, (k, bits) in contexts.items()}
 
 
 def _word_class(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -195,6 +222,7 @@ class Code:
             bits += [p[1] for p in reversed(path)]
             self.length[s] = len(path)
         self.nodes, self.bits = mix(np.array(nodes, np.uint64) + np.uint64(77)), np.array(bits, np.int64)
+        self.alone = mix(self.nodes)
         self.begin = np.concatenate([[0], np.cumsum(self.length)[:-1]])
 
     def symbols(self, hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -203,12 +231,12 @@ class Code:
         i = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
         return np.where(self.sorted[i] == hashes, self.order[i], self.first_class + classes)
 
-    def steps(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the symbols' codes one after the other: index of the symbol, node and bit."""
+    def steps(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the symbols' codes one after the other: index of the symbol, node, its hash without context, and bit."""
         length = self.length[symbols]
         of = np.repeat(np.arange(len(symbols)), length)
         at = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length) + self.begin[symbols][of]
-        return of, self.nodes[at], self.bits[at]
+        return of, self.nodes[at], self.alone[at], self.bits[at]
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -235,29 +263,29 @@ def _tokens(spans: tuple, code: Code):
     return symbols, all_hashes, at + np.arange(n + 1)
 
 
-def _runs(symbols: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct runs of three symbols, each token's run and the runs' counts.
+def _runs(symbols: np.ndarray, code: Code) -> np.ndarray:
+    """Each token's run of three symbols, as a number.
 
     The ends of other texts stand before a text's first token.
     """
     n = len(code.length) + 1
     before = np.concatenate([[code.end], symbols[:-1]])
     before2 = np.where(before == code.end, code.end, np.concatenate([[code.end, code.end], symbols[:-2]])[: len(symbols)])
-    return np.unique((before2 * n + before) * n + symbols, return_inverse=True, return_counts=True)
+    return (before2 * n + before) * n + symbols
 
 
-def _steps(runs: np.ndarray, code: Code, mixer: Mixer) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+def _steps(runs: np.ndarray, code: Code, slot_bits: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
     """Pieces of the runs, each with its bits' slots, the bits and the run that a bit is of."""
     n = len(code.length) + 1
     for i in range(0, len(runs), RUNS):
         part = runs[i : i + RUNS]
-        of, node, bits = code.steps(part % n)
+        of, node, alone, bits = code.steps(part % n)
         one = mix((part // n % n).astype(np.uint64) + np.uint64(1 << 20))
         two = mix(one + (part // (n * n)).astype(np.uint64) + np.uint64(1 << 40))
-        yield slice(i, i + len(part)), mixer.slots([np.zeros(len(of), np.uint64), one[of], two[of]], node), bits, of
+        yield slice(i, i + len(part)), _slots([alone, mix(one[of] + node), mix(two[of] + node)], slot_bits), bits, of
 
 
-def _spelling(words: list[bytes], mixer: Mixer) -> Iterator[tuple[np.ndarray, ...]]:
+def _spelling(words: list[bytes], slot_bits: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Of the words' bytes, each word followed by a zero byte, the distinct ones with what stands before them, in pieces.
 
     Slots, bits and the distinct byte that a bit is of; how often each occurs; for all bytes, which
@@ -279,7 +307,8 @@ def _spelling(words: list[bytes], mixer: Mixer) -> Iterator[tuple[np.ndarray, ..
         slots, bits, node = [], [], np.ones(len(first), np.uint64)
         for bit in range(7, -1, -1):
             b = (byte >> np.uint64(bit)) & np.uint64(1)
-            slots.append(mixer.slots(contexts, mix(node)))
+            of_node = mix(node)
+            slots.append(_slots([mix(c + of_node) for c in contexts], slot_bits))
             bits.append(b.astype(np.int64))
             node = node * np.uint64(2) + b
         yield np.concatenate(slots, axis=1), np.concatenate(bits), np.tile(np.arange(len(first)), 8), times, inverse, owner
@@ -300,7 +329,7 @@ def _learned(code: Code, slot_bits: int):
 
         def spell() -> None:
             for i in range(0, len(waiting), SPELLED):
-                for slots, bits, of, times, _, _ in _spelling(waiting[i : i + SPELLED], speller):
+                for slots, bits, of, times, _, _ in _spelling(waiting[i : i + SPELLED], speller.slot_bits):
                     speller.learn(slots, bits, times[of])
             waiting.clear()
 
@@ -308,8 +337,8 @@ def _learned(code: Code, slot_bits: int):
             for piece in _slices(batch):
                 spans = word_spans(piece.column("text"))
                 symbols, hashes, _ = _tokens(spans, code)
-                runs, _, times = _runs(symbols, code)
-                for at, slots, bits, of in _steps(runs, code, mixer):
+                runs, times = np.unique(_runs(symbols, code), return_counts=True)
+                for at, slots, bits, of in _steps(runs, code, slot_bits):
                     mixer.learn(slots, bits, times[at][of])
                 is_word = hashes != END
                 rare = np.flatnonzero(symbols[is_word] >= code.first_class)
@@ -379,7 +408,7 @@ _BLOCK = """block long, doc_id array<long>, train array<boolean>, bytes array<lo
     words array<long>, class array<int>, spelling array<binary>, token array<int>, tokens_at array<int>"""
 
 
-def _begun(code: Code, mixer: Mixer, known: tuple[np.ndarray, np.ndarray], ends: int, denominator: float, shares: Shares):
+def _begun(code: Code, mixer: Learned, known: tuple[np.ndarray, np.ndarray], ends: int, denominator: float, shares: Shares):
     """Documents to blocks: scores as far as known words go, and the rarer words, with their letters and the tokens that they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,9 +418,9 @@ def _begun(code: Code, mixer: Mixer, known: tuple[np.ndarray, np.ndarray], ends:
             for piece in _slices(batch):
                 spans = word_spans(piece.column("text"))
                 symbols, hashes, at = _tokens(spans, code)
-                runs, inverse, times = _runs(symbols, code)
+                runs, inverse = np.unique(_runs(symbols, code), return_inverse=True)
                 told = np.zeros(len(runs))
-                for part_of, slots, bits, of in _steps(runs, code, mixer):
+                for part_of, slots, bits, of in _steps(runs, code, mixer.slot_bits):
                     told[part_of] = np.bincount(of, mixer.log10(slots, bits), part_of.stop - part_of.start)
                 told = told[inverse]
                 is_word = hashes != END
@@ -419,16 +448,16 @@ def _begun(code: Code, mixer: Mixer, known: tuple[np.ndarray, np.ndarray], ends:
     return run
 
 
-def _spelled(words: list[bytes], mixer: Mixer) -> np.ndarray:
+def _spelled(words: list[bytes], mixer: Learned) -> np.ndarray:
     """log10 of the probability of each word's spelling."""
     out = np.zeros(len(words))
-    for slots, bits, of, times, inverse, owner in _spelling(words, mixer):
+    for slots, bits, of, times, inverse, owner in _spelling(words, mixer.slot_bits):
         told = np.bincount(of, mixer.log10(slots, bits), len(times))
         out += np.bincount(owner, told[inverse], len(words))
     return out
 
 
-def _ended(n_all: int, denominator: float, shares: Shares, speller: Mixer):
+def _ended(n_all: int, denominator: float, shares: Shares, speller: Learned):
     """Blocks with the counts (pos, c) of their rarer words to documents. Words that were never seen are spelled."""
 
     def run(blocks: pa.Table, entries: pa.Table) -> pa.Table:

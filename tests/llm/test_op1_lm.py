@@ -78,6 +78,7 @@ def test_long_words_are_spelled_whole(spark, monkeypatch):
     told = lambda: {r.doc_id: r.bits_per_byte for r in lm.score(documents(spark, rows)).collect()}
     whole = told()
     assert whole[ids[0]] < whole[ids[3]] < whole[ids[1]] == whole[ids[2]]
-    spelled = lm._spelled([b"ab" * 300, b"x", b"", b"ab" * 299 + b"zx"], lm.Mixer(len(lm.ORDERS)))
+    speller = lm.Learned(len(lm.ORDERS), lm.SLOT_BITS, {})
+    spelled = lm._spelled([b"ab" * 300, b"x", b"", b"ab" * 299 + b"zx"], speller)
     monkeypatch.setattr(lm, "SPELL_BYTES", 7)
-    assert lm._spelled([b"ab" * 300, b"x", b"", b"ab" * 299 + b"zx"], lm.Mixer(len(lm.ORDERS))) == pytest.approx(spelled, rel=1e-9)
+    assert lm._spelled([b"ab" * 300, b"x", b"", b"ab" * 299 + b"zx"], speller) == pytest.approx(spelled, rel=1e-9)
