@@ -15,8 +15,10 @@ buckets by a join, those of large ones in blocks inside tasks, where a class nam
 of other components first and, where these don't join all, more of them in a next round, until none
 is left. So no group is expanded into its pairs, and no link between components is missed. Buckets of
 more than ``DEEP`` classes are first dealt by a further band that two classes share, and by a third if need be,
-so that a passage of many different texts doesn't bring them all together; a pair at 0.8 that meets in none but
-such buckets shares just one band with probability 7e-6, and just two with 7e-5.
+so that a passage of many different texts doesn't bring them all together. What this leaves apart, pairs that share fewer bands
+and buckets that three bands leave crowded, is then compared by rare shingles: with shingles in one order, those of
+fewest classes first, two similar sets share one among the first of both, as many as the threshold allows
+to differ and one. So all similar pairs of the classes of crowded buckets are candidates, whatever bands they share.
 
 Defined results: a null text or one without words has no shingles and no links, and is its own
 component; a text with fewer words than ``width`` has one shingle; a component's name is the least
@@ -45,6 +47,8 @@ SAMPLES, SKETCH_LONGS = 512, 16
 SMALL, BLOCK = 16, 4096
 #: Buckets beyond this size are dealt by further bands, up to so many together; a path of bands is one number in this base.
 DEEP, DEPTH, BASE = 16 * BLOCK, 3, 64
+#: Stands for the band where a bucket holds the classes that share a rare shingle.
+RARE = -1
 FIRST_CLOSEST = 4
 #: Tables of classes and pairs are broadcast up to this number of rows of 32 bytes at most.
 BROADCAST_ROWS = 1_000_000
@@ -125,13 +129,17 @@ def _passes(percent: int):
     return (small * 100 >= large * percent) & (popcount <= limit)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: classes) whose whole sets are similar enough."""
-    ids = broadcast_if_small(cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")), BROADCAST_ROWS)
-    wanted = broadcast_if_small(cut(classes.select("cid", "f1", "f2", "tk").join(ids, "cid")), BROADCAST_ROWS)
+def _whole_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The shingles of the classes of ``ids`` (cid, distinct)."""
+    wanted = broadcast_if_small(cut(classes.select("cid", "f1", "f2", "tk").join(broadcast_if_small(ids, BROADCAST_ROWS), "cid")), BROADCAST_ROWS)
     texts = docs.select(F.xxhash64("text").alias("tk"), "text").join(wanted.select("tk"), "tk", "left_semi")
     sets = texts.mapInArrow(_sets(width), "f1 long, f2 long, shingles array<long>")
-    sets = cut(sets.join(wanted, ["f1", "f2"]).dropDuplicates(["cid"]).select("cid", "shingles"))
+    return cut(sets.join(wanted, ["f1", "f2"]).dropDuplicates(["cid"]).select("cid", "shingles"))
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: classes) whose whole sets are similar enough."""
+    sets = _whole_sets(cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")), classes, docs, width)
     one = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("_sa"))
     two = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("_sb"))
     both = two.join(broadcast_if_small(pairs.select("a", "b"), BROADCAST_ROWS), "b").join(one, "a").withColumn("_both", F.size(F.array_intersect("_sa", "_sb")))
@@ -156,15 +164,19 @@ def _cross_pairs(percent: int, closest: int):
         if len(left) and len(right):
             stack = lambda d, c: np.array(d[c].tolist(), np.int64)
             s2, n2, c2, id2, k2 = stack(right, "sketch").view(np.uint64), right.n.to_numpy(), right.component.to_numpy(), right.cid.to_numpy(), stack(right, "bands")
-            k1, path = stack(left, "bands"), _path(int(group.band.iloc[0]))
+            k1, band = stack(left, "bands"), int(group.band.iloc[0])
+            sure1, sure2 = left.sure.to_numpy(), right.sure.to_numpy()
             for i, (s, n, c, cid) in enumerate(zip(stack(left, "sketch").view(np.uint64), left.n, left.component, left.cid, strict=True)):
                 small, large = np.minimum(n2, n), np.maximum(n2, n)
                 j = np.flatnonzero((c2 != c) & (small * 100 >= large * percent))
                 apart = np.bitwise_count(s2[j] ^ s).sum(axis=1)
                 near = apart <= _sketch_limit(large[j], small[j], percent, lambda x: np.sqrt(np.maximum(x, 0)), np.where)
                 j, apart = j[near], apart[near]
-                alike = k2[j] == k1[i]  # a pair is told where the path is that of the first bands that the two share
-                new = alike[:, path].all(axis=1) & (alike[:, : path[-1]].sum(axis=1) == len(path) - 1)
+                if band == RARE:  # the rarest common shingle is a sure one of the smaller set
+                    new = np.where(n2[j] > n, sure1[i], np.where(n2[j] < n, sure2[j], sure1[i] | sure2[j]))
+                else:  # a pair is told where the path is that of the first bands that the two share
+                    alike, path = k2[j] == k1[i], _path(band)
+                    new = alike[:, path].all(axis=1) & (alike[:, : path[-1]].sum(axis=1) == len(path) - 1)
                 j, apart = j[new], apart[new]
                 by = np.argsort(apart, kind="stable")[:closest]
                 out += [(min(cid, x), max(cid, x), len(j) > closest) for x in id2[j[by]]]
@@ -174,32 +186,54 @@ def _cross_pairs(percent: int, closest: int):
 
 
 def _opened(held: DataFrame) -> tuple[DataFrame, bool]:
-    """Those rows of ``held`` whose bucket has several components, with its size m; whether any bucket is beyond ``DEEP``."""
-    sizes = held.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-    sizes = cut(sizes.where("_lo <> _hi").select("band", "key", "m"))
+    """Those rows of ``held`` whose bucket has several components and a sure row, with its size m; whether any bucket is beyond ``DEEP``."""
+    sizes = held.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.bool_or("sure").alias("_sure"))
+    sizes = cut(sizes.where("_lo <> _hi and _sure").select("band", "key", "m"))
     return held.join(broadcast_if_small(sizes, BROADCAST_ROWS), ["band", "key"]), not sizes.where(F.col("m") > DEEP).isEmpty()
 
 
 def _dealt_deeper(held: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows of crowded buckets, once for each later band of their class."""
-    crowded = held.where(F.col("m") > DEEP).select("band", "key", "cid", "component").join(classes.select("cid", "bands"), "cid")
-    finer = crowded.select("band", "key", "cid", "component", F.posexplode("bands").alias("_b", "_k")).where(F.col("_b") > F.col("band") % BASE)
-    return finer.select(((F.col("band") + 1) * BASE + F.col("_b")).cast("int").alias("band"), F.xxhash64("key", "_k").alias("key"), "cid", "component")
+    crowded = held.where(F.col("m") > DEEP).select("band", "key", "cid", "sure", "component").join(classes.select("cid", "bands"), "cid")
+    finer = crowded.select("band", "key", "cid", "sure", "component", F.posexplode("bands").alias("_b", "_k")).where(F.col("_b") > F.col("band") % BASE)
+    return finer.select(((F.col("band") + 1) * BASE + F.col("_b")).cast("int").alias("band"), F.xxhash64("key", "_k").alias("key"), "cid", "sure", "component")
+
 
+def _of_components(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """``buckets`` with each class's component."""
+    return buckets.join(broadcast_if_small(parts.withColumnRenamed("node", "cid"), BROADCAST_ROWS), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
 
-def _across(classes: DataFrame, buckets: DataFrame, parts: DataFrame, percent: int, closest: int) -> DataFrame:
-    """Candidate pairs (a, b, more) of different components that share a bucket.
+
+def _by_rare_shingles(crowded: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Buckets (band, key, cid, sure) in which all similar pairs of the classes ``crowded`` (cid) meet.
+
+    With all shingles in one order, the first that two similar sets share is among the first n - ceil(t n) + 1
+    of either, and among the first n - ceil(2 t n / (1 + t)) + 1, the sure ones, of the smaller.
+    """
+    each = _whole_sets(crowded, classes, docs, width).select("cid", F.explode("shingles").alias("key"))
+    shared = cut(each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    by = F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "key")))
+    ordered = each.join(broadcast_if_small(shared, BROADCAST_ROWS), "key", "left").groupBy("cid").agg(by.alias("_by"))
+    n = F.size("_by")
+    first, sure = n - F.ceil(percent * n / 100) + 1, n - F.ceil(2 * percent * n / (100 + percent)) + 1
+    rows = ordered.select("cid", sure.alias("_n"), F.posexplode(F.slice("_by", 1, first.cast("int"))).alias("_i", "_x")).where("_x.c > 1")
+    return cut(rows.select(F.lit(RARE).alias("band"), "_x.key", "cid", (F.col("_i") < F.col("_n")).alias("sure")))
+
+
+def _across(classes: DataFrame, buckets: DataFrame, parts: DataFrame, percent: int, closest: int, rare: bool) -> tuple[DataFrame, bool]:
+    """Candidate pairs (a, b, more) of different components that share a bucket; whether any is left to rare shingles.
 
     Small buckets are told with the first round only, as they are told in full.
     """
-    held = buckets.join(broadcast_if_small(parts.withColumnRenamed("node", "cid"), BROADCAST_ROWS), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    held, deep = _opened(held)
-    held = cut(held)
+    held, crowded = _opened(_of_components(buckets, parts))
+    held, deep = cut(held), crowded and not rare
     for _ in range(DEPTH - 1):
         if not deep:
             break
         finer, deep = _opened(cut(_dealt_deeper(held, classes)))
         held = cut(held.where(F.col("m") <= DEEP).unionByName(finer))
+    if not rare:
+        held = held.where(F.col("m") <= DEEP)
     known = classes.select("cid", "n", "sketch")
     pairs = None
     if closest == FIRST_CLOSEST:
@@ -212,10 +246,10 @@ def _across(classes: DataFrame, buckets: DataFrame, parts: DataFrame, percent: i
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     left = F.transform(every, lambda y: F.when(F.col("_mine") <= y, F.struct(F.col("_mine").alias("i"), y.alias("j"), F.lit(0).alias("side"))))
     right = F.transform(every, lambda x: F.when(x < F.col("_mine"), F.struct(x.alias("i"), F.col("_mine").alias("j"), F.lit(1).alias("side"))))
-    dealt = many.select("band", "key", "cid", "component", "n", "sketch", "bands", F.explode(F.array_compact(F.concat(left, right))).alias("_c"))
-    dealt = dealt.select("band", "key", "cid", "component", "n", "sketch", "bands", "_c.i", "_c.j", "_c.side")
+    dealt = many.select("band", "key", "cid", "sure", "component", "n", "sketch", "bands", F.explode(F.array_compact(F.concat(left, right))).alias("_c"))
+    dealt = dealt.select("band", "key", "cid", "sure", "component", "n", "sketch", "bands", "_c.i", "_c.j", "_c.side")
     told = dealt.groupBy("band", "key", "i", "j").applyInPandas(_cross_pairs(percent, closest), "a long, b long, more boolean")
-    return (told if pairs is None else told.unionByName(pairs)).groupBy("a", "b").agg(F.max("more").alias("more"))
+    return (told if pairs is None else told.unionByName(pairs)).groupBy("a", "b").agg(F.max("more").alias("more")), crowded
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -237,16 +271,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     links = cut(_confirmed(cut(stars), classes, docs, width, percent))
     parts = connected_components(links)
-    closest = FIRST_CLOSEST
+    buckets, rare, closest, crowded = buckets.drop("centre").withColumn("sure", F.lit(True)), False, FIRST_CLOSEST, False
     while True:
-        told = cut(_across(classes, buckets.drop("centre"), parts, percent, closest))
-        if told.isEmpty():
-            break
-        links = links.unionByName(cut(_confirmed(told, classes, docs, width, percent)))
-        parts = connected_components(links)
-        if told.where("more").isEmpty():
+        told, left = _across(classes, buckets, parts, percent, closest, rare)
+        told, crowded, closest = cut(told), crowded or left, closest * 8
+        if not told.isEmpty():
+            links = links.unionByName(cut(_confirmed(told, classes, docs, width, percent)))
+            parts = connected_components(links)
+        if not told.where("more").isEmpty():
+            continue
+        if rare or not crowded:
             break
-        closest *= 8
+        held, _ = _opened(_of_components(buckets, parts))
+        buckets = _by_rare_shingles(cut(held.where(F.col("m") > DEEP).select("cid").distinct()), classes, docs, width, percent)
+        rare, closest = True, FIRST_CLOSEST
     named = classes.select("cid", "f1", "f2", "least_id").join(parts.withColumnRenamed("node", "cid"), "cid")
     names = named.groupBy("component").agg(F.min("least_id").alias("_name"))
     alone = classes.join(parts, F.col("cid") == F.col("node"), "left_anti").select("f1", "f2", F.col("least_id").alias("_name"))

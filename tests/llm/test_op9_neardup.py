@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from locusloom.llm import neardup
@@ -93,6 +95,29 @@ def test_crowded_buckets(spark, monkeypatch):
     assert len(dealt) >= 2
 
 
+def one_band(width, features=neardup._features):
+    """Features whose first band all texts share, and no other band any two."""
+
+    def run(batches):
+        for batch in features(width)(batches):
+            keys = batch.column("f1").to_numpy()[:, None] + np.arange(neardup.BANDS)
+            keys[:, 0] = 7
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, neardup.BANDS), pa.int32()), keys.reshape(-1))
+            yield batch.set_column(batch.schema.get_field_index("bands"), "bands", bands)
+
+    return run
+
+
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
+    """Pairs that share one band only, with a crowded bucket, are found by rare shingles."""
+    for name, value in {"SMALL": 2, "BLOCK": 8, "DEEP": 12}.items():
+        monkeypatch.setattr(neardup, name, value)
+    monkeypatch.setattr(neardup, "_features", one_band)
+    rows = passages(60)
+    got = neardup.near_duplicates(documents(spark, rows), 3, 85).collect()
+    assert sorted(map(tuple, got)) == expected(rows, 3, 85)
+
+
 def test_paths_of_bands():
     assert [neardup._path(c) for c in (0, 20, 64, (20 + 1) * 64 + 3, ((5 + 1) * 64 + 7 + 1) * 64 + 9)] == [[0], [20], [0, 0], [20, 3], [5, 7, 9]]
 
