@@ -68,8 +68,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_reference(rows: DataFrame, fasta: DataFrame, start: Column, length: Column, out: str, chunk: int = CHUNK, contig: str = "chrom", short: bool = False) -> DataFrame:
-    """Add ``out``: ``length`` bases from 1-based ``start``; null where the sequence doesn't reach, or, if ``short``, what there is."""
-    seqs = fasta.select(F.col("contig").alias("_contig"), F.col("chunk").alias("_chunk"), F.col("seq").alias("_seq"))
+    """Add ``out``: ``length`` bases from 1-based ``start``; null where the sequence doesn't reach, or, if ``short``, what there is.
+
+    Both sides are shuffled by chunk: what chunks weigh can't be told from the rows that they are made of, so no estimate may send them through the driver.
+    """
+    seqs = fasta.select(F.col("contig").alias("_contig"), F.col("chunk").alias("_chunk"), F.col("seq").alias("_seq")).hint("merge")
     keyed = rows.withColumn("_start", start).withColumn("_len", length)
     joined = keyed.join(seqs, (F.col(contig) == F.col("_contig")) & (F.floor((F.col("_start") - 1) / chunk).cast("int") == F.col("_chunk")), "left")
     # Bases are a byte each: of bytes a piece is cut at once, of text the whole chunk is walked through.
