@@ -6,7 +6,7 @@ import pytest
 
 from locusloom.plans import registry
 
-NAMES = ("munge_harmonise",)
+NAMES = ("consequence_worst", "munge_harmonise")
 
 
 def executions(spark):
