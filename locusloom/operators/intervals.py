@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BIN = 1 << 16
-BROADCAST_BINS = 2_000_000
+#: Binned rows that are broadcast at most: about 170 bytes each once they are hashed, and a plan may hold several such tables in the driver at once.
+BROADCAST_BINS = 200_000
 
 
 def binned(intervals: DataFrame, start: str, end: str, bin_size: int = BIN) -> DataFrame:
