@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from locusloom.operators import intervals
 from locusloom.plans import registry
 
-NAMES = ("consequence_worst", "lift_longer", "munge_harmonise")
+NAMES = ("consequence_worst", "lift_extend", "lift_longer", "munge_harmonise")
 
 
 def executions(spark):
