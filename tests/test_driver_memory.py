@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from locusloom.operators import intervals
 from locusloom.plans import registry
 
-NAMES = ("consequence_worst", "lift_extend", "lift_longer", "munge_harmonise", "consequences", "lift_left_align")
+NAMES = ("consequence_worst", "lift_extend", "lift_longer", "munge_harmonise", "consequences", "lift_left_align", "lift_records")
 
 
 def executions(spark):
