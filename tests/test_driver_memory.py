@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from locusloom.operators import intervals
 from locusloom.plans import registry
 
-NAMES = ("consequence_worst", "lift_extend", "lift_longer", "lift_ref_snp", "munge_harmonise", "consequences", "lift_left_align", "lift_records")
+NAMES = ("consequence_worst", "lift_extend", "lift_longer", "lift_ref_snp", "munge_harmonise", "consequences", "lift_counts", "lift_left_align", "lift_records")
 
 
 def executions(spark):
